@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import warc
+from . import token_blocks, warc
 from .common import scratch_path
 
 
@@ -23,8 +24,17 @@ def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve_revisits(warc.read_archives(spark, path, payloads=False))
 
 
+def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written in patched frame-of-reference blocks and read back."""
+    path = scratch_path(spark, "ids")
+    token_blocks.write_ids(_read(spark, sf_dir, "documents"), path, tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    read = token_blocks.with_starts(token_blocks.read_ids(spark, path, digest_only=True))
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_segments": op1_warc_segments,
+    "op4_token_blocks": op4_token_blocks,
 }
 
 SQL: dict[str, str] = {
