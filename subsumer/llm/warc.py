@@ -239,7 +239,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     named = records.where("record_type = 'response'").select(
         F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("their_bytes"), F.col("payload_digest").alias("their_digest")
     ).dropDuplicates(["refers_to_id"])
-    return records.join(named, "refers_to_id", "left").select(
+    # records that name none get a key of their own: nulls would all meet in one task
+    named = named.withColumnRenamed("refers_to_id", "_their_id")
+    key = F.coalesce("refers_to_id", F.concat(F.lit("-"), "record_id"))
+    return records.withColumn("_their_id", key).join(named, "_their_id", "left").select(
         "page_id",
         F.coalesce("payload_bytes", "their_bytes").alias("payload_bytes"),
         F.coalesce("payload_digest", "their_digest").alias("payload_digest"),
