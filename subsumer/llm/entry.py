@@ -24,18 +24,11 @@ def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve_revisits(warc.read_archives(spark, path, payloads=False))
 
 
-def label_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with `_quality`: 1 for documents labelled good, 0.25 for bad, 0.5 for the others."""
-    known = labels.groupBy("doc_id").agg(F.max("quality").alias("_label"))
-    weight = F.when(F.col("_label") == 1, 1.0).when(F.col("_label") == 0, 0.25).otherwise(0.5)
-    return docs.join(known, "doc_id", "left").withColumn("_quality", weight).drop("_label")
-
-
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents mixed: sources weigh 5, 2, 1, ... and share 150 % of all words."""
-    docs = label_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
-    mixed = mixing.mix_sources(docs, quality=F.col("_quality"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    """All documents mixed: sources weigh 5, 2, 1, ... and share 150 % of all words; bad documents are drawn less."""
+    labels = _read(spark, sf_dir, "labels")
+    quality = labels.select("doc_id", F.when(F.col("quality") == 0, 0.25).otherwise(1.0).alias("quality"))
+    return mixing.mix_rows(_read(spark, sf_dir, "documents"), quality).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,17 +34,20 @@ def _keyed(docs: DataFrame, quality: Column, mix: Mix) -> DataFrame:
     """docs with the source's key (null last), the row's hash, its size, exponential key and the key's place."""
     source = F.col("source").cast("string")
     row_hash = F.xxhash64(F.lit(mix.seed), F.col("doc_id"), text_of("text"))
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(mix.seed + 1), "_row"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    weight = F.coalesce(F.nanvl(quality.cast("double"), F.lit(1.0)), F.lit(1.0))
-    key = F.when(weight > 0, -F.log(uniform) / weight).otherwise(F.lit(float("inf")))
-    place = F.least(F.floor((1 - F.exp(-F.col("_key"))) * (1 << 2 * DIGIT_BITS)), F.lit((1 << 2 * DIGIT_BITS) - 1)).cast("long")
-    return (
+    keyed = (
         docs.withColumn("_source", F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source)))
         .withColumn("_row", row_hash)
         .withColumn("size", n_words("text"))
-        .withColumn("_key", key)
-        .withColumn("_place", place)
     )
+    return _placed(keyed, quality, mix)
+
+
+def _placed(rows: DataFrame, quality: Column, mix: Mix) -> DataFrame:
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(mix.seed + 1), "_row"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    weight = F.coalesce(F.nanvl(quality.cast("double"), F.lit(1.0)), F.lit(1.0))
+    key = F.when(weight > 0, -F.log(uniform) / weight).otherwise(F.lit(float("inf")))
+    place = F.least(F.floor((1 - F.exp(-F.col("_key"))) * (1 << 2 * DIGIT_BITS)), F.lit((1 << 2 * DIGIT_BITS) - 1)).cast("long")
+    return rows.withColumn("_key", key).withColumn("_place", place)
 
 
 def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
@@ -67,20 +70,24 @@ def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     return ranked.select("_source", "source_size", F.least("_most", F.lit(level) * F.col("_weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, *, quality: Column | None = None, mix: Mix = Mix()) -> DataFrame:
-    """docs (doc_id, source, text, ...) with size, source_size, target and taken (words that the mix takes, repeats counted).
+@dataclass(frozen=True)
+class Decisions:
+    """A mix of a table: one row for each source, and one for each document at the end of a source's selection."""
 
-    Each source's target is met by complete epochs first; what is left goes to the documents with the smallest
-    keys -ln(u) / quality, u by a hash of seed, doc_id and text (so reruns agree), as far as their summed sizes
-    reach; the document at the end is taken in part. quality: null or NaN is 1, and documents of 0 or less come last.
-    Null sources are a source; null texts have size 0. Rows repeated in doc_id, source and text share what they get
-    evenly, rounded down. Columns of docs that are named like the results are replaced; an empty table stays empty.
+    budgets: DataFrame
+    last: DataFrame
 
-    Only summed rows are shuffled: the prefix sums descend over two digits of the key's place, then order the few
-    documents of one place in each source.
-    """
-    keyed = _keyed(docs, F.lit(1.0) if quality is None else quality, mix)
-    small = table(keyed.select("doc_id", "_source", "_row", "size", "_key", "_place"), "mix-keys")
+    def taken(self, keyed: DataFrame) -> DataFrame:
+        """keyed with source_size, target and taken; the helping columns go."""
+        out = small_join(keyed.drop("source_size", "target", "taken", "_epochs", "_left", "_digits"), self.budgets, ["_source"])
+        out = small_join(out, self.last, ["_source", "_row"], "left")
+        part = F.when(F.col("_place") < F.col("_digits"), F.col("size")).otherwise(F.coalesce("_got", F.lit(0)))
+        out = out.withColumn("taken", (F.col("_epochs") * F.col("size") + part).cast("long"))
+        return out.drop("_source", "_row", "_key", "_place", "_epochs", "_left", "_digits", "_got")
+
+
+def decide(small: DataFrame, mix: Mix) -> Decisions:
+    """The decisions for a written table of (doc_id, _source, _row, size, _key, _place)."""
     sizes = small.groupBy("_source").agg(F.sum("size").alias("source_size"))
     left = F.round("target").cast("long") - F.col("_epochs") * F.col("source_size")
     budgets = (
@@ -94,17 +101,41 @@ def mix_sources(docs: DataFrame, *, quality: Column | None = None, mix: Mix = Mi
     last = small_join(small, budgets, ["_source"]).where(F.col("_place") == F.col("_digits"))
     last = last.groupBy("_source", "doc_id", "_row").agg(F.count("*").alias("_copies"), F.sum("size").alias("_sum"), F.min("_key").alias("_key"), F.first("_left").alias("_left"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy("_source").orderBy("_key", F.col("doc_id").asc_nulls_first(), "_row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = last.withColumn("_before", before)
-    got = F.greatest(F.lit(0), F.least(F.col("_sum"), F.col("_left") - F.col("_before")))
-    last = last.select("_source", F.col("_row").alias("_last_row"), F.floor(got / F.col("_copies")).cast("long").alias("_got"))
-
-    keyed = keyed.drop("source_size", "target", "taken", "_epochs", "_left", "_digits")
-    out = small_join(keyed, budgets, ["_source"])
-    last = table(last, "mix-last").withColumnRenamed("_last_row", "_row")
-    out = small_join(out, last, ["_source", "_row"], "left")
-    part = F.when(F.col("_place") < F.col("_digits"), F.col("size")).otherwise(F.coalesce("_got", F.lit(0)))
-    out = out.withColumn("taken", (F.col("_epochs") * F.col("size") + part).cast("long"))
-    return out.drop("_source", "_row", "_key", "_place", "_epochs", "_left", "_digits", "_got")
+    got = F.greatest(F.lit(0), F.least(F.col("_sum"), F.col("_left") - before))
+    last = last.select("_source", "_row", F.floor(got / F.col("_copies")).cast("long").alias("_got"))
+    return Decisions(budgets, table(last, "mix-last"))
+
+
+SMALL = ("doc_id", "_source", "_row", "size", "_key", "_place")
+
+
+def mix_sources(docs: DataFrame, *, quality: Column | None = None, mix: Mix = Mix()) -> DataFrame:
+    """docs (doc_id, source, text, ...) with size, source_size, target and taken (words that the mix takes, repeats counted).
+
+    Each source's target is met by complete epochs first; what is left goes to the documents with the smallest
+    keys -ln(u) / quality, u by a hash of seed, doc_id and text (so reruns agree), as far as their summed sizes
+    reach; the document at the end is taken in part. quality: an expression on docs; null or NaN is 1, and documents
+    of 0 or less come last. Null sources are a source; null texts have size 0. Rows repeated in doc_id, source and
+    text share what they get evenly, rounded down. Columns of docs that are named like the results are replaced; an
+    empty table stays empty.
+
+    Texts are never shuffled, only keys and sums: the prefix sums descend over two digits of the key's place, then
+    order the few documents of one place in each source.
+    """
+    keyed = _keyed(docs, F.lit(1.0) if quality is None else quality, mix)
+    return decide(table(keyed.select(*SMALL), "mix-keys"), mix).taken(keyed)
+
+
+def mix_rows(docs: DataFrame, quality: DataFrame, *, mix: Mix = Mix()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) as mix_sources() gives them, with quality from a table (doc_id, quality).
+
+    Documents without a row there have quality 1; of several rows for a document the largest counts.
+    """
+    sized = _keyed(docs, F.lit(1.0), mix).select("doc_id", "_source", "_row", "size")
+    known = quality.groupBy("doc_id").agg(F.max("quality").alias("_quality"))
+    joined = table(sized, "mix-sizes").join(known, "doc_id", "left")
+    small = table(_placed(joined, F.col("_quality"), mix).select(*SMALL), "mix-keys")
+    return decide(small, mix).taken(small)
 
 
 def _descend(small: DataFrame, budgets: DataFrame, shift: int) -> DataFrame:
