@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, token_blocks, warc
+from . import fit, line_quality, mixing, token_blocks, toxicity, warc
 from .common import scratch_path
 
 
@@ -39,10 +39,28 @@ def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by a classifier fitted on labels that are not held out."""
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, _read(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", fit.held_out().alias("held_out"), toxicity.toxicity_score(model, docs).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, by a field of lines fitted on labels that are not held out."""
+    docs = _read(spark, sf_dir, "documents")
+    model = line_quality.fit_quality(docs, _read(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", fit.held_out().alias("held_out"), line_quality.quality_score(model, docs).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_segments": op1_warc_segments,
     "op3_source_mix": op3_source_mix,
     "op4_token_blocks": op4_token_blocks,
+    "op8_toxicity": op8_toxicity,
+    "op9_line_quality": op9_line_quality,
 }
 
 SQL: dict[str, str] = {
