@@ -15,7 +15,7 @@ from .common import text_of
 
 BITS = 18
 SIZE = 1 << BITS
-ORDERS = (3, 4, 5)
+ORDERS = (4, 5, 6)
 #: Bytes of a text whose n-grams are made at a time.
 PIECE = 1 << 20
 #: n-grams of fewer documents of the sample weigh nothing.
