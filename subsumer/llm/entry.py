@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fit, line_quality, mixing, near_dups, token_blocks, toxicity, warc
+from . import fit, licenses, line_quality, mixing, near_dups, token_blocks, toxicity, warc
 from .common import scratch_path
 
 
@@ -39,6 +39,11 @@ def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return licenses.license_labels(licenses.license_spans(_read(spark, sf_dir, "documents")))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near duplicates on 4-word shingles."""
     return near_dups.near_duplicates(_read(spark, sf_dir, "documents"), near_dups.Near(words=4))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_segments": op1_warc_segments,
     "op3_source_mix": op3_source_mix,
     "op4_token_blocks": op4_token_blocks,
+    "op5_license_scan": op5_license_scan,
     "op6_near_duplicates": op6_near_duplicates,
     "op8_toxicity": op8_toxicity,
     "op9_line_quality": op9_line_quality,
