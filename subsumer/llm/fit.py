@@ -41,10 +41,11 @@ def sums(sample: DataFrame, function: Callable[[pd.DataFrame], np.ndarray], size
     """The sum of function(batch), a vector of `size`, over all batches of a written sample; one partial sum a task."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(size)
+        total = None
         for batch in batches:
-            total += function(batch)
-        yield pd.DataFrame({"part": [total.tobytes()]})
+            total = function(batch) + (0 if total is None else total)
+        if total is not None:  # a task without rows sends nothing
+            yield pd.DataFrame({"part": [total.tobytes()]})
 
     total = np.zeros(size)
     for row in sample.mapInPandas(partial, "part binary").collect():
@@ -56,7 +57,7 @@ def written(sample: DataFrame, name: str) -> DataFrame:
     return table(sample.repartition(PARTS), name)
 
 
-def minimise(value_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, evaluations: int = 30, memory: int = 8) -> np.ndarray:
+def minimise(value_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, evaluations: int = 30, memory: int = 5) -> np.ndarray:
     """L-BFGS with step halving, for so many evaluations at most."""
     z, steps = start, []
     f, g = value_and_gradient(z)
