@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fit, licenses, line_quality, mixing, near_dups, token_blocks, toxicity, warc
+from . import fit, licenses, line_quality, mixing, near_dups, pieces, token_blocks, toxicity, warc
 from .common import scratch_path
 
 
@@ -49,6 +49,13 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_read(spark, sf_dir, "documents"), near_dups.Near(words=4))
 
 
+def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with merge-dropout and decoded again."""
+    settings = pieces.Dropout(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select("doc_id", pieces.round_trip(settings, F.col("doc_id"), F.col("text")).alias("r")).select("doc_id", "r.*")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity, by a classifier fitted on labels that are not held out."""
     docs = _read(spark, sf_dir, "documents")
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_blocks": op4_token_blocks,
     "op5_license_scan": op5_license_scan,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_merge_dropout": op7_merge_dropout,
     "op8_toxicity": op8_toxicity,
     "op9_line_quality": op9_line_quality,
 }
