@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fit, licenses, line_quality, mixing, near_dups, pieces, token_blocks, toxicity, warc
+from . import ann, fit, licenses, line_quality, mixing, near_dups, pieces, token_blocks, toxicity, warc
 from .common import scratch_path
 
 
@@ -24,6 +24,12 @@ def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve_revisits(warc.read_archives(spark, path, payloads=False))
 
 
+def op2_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found, by cosine, of every vector whose id is divisible by 50."""
+    rows = _read(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id")))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed: sources weigh 5, 2, 1, ... and share 150 % of all words; bad documents are drawn less."""
     labels = _read(spark, sf_dir, "labels")
@@ -74,6 +80,7 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_segments": op1_warc_segments,
+    "op2_posting_lists": op2_posting_lists,
     "op3_source_mix": op3_source_mix,
     "op4_token_blocks": op4_token_blocks,
     "op5_license_scan": op5_license_scan,
