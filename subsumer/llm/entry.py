@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fit, licenses, line_quality, mixing, near_dups, pieces, token_blocks, toxicity, warc
+from . import ann, cover_tree, fit, licenses, line_quality, mixing, near_dups, pieces, token_blocks, toxicity, warc
 from .common import scratch_path
 
 
@@ -78,6 +78,12 @@ def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op10_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products of every vector whose id is divisible by 50."""
+    rows = _read(spark, sf_dir, "embeddings")
+    return cover_tree.largest_products(rows, rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_segments": op1_warc_segments,
     "op2_posting_lists": op2_posting_lists,
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_merge_dropout": op7_merge_dropout,
     "op8_toxicity": op8_toxicity,
     "op9_line_quality": op9_line_quality,
+    "op10_dual_tree": op10_dual_tree,
 }
 
 SQL: dict[str, str] = {
@@ -105,4 +112,16 @@ SQL: dict[str, str] = {
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM m""",
+    "op10_dual_tree": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+              AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, rank, vec_id, score FROM (
+            SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
+        WHERE rank <= 5""",
 }
