@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_join, table, text_of
@@ -167,6 +167,35 @@ def verified(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInPandas(check, "a long, b long")
 
 
+def prefix_pairs(docs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """All pairs (a, b) of docs (rep, n, component) in different components that can be similar enough.
+
+    The sets are ordered by how rare their shingles are among docs. Two sets that are similar enough share one
+    of the first n - ceil(percent * n / 100) + 1, where what is left behind it on either side is long enough
+    (prefix and position filters, exact). Documents with a fifth of shingles of their own, such as heavily
+    edited copies, meet nobody; no pairs within a band are listed.
+    """
+
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                size = [len(x) // 8 for x in part["shingles"]]
+                yield pd.DataFrame({"rep": np.repeat(part["doc_id"].to_numpy(), size), "shingle": np.frombuffer(b"".join(part["shingles"]), np.int64)})
+
+    chosen = small_join(sets, docs.select(F.col("rep").alias("doc_id")).distinct(), ["doc_id"], "left_semi", BROADCAST_IDS)
+    entries = table(chosen.mapInPandas(explode, "rep long, shingle long").distinct(), "entries")
+    common = entries.groupBy("shingle").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("rep").orderBy("df", "shingle")
+    placed = entries.join(common, "shingle").withColumn("at", F.row_number().over(order)).join(docs.groupBy("rep").agg(F.min("n").alias("n"), F.min("component").alias("component")), "rep")
+    prefix = table(placed.where((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(near.percent * F.col("n") / 100) + 1)), "prefixes")
+    x = prefix.select("shingle", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("component").alias("ca"))
+    y = prefix.select("shingle", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("component").alias("cb"))
+    enough = (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")) * (100 + near.percent) >= near.percent * (F.col("na") + F.col("nb"))
+    sizes = 100 * F.least("na", "nb") >= near.percent * F.greatest("na", "nb")
+    return x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes & enough).select("a", "b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in edges (a, b): the smallest id that it is connected with.
 
@@ -202,9 +231,9 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
     Texts with equal sets are one class, found by a fingerprint of 128 bits; the smallest doc_id stands for it.
-    Class representatives that share a band are compared on their whole sets: first all with the smallest id of the
-    band, then with a second one; then, in bands that still hold several components, all pairs of different
-    components, so no link between components is lost. Null texts are empty; texts without words are
+    Class representatives that share a band are compared on their whole sets with the smallest id of the band and a
+    second one; then, over all bands that still hold several components, an exact join of prefixes finds what links
+    different components, so none is lost. Null texts are empty; texts without words are
     linked with nothing. Rows with equal doc_id are one document that is linked as each of them. Rows with a
     null doc_id are linked with nothing: component_id is null and kept false. Other columns are ignored.
     """
@@ -227,16 +256,12 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     links = table(verified(tried, sets, near), "links")
     found = table(components(links), "components")
 
-    # bands that hold several components: all others against all, but for those of the most frequent one
+    # documents of bands that still hold several components
     labelled = multi.select("key", "rep", "n").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = table(labelled, "labelled")
-    sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("components")).where("components > 1")
-    several = table(labelled.join(mixed.select("key", "main"), "key"), "several")
-    one = several.where("component <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    two = several.select("key", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main")
-    cross = one.join(two, "key").where("cx <> cy and (cy = main or x < y)").where(fits("nx", "ny"))
-    rest = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    several = table(labelled.join(mixed, "key", "left_semi").select("rep", "n", "component").distinct(), "several")
+    rest = prefix_pairs(several, sets, near).join(tried, ["a", "b"], "left_anti")
     rest = table(rest, "rest")
     more = table(verified(rest, sets, near), "more-links")
     # documents with several texts, so in several classes
