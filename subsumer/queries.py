@@ -11,7 +11,7 @@ from .functions.text import curie
 from .operators.export import term_json
 from .operators.normalize import active, edges, intern_concepts, intern_roles
 from .operators.taxonomy import direct_children, direct_parents
-from .plans.lineage import written
+from .plans.lineage import new_path
 from .plans.saturation import Axioms, saturate, symmetric
 from .schema import BOTTOM, TOP
 from .sources import obo, owl
@@ -280,30 +280,40 @@ def json_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _suppliers_owl(spark: SparkSession, d: str) -> str:
-    """An OWL document of the suppliers, written as one element a line; its path."""
+    """OWL documents of the suppliers, one for each partition, written by Spark; the folder's path."""
     base = "http://purl.obolibrary.org/obo/"
-    s = Warehouse(spark, d).table("supplier")
-    nation = lambda: F.concat(F.lit(base + "NATION_"), F.col("s_nationkey").cast("string"))
-    element = F.concat(
-        F.lit(f'<owl:Class rdf:about="{base}SUPP_'), F.col("s_suppkey").cast("string"), F.lit('"><rdfs:label>'), F.col("s_name"),
-        F.lit('</rdfs:label><rdfs:subClassOf rdf:resource="'), nation(), F.lit('"/><rdfs:subClassOf><owl:Restriction><owl:onProperty rdf:resource="'),
-        F.lit(base + 'located_in"/><owl:someValuesFrom rdf:resource="'), nation(), F.lit('"/></owl:Restriction></rdfs:subClassOf><oboInOwl:hasDbXref>N:'),
-        F.col("s_nationkey").cast("string"), F.lit("</oboInOwl:hasDbXref></owl:Class>"),
+    root = f'rdf:RDF xmlns:owl="{owl.OWL}" xmlns:rdf="{owl.RDF}" xmlns:rdfs="{owl.RDFS}" xmlns:oboInOwl="http://www.geneontology.org/formats/oboInOwl#"'
+    path = new_path(spark, "owl")
+
+    def write(df: DataFrame, tag: str) -> None:
+        df.write.mode("append").format("xml").option("rootTag", root).option("rowTag", tag).option("declaration", "").option("validateName", "false").save(path)
+
+    at = lambda value: F.struct(value.alias("_rdf:resource"))
+    nation = F.concat(F.lit(base + "NATION_"), F.col("s_nationkey").cast("string"))
+    restriction = F.struct(at(F.lit(base + "located_in")).alias("owl:onProperty"), at(nation).alias("owl:someValuesFrom"))
+    none = F.when(F.lit(False), restriction)
+    parents = F.array(
+        F.struct(nation.alias("_rdf:resource"), none.alias("owl:Restriction")),
+        F.struct(F.when(F.lit(False), nation).alias("_rdf:resource"), restriction.alias("owl:Restriction")),
     )
-    head = (
-        '<rdf:RDF xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" '
-        f'xmlns:oboInOwl="http://www.geneontology.org/formats/oboInOwl#"><owl:Ontology rdf:about="{base}suppliers.owl"/>'
-        f'<owl:ObjectProperty rdf:about="{base}located_in"><rdfs:label>located in</rdfs:label><rdf:type rdf:resource="http://www.w3.org/2002/07/owl#TransitiveProperty"/></owl:ObjectProperty>'
+    classes = Warehouse(spark, d).table("supplier").select(
+        F.concat(F.lit(base + "SUPP_"), F.col("s_suppkey").cast("string")).alias("_rdf:about"),
+        F.col("s_name").alias("rdfs:label"),
+        parents.alias("rdfs:subClassOf"),
+        F.concat(F.lit("N:"), F.col("s_nationkey").cast("string")).alias("oboInOwl:hasDbXref"),
     )
-    from .plans.lineage import new_path
-
-    path = new_path(spark, "owl")
-    ends = spark.createDataFrame([(-1, head), (1 << 60, "</rdf:RDF>")], "at long, value string")
-    rows = ends.union(s.select(F.col("s_suppkey").cast("long"), element)).repartitionByRange(4, "at").sortWithinPartitions("at")
-    rows.select("value").write.text(path)
+    one = spark.range(1)
+    write(one.select(F.lit(base + "suppliers.owl").alias("_rdf:about"), at(F.lit(base + "1/suppliers.owl")).alias("owl:versionIRI")), "owl:Ontology")
+    write(one.select(F.lit(base + "located_in").alias("_rdf:about"), F.lit("located in").alias("rdfs:label"), at(F.lit(owl.OWL + "TransitiveProperty")).alias("rdf:type")), "owl:ObjectProperty")
+    write(classes, "owl:Class")
     return path
 
 
+@query("SELECT NULL::VARCHAR AS format_version, 'http://purl.obolibrary.org/obo/1/suppliers.owl' AS data_version, 'http://purl.obolibrary.org/obo/suppliers.owl' AS ontology")
+def owl_header(spark: SparkSession, d: str) -> DataFrame:
+    return owl.read_owl(spark, _suppliers_owl(spark, d)).header
+
+
 @query("SELECT 'SUPP:' || s_suppkey AS id, s_name AS name, 'N:' || s_nationkey AS xref, false AS is_obsolete FROM supplier")
 def owl_classes(spark: SparkSession, d: str) -> DataFrame:
     return owl.read_owl(spark, _suppliers_owl(spark, d)).terms.select("id", "name", F.get("xrefs", 0).alias("xref"), "is_obsolete")
