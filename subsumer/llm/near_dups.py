@@ -191,7 +191,8 @@ def prefix_pairs(docs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     prefix = table(placed.where((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(near.percent * F.col("n") / 100) + 1)), "prefixes")
     x = prefix.select("shingle", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("component").alias("ca"))
     y = prefix.select("shingle", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("component").alias("cb"))
-    enough = (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")) * (100 + near.percent) >= near.percent * (F.col("na") + F.col("nb"))
+    # holds at the first shingle that two similar sets share: nothing before it is common
+    enough = (1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))) * (100 + near.percent) >= near.percent * (F.col("na") + F.col("nb"))
     sizes = 100 * F.least("na", "nb") >= near.percent * F.greatest("na", "nb")
     return x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes & enough).select("a", "b").distinct()
 
