@@ -43,7 +43,7 @@ def sums(sample: DataFrame, function: Callable[[pd.DataFrame], np.ndarray], size
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for batch in batches:
-            total = function(batch) + (0 if total is None else total)
+            total = np.asarray(function(batch), np.float64) + (0 if total is None else total)
         if total is not None:  # a task without rows sends nothing
             yield pd.DataFrame({"part": [total.tobytes()]})
 
