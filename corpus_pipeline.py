@@ -55,7 +55,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, ids): the pieces of each document, with merge-dropout."""
     settings = pieces.Dropout(public_tokenizers.path("piece_bpe_32k.model"))
-    return docs.select("doc_id", "source", pieces.encoded(settings, F.col("doc_id"), F.col("text")).alias("ids"))
+    return pieces.encoded_rows(settings, docs)
 
 
 STAGES = [

@@ -35,7 +35,7 @@ HEAD = struct.Struct("<4sIIQQ")
 #: Ids after which a frame is closed.
 FRAME_IDS = 1 << 20
 #: Words, and pre-tokens, whose ids a Python worker keeps.
-CACHE = 600_000
+CACHE = 400_000
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------
