@@ -46,16 +46,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: its complete epochs, and once more if at least half of it is taken besides."""
+    """Each document as often as the mix takes it: its complete epochs, and once more if at least half of it is taken besides. copy counts them from 0."""
     mixed = mixing.mix_sources(docs)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    return mixed.select(*docs.columns, F.posexplode(F.array_repeat(F.lit(1), times)).alias("copy", "_one")).drop("_one")
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, ids): the pieces of each document, with merge-dropout."""
+    """(doc_id, source, ids): the pieces of each document, with merge-dropout that differs from copy to copy."""
     settings = pieces.Dropout(public_tokenizers.path("piece_bpe_32k.model"))
-    return pieces.encoded_rows(settings, docs)
+    return pieces.encoded_rows(settings, docs, F.col("copy"))
 
 
 STAGES = [

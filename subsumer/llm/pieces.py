@@ -1,9 +1,13 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Pieces are merged from an agenda, best score first and leftmost first among equals, as a model of the merge type
-does; each candidate that comes up is skipped if a keyed hash says so. The hash's key is the seed, one of VARIANTS
-drawn for each word of each document from seed, doc_id and place, the word, the merge and its place in the word:
-reruns agree, and words differ from place to place. Dropout 0 is the model's own encoding.
+does; each candidate that comes up is skipped if a keyed hash says so. The hash's key is the seed, the document's id
+and copy, the place of the word in it, the merge and its place in the word: reruns agree, and every occurrence of a
+word draws for itself. Dropout 0 is the model's own encoding.
+
+A word's pieces depend on nothing but which of its candidates are skipped, so what is kept of short words is a tree:
+the candidates that come up in their order, the pieces if none is skipped, and below each candidate what follows a
+skip of it.
 
 Decoding gives every text back byte for byte: characters without a piece, and the white space mark itself where
 a text holds it, are written as byte pieces.
@@ -14,7 +18,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,13 +31,32 @@ from .common import text_of
 #: The mark that pieces have for a space; the types of pieces in a model file.
 MARK = "▁"
 NORMAL, BYTE = 1, 6
-VARIANTS = 4
-#: Words, over all variants, whose pieces a Python worker keeps; longer words aren't kept.
-CACHE, LONGEST = 200_000, 64
+#: Nodes of words' trees that a Python worker keeps; longer words have none.
+CACHE, LONGEST = 100_000, 64
+#: Words whose candidates are hashed at a time.
+WORDS = 20_000
 #: Texts that encoded_rows() encodes at a time.
 ROWS = 200
 _RUNS = re.compile(" +[^ \n]*|\n[^ \n]*")
 _CODECS: dict[tuple, Codec] = {}
+#: Odd factors of the hash: of places of words and copies, and of the seed.
+_STEP, _SEED = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_M1, _M2, _ALL = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, (1 << 64) - 1
+
+
+def _mix(h: int) -> int:
+    h = ((h ^ (h >> 30)) * _M1) & _ALL
+    h = ((h ^ (h >> 27)) * _M2) & _ALL
+    return h ^ (h >> 31)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """_mix() of each of an array, which is overwritten."""
+    for shift, factor in ((30, _M1), (27, _M2)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 @dataclass(frozen=True)
@@ -45,6 +68,16 @@ class Dropout:
     seed: int = 5
 
 
+class _Node:
+    """codes: the candidates that come up behind the skipped ones (by their order), eight bytes each; pieces: the ids if none of those is skipped."""
+
+    __slots__ = ("codes", "pieces", "skipped", "below")
+
+    def __init__(self, codes: bytes, pieces: bytes, skipped: tuple[int, ...] = ()) -> None:
+        self.codes, self.pieces, self.skipped = codes, pieces, skipped
+        self.below: dict[int, _Node] | None = None
+
+
 class Codec:
     def __init__(self, settings: Dropout) -> None:
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -64,7 +97,8 @@ class Codec:
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(MARK, " ").encode() if p.type == NORMAL else b"" for p in proto.pieces]
         self.limit = int(settings.dropout * (1 << 32))
         self.seed = zlib.crc32(str(settings.seed).encode())
-        self.kept: list[dict[str, bytes]] = [{} for _ in range(VARIANTS if self.limit else 1)]
+        self.kept: dict[str, _Node] = {}
+        self.nodes = 0
 
     @classmethod
     def at(cls, settings: Dropout) -> Codec:
@@ -76,24 +110,19 @@ class Codec:
     def _fallback(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "replace")]
 
-    def segment(self, symbols: list[str | None], key: int) -> list[int]:
-        """The pieces' ids of a run of characters; a symbol that isn't a piece becomes bytes."""
-        n, rank = len(symbols), self.rank
+    def segment(self, symbols: list[str | None], at: int, skip: Callable[[int], bool]) -> list[int]:
+        """The pieces' ids of a run of characters that starts at a place of its word; a symbol that isn't a piece becomes bytes. skip: of each candidate's code (its merge and the two ends of its left symbol), in the agenda's order."""
+        n, rank, ids = len(symbols), self.rank, self.ids
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = [(rank[p], i, i + 1, p) for i in range(n - 1) if (p := symbols[i] + symbols[i + 1]) in rank]
         heapq.heapify(agenda)
-        limit = self.limit
         while agenda:
-            r, left, right, piece = heapq.heappop(agenda)
+            _, left, right, piece = heapq.heappop(agenda)
             a, b = symbols[left], symbols[right]
             if a is None or b is None or len(a) + len(b) != len(piece):
                 continue
-            if limit:
-                h = (key ^ (r * 0x9E3779B1) ^ (left * 0x85EBCA6B)) & 0xFFFFFFFF
-                h = ((h ^ (h >> 16)) * 0x7FEB352D) & 0xFFFFFFFF
-                h = ((h ^ (h >> 15)) * 0x846CA68B) & 0xFFFFFFFF
-                if (h ^ (h >> 16)) < limit:
-                    continue
+            if skip((ids[piece] << 42 ^ (at + left) << 21 ^ (at + right)) & _ALL):
+                continue
             symbols[left], symbols[right] = piece, None
             after[left] = nxt = after[right]
             if nxt >= 0:
@@ -106,64 +135,100 @@ class Codec:
         for s in symbols:
             if s is None:
                 continue
-            if (i := self.ids.get(s)) is not None:
+            if (i := ids.get(s)) is not None:
                 out.append(i)
             else:
                 for char in s:
                     out += self._fallback(char)
         return out
 
-    def _word(self, word: str, variant: int) -> bytes:
+    def _word(self, word: str, skip: Callable[[int], bool]) -> bytes:
         """word: a line feed and what stands behind it up to a space, or spaces and what stands behind; else with one space put before."""
         if word[:1] == "\n":
             head, rest = self._fallback("\n"), word[1:]
         else:
             head, rest = [], word if word[:1] == " " else " " + word
         # the mark itself, where a text holds it, must stay apart from marks for spaces
-        key = zlib.crc32(word.encode("utf-8", "replace"), self.seed + variant) if self.limit else 0
-        parts = rest.split(MARK)
-        for i, part in enumerate(parts):
+        at = 0
+        for i, part in enumerate(rest.split(MARK)):
             if i:
                 head += self._fallback(MARK)
+                at += 1
             if part:
-                head += self.segment(list(part.replace(" ", MARK)), key + i)
+                head += self.segment(list(part.replace(" ", MARK)), at, skip)
+                at += len(part)
         return np.array(head, "<u4").tobytes()
 
-    def encode(self, texts: list[str], keys: list[int]) -> list[bytes]:
-        """The ids of each text, four bytes each, little-endian. keys: what a text's variants are drawn by."""
+    def word(self, word: str, key: int) -> bytes:
+        """The ids of a word whose draws are keyed by key, without what is kept."""
+        limit = self.limit
+        return self._word(word, (lambda code: _mix((key + code) & _ALL) >> 32 < limit) if limit else lambda code: False)
+
+    def _node(self, word: str, skipped: tuple[int, ...]) -> _Node:
+        codes: list[int] = []
+
+        def skip(code: int) -> bool:
+            codes.append(code)
+            return len(codes) - 1 in skipped
+
+        pieces = self._word(word, skip)
+        self.nodes += 1
+        return _Node(np.array(codes[skipped[-1] + 1 if skipped else 0 :], "<u8").tobytes(), pieces, skipped)
+
+    def _below(self, node: _Node, word: str, place: int) -> _Node:
+        """What follows a skip of a node's candidate."""
+        if node.below is None:
+            node.below = {}
+        if (found := node.below.get(place)) is None:
+            start = node.skipped[-1] + 1 if node.skipped else 0
+            found = node.below[place] = self._node(word, (*node.skipped, start + place))
+        return found
+
+    def _words(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """word() of each word and key: all candidates of a round are hashed at once, and words with a skip go on below its candidate."""
+        if self.nodes > CACHE:
+            self.kept, self.nodes = {}, 0
+        kept, nodes = self.kept, []
+        for i, w in enumerate(words):
+            if (node := kept.get(w)) is None:
+                if len(w) > LONGEST:
+                    node = _Node(b"", self.word(w, int(keys[i])))
+                else:
+                    node = kept[w] = self._node(w, ())
+            nodes.append(node)
+        found = [x.pieces for x in nodes]
+        places = np.arange(len(words)) if self.limit else ()
+        while len(places):
+            ends = np.cumsum([len(x.codes) >> 3 for x in nodes])
+            h = np.frombuffer(b"".join([x.codes for x in nodes]), "<u8") + np.repeat(keys[places], np.diff(ends, prepend=0))
+            hits = np.flatnonzero((_mixed(h) >> np.uint64(32)) < self.limit)
+            own, first = np.unique(np.searchsorted(ends, hits, "right"), return_index=True)
+            in_word = hits[first] - np.where(own > 0, ends[own - 1], 0)
+            places = places[own]
+            nodes = [self._below(nodes[o], words[i], p) for o, i, p in zip(own.tolist(), places.tolist(), in_word.tolist(), strict=True)]
+            for i, x in zip(places.tolist(), nodes, strict=True):
+                found[i] = x.pieces
+        return found
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        spaced = text.replace("\n", " \n")
+        if "  " in spaced or spaced[0] == " " or spaced[-1] == " ":
+            return _RUNS.findall(" " + text)
+        return spaced.split(" ")
+
+    def keys_of(self, n: int, key: int, copy: int = 0) -> np.ndarray:
+        """What the draws of a text's n words are keyed by, of its key and copy."""
+        text_key = _mix((_mix((key + self.seed * _SEED) & _ALL) + copy * _STEP) & _ALL)
+        return _mixed(np.arange(n, dtype=np.uint64) * np.uint64(_STEP) + np.uint64(text_key))
+
+    def encode(self, texts: list[str], keys: list[int], copies: list[int] | None = None) -> list[bytes]:
+        """The ids of each text, four bytes each, little-endian. keys, copies: what a text's draws are keyed by."""
         out = []
-        for text, key in zip(texts, keys, strict=True):
-            if not text:
-                out.append(b"")
-                continue
-            spaced = text.replace("\n", " \n")
-            if "  " in spaced or spaced[0] == " " or spaced[-1] == " ":
-                words = _RUNS.findall(" " + text)
-            else:
-                words = spaced.split(" ")
-            kept = self.kept
-            if len(kept) == 1:
-                found = [kept[0].get(w) for w in words]
-                variants = np.zeros(len(words), np.int64)
-            else:
-                with np.errstate(over="ignore"):
-                    h = (np.arange(len(words), dtype=np.uint64) + np.uint64((key * 0x9E3779B97F4A7C15 + self.seed) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
-                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                variants = (h >> np.uint64(40)).astype(np.int64) % len(kept)
-                found = [kept[v].get(w) for v, w in zip(variants.tolist(), words, strict=True)]
-            if None in found:
-                if sum(map(len, kept)) > CACHE:
-                    for d in kept:
-                        d.clear()
-                for i, f in enumerate(found):
-                    if f is None:
-                        v, w = int(variants[i]), words[i]
-                        if (f := kept[v].get(w)) is None:
-                            f = self._word(w, v)
-                            if len(w) <= LONGEST:
-                                kept[v][w] = f
-                        found[i] = f
-            out.append(b"".join(found))
+        for text, key, copy in zip(texts, keys, copies or [0] * len(texts), strict=True):
+            words = self.split(text) if text else []
+            own = self.keys_of(len(words), int(key), int(copy))
+            out.append(b"".join([b"".join(self._words(words[at : at + WORDS], own[at : at + WORDS])) for at in range(0, len(words), WORDS)]))
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -182,19 +247,22 @@ def encoded(settings: Dropout, doc_id: Column, text: Column) -> Column:
     return encode(F.coalesce(doc_id.cast("long"), F.lit(0)), text_of(text))
 
 
-def encoded_rows(settings: Dropout, docs: DataFrame) -> DataFrame:
-    """(doc_id, source, ids) of docs, as encoded() gives them, a few texts at a time: a task holds no more ids than theirs."""
+def encoded_rows(settings: Dropout, docs: DataFrame, copy: Column | None = None) -> DataFrame:
+    """(doc_id, source, ids) of docs, as encoded() gives them, a few texts at a time: a task holds no more ids than theirs.
+
+    copy: the number of a document's copy, from 0; copies draw for themselves.
+    """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec.at(settings)
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch.iloc[at : at + ROWS]
-                ids = codec.encode(part["text"].tolist(), part["key"].tolist())
+                ids = codec.encode(part["text"].tolist(), part["key"].tolist(), part["copy"].tolist())
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "source": part["source"], "ids": [np.frombuffer(x, "<i4") for x in ids]})
 
     doc_id = F.col("doc_id").cast("long")
-    rows = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), text_of("text").alias("text"), F.coalesce(doc_id, F.lit(0)).alias("key"))
+    rows = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), text_of("text").alias("text"), F.coalesce(doc_id, F.lit(0)).alias("key"), (F.lit(0) if copy is None else copy).cast("long").alias("copy"))
     return rows.mapInPandas(encode, "doc_id long, source string, ids array<int>")
 
 

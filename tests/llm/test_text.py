@@ -180,6 +180,24 @@ def test_pieces(spark):
     assert again == {str((r["doc_id"], r["ids"])) for r in got}
 
 
+def test_every_occurrence_draws_for_itself(spark):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    codec, plain = pieces.Codec(pieces.Dropout(model)), pieces.Codec(pieces.Dropout(model, dropout=0.0))
+    words = ["international", "▁x", "the", "w" * 80] * 1000
+    drawn = [codec.word(w, int(k)) for w, k in zip(words, codec.keys_of(len(words), 1), strict=True)]
+    assert len(set(drawn[::4])) > 20 and len(set(drawn[2::4])) > 1
+    text = " ".join(words)
+    first, second, other = codec.encode([text] * 3, [1, 1, 2], [0, 1, 0])
+    assert first == b"".join(drawn) and len({first, second, other}) == 3
+    # one merge is skipped as often as the setting says
+    pair = next(w for w in ("a", "b", "x") if plain.ids.get("▁" + w) is not None)
+    split = sum(codec.word(pair, int(k)) != plain.word(pair, 0) for k in codec.keys_of(10_000, 3))
+    assert abs(split / 10_000 - 0.1) < 0.02
+    rows = docs_of(spark, [(1, text, "s")]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    got = pieces.encoded_rows(pieces.Dropout(model), rows, F.col("copy")).collect()
+    assert len({str(r["ids"]) for r in got}) == 3
+
+
 def labelled(spark, n=240):
     rng = np.random.default_rng(9)
     prose = ["river", "stone", "walks", "under", "green", "evening", "quiet", "lantern"]
