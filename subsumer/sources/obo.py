@@ -11,11 +11,30 @@ from ..ontology import Ontology
 TERM, TYPEDEF = "[Term]", "[Typedef]"
 
 
-def read_blocks(spark: SparkSession, path: str, *, newline: str = "\n") -> DataFrame:
+def line_end(spark: SparkSession, path: str) -> str | None:
+    """The ends of lines of a file, or of all files of a path, as read_blocks() wants them; None if they are mixed so that it must read whole files.
+
+    Files without a blank line that holds a "\\r" split at "\\n\\n", whatever the ends of their other lines.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path)
+    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = rows.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), (F.col("value") == "\r").alias("blank"), (~F.col("value").endswith("\r")).alias("plain"))
+    # nothing stands behind the last line of a file: its end doesn't count
+    files = lines.groupBy("file").agg(F.max("blank").alias("blank"), (F.count_if("plain") - F.max_by("plain", "at").cast("long")).alias("plain"))
+    found = files.agg(F.max("blank").alias("blank"), F.max("plain").alias("plain"), F.min("blank").alias("all_blank")).first()
+    if not found["blank"]:
+        return "\n"
+    return "\r\n" if found["plain"] == 0 and found["all_blank"] else None
+
+
+def read_blocks(spark: SparkSession, path: str, *, newline: str | None = "\n") -> DataFrame:
     """(at, value): the blocks of a file and their order. Files split at blank lines, so blocks are read in parallel.
 
-    newline: "\\r\\n" for files with such line ends.
+    newline: "\\r\\n" for files with such line ends; None for files with both, of which each is read as one row.
     """
+    if newline is None:
+        whole = spark.read.text(path, wholetext=True)
+        return blocks_of(whole.select(F.col("_metadata.file_path").alias("file"), "value"), "value", "file")
     rows = spark.read.option("lineSep", 2 * newline).text(path)
     at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
     return rows.select(at.alias("at"), "value")
@@ -95,5 +114,5 @@ def parse(blocks: DataFrame) -> Ontology:
     return Ontology(top, terms, typedefs)
 
 
-def read_obo(spark: SparkSession, path: str, *, newline: str = "\n") -> Ontology:
+def read_obo(spark: SparkSession, path: str, *, newline: str | None = "\n") -> Ontology:
     return parse(read_blocks(spark, path, newline=newline))

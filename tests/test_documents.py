@@ -146,6 +146,23 @@ def test_owl(spark, tmp_path):
     assert read_ontology(spark, path).terms.count() == 2
 
 
+def test_line_ends(spark, tmp_path):
+    wanted = terms(read_ontology(spark, write(tmp_path, SAMPLE, "lf.obo")))
+    crlf, half = SAMPLE.replace("\n", "\r\n"), SAMPLE.index("[Term]\nid: T:4")
+    for name, text, end in (
+        ("crlf.obo", crlf, "\r\n"),
+        ("cut.obo", crlf[:-2], "\r\n"),
+        ("mixed.obo", SAMPLE[:half] + SAMPLE[half:].replace("\n", "\r\n"), None),
+        ("blanks.obo", SAMPLE.replace("\n\n", "\n\r\n"), None),
+        ("lines.obo", crlf.replace("\r\n\r\n", "\r\n\n"), "\n"),
+    ):
+        path = write(tmp_path, text, name)
+        assert obo.line_end(spark, path) == end, name
+        found = read_ontology(spark, path)
+        assert terms(found) == wanted and found.typedefs.count() == 1 and found.header.first()["ontology"] == "things", name
+    assert terms(read_ontology(spark, write(tmp_path, "", "empty.obo"))) == {}
+
+
 def test_formats():
     assert [detect_format(p) for p in ("a.OBO", "a.xml", "a.rdf", "a.owl")] == ["obo", "owl", "owl", "owl"]
     for bad in (("a.txt", "auto"), ("a.obo", "other")):
