@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .classify import classify
 from .functions.text import curie
 from .operators.export import term_json
-from .operators.normalize import active, edges, intern_concepts, intern_roles
+from .operators.normalize import active, edges, intern_concepts, intern_roles, normalize
 from .operators.taxonomy import direct_children, direct_parents
 from .plans.lineage import new_path
 from .plans.saturation import Axioms, saturate, symmetric
 from .schema import BOTTOM, TOP
 from .sources import obo, owl
-from .sources.warehouse import Warehouse, name
+from .sources.warehouse import Warehouse, WholeWarehouse, name
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -201,6 +202,42 @@ def inferred_subsumptions(spark: SparkSession, d: str) -> DataFrame:
     return sizes.agg(F.sum("n").alias("inferred_subsumptions"))
 
 
+WHOLE_SQL = """
+supplies AS (SELECT DISTINCT 'SUPP:' || l_suppkey AS sub, 'supplies' AS role, 'PART:' || l_partkey AS fill FROM lineitem),
+placed AS (
+    SELECT DISTINCT 'ORDER:' || o_orderkey AS c, substr(told.d, 8) AS n FROM orders
+    JOIN told ON told.c = 'CUST:' || o_custkey WHERE told.d LIKE 'NATION:%'),
+more AS (
+    SELECT 'ORDER' AS id WHERE EXISTS (SELECT 1 FROM orders) OR EXISTS (SELECT 1 FROM nation)
+    UNION SELECT 'PLACED_FROM:' || n_nationkey FROM nation UNION SELECT 'ORDER_FROM:' || n_nationkey FROM nation
+    UNION SELECT 'NATION:' || n_nationkey FROM nation
+    UNION SELECT sub FROM supplies UNION SELECT fill FROM supplies),
+whole AS (
+    SELECT c, d FROM facts UNION SELECT id, id FROM more UNION SELECT id, 'owl:Thing' FROM more
+    UNION SELECT 'ORDER:' || o_orderkey, 'ORDER' FROM orders
+    UNION SELECT c, 'PLACED_FROM:' || n FROM placed UNION SELECT c, 'ORDER_FROM:' || n FROM placed)"""
+
+
+@query(f"{WITH_ALL}, {WHOLE_SQL} SELECT sub, role, fill FROM supplies")
+def told_supplies(spark: SparkSession, d: str) -> DataFrame:
+    return WholeWarehouse(spark, d).supplies()
+
+
+def _whole(spark: SparkSession, d: str):
+    w = WholeWarehouse(spark, d)
+    return saturate(w.concepts(), w.axioms(), top=TOP, bottom=BOTTOM)
+
+
+@query(f"{WITH_ALL}, {WHOLE_SQL} SELECT c, d FROM whole")
+def saturate_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _whole(spark, d).subsumers
+
+
+@query(f"{WITH_ALL}, {WHOLE_SQL} SELECT c, r, d FROM links UNION SELECT sub, role, fill FROM supplies")
+def links_of_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _whole(spark, d).links
+
+
 # --- documents made of rows, parsed again -----------------------------------------------------------------------
 
 
@@ -256,6 +293,11 @@ def obo_intersections(spark: SparkSession, d: str) -> DataFrame:
     return obo.parse(_parts_obo(spark, d)).terms.select("id", F.posexplode("intersection_of").alias("at", "x")).select("id", "at", "x.relationship", "x.target_id")
 
 
+@query("SELECT 'PART:' || p_partkey AS id, 'SIZE:' || p_size AS xref FROM part")
+def obo_xrefs(spark: SparkSession, d: str) -> DataFrame:
+    return obo.parse(_parts_obo(spark, d)).terms.select("id", F.explode("xrefs").alias("xref"))
+
+
 @query("SELECT 'PART:' || p_partkey AS id, 'size' AS key, p_size::VARCHAR AS value FROM part")
 def obo_properties(spark: SparkSession, d: str) -> DataFrame:
     return obo.parse(_parts_obo(spark, d)).terms.select("id", F.explode("properties").alias("key", "value"))
@@ -279,6 +321,38 @@ def json_terms(spark: SparkSession, d: str) -> DataFrame:
     return lines.select(field("$.id").alias("id"), field("$.name").alias("name"), field("$.definition").alias("definition"), field("$.relationships[0].target_id").alias("parent"), field("$.properties.size").alias("size"))
 
 
+#: The parts' hierarchy: active parts below their brands; all other names stand alone.
+PARTS_SQL = """
+own AS (SELECT 'PART:' || p_partkey AS id, 'BRAND:' || p_brand AS brand, 'SIZE:' || p_size AS size, 'PART:' || (p_partkey // 3) AS before FROM part WHERE p_partkey % 10 <> 0),
+names AS (SELECT id FROM own UNION SELECT brand FROM own UNION SELECT size FROM own UNION SELECT before FROM own UNION SELECT 'ROOT')"""
+
+
+@query("SELECT 'follows' AS r1, 'follows' AS r2, 'follows' AS sup")
+def nf6_transitive(spark: SparkSession, d: str) -> DataFrame:
+    n = normalize(obo.parse(_parts_obo(spark, d)))
+    out = n.axioms.nf6
+    for c in ("r1", "r2", "sup"):
+        out = out.join(n.roles.select(F.col("id").alias(c), F.col("name").alias(f"_{c}")), c)
+    return out.select(F.col("_r1").alias("r1"), F.col("_r2").alias("r2"), F.col("_sup").alias("sup"))
+
+
+@query(f"""WITH {PARTS_SQL}
+    SELECT n.id, coalesce(any_value(o.brand), 'owl:Thing') AS parents, coalesce(string_agg(k.id, ',' ORDER BY k.id), '') AS children
+    FROM names n LEFT JOIN own o ON o.id = n.id LEFT JOIN own k ON k.brand = n.id GROUP BY n.id""")
+def classified_records(spark: SparkSession, d: str) -> DataFrame:
+    found = classify(obo.parse(_parts_obo(spark, d))).hierarchy
+    return found.select("id", F.concat_ws(",", "direct_parents").alias("parents"), F.concat_ws(",", "direct_children").alias("children"))
+
+
+@query(f"""WITH {PARTS_SQL}
+    SELECT (SELECT count(*) FROM names) + (SELECT count(*) FROM own) AS concept_count, 2::BIGINT AS role_count, (SELECT count(*) FROM own) AS inferred_subsumptions""")
+def stats(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of the parts' classification, inferred_count() among them; its times are left out."""
+    found = classify(obo.parse(_parts_obo(spark, d))).stats
+    columns = ("concept_count", "role_count", "inferred_subsumptions")
+    return spark.createDataFrame([tuple(found[c] for c in columns)], ", ".join(f"{c} long" for c in columns))
+
+
 def _suppliers_owl(spark: SparkSession, d: str) -> str:
     """OWL documents of the suppliers, one for each partition, written by Spark; the folder's path."""
     base = "http://purl.obolibrary.org/obo/"

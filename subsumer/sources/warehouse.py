@@ -77,3 +77,25 @@ class Warehouse:
 
     def axioms(self) -> Axioms:
         return Axioms(self.nf1(), self.nf2(), self.nf3(), self.nf4(), self.nf5(), self.nf6())
+
+
+class WholeWarehouse(Warehouse):
+    """The warehouse with its suppliers' parts, from line items, and classes of the orders placed by customers of a nation."""
+
+    def supplies(self) -> DataFrame:
+        items = self.table("lineitem").select("l_suppkey", "l_partkey").distinct()
+        return items.select(name("SUPP", "l_suppkey").alias("sub"), F.lit("supplies").alias("role"), name("PART", "l_partkey").alias("fill"))
+
+    def nf1(self) -> DataFrame:
+        return super().nf1().union(self.table("orders").select(name("ORDER", "o_orderkey"), F.lit("ORDER"))).distinct()
+
+    def nf2(self) -> DataFrame:
+        nation = self.table("nation")
+        return super().nf2().union(nation.select(F.lit("ORDER"), name("PLACED_FROM", "n_nationkey"), name("ORDER_FROM", "n_nationkey")))
+
+    def nf3(self) -> DataFrame:
+        return super().nf3().union(self.supplies())
+
+    def nf4(self) -> DataFrame:
+        nation = self.table("nation")
+        return super().nf4().union(nation.select(F.lit("placed_by"), name("NATION", "n_nationkey"), name("PLACED_FROM", "n_nationkey")))

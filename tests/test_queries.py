@@ -28,3 +28,8 @@ def test_same_rows(spark, name):
 def test_every_query_is_callable():
     assert all(map(callable, entry.queries().values()))
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ("told_supplies", "saturate_whole", "links_of_whole", "obo_xrefs", "nf6_transitive", "classified_records", "stats"))
+def test_whole_survey(spark, name):
+    test_same_rows(spark, name)
