@@ -173,7 +173,7 @@ def prefix_pairs(docs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     The sets are ordered by how rare their shingles are among docs. Two sets that are similar enough share one
     of the first n - ceil(percent * n / 100) + 1, where what is left behind it on either side is long enough
     (prefix and position filters, exact). Documents with a fifth of shingles of their own, such as heavily
-    edited copies, meet nobody; no pairs within a band are listed.
+    edited copies, meet nobody; no pairs within a band are listed. Each text of a document is a set of its own.
     """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,13 +181,16 @@ def prefix_pairs(docs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
                 size = [len(x) // 8 for x in part["shingles"]]
-                yield pd.DataFrame({"rep": np.repeat(part["doc_id"].to_numpy(), size), "shingle": np.frombuffer(b"".join(part["shingles"]), np.int64)})
+                yield pd.DataFrame({"rep": np.repeat(part["doc_id"].to_numpy(), size), "own": np.repeat(part["own"].to_numpy(), size), "shingle": np.frombuffer(b"".join(part["shingles"]), np.int64)})
 
     chosen = small_join(sets, docs.select(F.col("rep").alias("doc_id")).distinct(), ["doc_id"], "left_semi", BROADCAST_IDS)
-    entries = table(chosen.mapInPandas(explode, "rep long, shingle long").distinct(), "entries")
+    chosen = chosen.select("doc_id", F.xxhash64("shingles").alias("own"), "shingles")
+    owners = chosen.select(F.col("doc_id").alias("rep"), "own", (F.length("shingles") / 8).cast("long").alias("n")).distinct()
+    owners = owners.join(docs.groupBy("rep").agg(F.min("component").alias("component")), "rep")
+    entries = table(chosen.mapInPandas(explode, "rep long, own long, shingle long").distinct(), "entries")
     common = entries.groupBy("shingle").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("rep").orderBy("df", "shingle")
-    placed = entries.join(common, "shingle").withColumn("at", F.row_number().over(order)).join(docs.groupBy("rep").agg(F.min("n").alias("n"), F.min("component").alias("component")), "rep")
+    order = Window.partitionBy("rep", "own").orderBy("df", "shingle")
+    placed = entries.join(common, "shingle").withColumn("at", F.row_number().over(order)).join(owners, ["rep", "own"])
     prefix = table(placed.where((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(near.percent * F.col("n") / 100) + 1)), "prefixes")
     x = prefix.select("shingle", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("component").alias("ca"))
     y = prefix.select("shingle", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("component").alias("cb"))

@@ -145,6 +145,15 @@ def test_near_duplicates(spark, words):
     assert near_dups.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_prefixes_of_a_document_with_two_texts(spark):
+    near = near_dups.Near(words=4)
+    long = [f"w{k}" for k in range(200)]
+    texts = [(1, " ".join(f"v{k}" for k in range(20)), "s"), (1, " ".join(long), "s"), (2, " ".join([*long[:-1], "x"]), "s")]
+    sets = near_dups.shingles_of(docs_of(spark, texts), spark.createDataFrame([(1,), (2,)], "doc_id long"), near)
+    classes = spark.createDataFrame([(1, 17, 1), (1, 197, 1), (2, 197, 2)], "rep long, n long, component long")
+    assert [tuple(r) for r in near_dups.prefix_pairs(classes, sets, near).collect()] == [(1, 2)]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "a long, b long")
     got = {r["id"]: r["component"] for r in near_dups.components(edges).collect()}
