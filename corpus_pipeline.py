@@ -46,8 +46,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: its complete epochs, and once more if at least half of it is taken besides. copy counts them from 0."""
-    mixed = mixing.mix_sources(docs)
+    """Each document as often as the mix takes it: its complete epochs, and once more if at least half of it is taken besides. copy counts them from 0.
+
+    Documents that are labelled bad are drawn less, as in op3.
+    """
+    known = _labels(spark, sf_dir).groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 0, 0.25).otherwise(1.0)).alias("_quality"))
+    mixed = mixing.mix_sources(small_join(docs, known, ["doc_id"], "left"), quality=F.col("_quality"))
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     return mixed.select(*docs.columns, F.posexplode(F.array_repeat(F.lit(1), times)).alias("copy", "_one")).drop("_one")
 
