@@ -56,10 +56,9 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document encoded with merge-dropout and decoded again."""
+    """Every document's ids with merge-dropout, and whether decoding them gives its text back."""
     settings = pieces.Dropout(public_tokenizers.path("piece_bpe_32k.model"))
-    docs = _read(spark, sf_dir, "documents")
-    return docs.select("doc_id", pieces.round_trip(settings, F.col("doc_id"), F.col("text")).alias("r")).select("doc_id", "r.*")
+    return pieces.round_trips(settings, _read(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

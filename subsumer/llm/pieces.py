@@ -247,10 +247,10 @@ def encoded(settings: Dropout, doc_id: Column, text: Column) -> Column:
     return encode(F.coalesce(doc_id.cast("long"), F.lit(0)), text_of(text))
 
 
-def encoded_rows(settings: Dropout, docs: DataFrame, copy: Column | None = None) -> DataFrame:
+def encoded_rows(settings: Dropout, docs: DataFrame, copy: Column | None = None, *, with_text: bool = False) -> DataFrame:
     """(doc_id, source, ids) of docs, as encoded() gives them, a few texts at a time: a task holds no more ids than theirs.
 
-    copy: the number of a document's copy, from 0; copies draw for themselves.
+    copy: the number of a document's copy, from 0; copies draw for themselves. with_text: the text (empty for null) comes last.
     """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,11 +259,12 @@ def encoded_rows(settings: Dropout, docs: DataFrame, copy: Column | None = None)
             for at in range(0, len(batch), ROWS):
                 part = batch.iloc[at : at + ROWS]
                 ids = codec.encode(part["text"].tolist(), part["key"].tolist(), part["copy"].tolist())
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "source": part["source"], "ids": [np.frombuffer(x, "<i4") for x in ids]})
+                out = pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "source": part["source"], "ids": pd.Series([np.frombuffer(x, "<i4") for x in ids], part.index)})
+                yield out.assign(text=part["text"]) if with_text else out
 
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), text_of("text").alias("text"), F.coalesce(doc_id, F.lit(0)).alias("key"), (F.lit(0) if copy is None else copy).cast("long").alias("copy"))
-    return rows.mapInPandas(encode, "doc_id long, source string, ids array<int>")
+    return rows.mapInPandas(encode, "doc_id long, source string, ids array<int>" + ", text string" * with_text)
 
 
 def decoded(settings: Dropout, ids: Column) -> Column:
@@ -277,16 +278,13 @@ def decoded(settings: Dropout, ids: Column) -> Column:
     return decode(ids)
 
 
-def round_trip(settings: Dropout, doc_id: Column, text: Column) -> Column:
-    """struct(n_pieces, ids_crc32, lossless) of each whole text: encoded, decoded and compared."""
+def round_trips(settings: Dropout, docs: DataFrame) -> DataFrame:
+    """(doc_id, ids, n_pieces, ids_crc32, lossless) of docs: the ids of encoded_rows(), and whether decoded() gives the text back."""
 
-    @F.pandas_udf("n_pieces long, ids_crc32 long, lossless boolean")
-    def there_and_back(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        codec = Codec.at(settings)
-        rows = []
-        for key, t in zip(ids.tolist(), texts.tolist(), strict=True):
-            own = codec.encode([t], [key])[0]
-            rows.append((len(own) // 4, zlib.crc32(own), codec.decode(np.frombuffer(own, "<u4")) == t.encode("utf-8", "replace")))
-        return pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "lossless"])
+    @F.pandas_udf("long")
+    def digest(arrays: pd.Series) -> pd.Series:
+        return pd.Series([zlib.crc32(np.asarray(a, "<i4").tobytes()) for a in arrays])
 
-    return there_and_back(F.coalesce(doc_id.cast("long"), F.lit(0)), text_of(text))
+    rows = encoded_rows(settings, docs, with_text=True)
+    lossless = decoded(settings, F.col("ids")) == F.col("text")
+    return rows.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), digest("ids").alias("ids_crc32"), lossless.alias("lossless"))

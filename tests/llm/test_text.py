@@ -189,6 +189,17 @@ def test_pieces(spark):
     assert again == {str((r["doc_id"], r["ids"])) for r in got}
 
 
+def test_query_returns_ids(spark, tmp_path):
+    from subsumer.llm import entry
+
+    docs_of(spark, odd_rows()).drop("size", "_x").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.op7_merge_dropout(spark, str(tmp_path)).collect()
+    codec = pieces.Codec(pieces.Dropout(public_tokenizers.path("piece_bpe_32k.model")))
+    wanted = [(i, np.frombuffer(codec.encode([t or ""], [i or 0])[0], "<i4").tolist()) for i, t, _ in odd_rows()]
+    assert sorted(map(str, wanted)) == sorted(str((r["doc_id"], r["ids"])) for r in got)
+    assert all(r["lossless"] and r["n_pieces"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<i4").tobytes()) for r in got)
+
+
 def test_every_occurrence_draws_for_itself(spark):
     model = public_tokenizers.path("piece_bpe_32k.model")
     codec, plain = pieces.Codec(pieces.Dropout(model)), pieces.Codec(pieces.Dropout(model, dropout=0.0))
