@@ -23,7 +23,7 @@ from .common import table
 #: Points of a leaf at most, unless they are equal; the share of a node's radius that its children cover.
 LEAF, SHRINK = 32, 0.8
 #: Sums of products up to here are exact in doubles.
-EXACT = float(1 << 53)
+EXACT = float(vectors.EXACT)
 #: Room for rounding in bounds, which are sums of square roots.
 SLACK = 1e-9
 
@@ -118,14 +118,14 @@ def dual_tree(q: np.ndarray, v: np.ndarray, first_id: np.ndarray, keep: int) ->
 
 
 def exact_top(q: np.ndarray, v: np.ndarray, first_id: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """As dual_tree(), for components so large that doubles can't hold the products: whole numbers of any size, cut to the range of a long."""
+    """As dual_tree(), for components so large that doubles can't hold the products: scores are whole numbers of any size."""
     whole = [[int(c) for c in row] for row in v]
-    out, scores = np.full((len(q), keep), -1, np.int64), np.full((len(q), keep), -np.inf)
+    out, scores = np.full((len(q), keep), -1, np.int64), np.full((len(q), keep), -np.inf, object)
     for i, row in enumerate(q):
         own = [int(c) for c in row]
         best = heapq.nsmallest(keep, ((-sum(map(int.__mul__, own, w)), int(first_id[j]), j) for j, w in enumerate(whole)))
         for r, (s, _, j) in enumerate(best):
-            out[i, r], scores[i, r] = j, min(max(-s, -(1 << 63)), (1 << 63) - 1)
+            out[i, r], scores[i, r] = j, -s
     return out, scores
 
 
@@ -185,7 +185,11 @@ def largest_products(rows: DataFrame, queries: DataFrame, settings: Search = Sea
     rest = [(i, j) for (i, j), b in bounds.items() if b >= worst.get(i, -np.inf) and (i, j) not in set(begin)]
     if rest:
         found = found.union(searched(rest, "other-cells"))
-    return vectors.ranked(found, asked.select("query_id", "k1", "k2"), settings.k).withColumn("score", F.col("score").cast("long"))
+    # no component is larger than its vector's norm; if this isn't small, some block may have whole numbers
+    largest = [max((float(np.sqrt(centers[i] @ centers[i])) + r for i, r in x.items()), default=0.0) for x in (query_radius, data_radius)]
+    whole = not largest[0] * largest[1] * centers.shape[1] * (1 + SLACK) < EXACT
+    out = vectors.ranked(found, asked.select("query_id", "k1", "k2"), settings.k, whole=whole)
+    return out.withColumn("score", F.col("score").cast("long"))
 
 
 def _worst(found: DataFrame, groups: DataFrame, keep: int) -> dict[int, float]:

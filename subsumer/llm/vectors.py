@@ -92,7 +92,7 @@ def balanced_clusters(x: np.ndarray, leaves: int) -> list[np.ndarray]:
 
 
 def search_blocks(postings: DataFrame, probes: DataFrame, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """(k1, k2, ids, score): score(queries, vectors) for each list's probes (list, k1, k2, vec) and postings (list, vec, ids).
+    """(k1, k2, ids, score, whole): score(queries, vectors) for each list's probes (list, k1, k2, vec) and postings (list, vec, ids).
 
     A list's postings and probes are dealt to blocks of bounded size by hash, each block of the one meeting each of
     the other: a list of any size is many small tasks. Lists are as many as clusters, so their sizes fit the driver.
@@ -106,27 +106,47 @@ def search_blocks(postings: DataFrame, probes: DataFrame, score: Callable[[pd.Da
     right = postings.join(sizes, "list").withColumn("pb", F.pmod(F.xxhash64("vec"), "nb").cast("int")).withColumn("qb", F.explode(deal("nq")))
     on = ["list", "pb", "qb"]
     left, right = left.select(*on, "k1", "k2", "vec"), right.select(*on, "vec", "ids")
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(lambda q, v: score(q, v) if len(q) and len(v) else EMPTY.copy(), "k1 long, k2 long, ids array<long>, score double")
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(lambda q, v: score(q, v) if len(q) and len(v) else EMPTY.copy(), "k1 long, k2 long, ids array<long>, score double, whole binary")
 
 
-EMPTY = pd.DataFrame({"k1": np.zeros(0, np.int64), "k2": np.zeros(0, np.int64), "ids": [], "score": np.zeros(0)})
+EMPTY = pd.DataFrame({"k1": np.zeros(0, np.int64), "k2": np.zeros(0, np.int64), "ids": [], "score": np.zeros(0), "whole": []})
+#: Whole numbers of smaller size are exact in doubles.
+EXACT = 1 << 53
+
+
+def whole_key(score: int) -> bytes:
+    """Bytes in the order of whole numbers; the last eight are the number itself if it is a long."""
+    return (score + (1 << 255)).to_bytes(32, "big")
+
+
+def long_of(score: Column, whole: Column) -> Column:
+    """The whole number of a score and its whole_key(), cut to the range of a long."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    own = F.conv(F.hex(F.substring(whole, 25, 8)), 16, -10).cast("long")
+    cut = F.when(whole.isNull(), score.cast("long")).when(whole >= F.lit(whole_key(high)), F.lit(high))
+    return cut.when(whole <= F.lit(whole_key(low)), F.lit(low)).otherwise(own)
 
 
 def best_of(q: pd.DataFrame, v: pd.DataFrame, rows: np.ndarray, cols: np.ndarray, score: np.ndarray) -> pd.DataFrame:
-    """The result of a block: query rows[i] and vector cols[i] have score[i]."""
+    """The result of a block: query rows[i] and vector cols[i] have score[i]. whole: the whole_key() of scores that are Python's whole numbers of EXACT or more, else null."""
     ids = v["ids"].to_numpy()
-    return pd.DataFrame({"k1": q["k1"].to_numpy()[rows], "k2": q["k2"].to_numpy()[rows], "ids": list(ids[cols]), "score": score.astype(np.float64)})
+    whole = [whole_key(s) if abs(s) >= EXACT else None for s in score] if score.dtype == object else [None] * len(score)
+    return pd.DataFrame({"k1": q["k1"].to_numpy()[rows], "k2": q["k2"].to_numpy()[rows], "ids": list(ids[cols]), "score": score.astype(np.float64), "whole": whole})
 
 
-def ranked(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def ranked(found: DataFrame, queries: DataFrame, k: int, *, whole: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of each query but itself, ties by vec_id.
 
     found: (k1, k2, ids, score) of classes of queries, k + 1 best at least where there are so many; queries: (query_id, k1, k2).
+    whole: scores are whole numbers, of which those with equal doubles go by their keys (whole), and score is a long.
     """
-    each = found.select("k1", "k2", F.explode("ids").alias("vec_id"), "score").groupBy("k1", "k2", "vec_id").agg(F.max("score").alias("score"))
+    # equal doubles below EXACT are equal numbers without keys, and all others have keys
+    score = F.struct("score", "whole") if whole else F.col("score")
+    each = found.select("k1", "k2", F.explode("ids").alias("vec_id"), score.alias("score")).groupBy("k1", "k2", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "vec_id")
     top = each.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     lists = table(top.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top")), "top")
     joined = queries.join(lists, ["k1", "k2"])
     own = F.slice(F.filter("top", lambda t: t["vec_id"] != F.col("query_id")), 1, k)
-    return joined.select("query_id", F.posexplode(own).alias("at", "t")).select("query_id", (F.col("at") + 1).alias("rank"), "t.vec_id", "t.score")
+    score = long_of(F.col("t.score.score"), F.col("t.score.whole")) if whole else F.col("t.score")
+    return joined.select("query_id", F.posexplode(own).alias("at", "t")).select("query_id", (F.col("at") + 1).alias("rank"), "t.vec_id", score.alias("score"))

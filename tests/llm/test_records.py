@@ -106,6 +106,17 @@ def test_largest_products(spark):
     assert cover_tree.largest_products(df.limit(0), queries_of(df).limit(0)).count() == 0
 
 
+def test_products_that_doubles_cannot_tell_apart(spark):
+    big = 1 << 28
+    # the later ids have the larger products: 2**60 + i, all the same double; and both ends of a long's range are passed
+    good = [(0, [float(big), 1.0])] + [(i, [float(1 << 32), float(i)]) for i in range(1, 40)] + [(50, [-float(1 << 40), 0.0]), (60, [float(1 << 40), 3.0]), (61, [float(1 << 40), 7.0])]
+    df = spark.createDataFrame(good, "vec_id long, embedding array<double>")
+    got = results(cover_tree.largest_products(df, queries_of(df), cover_tree.Search(scale=1.0, cell_rows=4, first=1)))
+    for q, own in [g for g in good if g[0] % 50 == 0]:
+        products = [(-sum(int(a) * int(b) for a, b in zip(own, v, strict=True)), i) for i, v in good if i != q]
+        assert got[q] == [(i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for s, i in sorted(products)[:5]]
+
+
 def test_dual_tree_and_whole_numbers_agree():
     rng = np.random.default_rng(6)
     q, v = rng.integers(-9, 9, (70, 5)).astype(float), rng.integers(-9, 9, (400, 5)).astype(float)
