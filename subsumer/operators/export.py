@@ -54,7 +54,7 @@ def write_term_lines(terms: DataFrame, path: str) -> None:
 
 def _document(head: dict, name: str, rows: Iterator[str], tail: dict, pretty: bool) -> Iterator[str]:
     if pretty:
-        yield json.dumps({**head, name: [json.loads(r) for r in rows], **tail}, indent=2, ensure_ascii=False) + "\n"
+        yield from _indented(head, name, rows, tail, "[]")
         return
     start = json.dumps(head, ensure_ascii=False, separators=(",", ":"))
     yield start[:-1] + ("," if head else "") + f'"{name}":['
@@ -64,6 +64,20 @@ def _document(head: dict, name: str, rows: Iterator[str], tail: dict, pretty: bo
     yield "]" + ("," + rest[1:] if tail else "}") + "\n"
 
 
+def _indented(head: dict, name: str, rows: Iterator[str], tail: dict, empty: str) -> Iterator[str]:
+    """What json.dumps() with an indent of 2 gives, a row at a time; empty: the value if there are no rows."""
+
+    def inner(value: dict) -> str:
+        return json.dumps(value, indent=2, ensure_ascii=False)[1:-2]
+
+    yield "{" + (inner(head) + "," if head else "") + f'\n  "{name}": '
+    some = False
+    for r in rows:
+        yield (",\n    " if some else "[\n    ") + json.dumps(json.loads(r), indent=2, ensure_ascii=False).replace("\n", "\n    ")
+        some = True
+    yield ("\n  ]" if some else empty) + ("," + inner(tail) if tail else "") + "\n}\n"
+
+
 def write_json(ontology: Ontology, out: TextIO, *, pretty: bool = False) -> None:
     """The parsed ontology as one document; `terms` is there even if empty. Terms stream through in order of id."""
     row = ontology.header.first()
@@ -89,5 +103,6 @@ def classified(direct: DataFrame, concepts: DataFrame) -> DataFrame:
 
 def write_classified(hierarchy: DataFrame, stats: dict, out: TextIO) -> None:
     """The hierarchy and its statistics as one pretty document; `concepts` is null if there are none."""
-    rows = [json.loads(x) for x in (r[0] for r in hierarchy.orderBy("id").select(F.to_json(F.struct("*"))).toLocalIterator())]
-    out.write(json.dumps({"stats": stats, "concepts": rows or None}, indent=2, ensure_ascii=False) + "\n")
+    rows = (r[0] for r in hierarchy.orderBy("id").select(F.to_json(F.struct("*"))).toLocalIterator())
+    for part in _indented({"stats": stats}, "concepts", rows, {}, "null"):
+        out.write(part)
