@@ -15,11 +15,11 @@ smallest of WIDTHS that holds the PERCENTILE of the offsets; larger offsets are
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -34,8 +34,10 @@ WIDTHS = np.array([0, 2, 4, 6, 8, 10, 12, 14, 16, 20, 24, 28, 32])
 HEAD = struct.Struct("<4sIIQQ")
 #: Ids after which a frame is closed.
 FRAME_IDS = 1 << 20
-#: Words, and pre-tokens, whose ids a Python worker keeps.
-CACHE = 400_000
+#: Frames of a file at most.
+FILE_FRAMES = 16
+#: Words whose ids a Python worker keeps in each of two generations; words of a text that the library gets at once.
+CACHE, TOGETHER = 250_000, 64
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------
@@ -175,18 +177,17 @@ def frames_in(content: bytes) -> Iterator[Frame]:
 
 # --- tokens ---------------------------------------------------------------------------------------------------
 
-#: How the vocabulary's pre-tokenizer splits, for lower-case ASCII words.
-ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-#: Characters that str.split() takes for white space and the vocabulary doesn't.
+#: Characters that str.split() takes for white space and vocabularies don't.
 SPLIT_ONLY = "\x1c\x1d\x1e\x1f"
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """The ids of whole texts from a tokenizers file whose pre-tokens never cross white space.
+    """The ids of whole texts from a tokenizers file for which white space ends all tokens and is none itself.
 
-    Words are encoded by the library once and kept, in a cache of bounded size; texts are split at white space.
-    Equal to encoding each text in one call (tests compare them).
+    Texts are cut at white space and nowhere else: no normal form joins a space with what stands beside it, so the library
+    gives the words of a text the ids that it gives the text. A file for which that doesn't hold is refused. Words are
+    encoded once and kept in two generations of bounded size.
     """
 
     def __init__(self, file: str) -> None:
@@ -194,9 +195,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
-        self.model = self.library.model
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        for a, space, b in product("aé1.", " \t\n\r\v\f", "aé1.\u0301"):
+            if self._ids(a + space + b) != self._ids(a) + self._ids(b):
+                raise ValueError(f"{file}: tokens go on behind white space")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, file: str) -> WordTokenizer:
@@ -204,50 +207,38 @@ class WordTokenizer:
             _TOKENIZERS[file] = cls(file)
         return _TOKENIZERS[file]
 
-    def _split(self, word: str) -> list[str]:
-        """Pieces of a word that can be encoded one by one."""
-        if word.isascii():
-            return [word] if "<|" in word else ASCII_PARTS.findall(word.lower())
-        if word[-1] in ".,;:!?" and word[:-1].isalpha():
-            return [word[:-1], word[-1]]
-        return [word]
-
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.words) + len(missing) > CACHE:
-            self.words = {}
-        if len(self.parts) > CACHE:
-            self.parts = {}
-        split = {w: self._split(w) for w in missing}
-        unknown = {p for parts in split.values() for p in parts if p not in self.parts}
-        # letters a to z need no normalizing or splitting: the model alone takes them, for two thirds of the time
-        plain = [p for p in unknown if p.isascii() and p.islower() and p.isalpha()]
-        tokenize = self.model.tokenize
-        for p in plain:
-            self.parts[p] = np.array([t.id for t in tokenize(p)], np.uint32).tobytes()
-        new = list(unknown.difference(plain))
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[p] = np.array(e.ids, np.uint32).tobytes()
-        known = self.parts
-        for w, parts in split.items():
-            self.words[w] = known[parts[0]] if len(parts) == 1 else b"".join([known[p] for p in parts])
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, missing: list[str]) -> None:
+        for w in missing:
+            if (known := self.old.get(w)) is not None:
+                self.young[w] = known
+        missing = [w for w in missing if w not in self.young]
+        groups = [missing[at : at + TOGETHER] for at in range(0, len(missing), TOGETHER)]
+        for words, e in zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            raw = np.array(e.ids, np.uint32).tobytes()
+            # where each word's ids begin: its tokens stand in the text from the word's place on
+            places = np.cumsum([0, *(len(w) + 1 for w in words)])
+            at = np.searchsorted([x for x, _ in e.offsets], places).tolist()
+            for i, w in enumerate(words):
+                self.young[w] = raw[4 * at[i] : 4 * at[i + 1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each, little-endian."""
         out: list[bytes] = []
         for at in range(0, len(texts), 200):
             split = [t.split() for t in texts[at : at + 200]]
-            missing: set[str] = set()
-            for words in split:
-                missing.update(set(words).difference(self.words))
-            if missing:
-                kept = {w for words in split for w in words} if len(self.words) + len(missing) > CACHE else missing
-                self._learn(kept)
-            get = self.words.__getitem__
-            for text, words in zip(texts[at : at + 200], split, strict=True):
+            if len(self.young) > CACHE:
+                self.old, self.young = self.young, {}
+            words = set().union(*split)
+            self._learn([w for w in words if w not in self.young])
+            get = self.young.__getitem__
+            for text, own in zip(texts[at : at + 200], split, strict=True):
                 if any(c in text for c in SPLIT_ONLY):
-                    out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes())
+                    out.append(np.array(self._ids(text), np.uint32).tobytes())
                 else:
-                    out.append(b"".join(map(get, words)))
+                    out.append(b"".join(map(get, own)))
         return out
 
 
@@ -257,8 +248,9 @@ class WordTokenizer:
 def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int) -> None:
     """Writes the ids of docs (doc_id, text) under path: tokenizer's ids of the whole text, then end_id, for each row.
 
-    Files and the frames in them are in ascending doc_id order (null first; repeated ids by text). Null texts are
-    empty. Other columns are ignored. The text source writes each frame as a line, so its commits keep failed attempts out.
+    Files and the frames in them are in ascending doc_id order (null first; repeated ids by text). Null and empty texts
+    have the end id alone; repeated rows are written as often as they are; an empty table gives no frames. A frame ends behind
+    the document that fills it, so a text of any length is in one. Other columns are ignored. The text source writes each frame as a line, so its commits keep failed attempts out.
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,7 +270,7 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int) -> Non
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     ordered = source.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    ordered.mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_FRAMES).text(path)
 
 
 def read_ids(spark: SparkSession, path: str, *, digest_only: bool = False) -> DataFrame:

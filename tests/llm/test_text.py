@@ -1,6 +1,7 @@
 """The text operators on small tables with odd rows, against plain versions."""
 
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -83,6 +84,22 @@ def test_token_blocks(spark):
     assert token_blocks.with_starts(token_blocks.read_ids(spark, path)).count() == 0
 
 
+def test_words_have_the_ids_that_the_library_gives_texts():
+    encoder = token_blocks.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    chars = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
+    texts = [" ".join(f"a{c}, {c}b!{c}" for c in chars[at : at + 100]) for at in range(0, len(chars), 100)]
+    texts += ["<|endoftext|>", "a<|endoftext|>b <|startoftext|> <|endof text|>", "<a> x<|", " \x85\u2003\x1c ", "क़, x\u0301 \u0301y"]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+    encoder.young, encoder.old = {}, encoder.young  # what is kept comes back the same
+    assert encoder.encode(texts[-9:]) == [np.array(encoder.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[-9:]]
+
+
+def test_tokens_that_go_on_behind_spaces_are_refused():
+    with pytest.raises(ValueError):
+        token_blocks.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_blocks_hold_any_ids():
     rng = np.random.default_rng(1)
     for n in (1, 127, 128, 129, 5000):
