@@ -16,8 +16,9 @@ from .common import table
 
 #: Labelled documents that a classifier is fitted on, at most.
 SAMPLE_ROWS = 8192
-#: Files, and so partial sums, of a sample.
+#: Files, and so partial sums, of a sample; rows of a batch that a task works on at a time.
 PARTS = 8
+ROWS = 256
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -37,24 +38,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "y")
 
 
-def sums(sample: DataFrame, function: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
-    """The sum of function(batch), a vector of `size`, over all batches of a written sample; one partial sum a task."""
+def sums(sample: DataFrame, function: Callable[[pd.DataFrame], np.ndarray], size: int, tail: int = 0) -> np.ndarray:
+    """The sum of function(batch), a vector of size + tail, over all batches of a written sample; one partial sum a task.
+
+    The first `size` numbers travel in single precision.
+    """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for batch in batches:
-            total = np.asarray(function(batch), np.float64) + (0 if total is None else total)
+            for at in range(0, len(batch), ROWS):
+                total = np.asarray(function(batch.iloc[at : at + ROWS]), np.float64) + (0 if total is None else total)
         if total is not None:  # a task without rows sends nothing
-            yield pd.DataFrame({"part": [total.tobytes()]})
+            yield pd.DataFrame({"part": [total[:size].astype(np.float32).tobytes() + total[size:].tobytes()]})
 
-    total = np.zeros(size)
+    total = np.zeros(size + tail)
     for row in sample.mapInPandas(partial, "part binary").collect():
-        total += np.frombuffer(row["part"])
+        total += np.concatenate((np.frombuffer(row["part"], np.float32, size), np.frombuffer(row["part"], np.float64, tail, 4 * size)))
     return total
 
 
-def written(sample: DataFrame, name: str) -> DataFrame:
-    return table(sample.repartition(PARTS), name)
+def written(sample: DataFrame, make: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, name: str) -> DataFrame:
+    """What make() makes of the sample, in PARTS files."""
+    return table(sample.repartition(PARTS).mapInPandas(make, schema), name)
 
 
 def minimise(value_and_gradient: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, evaluations: int = 30, memory: int = 5) -> np.ndarray:

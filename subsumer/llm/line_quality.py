@@ -176,30 +176,32 @@ class LineQuality:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: int = fit.SAMPLE_ROWS) -> LineQuality:
-    """A field fitted on `rows` labelled documents at most (see fit.labelled_sample); without any, all scores are 1/2."""
+    """A field fitted on `rows` labelled documents at most (see fit.labelled_sample for nulls, ties and repeated ids).
+
+    Without any labelled document all scores are 1/2. Columns besides doc_id, text and the label are ignored.
+    """
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 100):
-                x, length, per_text = line_features(batch["text"].iloc[at : at + 100].tolist())
+            for at in range(0, len(batch), fit.ROWS):
+                x, length, per_text = line_features(batch["text"].iloc[at : at + fit.ROWS].tolist())
                 cuts = np.cumsum(per_text)[:-1]
                 yield pd.DataFrame(
                     {
-                        "y": batch["y"].iloc[at : at + 100].to_numpy(),
+                        "y": batch["y"].iloc[at : at + fit.ROWS].to_numpy(),
                         "lines": [v.astype(np.float32).tobytes() for v in np.split(x, cuts)],
                         "length": [v.astype(np.float32).tobytes() for v in np.split(length, cuts)],
                     }
                 )
 
-    chosen = fit.labelled_sample(docs, labels, label, rows).repartition(fit.PARTS)
-    sample = fit.written(chosen.mapInPandas(describe, "y double, lines binary, length binary"), "lines")
+    sample = fit.written(fit.labelled_sample(docs, labels, label, rows), describe, "y double, lines binary, length binary", "lines")
 
     def unpacked(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         per_text = np.array([len(v) // 4 for v in batch["length"]], np.int64)
         x = np.frombuffer(b"".join(batch["lines"]), np.float32).reshape(-1, FEATURES).astype(float)
         return x, np.frombuffer(b"".join(batch["length"]), np.float32).astype(float), per_text, batch["y"].to_numpy()
 
-    n = fit.sums(sample, lambda b: np.array([len(b)]), 1)[0]
+    n = fit.sums(sample, lambda b: np.array([len(b)]), 0, 1)[0]
     if not n:
         return LineQuality(np.zeros(FEATURES), 0.0, 0.0, 0.0)
 
@@ -215,7 +217,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", r
             value = _log_partition(evidence, per_text, stay) - y * np.bincount(row, evidence, len(y)) - stay * (per_text - 1)
             return np.concatenate((x.T @ (error * share[row]), [((same - 1) * share[row]).sum(), (value * share).sum()]))
 
-        total = fit.sums(sample, partial, FEATURES + 2) / n
+        total = fit.sums(sample, partial, 0, FEATURES + 2) / n
         return total[-1] + PENALTY / 2 * (z @ z), total[:-1] + PENALTY * z
 
     z = fit.minimise(loss, np.zeros(FEATURES + 1), evaluations=40)
@@ -233,7 +235,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", r
             error = 1 / (1 + np.exp(-np.clip(raw, -50, 50))) - y
             return np.array([(error * v).sum(), error.sum(), (np.logaddexp(0, raw) - y * raw).sum()])
 
-        total = fit.sums(sample, partial, 3) / n
+        total = fit.sums(sample, partial, 0, 3) / n
         return total[2] + PENALTY / 2 * (ab @ ab), total[:2] + PENALTY * ab
 
     slope, offset = fit.minimise(last_step, np.array([1.0, 0.0]), evaluations=20)
@@ -241,7 +243,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, label: str = "quality", r
 
 
 def quality_score(model: LineQuality, docs: DataFrame, text: str = "text") -> Column:
-    """The score from 0 to 1 of each whole text; null counts as empty."""
+    """The score from 0 to 1 of each whole text.
+
+    Null counts as empty: one blank line. Long texts are read whole. Equal texts have equal scores, rows come back as
+    often as they are, an empty table stays empty, and no column but the text is read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -1,4 +1,7 @@
-"""Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios."""
+"""Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
+
+Toxic documents are few, and fewer in some languages: in the fit they weigh WEIGHT times as much as all clean ones.
+"""
 
 from __future__ import annotations
 
@@ -13,22 +16,22 @@ from pyspark.sql import functions as F
 from . import fit
 from .common import text_of
 
-BITS = 18
+BITS = 19
 SIZE = 1 << BITS
 ORDERS = (4, 5, 6)
-#: Bytes of a text whose n-grams are made at a time.
-PIECE = 1 << 20
+#: Characters of a text whose n-grams are made at a time.
+PIECE = 1 << 18
 #: n-grams of fewer documents of the sample weigh nothing.
-LEAST_DOCS = 5
-PENALTY = 1e-4
+LEAST_DOCS = 8
+PENALTY, WEIGHT = 1e-3, 20.0
 
 
 def ngrams(text: str, places: np.ndarray) -> np.ndarray:
-    """The distinct hashed n-grams of a text (lower case, white space runs as one space, one at either end).
+    """The distinct hashed n-grams of a text's characters (lower case, white space runs as one space, one at either end).
 
     places: a work array of SIZE integers that calls may share.
     """
-    data = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-8", "replace"), np.uint8)
+    data = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-32-le", "replace"), "<u4")
     if len(data) <= PIECE:
         return _distinct(_hashed(data), places)
     seen = np.zeros(SIZE, bool)
@@ -38,7 +41,6 @@ def ngrams(text: str, places: np.ndarray) -> np.ndarray:
 
 
 def _hashed(data: np.ndarray) -> np.ndarray:
-    data = data.astype(np.uint32)
     found, h = [], np.zeros(len(data) + 1, np.uint32)
     for n in range(1, max(ORDERS) + 1):
         if len(data) < n:
@@ -75,9 +77,11 @@ def _features(sample: DataFrame) -> DataFrame:
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places = np.zeros(SIZE, np.int32)
         for batch in batches:
-            yield pd.DataFrame({"y": batch["y"], "ids": [ngrams(t, places).tobytes() for t in batch["text"]]})
+            for at in range(0, len(batch), fit.ROWS):
+                part = batch.iloc[at : at + fit.ROWS]
+                yield pd.DataFrame({"y": part["y"], "ids": [ngrams(t, places).tobytes() for t in part["text"]]})
 
-    return fit.written(sample.repartition(fit.PARTS).mapInPandas(make, "y double, ids binary"), "ngrams")
+    return fit.written(sample, make, "y double, ids binary", "ngrams")
 
 
 def _flat(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +91,10 @@ def _flat(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = fit.SAMPLE_ROWS) -> Toxicity:
-    """A classifier fitted on `rows` labelled documents at most (see fit.labelled_sample); without any, all scores are near 0."""
+    """A classifier fitted on `rows` labelled documents at most (see fit.labelled_sample for nulls, ties and repeated ids).
+
+    Without any labelled document all scores are near 0. Columns besides doc_id, text and the label are ignored.
+    """
     sample = _features(fit.labelled_sample(docs, labels, label, rows))
 
     def counts(batch: pd.DataFrame) -> np.ndarray:
@@ -95,13 +102,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", ro
         toxic = batch["y"].to_numpy()[row] > 0
         return np.concatenate((np.bincount(ids[toxic], minlength=SIZE), np.bincount(ids[~toxic], minlength=SIZE), [len(batch), batch["y"].sum()]))
 
-    total = fit.sums(sample, counts, 2 * SIZE + 2)
+    total = fit.sums(sample, counts, 2 * SIZE, 2)
     p, q, (n, n_toxic) = total[:SIZE], total[SIZE : 2 * SIZE], total[2 * SIZE :]
     if not n:
         return Toxicity(np.zeros(SIZE, np.float32), -30.0)
     ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
     ratio[p + q < min(LEAST_DOCS, n_toxic)] = 0
     context = docs.sparkSession.sparkContext
+    for_toxic, for_clean = WEIGHT * n / (2 * max(n_toxic, 1)), n / (2 * max(n - n_toxic, 1))
 
     def loss(z: np.ndarray) -> tuple[float, np.ndarray]:
         sent = context.broadcast((z[:-1] * ratio, float(z[-1])))
@@ -111,20 +119,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", ro
             ids, row = _flat(batch)
             y = batch["y"].to_numpy()
             raw = np.bincount(row, weights=weights[ids], minlength=len(batch)) + bias
-            error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y
-            return np.concatenate((np.bincount(ids, weights=error[row], minlength=SIZE), [error.sum(), (np.logaddexp(0, raw) - y * raw).sum()]))
+            own = np.where(y > 0, for_toxic, for_clean)
+            error = own * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y)
+            return np.concatenate((np.bincount(ids, weights=error[row], minlength=SIZE), [error.sum(), (own * (np.logaddexp(0, raw) - y * raw)).sum()]))
 
-        total = fit.sums(sample, partial, SIZE + 2) / n
+        total = fit.sums(sample, partial, SIZE, 2) / n
         sent.destroy()
         gradient = np.concatenate((total[:SIZE] * ratio + PENALTY * z[:-1], [total[SIZE]]))
         return total[-1] + PENALTY / 2 * (z[:-1] @ z[:-1]), gradient
 
-    z = fit.minimise(loss, np.zeros(SIZE + 1))
+    z = fit.minimise(loss, np.zeros(SIZE + 1), evaluations=40)
     return Toxicity((z[:-1] * ratio).astype(np.float32), float(z[-1]))
 
 
 def toxicity_score(model: Toxicity, docs: DataFrame, text: str = "text") -> Column:
-    """The score from 0 to 1 of each whole text; null counts as empty. The model (1 MB, a fixed size) is broadcast."""
+    """The score from 0 to 1 of each whole text. The model (2 MB, a fixed size) is broadcast.
+
+    Null counts as empty; empty texts, and texts of white space alone, have the score of a text without n-grams that weigh
+    anything. Long texts are read whole, PIECE characters at a time. Equal texts have equal scores, rows come back as
+    often as they are, an empty table stays empty, and no column but the text is read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
