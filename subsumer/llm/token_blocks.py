@@ -14,10 +14,12 @@ smallest of WIDTHS that holds the PERCENTILE of the offsets; larger offsets are
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import product
 
@@ -36,8 +38,8 @@ HEAD = struct.Struct("<4sIIQQ")
 FRAME_IDS = 1 << 20
 #: Frames of a file at most.
 FILE_FRAMES = 16
-#: Words whose ids a Python worker keeps in each of two generations; words of a text that the library gets at once.
-CACHE, TOGETHER = 250_000, 64
+#: Words whose ids a Python worker keeps; texts that are cut, and words that the library gets, at once.
+CACHE, TEXTS, TOGETHER = 600_000, 1000, 64
 
 
 # --- blocks ---------------------------------------------------------------------------------------------------
@@ -179,6 +181,11 @@ def frames_in(content: bytes) -> Iterator[Frame]:
 
 #: Characters that str.split() takes for white space and vocabularies don't.
 SPLIT_ONLY = "\x1c\x1d\x1e\x1f"
+#: A pre-tokenizer's pattern, and words that it cuts between Latin letters and ASCII marks behind them. The
+#: marks never compose with letters, these letters stay letters in every normal form and in lower case, and neither the
+#: apostrophe of the first alternatives nor the first character of an added token is among the marks.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS_AND_MARKS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
@@ -187,7 +194,8 @@ class WordTokenizer:
 
     Texts are cut at white space and nowhere else: no normal form joins a space with what stands beside it, so the library
     gives the words of a text the ids that it gives the text. A file for which that doesn't hold is refused. Words are
-    encoded once and kept in two generations of bounded size.
+    encoded once and kept until there are too many. If the file's pre-tokenizer has the PATTERN, lower-cases
+    and marks the ends of tokens, words of LETTERS_AND_MARKS are put together from those two.
     """
 
     def __init__(self, file: str) -> None:
@@ -198,8 +206,14 @@ class WordTokenizer:
         for a, space, b in product("aé1.", " \t\n\r\v\f", "aé1.\u0301"):
             if self._ids(a + space + b) != self._ids(a) + self._ids(b):
                 raise ValueError(f"{file}: tokens go on behind white space")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        config = json.loads(self.library.to_str())
+        steps, suffix = config["pre_tokenizer"].get("pretokenizers") or [config["pre_tokenizer"]], config["model"].get("end_of_word_suffix")
+        normal = (config["normalizer"] or {}).get("normalizers", [])
+        self.cuts = bool(suffix) and steps[0].get("pattern") == {"Regex": PATTERN} and {"type": "Lowercase"} in normal and all("<" in t["content"] for t in config["added_tokens"])
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(suffix)]] = True
 
     @classmethod
     def at(cls, file: str) -> WordTokenizer:
@@ -211,34 +225,43 @@ class WordTokenizer:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _learn(self, missing: list[str]) -> None:
-        for w in missing:
-            if (known := self.old.get(w)) is not None:
-                self.young[w] = known
-        missing = [w for w in missing if w not in self.young]
-        groups = [missing[at : at + TOGETHER] for at in range(0, len(missing), TOGETHER)]
-        for words, e in zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            raw = np.array(e.ids, np.uint32).tobytes()
-            # where each word's ids begin: its tokens stand in the text from the word's place on
-            places = np.cumsum([0, *(len(w) + 1 for w in words)])
-            at = np.searchsorted([x for x, _ in e.offsets], places).tolist()
-            for i, w in enumerate(words):
-                self.young[w] = raw[4 * at[i] : 4 * at[i + 1]]
+        found = list(map(LETTERS_AND_MARKS.fullmatch, missing)) if self.cuts else [None] * len(missing)
+        joint = [(w, m[1].lower(), m[2]) for w, m in zip(missing, found, strict=True) if m]
+        parts = {letters for _, letters, _ in joint}
+        parts.update(marks for _, _, marks in joint if marks)
+        known = self.known
+        self._encode([w for w in parts if w not in known], True)
+        self._encode([w for w, m in zip(missing, found, strict=True) if not m], False)
+        for w, letters, marks in joint:
+            known[w] = known[letters] + known[marks] if marks else known[letters]
+
+    def _encode(self, words: list[str], one_end: bool) -> None:
+        """Words that aren't known, many in one text. one_end: each has one token's end, which is the last of its ids; else the ids' places in the text tell their words."""
+        groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        encode = self.library.encode_batch_fast if one_end else self.library.encode_batch
+        for group, e in zip(groups, encode([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1 if one_end else np.searchsorted([x for x, _ in e.offsets], np.cumsum([len(w) + 1 for w in group]))
+            if len(ends) != len(group):
+                raise ValueError(f"{len(ends)} ends of tokens in {len(group)} words")
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(group, (4 * ends).tolist(), strict=True):
+                self.known[w] = raw[at:end]
+                at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each, little-endian."""
         out: list[bytes] = []
-        for at in range(0, len(texts), 200):
-            split = [t.split() for t in texts[at : at + 200]]
-            if len(self.young) > CACHE:
-                self.old, self.young = self.young, {}
+        for at in range(0, len(texts), TEXTS):
+            some = texts[at : at + TEXTS]
+            split = [t.split() for t in some]
             words = set().union(*split)
-            self._learn([w for w in words if w not in self.young])
-            get = self.young.__getitem__
-            for text, own in zip(texts[at : at + 200], split, strict=True):
-                if any(c in text for c in SPLIT_ONLY):
-                    out.append(np.array(self._ids(text), np.uint32).tobytes())
-                else:
-                    out.append(b"".join(map(get, own)))
+            if len(self.known) > CACHE:
+                self.known = {}
+            self._learn(list(words.difference(self.known)))
+            get = {w: self.known[w] for w in words}.__getitem__
+            odd = [any(c in t for c in SPLIT_ONLY) for t in some]
+            out += [np.array(self._ids(t), np.uint32).tobytes() if o else b"".join(map(get, own)) for t, own, o in zip(some, split, odd, strict=True)]
         return out
 
 
@@ -258,9 +281,9 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int) -> Non
         doc_ids, parts, held = [], [], 0
         for batch in batches:
             texts = batch["text"].tolist()
-            for at in range(0, len(texts), 500):
-                doc_ids += [None if pd.isna(x) else int(x) for x in batch["doc_id"].iloc[at : at + 500].tolist()]
-                parts += [x + end for x in encoder.encode(texts[at : at + 500])]
+            for at in range(0, len(texts), TEXTS):
+                doc_ids += [None if pd.isna(x) else int(x) for x in batch["doc_id"].iloc[at : at + TEXTS].tolist()]
+                parts += [x + end for x in encoder.encode(texts[at : at + TEXTS])]
                 held = sum(map(len, parts)) // 4
                 if held >= FRAME_IDS:
                     yield pd.DataFrame({"value": [frame(doc_ids, [len(x) // 4 for x in parts], np.frombuffer(b"".join(parts), np.uint32))]})
