@@ -19,6 +19,10 @@ from . import vectors
 from .common import table
 
 
+#: More than rounding changes a cosine.
+ROOM = 1e-9
+
+
 @dataclass(frozen=True)
 class Lists:
     """k: answers. list_rows: distinct vectors a list, on average, until there are most_lists. boundary: a vector is
@@ -97,7 +101,8 @@ def nearest(rows: DataFrame, queries: DataFrame, settings: Lists = Lists()) -> D
 
     queries: ids (query_id) of rows. A row isn't its own neighbour. Null ids, and vectors that are null, zero or hold null or
     non-finite components, take no part; nor do vectors of another length than the most frequent one. Rows
-    that repeat an id and vector count once. Fewer than k candidates found give fewer rows; empty tables give none.
+    that repeat an id and vector count once. Ties go to smaller ids. Fewer than k candidates found give fewer rows; empty
+    tables give none. Other columns are ignored.
     """
     spark = rows.sparkSession
     held = table(vectors.as_bytes(rows, lambda v: v, F.exists("x", lambda v: v != 0)), "vectors")
@@ -141,16 +146,15 @@ def nearest(rows: DataFrame, queries: DataFrame, settings: Lists = Lists()) -> D
     def score(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         a, b = vectors.matrix(q["vec"]), vectors.matrix(v["vec"])
         near = _unit(a) @ _unit(b).T
-        few = min(len(v), 4 * keep)
-        cols = np.argpartition(-near, few - 1, axis=1)[:, :few]
-        rows_ = np.repeat(np.arange(len(q)), few)
-        cols = cols.ravel()
+        # all that reach the last wanted cosine, with room for rounding: ties go by id
+        few = min(len(v), keep)
+        rows_, cols = np.nonzero(near >= np.partition(near, len(v) - few, axis=1)[:, len(v) - few, None] - ROOM)
         s = exact_cosine(a[rows_], b[cols])
         first = np.array([x[0] for x in v["ids"]])
         order = np.lexsort((first[cols], -s, rows_))
-        place = np.arange(len(order)) - np.repeat(np.arange(len(q)) * few, few)
-        kept = order[place < keep]
-        return vectors.best_of(q, v, rows_[kept], cols[kept], s[kept])
+        rows_, cols, s = rows_[order], cols[order], s[order]
+        kept = np.arange(len(rows_)) - np.searchsorted(rows_, rows_) < keep
+        return vectors.best_of(q["k1"].to_numpy(), q["k2"].to_numpy(), v["ids"].to_numpy(), rows_[kept], cols[kept], s[kept])
 
     found = vectors.search_blocks(postings, probes, score)
     return vectors.ranked(found, asked.select("query_id", "k1", "k2"), settings.k)

@@ -1,14 +1,16 @@
 """Exact top-k inner products by a dual-tree search over cover trees.
 
-Queries and data are dealt to the same cells, the first level of the joint tree: balanced clusters of a bounded
-sample, with the covering radius of all rows in each. A first pass searches each cell of queries in the few cells with the
-largest bounds; of the other pairs of cells only those whose bound reaches the worst kth score of the query cell
-are searched. Inside a block both sides have a cover tree, and pairs of nodes are pruned in the same way.
+Queries and data are dealt to cells, the first level of the joint tree: balanced clusters of a bounded sample, with the
+covering radius of all rows in each. Cells are dealt to blocks, and the tree of a block is built once. A first pass
+searches each cell of queries in the few cells with the largest bounds; of the other pairs of cells only those whose
+bound reaches the worst kth score of the query cell are searched, from each query's kth score on. Inside a pair of blocks
+pairs of nodes are pruned in the same way, and what is left of two leaves is one matrix product.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,181 +22,277 @@ from pyspark.sql import functions as F
 from . import vectors
 from .common import table
 
-#: Points of a leaf at most, unless they are equal; the share of a node's radius that its children cover.
-LEAF, SHRINK = 32, 0.8
+#: Points of a child at least, and of a node that has children; the share of a node's radius that a child covers.
+CHILD, SPLIT, SHRINK = 16, 256, 0.7
+#: Points that are tried as centres of children.
+TRIED = 48
 #: Sums of products up to here are exact in doubles.
 EXACT = float(vectors.EXACT)
-#: Room for rounding in bounds, which are sums of square roots.
-SLACK = 1e-9
+#: Room for rounding in bounds and products, as a share of the largest that norms allow.
+SLACK = 1e-12
 
 
 @dataclass(frozen=True)
 class Search:
-    """k: answers. scale: components become floor(scale * x). cell_rows: distinct vectors a cell, on average, until
-    there are most_cells. first: cells that a cell of queries is searched in to begin with."""
+    """k: answers. scale: components become floor(scale * x). cell_rows, cell_queries: distinct vectors, and queries, a
+    cell, on average, until there are most_cells; larger cells have several blocks. first: cells that a cell of queries is
+    searched in to begin with."""
 
     k: int = 5
     scale: float = 256.0
-    cell_rows: int = 1024
-    most_cells: int = 256
+    cell_rows: int = 4096
+    cell_queries: int = 512
+    most_cells: int = 1024
     first: int = 3
 
 
 @dataclass
 class Node:
+    """Points start to end - 1 of the tree's order, none farther from the center than radius, none longer than largest."""
+
     center: np.ndarray
     norm: float
     radius: float
+    largest: float
     start: int
     end: int
     children: list[Node]
 
 
-def cover_tree(x: np.ndarray) -> tuple[Node, np.ndarray]:
+def cover_tree(x: np.ndarray, keep_whole: int = SPLIT) -> tuple[Node, np.ndarray]:
     """The root and an order of the rows of x in which each node's points are those from start to end - 1.
 
-    A node's children are centred on points of its own, more than SHRINK * radius apart, and cover it.
+    A node of keep_whole points or more has children centred on points of its own, each of whose CHILD points at least is
+    covered with SHRINK * radius. Points that no child covers are a last child that is a leaf: far points in many
+    dimensions have nobody near, and a node for each would prune nothing.
     """
-    order: list[int] = []
+    order: list[np.ndarray] = []
+    norms = np.sqrt((x * x).sum(axis=1))
+    placed = 0
 
-    def build(rows: np.ndarray) -> Node:
-        center = x[rows[0]]
+    def node(rows: np.ndarray, split: bool) -> Node:
+        nonlocal placed
+        center = x[rows].mean(axis=0)
         away = np.sqrt(((x[rows] - center) ** 2).sum(axis=1))
-        node = Node(center, float(np.sqrt(center @ center)), float(away.max()), len(order), 0, [])
-        if len(rows) <= LEAF or not node.radius:
-            order.extend(rows.tolist())
-        else:
-            cover = SHRINK * node.radius
-            while len(rows):
-                near = away <= cover
-                if not near[0]:
-                    away = np.sqrt(((x[rows] - x[rows[0]]) ** 2).sum(axis=1))
-                    near = away <= cover
-                near[0] = True
-                own, rows = rows[near], rows[~near]
-                away = np.full(len(rows), np.inf)
-                node.children.append(build(own))
-        node.end = len(order)
-        return node
-
-    return build(np.arange(len(x))), np.array(order)
+        out = Node(center, float(np.sqrt(center @ center)), float(away.max()), float(norms[rows].max()), placed, 0, [])
+        left = rows
+        if split and len(rows) >= keep_whole and out.radius:
+            tried = rows[np.linspace(0, len(rows) - 1, min(TRIED, len(rows))).astype(int)]
+            squares = (norms[rows] ** 2)[:, None] + (norms[tried] ** 2)[None] - 2 * x[rows] @ x[tried].T
+            near = squares <= (SHRINK * out.radius) ** 2
+            free = np.ones(len(rows), bool)
+            while True:
+                counts = (near & free[:, None]).sum(axis=0)
+                best = int(counts.argmax())
+                if counts[best] < CHILD or counts[best] == len(rows):
+                    break
+                own = near[:, best] & free
+                free &= ~own
+                out.children.append(node(rows[own], True))
+            left = rows[free]
+            if out.children and len(left):
+                out.children.append(node(left, False))
+                left = left[:0]
+        if not out.children:
+            order.append(left)
+            placed += len(left)
+        out.end = placed
+        return out
+
+    return node(np.arange(len(x)), True), np.concatenate(order)
 
 
 def upper_bound(a: Node, b: Node) -> float:
     """No inner product of a point of a with a point of b is larger."""
-    raw = float(a.center @ b.center) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius
-    return raw + SLACK * (a.norm + a.radius) * (b.norm + b.radius)
+    by_radii = float(a.center @ b.center) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius
+    apart = float(np.sqrt(((a.center - b.center) ** 2).sum())) - a.radius - b.radius
+    by_distance = (a.largest**2 + b.largest**2 - max(apart, 0.0) ** 2) / 2
+    return min(by_radii, by_distance, a.largest * b.largest) + room(a, b)
+
+
+def room(a: Node, b: Node) -> float:
+    """More than rounding changes a bound or a product of points of a and b."""
+    return SLACK * (a.norm + a.radius + a.largest) * (b.norm + b.radius + b.largest) * 2 + SLACK * (a.largest**2 + b.largest**2)
+
+
+@dataclass
+class Tree:
+    """A block's points in the order of their tree; first_id: the smallest id of each."""
+
+    root: Node
+    x: np.ndarray
+    order: np.ndarray
+    first_id: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray, first_id: np.ndarray, keep_whole: int = SPLIT) -> Tree:
+        root, order = cover_tree(x, keep_whole)
+        return cls(root, x[order], order, first_id[order])
+
+
+@dataclass
+class Counts:
+    """Products made, of all there are."""
 
+    made: int = 0
+    all: int = 0
 
-def dual_tree(q: np.ndarray, v: np.ndarray, first_id: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and scores (rows of `keep`; -1 and -inf where there are fewer) of the largest products of rows of q and v, ties to smaller first_id."""
-    keep_ids = np.full((len(q), keep), -1, np.int64)
-    scores = np.full((len(q), keep), -np.inf)
-    (qt, qo), (vt, vo) = cover_tree(q), cover_tree(v)
-    qs, vs, ids = q[qo], v[vo], first_id[vo]
-    agenda, n = [(-upper_bound(qt, vt), 0, qt, vt)], 0
+
+def dual_tree(q: Tree, v: Tree, keep: int, least: np.ndarray | None = None, counts: Counts | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of q's order, rows of v's order, scores) of the `keep` largest products of each query, ties to smaller first_id.
+
+    least: for each query (in its tree's order) a score below which nothing is wanted. Scores are whole numbers: doubles, or
+    Python's if doubles can't hold the products.
+    """
+    small = float(np.abs(q.x).max()) * float(np.abs(v.x).max()) * q.x.shape[1] < EXACT
+    n = len(q.x)
+    worst = np.full(n, -np.inf) if least is None else least.astype(np.float64)
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.intp)] * 2 + [np.zeros(0)]]
+    top = np.full((n, keep), -np.inf)
+    agenda, serial, made = [(-upper_bound(q.root, v.root), 0, q.root, v.root)], 0, 0
     while agenda:
         bound, _, a, b = heapq.heappop(agenda)
-        if -bound < scores[a.start : a.end, -1].min():
+        if -bound < worst[a.start : a.end].min():
             continue
         if not a.children and not b.children:
-            s = qs[a.start : a.end] @ vs[b.start : b.end].T
-            both = np.concatenate((scores[a.start : a.end], s), axis=1)
-            which = np.concatenate((keep_ids[a.start : a.end], np.broadcast_to(np.arange(b.start, b.end), s.shape)), axis=1)
-            tie = np.where(which >= 0, ids[which], np.iinfo(np.int64).max)
-            best = np.lexsort((tie, -both), axis=1)[:, :keep]
-            scores[a.start : a.end] = np.take_along_axis(both, best, axis=1)
-            keep_ids[a.start : a.end] = np.take_along_axis(which, best, axis=1)
+            s = q.x[a.start : a.end] @ v.x[b.start : b.end].T
+            made += s.size
+            err = 0.0 if small else room(a, b) * q.x.shape[1]
+            both = np.concatenate((top[a.start : a.end], s if s.shape[1] <= keep else -np.partition(-s, keep - 1, axis=1)[:, :keep]), axis=1)
+            top[a.start : a.end] = -np.partition(-both, keep - 1, axis=1)[:, :keep]
+            worst[a.start : a.end] = np.maximum(worst[a.start : a.end], top[a.start : a.end].min(axis=1) - err)
+            i, j = np.nonzero(s >= (worst[a.start : a.end] - err)[:, None])
+            found.append([a.start + i, b.start + j, s[i, j]])
             continue
         for x in a.children if a.children and (not b.children or a.radius >= b.radius) else [a]:
             for y in b.children if x is a else [b]:
-                n += 1
-                if (up := upper_bound(x, y)) >= scores[x.start : x.end, -1].min():
-                    heapq.heappush(agenda, (-up, n, x, y))
-    out, found = np.empty_like(keep_ids), np.empty_like(scores)
-    out[qo] = np.where(keep_ids >= 0, vo[keep_ids], -1)
-    found[qo] = scores
-    return out, found
-
-
-def exact_top(q: np.ndarray, v: np.ndarray, first_id: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """As dual_tree(), for components so large that doubles can't hold the products: scores are whole numbers of any size."""
-    whole = [[int(c) for c in row] for row in v]
-    out, scores = np.full((len(q), keep), -1, np.int64), np.full((len(q), keep), -np.inf, object)
-    for i, row in enumerate(q):
-        own = [int(c) for c in row]
-        best = heapq.nsmallest(keep, ((-sum(map(int.__mul__, own, w)), int(first_id[j]), j) for j, w in enumerate(whole)))
-        for r, (s, _, j) in enumerate(best):
-            out[i, r], scores[i, r] = j, -s
-    return out, scores
+                serial += 1
+                if (up := upper_bound(x, y)) >= worst[x.start : x.end].min():
+                    heapq.heappush(agenda, (-up, serial, x, y))
+    if counts is not None:
+        counts.made, counts.all = counts.made + made, counts.all + n * len(v.x)
+    i, j, s = (np.concatenate(z) for z in zip(*found, strict=True))
+    if small:
+        kept = s >= worst[i]
+    else:
+        kept = s >= worst[i] - room(q.root, v.root) * q.x.shape[1]
+    i, j, s = i[kept], j[kept], s[kept]
+    if not small:
+        exact = np.empty(len(i), object)
+        for r, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+            exact[r] = sum(int(c) * int(d) for c, d in zip(q.x[a].tolist(), v.x[b].tolist(), strict=True))
+        s = exact
+    # whole numbers in order without a double between them
+    by = np.array(sorted(range(len(i)), key=lambda r: (i[r], -s[r], v.first_id[j[r]])), np.intp) if s.dtype == object else np.lexsort((v.first_id[j], -s, i))
+    i, j, s = i[by], j[by], s[by]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < keep], j[place < keep], s[place < keep]
+
+
+PACKED = "cell int, block int, tree binary, k1 array<long>, k2 array<long>, ids array<array<long>>"
+FOUND = "k1 long, k2 long, ids array<long>, score double, whole binary"
+
+
+def _trees(placed: DataFrame, rows: int) -> DataFrame:
+    """PACKED: the trees of the blocks of cells of (cell, k1, k2, vec, ids), about `rows` points each, and what belongs to their points, in their order.
+
+    Cells are at most as many as clusters were fitted, so their sizes fit a broadcast.
+    """
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias("n"))
+    dealt = placed.join(F.broadcast(table(sizes, "cell-sizes")), "cell").withColumn("block", F.pmod(F.xxhash64("k1", "k2"), "n").cast("int"))
+
+    def build(block: pd.DataFrame) -> pd.DataFrame:
+        first = np.array([x[0] for x in block["ids"]], np.int64)
+        tree = Tree.of(vectors.matrix(block["vec"]), first)
+        own = block.iloc[tree.order]
+        one = {"cell": [own["cell"].iloc[0]], "block": [own["block"].iloc[0]], "tree": [pickle.dumps(tree)]}
+        return pd.DataFrame(one | {c: [own[c].tolist()] for c in ("k1", "k2", "ids")})
+
+    return table(dealt.groupBy("cell", "block").applyInPandas(build, PACKED), "trees")
 
 
 def largest_products(rows: DataFrame, queries: DataFrame, settings: Search = Search()) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query with the other rows, exactly.
 
-    Rows are (vec_id, embedding); components become floor(scale * x). queries: ids (query_id) of rows. Null ids, and vectors
+    Rows are (vec_id, embedding); components become floor(scale * x), in doubles. queries: ids (query_id) of rows. Null ids, and vectors
     that are null or hold null or non-finite components, take no part; nor do vectors of another length than the
     most frequent one. Rows that repeat an id and vector count once. Ties go to smaller ids. Fewer candidates than
-    k give fewer rows; empty tables give none. Scores beyond the range of a long are cut to it.
+    k give fewer rows; empty tables give none. Scores beyond the range of a long are cut to it. Other columns are ignored.
     """
     spark, keep = rows.sparkSession, settings.k + 1
-    held = table(vectors.as_bytes(rows, lambda v: F.floor(v * settings.scale).cast("double"), F.lit(True)), "vectors")
+    held = table(vectors.as_bytes(rows, vectors.floor_of(settings.scale), F.lit(True)), "vectors")
     classes = table(vectors.classes_of(held, keep), "classes")
     asked = held.join(queries.select(F.col("query_id").alias("vec_id")).distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), *vectors.keys(), "vec").distinct()
     asked = table(asked, "queries")
-    n = classes.count()
-    if not n:
+    one = table(asked.groupBy("k1", "k2").agg(F.first("vec").alias("vec"), F.array(F.min("query_id")).alias("ids")), "query-classes")
+    n, n_asked = classes.count(), one.count()
+    if not n or not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     sample = vectors.sample_of(classes)
-    cells = vectors.balanced_clusters(sample, max(1, min(settings.most_cells, n // settings.cell_rows, len(sample) // 4)))
-    centers = np.stack([sample[c].mean(axis=0) for c in cells])
-    sent = spark.sparkContext.broadcast(centers)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = sent.value
-        for batch in batches:
-            x = vectors.matrix(batch["vec"])
-            cell = ((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
-            away = np.sqrt(((x - c[cell]) ** 2).sum(axis=1))
-            yield batch.assign(list=cell.astype(np.int32), away=away)
-
-    one = asked.groupBy("k1", "k2").agg(F.first("vec").alias("vec"))
-    data = table(classes.select("vec", "ids").mapInPandas(place, "vec binary, ids array<long>, list int, away double"), "data-cells")
-    groups = table(one.mapInPandas(place, "k1 long, k2 long, vec binary, list int, away double").withColumnRenamed("list", "cell"), "query-cells")
-    # a row for each cell: at most as many as clusters were fitted
-    data_radius = {r["list"]: r["r"] for r in data.groupBy("list").agg(F.max("away").alias("r")).collect()}
-    query_radius = {r["cell"]: r["r"] for r in groups.groupBy("cell").agg(F.max("away").alias("r")).collect()}
-    node = lambda i, r: Node(centers[i], float(np.sqrt(centers[i] @ centers[i])), r, 0, 0, [])
-    bounds = {(i, j): upper_bound(node(i, r), node(j, s)) for i, r in query_radius.items() for j, s in data_radius.items()}
-    begin = [(i, j) for i in query_radius for j in sorted(data_radius, key=lambda j: (-bounds[i, j], j))[: settings.first]]
-
-    def score(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        a, b = vectors.matrix(q["vec"]), vectors.matrix(v["vec"])
-        first = np.array([x[0] for x in v["ids"]])
-        small = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < EXACT
-        which, s = (dual_tree if small else exact_top)(a, b, first, keep)
-        r, c = np.nonzero(which >= 0)
-        return vectors.best_of(q, v, r, which[r, c], s[r, c])
-
-    def searched(pairs: list[tuple[int, int]], name: str) -> DataFrame:
-        chosen = F.broadcast(spark.createDataFrame(pairs, "cell int, list int"))
-        return table(vectors.search_blocks(data, groups.join(chosen, "cell").select("list", "k1", "k2", "vec"), score), name)
+
+    def placed(points: DataFrame, count: int, per_cell: int) -> tuple[DataFrame, np.ndarray, list[Node]]:
+        cells = vectors.balanced_clusters(sample, max(1, min(settings.most_cells, count // per_cell, len(sample) // 4)))
+        centers = np.stack([sample[c].mean(axis=0) for c in cells])
+        sent = spark.sparkContext.broadcast(centers)
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            c = sent.value
+            for batch in batches:
+                x = vectors.matrix(batch["vec"])
+                cell = ((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
+                away = np.sqrt(((x - c[cell]) ** 2).sum(axis=1))
+                yield batch.assign(cell=cell.astype(np.int32), away=away, norm=np.sqrt((x * x).sum(axis=1)))
+
+        out = table(points.select("k1", "k2", "vec", "ids").mapInPandas(place, "k1 long, k2 long, vec binary, ids array<long>, cell int, away double, norm double"), "cells")
+        # a row for each cell: at most as many as clusters were fitted
+        radii = {r["cell"]: (r["a"], r["n"]) for r in out.groupBy("cell").agg(F.max("away").alias("a"), F.max("norm").alias("n")).collect()}
+        numbers = np.array(sorted(radii), np.int32)
+        return _trees(out, per_cell), numbers, [Node(centers[i], float(np.sqrt(centers[i] @ centers[i])), *radii[i], 0, 0, []) for i in numbers.tolist()]
+
+    data, lists, list_nodes = placed(classes, n, settings.cell_rows)
+    groups, cells, cell_nodes = placed(one, n_asked, settings.cell_queries)
+    bounds = np.array([[upper_bound(a, b) for b in list_nodes] for a in cell_nodes])
+    begin = np.zeros(bounds.shape, bool)
+    np.put_along_axis(begin, np.argsort(-bounds, axis=1, kind="stable")[:, : settings.first], True, axis=1)
+
+    def searched(chosen: np.ndarray, name: str, least: DataFrame | None = None) -> DataFrame:
+        i, j = np.nonzero(chosen)
+        pairs = F.broadcast(spark.createDataFrame(pd.DataFrame({"cell": cells[i], "list": lists[j]}), "cell int, list int"))
+        q = groups.select("cell", F.col("block").alias("qb"), F.col("tree").alias("q"), "k1", "k2")
+        q = q.withColumn("least", F.lit(None).cast("array<struct<k1:bigint,k2:bigint,score:double>>")) if least is None else q.join(least, ["cell", "qb"], "left")
+        v = data.select(F.col("cell").alias("list"), F.col("block").alias("vb"), F.col("tree").alias("v"), "ids")
+        q_blocks, v_blocks = (x.select(*c).groupBy(c[0]).agg(F.collect_list(c[1]).alias(c[1])) for x, c in ((groups.withColumnRenamed("block", "qb"), ("cell", "qb")), (v, ("list", "vb"))))
+        left = q.join(pairs, "cell").join(v_blocks, "list").withColumn("vb", F.explode("vb"))
+        right = v.join(pairs, "list").join(q_blocks, "cell").withColumn("qb", F.explode("qb"))
+        on = ["cell", "list", "qb", "vb"]
+
+        def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return vectors.EMPTY.copy()
+            q, v, k1, k2 = pickle.loads(a["q"].iloc[0]), pickle.loads(b["v"].iloc[0]), a["k1"].iloc[0], a["k2"].iloc[0]
+            known = {(x["k1"], x["k2"]): x["score"] for x in a["least"].iloc[0]} if a["least"].iloc[0] is not None else {}
+            least = np.array([known.get(k, -np.inf) for k in zip(k1, k2, strict=True)])
+            i, j, s = dual_tree(q, v, keep, least)
+            ids = np.empty(len(v.x), object)
+            ids[:] = [list(x) for x in b["ids"].iloc[0]]
+            return vectors.best_of(np.asarray(k1), np.asarray(k2), ids, i, j, s)
+
+        return table(left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(score, FOUND), name)
 
     found = searched(begin, "first-cells")
-    worst = _worst(found, groups, keep)
-    rest = [(i, j) for (i, j), b in bounds.items() if b >= worst.get(i, -np.inf) and (i, j) not in set(begin)]
-    if rest:
-        found = found.union(searched(rest, "other-cells"))
-    # no component is larger than its vector's norm; if this isn't small, some block may have whole numbers
-    largest = [max((float(np.sqrt(centers[i] @ centers[i])) + r for i, r in x.items()), default=0.0) for x in (query_radius, data_radius)]
-    whole = not largest[0] * largest[1] * centers.shape[1] * (1 + SLACK) < EXACT
+    order = Window.partitionBy("k1", "k2").orderBy(F.desc("score"))
+    # a double may be above the whole number that it stands for
+    lower = F.col("score") - F.abs("score") * SLACK
+    kth = found.withColumn("r", F.row_number().over(order)).where(F.col("r") == keep).select("k1", "k2", F.when(F.col("whole").isNull(), F.col("score")).otherwise(lower).alias("score"))
+    each = groups.select("cell", F.col("block").alias("qb"), F.explode(F.arrays_zip("k1", "k2")).alias("k")).select("cell", "qb", "k.k1", "k.k2")
+    each = table(each.join(kth, ["k1", "k2"], "left"), "kth-scores")
+    worst = {r["cell"]: r["w"] for r in each.groupBy("cell").agg(F.min(F.coalesce("score", F.lit(float("-inf")))).alias("w")).collect()}
+    rest = (bounds >= np.array([worst[i] for i in cells.tolist()])[:, None]) & ~begin
+    if rest.any():
+        least = each.where("score is not null").groupBy("cell", "qb").agg(F.collect_list(F.struct("k1", "k2", "score")).alias("least"))
+        found = found.union(searched(rest, "other-cells", least))
+    # if norms allow no product of 2**53, no block has whole numbers beyond doubles
+    largest = [max(x.largest for x in y) for y in (cell_nodes, list_nodes)]
+    whole = not largest[0] * largest[1] * sample.shape[1] * (1 + SLACK) < EXACT
     out = vectors.ranked(found, asked.select("query_id", "k1", "k2"), settings.k, whole=whole)
     return out.withColumn("score", F.col("score").cast("long"))
-
-
-def _worst(found: DataFrame, groups: DataFrame, keep: int) -> dict[int, float]:
-    """For each cell of queries the smallest kth score of its queries; without a kth score of each, no bound."""
-    order = Window.partitionBy("k1", "k2").orderBy(F.desc("score"))
-    kth = found.withColumn("r", F.row_number().over(order)).where(F.col("r") == keep).select("k1", "k2", "score")
-    each = groups.join(kth, ["k1", "k2"], "left").groupBy("cell").agg(F.min(F.coalesce("score", F.lit(float("-inf")))).alias("worst"))
-    return {r["cell"]: r["worst"] for r in each.collect()}

@@ -40,6 +40,11 @@ def as_bytes(rows: DataFrame, component: Callable[[Column], Column], some: Colum
     return good.where(F.size("x") == (lengths or 0)).select("vec_id", changed.alias("x")).mapInPandas(pack, "vec_id long, vec binary")
 
 
+def floor_of(scale: float) -> Callable[[Column], Column]:
+    """floor(scale * x) as a double: F.floor() makes a long, which cuts what is beyond its range; larger doubles are whole numbers."""
+    return lambda x: F.when(F.abs(x * scale) < float(1 << 53), F.floor(x * scale).cast("double")).otherwise(x * scale)
+
+
 def classes_of(vectors: DataFrame, keep: int) -> DataFrame:
     """(k1, k2, vec, ids): each distinct vector, a key of 128 bits, and its `keep` smallest ids in order."""
 
@@ -127,11 +132,10 @@ def long_of(score: Column, whole: Column) -> Column:
     return cut.when(whole <= F.lit(whole_key(low)), F.lit(low)).otherwise(own)
 
 
-def best_of(q: pd.DataFrame, v: pd.DataFrame, rows: np.ndarray, cols: np.ndarray, score: np.ndarray) -> pd.DataFrame:
-    """The result of a block: query rows[i] and vector cols[i] have score[i]. whole: the whole_key() of scores that are Python's whole numbers of EXACT or more, else null."""
-    ids = v["ids"].to_numpy()
+def best_of(k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, rows: np.ndarray, cols: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    """The result of a block: query rows[i] (of keys k1, k2) and the vector cols[i] (of ids) have score[i]. whole: the whole_key() of scores that are Python's whole numbers of EXACT or more, else null."""
     whole = [whole_key(s) if abs(s) >= EXACT else None for s in score] if score.dtype == object else [None] * len(score)
-    return pd.DataFrame({"k1": q["k1"].to_numpy()[rows], "k2": q["k2"].to_numpy()[rows], "ids": list(ids[cols]), "score": score.astype(np.float64), "whole": whole})
+    return pd.DataFrame({"k1": k1[rows], "k2": k2[rows], "ids": list(ids[cols]), "score": score.astype(np.float64), "whole": whole})
 
 
 def ranked(found: DataFrame, queries: DataFrame, k: int, *, whole: bool = False) -> DataFrame:

@@ -92,11 +92,19 @@ def test_nearest(spark):
     assert results(ann.nearest(two, queries_of(two))).keys() == {0}
 
 
+def test_nearest_ties_go_by_id(spark):
+    # 120 multiples of one vector in one list
+    rows = [(i, [float(2**k) for k in range(i % 7, i % 7 + 1)] + [0.0, 0.0]) for i in range(1, 121)] + [(i, [0.0, 1.0, float(i)]) for i in range(150, 160)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = results(ann.nearest(df, spark.createDataFrame([(50,)], "query_id long")))
+    assert [i for i, _ in got[50]] == [1, 2, 3, 4, 5]
+
+
 def test_largest_products(spark):
     good, rows = vector_rows()
     rows = [r for r in rows if r[0] != 1050]
     df = frame(spark, rows)
-    got = results(cover_tree.largest_products(df, queries_of(df), cover_tree.Search(cell_rows=60, first=2)))
+    got = results(cover_tree.largest_products(df, queries_of(df), cover_tree.Search(cell_rows=60, cell_queries=5, first=2)))
     x = np.floor(256 * np.array([v for _, v in good])).astype(np.int64)
     for q in range(0, 700, 50):
         s = x @ x[q]
@@ -111,34 +119,60 @@ def test_products_that_doubles_cannot_tell_apart(spark):
     # the later ids have the larger products: 2**60 + i, all the same double; and both ends of a long's range are passed
     good = [(0, [float(big), 1.0])] + [(i, [float(1 << 32), float(i)]) for i in range(1, 40)] + [(50, [-float(1 << 40), 0.0]), (60, [float(1 << 40), 3.0]), (61, [float(1 << 40), 7.0])]
     df = spark.createDataFrame(good, "vec_id long, embedding array<double>")
-    got = results(cover_tree.largest_products(df, queries_of(df), cover_tree.Search(scale=1.0, cell_rows=4, first=1)))
+    got = results(cover_tree.largest_products(df, queries_of(df), cover_tree.Search(scale=1.0, cell_rows=4, cell_queries=1, first=1)))
     for q, own in [g for g in good if g[0] % 50 == 0]:
         products = [(-sum(int(a) * int(b) for a, b in zip(own, v, strict=True)), i) for i, v in good if i != q]
         assert got[q] == [(i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for s, i in sorted(products)[:5]]
 
 
-def test_dual_tree_and_whole_numbers_agree():
+def in_order(q, v, found):
+    i, j, s = found
+    return [[(int(v.first_id[b]), int(c)) for a, b, c in zip(i, j, s, strict=True) if a == r] for r in np.argsort(q.order)]
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 30])
+def test_dual_tree_is_brute_force(scale):
     rng = np.random.default_rng(6)
-    q, v = rng.integers(-9, 9, (70, 5)).astype(float), rng.integers(-9, 9, (400, 5)).astype(float)
+    a, b = rng.integers(-9, 9, (70, 5)).astype(float) * scale, rng.integers(-9, 9, (400, 5)).astype(float) * scale
     ids = rng.permutation(400)
-    a, b = cover_tree.dual_tree(q, v, ids, 6), cover_tree.exact_top(q, v, ids, 6)
-    assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
-    few = cover_tree.dual_tree(q, v[:3], ids[:3], 6)
-    assert (few[0][:, 3:] == -1).all()
+    q, v = cover_tree.Tree.of(a, np.arange(70), 20), cover_tree.Tree.of(b, ids, 20)
+    assert v.root.children
+    products = a.astype(np.int64).astype(object) @ b.astype(np.int64).astype(object).T
+    wanted = [sorted(zip((-x for x in row), ids))[:6] for row in products.tolist()]
+    wanted = [[(int(i), int(-s)) for s, i in row] for row in wanted]
+    assert in_order(q, v, cover_tree.dual_tree(q, v, 6)) == wanted
+    least = np.array([wanted[i][3][1] for i in q.order], float)  # nothing below the fourth is wanted
+    got = in_order(q, v, cover_tree.dual_tree(q, v, 6, least))
+    assert all(g[:4] == w[:4] for g, w in zip(got, wanted, strict=True))
+    few = cover_tree.Tree.of(b[:3], ids[:3])
+    assert all(len(x) == 3 for x in in_order(q, few, cover_tree.dual_tree(q, few, 6)))
 
 
 def test_cover_tree_covers():
     x = np.random.default_rng(7).normal(size=(500, 4))
-    root, order = cover_tree.cover_tree(x)
-    todo = [root]
+    root, order = cover_tree.cover_tree(x, 40)
+    todo, leaves = [root], 0
     while todo:
         n = todo.pop()
         own = x[order[n.start : n.end]]
-        assert (np.linalg.norm(own - n.center, axis=1) <= n.radius + 1e-9).all()
+        assert (np.linalg.norm(own - n.center, axis=1) <= n.radius + 1e-9).all() and (np.linalg.norm(own, axis=1) <= n.largest + 1e-9).all()
         if n.children:
             assert sum(c.end - c.start for c in n.children) == n.end - n.start
+        leaves += not n.children
         todo += n.children
-    assert sorted(order.tolist()) == list(range(500))
+    assert sorted(order.tolist()) == list(range(500)) and 5 < leaves <= 500 / cover_tree.CHILD + 20
+
+
+def test_pairs_of_far_nodes_are_pruned():
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(20, 64)) * 32
+    near = np.floor(middles[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 64)))
+    far = np.floor(rng.normal(size=(2000, 64)) * 32)
+    for x, most in ((near, 0.3), (far, 1.0)):
+        counts = cover_tree.Counts()
+        tree = cover_tree.Tree.of(x, np.arange(len(x)))
+        cover_tree.dual_tree(cover_tree.Tree.of(x[:400], np.arange(400)), tree, 6, counts=counts)
+        assert counts.made <= most * counts.all
 
 
 def test_balanced_clusters():
