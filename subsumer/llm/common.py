@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,16 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table that was counted may be broadcast.
 BROADCAST_ROWS = 20_000
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it is unset, one of our own if the master is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -44,6 +49,13 @@ def small_join(df: DataFrame, side: DataFrame, on: list[str], how: str = "inner"
     return df.join(F.broadcast(side) if side.count() <= rows else side, on, how)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Sessions that leave the rows of an Arrow batch at Spark's 10,000 get BATCH_ROWS: texts of some kilobytes each, in both processes, are most of what a task holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_of(column: Column | str) -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

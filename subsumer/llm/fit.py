@@ -12,13 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, table
 
 #: Labelled documents that a classifier is fitted on, at most.
 SAMPLE_ROWS = 8192
 #: Files, and so partial sums, of a sample; rows of a batch that a task works on at a time.
-PARTS = 8
-ROWS = 256
+PARTS = 4
+ROWS = 64
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -35,6 +35,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("text", "y")
 
 

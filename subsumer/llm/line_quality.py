@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fit
-from .common import text_of
+from .common import bounded_batches, text_of
 
 #: The class of each byte.
 CLASSES = ("lower", "upper", "digit", "space", "stop", "mark", "bar", "symbol", "other")
@@ -248,6 +248,7 @@ def quality_score(model: LineQuality, docs: DataFrame, text: str = "text") -> Co
     Null counts as empty: one blank line. Long texts are read whole. Equal texts have equal scores, rows come back as
     often as they are, an empty table stays empty, and no column but the text is read.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

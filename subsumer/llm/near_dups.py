@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_join, table, text_of
+from .common import bounded_batches, small_join, table, text_of
 
 #: Ids up to which a counted table of ids alone may be broadcast (16 bytes a row).
 BROADCAST_IDS = 500_000
@@ -136,6 +136,7 @@ def sketched(docs: DataFrame, near: Near) -> DataFrame:
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield out.astype({"doc_id": "Int64"})
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")).mapInPandas(make, "doc_id long, n long, f1 long, f2 long, keys array<long>")
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import bounded_batches, text_of
 
 #: The mark that pieces have for a space; the types of pieces in a model file.
 MARK = "▁"
@@ -425,6 +425,7 @@ def encoded_rows(settings: Dropout, docs: DataFrame, copy: Column | None = None,
                 out = {"doc_id": part["doc_id"], "source": part["source"], "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))}
                 yield pa.RecordBatch.from_pydict(out | {"text": part["text"]} if with_text else out)
 
+    bounded_batches(docs.sparkSession)
     doc_id = F.col("doc_id").cast("long")
     rows = docs.select(doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), text_of("text").alias("text"), F.coalesce(doc_id, F.lit(0)).alias("key"), (F.lit(0) if copy is None else copy).cast("long").alias("copy"))
     return rows.mapInArrow(encode, "doc_id long, source string, ids array<int>" + ", text string" * with_text)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions_for, table, text_of
+from .common import bounded_batches, partitions_for, table, text_of
 
 MAGIC, BLOCK, PERCENTILE = b"PFB1", 128, 0.9
 #: The widths in bits; 4 offsets fill whole bytes up to 16 bits, 2 above.
@@ -291,6 +291,7 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int) -> Non
         if doc_ids:
             yield pd.DataFrame({"value": [frame(doc_ids, [len(x) // 4 for x in parts], np.frombuffer(b"".join(parts), np.uint32))]})
 
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     ordered = source.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_FRAMES).text(path)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fit
-from .common import text_of
+from .common import bounded_batches, text_of
 
 BITS = 19
 SIZE = 1 << BITS
@@ -112,7 +112,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", ro
     for_toxic, for_clean = WEIGHT * n / (2 * max(n_toxic, 1)), n / (2 * max(n - n_toxic, 1))
 
     def loss(z: np.ndarray) -> tuple[float, np.ndarray]:
-        sent = context.broadcast((z[:-1] * ratio, float(z[-1])))
+        sent = context.broadcast(((z[:-1] * ratio).astype(np.float32), float(z[-1])))
 
         def partial(batch: pd.DataFrame) -> np.ndarray:
             weights, bias = sent.value
@@ -128,7 +128,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", ro
         gradient = np.concatenate((total[:SIZE] * ratio + PENALTY * z[:-1], [total[SIZE]]))
         return total[-1] + PENALTY / 2 * (z[:-1] @ z[:-1]), gradient
 
-    z = fit.minimise(loss, np.zeros(SIZE + 1), evaluations=40)
+    z = fit.minimise(loss, np.zeros(SIZE + 1), memory=4)
     return Toxicity((z[:-1] * ratio).astype(np.float32), float(z[-1]))
 
 
@@ -139,6 +139,7 @@ def toxicity_score(model: Toxicity, docs: DataFrame, text: str = "text") -> Colu
     anything. Long texts are read whole, PIECE characters at a time. Equal texts have equal scores, rows come back as
     often as they are, an empty table stays empty, and no column but the text is read.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
