@@ -59,11 +59,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents that are labelled bad are drawn less, as in op3. Null sources are a source; texts without words are in no mix.
     """
-    known = _labels(spark, sf_dir).groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 0, 0.25).otherwise(1.0)).alias("_quality"))
+    known = _labels(spark, sf_dir).groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 0, 0.25).otherwise(1.0)).alias("_quality")).where("_quality < 1")
     # the mix's own columns stand beside those of documents
     own = [c for c in docs.columns if c != COPY]
     held = docs.select("doc_id", "source", "text", F.struct(*own).alias("_document"))
-    mixed = mixing.mix_sources(small_join(held, known, ["doc_id"], "left"), quality=F.col("_quality"))
+    mixed = mixing.mix_sources(small_join(held, known, ["doc_id"], "left", near_dups.BROADCAST_IDS), quality=F.col("_quality"))
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     return mixed.select("_document", F.posexplode(F.array_repeat(F.lit(1), times)).alias(COPY, "_one")).select("_document.*", COPY)
 

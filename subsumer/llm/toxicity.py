@@ -79,15 +79,27 @@ def _features(sample: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), fit.ROWS):
                 part = batch.iloc[at : at + fit.ROWS]
-                yield pd.DataFrame({"y": part["y"], "ids": [ngrams(t, places).tobytes() for t in part["text"]]})
+                yield pd.DataFrame({"y": part["y"], "ids": [packed(ngrams(t, places)) for t in part["text"]]})
 
     return fit.written(sample, make, "y double, ids binary", "ngrams")
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Ids in ascending order as the gaps between them, a byte each, behind a byte of 255 for each 255 of a gap."""
+    gaps = np.diff(np.sort(ids), prepend=0)
+    whole = gaps // 255
+    out = np.full(len(ids) + int(whole.sum()), 255, np.uint8)
+    out[np.cumsum(whole + 1) - 1] = gaps % 255
+    return out.tobytes()
+
+
 def _flat(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """All n-grams of a batch, and the row of each."""
-    ids = np.frombuffer(b"".join(batch["ids"]), np.int32)
-    return ids, np.repeat(np.arange(len(batch)), [len(x) // 4 for x in batch["ids"]])
+    sizes = np.fromiter(map(len, batch["ids"]), np.intp, len(batch))
+    gaps = np.frombuffer(b"".join(batch["ids"]), np.uint8)
+    sums = np.concatenate(([0], np.cumsum(gaps, dtype=np.int64)))
+    row, last = np.repeat(np.arange(len(batch)), sizes), gaps < 255
+    return (sums[1:] - sums[np.cumsum(sizes) - sizes][row])[last], row[last]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = fit.SAMPLE_ROWS) -> Toxicity:

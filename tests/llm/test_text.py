@@ -5,6 +5,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -269,6 +270,41 @@ def test_long_texts_have_the_same_ngrams(monkeypatch):
     assert set(toxicity.ngrams(text, np.zeros(toxicity.SIZE, np.int32)).tolist()) == whole
 
 
+def test_packed_ids_come_back():
+    rng = np.random.default_rng(4)
+    rows = [np.zeros(0, np.int32), np.array([0], np.int32), np.array([254, 255, 510, 0, toxicity.SIZE - 1], np.int32)]
+    rows += [rng.choice(toxicity.SIZE, n, replace=False).astype(np.int32) for n in (1, 50, 5000)]
+    ids, row = toxicity._flat(pd.DataFrame({"ids": [toxicity.packed(x) for x in rows]}))
+    assert all(ids[row == i].tolist() == sorted(x.tolist()) for i, x in enumerate(rows))
+
+
+def test_weights_are_those_of_a_plain_fit(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit_toxicity(docs, labels)
+    known = {r["doc_id"]: r["toxic"] for r in labels.where("toxic is not null").collect()}
+    rows = [(r["text"], known[r["doc_id"]]) for r in docs.collect() if r["text"] is not None and r["doc_id"] in known and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    places = np.zeros(toxicity.SIZE, np.int32)
+    x, y = [np.unique(toxicity.ngrams(t, places)) for t, _ in rows], np.array([v for _, v in rows], float)
+    p, q = np.ones(toxicity.SIZE), np.ones(toxicity.SIZE)
+    for own, v in zip(x, y, strict=True):
+        (p if v else q)[own] += 1
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    ratio[p + q - 2 < toxicity.LEAST_DOCS] = 0
+    assert (model.weights[ratio == 0] == 0).all()
+    own = np.where(y > 0, toxicity.WEIGHT * len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    # the gradient of the penalised loss is near 0 where the fit ended
+    used = np.flatnonzero(ratio)
+    z = np.zeros(toxicity.SIZE)
+    z[used] = model.weights[used] / ratio[used]
+    raw = np.array([(z * ratio)[i].sum() for i in x]) + model.bias
+    error = own * (1 / (1 + np.exp(-raw)) - y) / len(y)
+    gradient = toxicity.PENALTY * z
+    for e, i in zip(error, x, strict=True):
+        gradient[i] += e * ratio[i]
+    start = np.abs(sum(o * (0.5 - v) / len(y) * np.bincount(i, minlength=toxicity.SIZE) for o, v, i in zip(own, y, x, strict=True)) * ratio).max()
+    assert np.abs(gradient).max() < 0.02 * start
+
+
 def test_quality(spark):
     docs, labels = labelled(spark)
     model = line_quality.fit_quality(docs, labels)
