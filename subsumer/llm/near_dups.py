@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     Texts with equal sets are one class, found by a fingerprint of 128 bits; the smallest doc_id stands for it.
     Class representatives that share a band are compared on their whole sets with the smallest id of the band and a
     second one; then, over all bands that still hold several components, an exact join of prefixes finds what links
-    different components, so none is lost. Null texts are empty; texts without words are
+    different components. What is lost are pairs that share no band at all (see Near for how likely that is). Null texts are empty; texts without words are
     linked with nothing. Rows with equal doc_id are one document that is linked as each of them. Rows with a
     null doc_id are linked with nothing: component_id is null and kept false. Other columns are ignored.
     """
