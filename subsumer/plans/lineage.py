@@ -35,16 +35,24 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 class Growing:
-    """A set of rows that grows by written deltas, each read from its own files."""
+    """A set of rows that grows by written deltas, each read from its own files; every MOST_PATHS of them become one."""
+
+    MOST_PATHS = 16
 
     def __init__(self, like: DataFrame, name: str) -> None:
         self.spark, self.schema, self.name, self.paths = like.sparkSession, like.schema, name, []
 
     def add(self, delta: DataFrame) -> DataFrame:
-        path = new_path(self.spark, self.name)
-        delta.write.parquet(path)
+        if len(self.paths) >= self.MOST_PATHS:
+            self.paths = [self._write(self.all())]
+        path = self._write(delta)
         self.paths.append(path)
         return self.spark.read.schema(self.schema).parquet(path)
 
+    def _write(self, df: DataFrame) -> str:
+        path = new_path(self.spark, self.name)
+        df.write.parquet(path)
+        return path
+
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*self.paths) if self.paths else self.spark.createDataFrame([], self.schema)

@@ -1,8 +1,10 @@
 """The least fixpoint of the completion rules, by semi-naive rounds of joins.
 
-S(c, d): d subsumes c. R(c, r, d): every c has an r-link to a d. Each round joins what was new in the last one with
-all facts and the axioms; new facts are made distinct and anti-joined with what is known. Rules without axioms
-are left out of the plan. All joins are plain equi-joins: sizes decide how Spark runs them, and AQE splits hot keys.
+S(c, d): d subsumes c. R(c, r, d): every c has an r-link to a d. NF1 is closed first, by paths of twice the length each
+round; every fact that other rules add brings its closure along, so CR1 needs no rounds of its own. Each round joins what
+was new in the last one with all facts and the axioms; new facts are made distinct and anti-joined with what is known.
+Rules without axioms are left out of the plan. Top's facts are added at the end unless an axiom starts from top. All joins
+are plain equi-joins: sizes decide how Spark runs them, and AQE splits hot keys.
 """
 
 from __future__ import annotations
@@ -53,18 +55,44 @@ def _union(parts: list[DataFrame]) -> DataFrame | None:
     return out
 
 
+def closed(nf1: DataFrame) -> DataFrame:
+    """(sub, sup): the transitive closure less each concept itself. A path of l steps is found by round log2(l)."""
+    paths = Growing(nf1, "paths")
+    new = paths.add(nf1.where("sub <> sup").distinct())
+    while new.head(1):
+        known = paths.all()
+        beyond = new.join(known.select(F.col("sub").alias("sup"), F.col("sup").alias("_end")), "sup").select("sub", F.col("_end").alias("sup"))
+        new = paths.add(beyond.where("sub <> sup").distinct().join(known, ["sub", "sup"], "left_anti"))
+    return paths.all()
+
+
+def _starts_from(value: object, *columns: DataFrame | None) -> bool:
+    """Whether the value is in one of these tables of one column."""
+    found = _union([c.toDF("id") for c in columns if c is not None])
+    return found is not None and bool(found.where(F.col("id") == F.lit(value)).head(1))
+
+
 def saturate(concepts: DataFrame, axioms: Axioms, *, top: object = 0, bottom: object = 1, most_rounds: int = 10_000) -> Saturated:
     """S and R for concepts (id) and their axioms.
 
     concepts should hold every id that axioms name, top and bottom included: each starts with itself and top. Role ids and
-    concept ids are apart. CR5 is complete: bottom spreads back along links whichever comes first.
+    concept ids are apart. CR5 is complete: bottom spreads back along links whichever comes first. Rounds are
+    those after the closure of NF1, the last, which finds nothing, included.
     """
     nf1, nf3, nf4, nf5, nf6 = (_held(getattr(axioms, n), n) for n in ("nf1", "nf3", "nf4", "nf5", "nf6"))
     nf2 = _held(symmetric(axioms.nf2) if axioms.nf2 is not None else None, "nf2")
-    ids = concepts.select(F.col("id").alias("c"))
-    start = ids.select("c", F.col("c").alias("d")).union(ids.select("c", F.lit(top).cast(ids.schema["c"].dataType).alias("d"))).distinct()
+    spark, kind = concepts.sparkSession, concepts.schema["id"].dataType
+    ids = written(concepts.select(F.col("id").alias("c")).distinct(), "ids")
+    tops = ids.select("c", F.lit(top).cast(kind).alias("d"))
+    apart = not _starts_from(top, *(df.select(c) if df is not None else None for df, c in ((nf1, "sub"), (nf2, "l"), (nf3, "sub"), (nf4, "fill"))))
+    start = ids.select("c", F.col("c").alias("d"))
+    if not apart:
+        start = start.union(tops)
+    if nf1 is not None:
+        nf1 = closed(nf1.where(F.col("sup") != F.lit(top)) if apart else nf1)
+        start = start.union(start.join(nf1, start.d == nf1["sub"]).select("c", F.col("sup").alias("d")))
     s_all = Growing(start, "subsumers")
-    ds = s_all.add(start)
+    ds: DataFrame | None = s_all.add(start.distinct())
     no_links = None
     if nf3 is not None:
         no_links = nf3.select(F.col("sub").alias("c"), F.col("role").alias("r"), F.col("fill").alias("d"))
@@ -77,8 +105,6 @@ def saturate(concepts: DataFrame, axioms: Axioms, *, top: object = 0, bottom: ob
         r = r_all.all() if r_all is not None and r_all.paths else None
         new_s, new_r = [], []
         if ds is not None:
-            if nf1 is not None:  # CR1
-                new_s.append(ds.join(nf1, ds.d == nf1["sub"]).select("c", F.col("sup").alias("d")))
             if nf2 is not None:  # CR2: one order is enough, both are stored
                 half = ds.join(nf2, ds.d == nf2.l).select(F.col("c"), F.col("r").alias("d"), "sup")
                 new_s.append(half.join(s, ["c", "d"]).select("c", F.col("sup").alias("d")))
@@ -89,14 +115,14 @@ def saturate(concepts: DataFrame, axioms: Axioms, *, top: object = 0, bottom: ob
                 new_s.append(half.join(r, ["r", "d"]).select("c", F.col("sup").alias("d")))
             if r is not None:  # CR5 backward
                 dead = ds.where(F.col("d") == F.lit(bottom)).select(F.col("c").alias("d"))
-                new_s.append(r.join(dead, "d", "left_semi").select("c", F.lit(bottom).cast(ids.schema["c"].dataType).alias("d")))
+                new_s.append(r.join(dead, "d", "left_semi").select("c", F.lit(bottom).cast(kind).alias("d")))
         if dr is not None:
             if nf4 is not None:  # CR4 forward
                 half = dr.join(nf4, dr.r == nf4.role).select("c", F.col("d").alias("t"), "fill", "sup")
                 t = s.select(F.col("c").alias("t"), F.col("d").alias("fill"))
                 new_s.append(half.join(t, ["t", "fill"]).select("c", F.col("sup").alias("d")))
             dead = s.where(F.col("d") == F.lit(bottom)).select(F.col("c").alias("d"))  # CR5 forward
-            new_s.append(dr.join(dead, "d", "left_semi").select("c", F.lit(bottom).cast(ids.schema["c"].dataType).alias("d")))
+            new_s.append(dr.join(dead, "d", "left_semi").select("c", F.lit(bottom).cast(kind).alias("d")))
             if nf5 is not None:  # CR10
                 new_r.append(dr.join(nf5, dr.r == nf5["sub"]).select("c", F.col("sup").alias("r"), "d"))
             if nf6 is not None and r is not None:  # CR11, with the new link behind and before
@@ -109,7 +135,15 @@ def saturate(concepts: DataFrame, axioms: Axioms, *, top: object = 0, bottom: ob
         next_s, next_r = _union(new_s), _union(new_r)
         ds = dr = None
         if next_s is not None:
-            ds = s_all.add(next_s.distinct().join(s, ["c", "d"], "left_anti"))
+            fresh = next_s.distinct()
+            if apart:
+                fresh = fresh.where(F.col("d") != F.lit(top))
+            fresh = fresh.join(s, ["c", "d"], "left_anti")
+            if nf1 is not None:  # CR1
+                fresh = written(fresh, "fresh")
+                above = fresh.join(nf1, fresh.d == nf1["sub"]).select("c", F.col("sup").alias("d"))
+                fresh = fresh.union(above.distinct().join(s, ["c", "d"], "left_anti")).distinct()
+            ds = s_all.add(fresh)
             ds = ds if ds.head(1) else None
         if next_r is not None:
             fresh = next_r.distinct()
@@ -117,6 +151,9 @@ def saturate(concepts: DataFrame, axioms: Axioms, *, top: object = 0, bottom: ob
             dr = dr if dr.head(1) else None
         if ds is None and dr is None:
             break
-    spark = concepts.sparkSession
-    links = r_all.all() if r_all is not None else spark.createDataFrame([], f"c {ids.schema['c'].dataType.simpleString()}, r string, d {ids.schema['c'].dataType.simpleString()}")
-    return Saturated(s_all.all(), links, rounds)
+    name = kind.simpleString()
+    links = r_all.all() if r_all is not None else spark.createDataFrame([], f"c {name}, r string, d {name}")
+    subsumers = s_all.all()
+    if apart:
+        subsumers = subsumers.union(tops.where(F.col("c") != F.col("d")))
+    return Saturated(subsumers, links, rounds)

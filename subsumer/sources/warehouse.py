@@ -13,6 +13,12 @@ def name(kind: str, key: Column | str) -> Column:
     return F.concat(F.lit(kind + ":"), (F.col(key) if isinstance(key, str) else key).cast("string"))
 
 
+def literal(spark: SparkSession, columns: str, *rows: tuple[str, ...]) -> DataFrame:
+    """A few rows of strings, made in one task without a Python worker."""
+    named = [F.struct(*(F.lit(v).alias(c) for c, v in zip(columns.split(), row, strict=True))) for row in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*named)))
+
+
 class Warehouse:
     """Axioms of the tables under a folder. Axioms that no table holds are literals below: classes of customers by
     region (defined through links), disjoint customers and suppliers, and one entity that is both."""
@@ -32,7 +38,7 @@ class Warehouse:
             nation.select(name("NATION", "n_nationkey"), name("REGION", "n_regionkey")),
             part.select(name("PART", "p_partkey"), name("BRAND", "p_brand")),
             part.where("p_partkey > 0").select(name("PART", "p_partkey"), name("PART", F.floor(F.col("p_partkey") / 3))),
-            self.spark.createDataFrame([("BOTH", "CUSTOMER"), ("BOTH", "SUPPLIER")], "sub string, sup string"),
+            literal(self.spark, "sub sup", ("BOTH", "CUSTOMER"), ("BOTH", "SUPPLIER")),
         ]
         out = told[0].toDF("sub", "sup")
         for t in told[1:]:
@@ -42,7 +48,7 @@ class Warehouse:
     def nf2(self) -> DataFrame:
         """Customers in a region's class are its customers; customers and suppliers are disjoint."""
         by_region = self.table("region").select(F.lit("CUSTOMER").alias("l"), name("IN", "r_regionkey").alias("r"), name("CUST_IN", "r_regionkey").alias("sup"))
-        return by_region.union(self.spark.createDataFrame([("CUSTOMER", "SUPPLIER", BOTTOM)], "l string, r string, sup string"))
+        return by_region.union(literal(self.spark, "l r sup", ("CUSTOMER", "SUPPLIER", BOTTOM)))
 
     def nf3(self) -> DataFrame:
         customer, supplier, nation, orders = map(self.table, ("customer", "supplier", "nation", "orders"))
@@ -51,7 +57,7 @@ class Warehouse:
             customer.select(name("CUST", "c_custkey"), F.lit("located_in"), name("NATION", "c_nationkey")),
             supplier.select(name("SUPP", "s_suppkey"), F.lit("located_in"), name("NATION", "s_nationkey")),
             nation.select(name("NATION", "n_nationkey"), F.lit("located_in"), name("REGION", "n_regionkey")),
-            self.spark.createDataFrame([("HOLDER", "holds", "BOTH"), ("HOLDER2", "holds", "HOLDER")], "sub string, role string, fill string"),
+            literal(self.spark, "sub role fill", ("HOLDER", "holds", "BOTH"), ("HOLDER2", "holds", "HOLDER")),
         ]
         out = told[0].toDF("sub", "role", "fill")
         for t in told[1:]:
@@ -62,18 +68,17 @@ class Warehouse:
         return self.table("region").select(F.lit("located_in").alias("role"), name("REGION", "r_regionkey").alias("fill"), name("IN", "r_regionkey").alias("sup"))
 
     def nf5(self) -> DataFrame:
-        return self.spark.createDataFrame([("located_in", "related_to")], "sub string, sup string")
+        return literal(self.spark, "sub sup", ("located_in", "related_to"))
 
     def nf6(self) -> DataFrame:
-        return self.spark.createDataFrame([("located_in", "located_in", "located_in"), ("placed_by", "located_in", "ordered_from")], "r1 string, r2 string, sup string")
+        return literal(self.spark, "r1 r2 sup", ("located_in", "located_in", "located_in"), ("placed_by", "located_in", "ordered_from"))
 
     def concepts(self) -> DataFrame:
         """(id): every name in an axiom, and the reserved ones."""
-        nf1, nf2, nf3, nf4 = self.nf1(), self.nf2(), self.nf3(), self.nf4()
-        names = nf1.select("sub").union(nf1.select("sup")).union(nf2.select("l")).union(nf2.select("r")).union(nf2.select("sup"))
-        names = names.union(nf3.select("sub")).union(nf3.select("fill")).union(nf4.select("fill")).union(nf4.select("sup"))
-        reserved = self.spark.createDataFrame([(TOP,), (BOTTOM,)], "id string")
-        return names.toDF("id").union(reserved).distinct()
+        names = literal(self.spark, "id", (TOP,), (BOTTOM,))
+        for axioms, columns in ((self.nf1(), ("sub", "sup")), (self.nf2(), ("l", "r", "sup")), (self.nf3(), ("sub", "fill")), (self.nf4(), ("fill", "sup"))):
+            names = names.union(axioms.select(F.explode(F.array(*columns))))
+        return names.distinct()
 
     def axioms(self) -> Axioms:
         return Axioms(self.nf1(), self.nf2(), self.nf3(), self.nf4(), self.nf5(), self.nf6())

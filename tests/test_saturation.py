@@ -83,3 +83,16 @@ def test_direct_parents(spark):
 def test_no_axioms(spark):
     out, _ = check(spark, range(3))
     assert out.rounds == 1
+
+
+def test_axioms_that_start_from_top(spark):
+    check(spark, range(6), nf1=[(TOP, 2), (2, 3), (4, TOP)], nf2=[(TOP, 4, 5)], nf3=[(TOP, 0, 4)], nf4=[(0, TOP, 3)])
+    check(spark, range(6), nf1=[(2, TOP), (3, 2)], nf3=[(2, 0, 3)], nf4=[(0, 3, 4)])
+
+
+def test_deep_ladder_closes_in_few_rounds(spark):
+    from subsumer.plans.saturation import closed
+
+    edges = [(i, i + 1) for i in range(40)] + [(40, 38), (7, 7)]
+    found = {tuple(x) for x in closed(spark.createDataFrame(edges, "sub long, sup long")).collect()}
+    assert found == {(a, b) for a in range(41) for b in range(41) if a != b and (b > a or min(a, b) >= 38)}
