@@ -72,6 +72,14 @@ def _unpacked(rows: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(len(rows), BLOCK)
 
 
+def _exceptions(starts: np.ndarray, widths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the place and the full offset of each exception stand, block by block."""
+    ends = np.cumsum(counts)
+    nth = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+    first = np.repeat(starts + 6 + 16 * widths, counts)
+    return first + nth, first + np.repeat(counts, counts) + 4 * nth
+
+
 def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     """Block starts and the bytes of all blocks."""
     n = -(-len(ids) // BLOCK)
@@ -99,11 +107,10 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
         rows = np.flatnonzero(widths == width)
         if width:
             body[starts[rows][:, None] + 6 + np.arange(16 * width)] = _packed(kept[rows], int(width))
-    for row in np.flatnonzero(counts):
-        at = starts[row] + 6 + 16 * widths[row]
-        places = np.flatnonzero(out_of[row]).astype(np.uint8)
-        body[at : at + len(places)] = places
-        body[at + len(places) : at + 5 * len(places)] = offsets[row, places].astype("<u4").view(np.uint8)
+    rows, places = np.nonzero(out_of)
+    at, full = _exceptions(starts, widths, counts)
+    body[at] = places
+    body[full[:, None] + np.arange(4)] = offsets[rows, places].astype("<u4").view(np.uint8).reshape(-1, 4)
     return starts.astype("<u4"), body.tobytes()
 
 
@@ -116,9 +123,8 @@ def decode_blocks(starts: np.ndarray, body: bytes, n_ids: int) -> np.ndarray:
     for width in np.unique(widths):
         rows = np.flatnonzero(widths == width)
         out[rows] = _unpacked(data[starts[rows][:, None] + 6 + np.arange(16 * width)], int(width))
-    for row in np.flatnonzero(counts):
-        at, k = starts[row] + 6 + 16 * widths[row], counts[row]
-        out[row, data[at : at + k]] = data[at + k : at + 5 * k].view("<u4")
+    at, full = _exceptions(starts, widths, counts)
+    out[np.repeat(np.arange(n), counts), data[at]] = np.ascontiguousarray(data[full[:, None] + np.arange(4)]).view("<u4").ravel()
     return (out + low[:, None]).reshape(-1)[:n_ids]
 
 
