@@ -25,6 +25,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -274,6 +275,20 @@ class WordTokenizer:
 # --- Spark ----------------------------------------------------------------------------------------------------
 
 
+def in_ranges(docs: DataFrame) -> DataFrame:
+    """docs (doc_id long, ...) in partitions by ascending ranges of doc_id, null first, each sorted by all columns.
+
+    The bounds are quantiles of doc_id alone, so that texts are read once; repartitionByRange would read them for its sample.
+    Equal ids share a partition.
+    """
+    n = partitions_for(docs)
+    least = docs.select(F.percentile_approx(F.col("doc_id").cast("double"), [i / n for i in range(1, n)], 100 * n)).head()[0]
+    bounds = sorted(set(least or [0.0]))
+    place = Bucketizer(splits=[-np.inf, *bounds, np.inf], inputCol="_at", outputCol="_range")
+    placed = place.transform(docs.withColumn("_at", F.coalesce(F.col("doc_id").cast("double"), F.lit(-np.inf))))
+    return placed.repartitionById(len(bounds) + 1, F.col("_range").cast("int")).select(*docs.columns).sortWithinPartitions(*docs.columns)
+
+
 def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int) -> None:
     """Writes the ids of docs (doc_id, text) under path: tokenizer's ids of the whole text, then end_id, for each row.
 
@@ -299,8 +314,7 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int) -> Non
 
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
-    ordered = source.repartitionByRange(partitions_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_FRAMES).text(path)
+    in_ranges(source).mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_FRAMES).text(path)
 
 
 def read_ids(spark: SparkSession, path: str, *, digest_only: bool = False) -> DataFrame:

@@ -179,3 +179,16 @@ def test_balanced_clusters():
     found = vectors.balanced_clusters(np.random.default_rng(8).normal(size=(1000, 4)), 16)
     assert sorted(np.concatenate(found).tolist()) == list(range(1000))
     assert max(map(len, found)) - min(map(len, found)) <= 2
+
+
+def test_ranges_of_ids(spark):
+    from subsumer.llm.token_blocks import in_ranges
+
+    ids = [None, None, -(2**63), 2**63 - 1, 2**63 - 2, *range(50), *[7] * 30]
+    df = spark.createDataFrame([(x, str(i)) for i, x in enumerate(ids)], "doc_id long, text string")
+    rows = in_ranges(df).withColumn("at", F.spark_partition_id()).collect()
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"])
+    assert len(rows) == len(ids) and rows == sorted(rows, key=key)
+    assert len({r["at"] for r in rows}) > 2
+    assert in_ranges(df.where("false")).count() == 0
+    assert in_ranges(df.where("doc_id is null")).count() == 2
