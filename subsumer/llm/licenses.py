@@ -40,6 +40,51 @@ NOTICES = (
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
+#: Whole license texts, and their labels.
+BODIES = (
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense "
+        "and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any "
+        "claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software "
+        "or the use or other dealings in the software",
+        "mit",
+    ),
+    (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the "
+        "documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is "
+        "and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular "
+        "purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary "
+        "or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business "
+        "interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+        "arising in any way out of the use of this software even if advised of the possibility of such damage",
+        "bsd-2-clause",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+        "copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with "
+        "regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any "
+        "special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action "
+        "of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "isc",
+    ),
+    (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising "
+        "from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to "
+        "alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must "
+        "not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be "
+        "appreciated but is not required altered source versions must be plainly marked as such and must not be misrepresented as being the original "
+        "software this notice may not be removed or altered from any source distribution",
+        "zlib",
+    ),
+)
+#: Places of a template whose votes are the bits of one long; longer templates have several sections.
+SECTION = 60
 #: Ids up to which a counted table of row keys may be broadcast.
 BROADCAST_KEYS = 500_000
 #: A place of the join that every row passes once, for its own sake.
@@ -52,7 +97,7 @@ class Scan:
     notice's words that a span must hold; votes: share of its runs that must hit before a span is verified."""
 
     phrases: tuple[tuple[str, str], ...] = PHRASES
-    notices: tuple[tuple[str, str], ...] = NOTICES
+    notices: tuple[tuple[str, str], ...] = NOTICES + BODIES
     phrase_words: int = 2
     notice_words: int = 3
     gap: int = 3
@@ -63,7 +108,7 @@ class Scan:
         """(number, is a phrase, label, words)."""
         rows = [(True, label, words.split()) for words, label in self.phrases] + [(False, label, words.split()) for words, label in self.notices]
         for phrase, label, words in rows:
-            if not (self.phrase_words if phrase else self.notice_words) <= len(words) <= 60:
+            if len(words) < (self.phrase_words if phrase else self.notice_words):
                 raise ValueError(f"the template of {label} has {len(words)} words")
         return [(i, *row) for i, row in enumerate(rows)]
 
@@ -111,21 +156,25 @@ def license_spans(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
     first = F.greatest(n - scan.phrase_words + 1, F.lit(0))
     place = F.when(F.col("at") <= first, F.col("at") - 1).otherwise(F.col("at") - 1 - first)
     hits = rolled.join(F.broadcast(grams), "gram")
-    # a bit for each place of the template, so that repeated rows count once; the rows themselves are counted
-    votes = hits.groupBy("k1", "k2", "template", F.when(F.col("template") == EVERY_ROW, 0).otherwise(place - F.col("place")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"), F.count("*").alias("copies"), F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words")
+    # a bit for each place of a template's section, so that repeated rows count once; the rows themselves are counted
+    diagonal = F.when(F.col("template") == EVERY_ROW, 0).otherwise(place - F.col("place"))
+    votes = hits.groupBy("k1", "k2", "template", diagonal.alias("diagonal"), F.floor(F.col("place") / SECTION).alias("section")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, place % {SECTION})")).alias("mask"), F.count("*").alias("copies"), F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words")
     )
     votes = table(votes, "votes")
     rows = votes.where(F.col("template") == EVERY_ROW).select("k1", "k2", "doc_id", F.col("n_words").cast("long").alias("n_words"), "copies")
 
     known = F.broadcast(templates)
-    cast = votes.where(F.col("template") != EVERY_ROW).select("k1", "k2", "template", "diagonal", "mask").join(known, "template")
-    phrases = cast.where(F.col("phrase") & (F.bit_count("mask") == F.col("runs"))).select("k1", "k2", "template", F.array("diagonal").alias("diagonals"))
+    cast = votes.where(F.col("template") != EVERY_ROW).select("k1", "k2", "template", "diagonal", "section", "mask").join(known.drop("words"), "template")
+    hit = F.sum(F.bit_count("mask")).alias("hit")
+    phrases = cast.where("phrase").groupBy("k1", "k2", "template", "diagonal").agg(hit, F.first("runs").alias("runs"))
+    phrases = phrases.where("hit = runs").select("k1", "k2", "template", F.array("diagonal").alias("diagonals"))
     by_diagonal = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > scan.gap).cast("int"), F.lit(0))
     merged = cast.where(~F.col("phrase")).withColumn("apart", apart).withColumn("span", F.sum("apart").over(by_diagonal))
-    merged = merged.groupBy("k1", "k2", "template", "span").agg(F.bit_or("mask").alias("mask"), F.first("runs").alias("runs"), F.collect_list("diagonal").alias("diagonals"))
-    notices = merged.where(F.bit_count("mask") >= scan.votes * F.col("runs")).select("k1", "k2", "template", "diagonals")
+    merged = merged.groupBy("k1", "k2", "template", "span", "section").agg(F.bit_or("mask").alias("mask"), F.first("runs").alias("runs"), F.collect_set("diagonal").alias("diagonals"))
+    merged = merged.groupBy("k1", "k2", "template", "span").agg(hit, F.first("runs").alias("runs"), F.array_distinct(F.flatten(F.collect_list("diagonals"))).alias("diagonals"))
+    notices = merged.where(F.col("hit") >= scan.votes * F.col("runs")).select("k1", "k2", "template", "diagonals")
     spans = phrases.union(notices).groupBy("k1", "k2").agg(F.collect_list(F.struct("template", "diagonals")).alias("found"))
     spans = table(spans, "spans")
 

@@ -130,6 +130,45 @@ def test_licenses(spark):
     assert licenses.license_spans(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def plain_labels(words, scan=licenses.Scan()):
+    """What votes on diagonals, merged and verified word by word, find in a text."""
+    found = []
+    for _, phrase, label, template in scan.templates():
+        k = scan.phrase_words if phrase else scan.notice_words
+        votes = {}
+        for i in range(len(words) - k + 1):
+            for j in range(len(template) - k + 1):
+                if words[i : i + k] == template[j : j + k]:
+                    votes.setdefault(i - j, set()).add(j)
+        spans = []
+        for d in sorted(votes):
+            if spans and not phrase and d - spans[-1][-1] <= scan.gap:
+                spans[-1].append(d)
+            else:
+                spans.append([d])
+        for span in spans:
+            hit = len(set().union(*(votes[d] for d in span)))
+            there = [i for i, w in enumerate(template) if any(0 <= d + i < len(words) and words[d + i] == w for d in span)]
+            if hit >= (1 if phrase else scan.votes) * (len(template) - k + 1) and len(there) >= (1 if phrase else scan.least) * len(template):
+                found.append((phrase, label, min(span) + there[0], max(span) + there[-1] + 1, len(there) / len(template)))
+    better = lambda s: any(not o[0] and o[4] > s[4] and o[2] < s[3] and s[2] < o[3] for o in found)
+    return {s for s in found if s[0] or s[4] == 1 or not better(s)}
+
+
+def test_license_texts_of_any_length(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i, (body, _) in enumerate((*licenses.BODIES, *licenses.NOTICES)):
+        words = body.split()
+        edited = [w if rng.random() > 0.03 else f"{w} more" for w in words]
+        rows += [(10 * i, f"Start: {body}.\n{body}", "s"), (10 * i + 1, " ".join(edited).upper(), "s"), (10 * i + 2, " ".join(words[: len(words) // 2]), "s"), (10 * i + 3, " ".join(rng.permutation(words)), "s")]
+    got = {r["doc_id"]: {(s["phrase"], s["label"], s["start"], s["end"], s["coverage"]) for s in r["spans"]} for r in licenses.license_spans(docs_of(spark, rows)).collect()}
+    assert got == {i: plain_labels(re.findall("[a-z0-9]+", text.lower())) for i, text, _ in rows}
+    for i, (_, label) in enumerate(licenses.BODIES):
+        assert label in {s[1] for s in got[10 * i]} and label in {s[1] for s in got[10 * i + 1]}
+        assert all(s[1] != label or s[3] - s[2] < 60 for s in got[10 * i + 2])  # half a text is at most a notice
+
+
 def near_rows():
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in range(60)]
