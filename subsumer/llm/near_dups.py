@@ -209,9 +209,10 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def star(pairs: DataFrame) -> DataFrame:
-        """For each u, its neighbours v are linked to the smallest m of them and u, in rows (v, m)."""
+        """(u, v, m): for each u and neighbour v the smallest m of u and its neighbours. m is summed up before the
+        shuffle and written, so that a hub's rows stay where they are (broadcast) or are split (AQE's skew join)."""
         least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        return pairs.join(least, "u")
+        return small_join(pairs, least, ["u"], rows=BROADCAST_IDS)
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
