@@ -1,13 +1,19 @@
-"""Cuts in the lineage of iterative plans, in the folder that the cluster shares."""
+"""Cuts in the lineage of iterative plans, in the folder that the cluster shares, and jobs that run side by side."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names; where there is none, one of our own if the master is local."""
@@ -34,6 +40,12 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(spark: SparkSession, *jobs: Callable[[], T]) -> list[T]:
+    """What the jobs return; each starts from a thread of its own, so that Spark runs one while it plans another."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
 class Growing:
     """A set of rows that grows by written deltas, each read from its own files; every MOST_PATHS of them become one."""
 

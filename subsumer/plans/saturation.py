@@ -3,18 +3,19 @@
 S(c, d): d subsumes c. R(c, r, d): every c has an r-link to a d. NF1 is closed first, by paths of twice the length each
 round; every fact that other rules add brings its closure along, so CR1 needs no rounds of its own. Each round joins what
 was new in the last one with all facts and the axioms; new facts are made distinct and anti-joined with what is known.
-Rules without axioms are left out of the plan. Top's facts are added at the end unless an axiom starts from top. All joins
+Rules without axioms are left out of the plan. New facts and new links of a round are found by jobs side by side. Top's facts are added at the end unless an axiom starts from top. All joins
 are plain equi-joins: sizes decide how Spark runs them, and AQE splits hot keys.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import Growing, written
+from .lineage import Growing, together, written
 
 
 @dataclass(frozen=True)
@@ -72,6 +73,31 @@ def _starts_from(value: object, *columns: DataFrame | None) -> bool:
     return found is not None and bool(found.where(F.col("id") == F.lit(value)).head(1))
 
 
+def _more_facts(found: DataFrame | None, known: DataFrame, all_facts: Growing, nf1: DataFrame | None, but: object | None) -> DataFrame | None:
+    """What is new among the facts found, none with d = but, and what the closed nf1 has above it (CR1); None if nothing is."""
+    if found is None:
+        return None
+    fresh = found.distinct()
+    if but is not None:
+        fresh = fresh.where(F.col("d") != F.lit(but))
+    fresh = all_facts.add(fresh.join(known, ["c", "d"], "left_anti"))
+    if not fresh.head(1):
+        return None
+    if nf1 is None:
+        return fresh
+    above = fresh.join(nf1, fresh.d == nf1["sub"]).select("c", F.col("sup").alias("d")).distinct()
+    return fresh.union(all_facts.add(above.join(known, ["c", "d"], "left_anti").join(fresh, ["c", "d"], "left_anti")))
+
+
+def _more_links(found: DataFrame | None, known: DataFrame | None, all_links: Growing | None) -> DataFrame | None:
+    """What is new among the links found; None if nothing is."""
+    if found is None:
+        return None
+    fresh = found.distinct()
+    fresh = all_links.add(fresh.join(known, ["c", "r", "d"], "left_anti") if known is not None else fresh)
+    return fresh if fresh.head(1) else None
+
+
 def saturate(concepts: DataFrame, axioms: Axioms, *, top: object = 0, bottom: object = 1, most_rounds: int = 10_000) -> Saturated:
     """S and R for concepts (id) and their axioms.
 
@@ -79,10 +105,14 @@ def saturate(concepts: DataFrame, axioms: Axioms, *, top: object = 0, bottom: ob
     concept ids are apart. CR5 is complete: bottom spreads back along links whichever comes first. Rounds are
     those after the closure of NF1, the last, which finds nothing, included.
     """
-    nf1, nf3, nf4, nf5, nf6 = (_held(getattr(axioms, n), n) for n in ("nf1", "nf3", "nf4", "nf5", "nf6"))
-    nf2 = _held(symmetric(axioms.nf2) if axioms.nf2 is not None else None, "nf2")
     spark, kind = concepts.sparkSession, concepts.schema["id"].dataType
-    ids = written(concepts.select(F.col("id").alias("c")).distinct(), "ids")
+    pairs = symmetric(axioms.nf2) if axioms.nf2 is not None else None
+    held = {"nf1": axioms.nf1, "nf2": pairs, "nf3": axioms.nf3, "nf4": axioms.nf4, "nf5": axioms.nf5, "nf6": axioms.nf6}
+    ids, nf1, nf2, nf3, nf4, nf5, nf6 = together(
+        spark,
+        partial(written, concepts.select(F.col("id").alias("c")).distinct(), "ids"),
+        *(partial(_held, df, n) for n, df in held.items()),
+    )
     tops = ids.select("c", F.lit(top).cast(kind).alias("d"))
     apart = not _starts_from(top, *(df.select(c) if df is not None else None for df, c in ((nf1, "sub"), (nf2, "l"), (nf3, "sub"), (nf4, "fill"))))
     start = ids.select("c", F.col("c").alias("d"))
@@ -132,23 +162,7 @@ def saturate(concepts: DataFrame, axioms: Axioms, *, top: object = 0, bottom: ob
                 one = dr.join(nf6, dr.r == nf6.r1).select("c", F.col("d").alias("m"), "r2", "sup")
                 two = r.select(F.col("c").alias("m"), F.col("r").alias("r2"), "d")
                 new_r.append(one.join(two, ["m", "r2"]).select("c", F.col("sup").alias("r"), "d"))
-        next_s, next_r = _union(new_s), _union(new_r)
-        ds = dr = None
-        if next_s is not None:
-            fresh = next_s.distinct()
-            if apart:
-                fresh = fresh.where(F.col("d") != F.lit(top))
-            fresh = fresh.join(s, ["c", "d"], "left_anti")
-            if nf1 is not None:  # CR1
-                fresh = written(fresh, "fresh")
-                above = fresh.join(nf1, fresh.d == nf1["sub"]).select("c", F.col("sup").alias("d"))
-                fresh = fresh.union(above.distinct().join(s, ["c", "d"], "left_anti")).distinct()
-            ds = s_all.add(fresh)
-            ds = ds if ds.head(1) else None
-        if next_r is not None:
-            fresh = next_r.distinct()
-            dr = r_all.add(fresh.join(r, ["c", "r", "d"], "left_anti") if r is not None else fresh)
-            dr = dr if dr.head(1) else None
+        ds, dr = together(spark, partial(_more_facts, _union(new_s), s, s_all, nf1, top if apart else None), partial(_more_links, _union(new_r), r, r_all))
         if ds is None and dr is None:
             break
     name = kind.simpleString()
