@@ -3,9 +3,10 @@
 A suffix array of all bytes of a corpus doesn't fit a task, so starts are dealt out by content. Each start of a window of
 `length` bytes belongs to an anchor in it: the place of the window's smallest hash of GRAM bytes. Equal windows have
 their anchors at the same place, so a repeat lies among the starts of anchors with equal hashes. The starts of one anchor and
-all bytes that their windows reach are a context. Contexts that are equal as a whole become one, at its first place; anchors
-with a single context are unique. The rest are dealt to tasks by anchor, where a suffix array with common-prefix lengths is
-scanned with a stack: each interval of the tree is a repeat with all its places, maximal if the bytes before them differ.
+all bytes that their windows reach are a context. Contexts meet by anchor in one shuffle of places alone: equal ones count
+once, at their first place, and anchors with a single context are unique. Only the rest fetch their bytes; they are dealt to tasks
+by anchor, where a suffix array with common-prefix lengths is scanned with a stack: each interval of the tree is a repeat with
+all its places, maximal if the bytes before them differ.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, partitions_for, running_sum, small_join, table
 
 #: Bytes of an anchor's gram. Window starts that are hashed at a time. Contexts of a batch of suffix arrays.
 GRAM, PIECE, BATCH = 32, 1 << 20, 8192
+#: Documents whose anchors are looked at for frequent ones, on average at most; places of a frequent one in them at least; parts of it.
+LOOKED_AT, OFTEN, PARTS = 4096, 16, 64
 #: Copies' ids up to which a counted table of them is broadcast.
 BROADCAST_IDS = 500_000
 _EVEN = np.uint64(0xBF58476D1CE4E5B9)
@@ -32,8 +35,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Repeats:
-    """length: bytes of a repeat at least. crowd: contexts of one anchor that a task works on together; anchors with more are split, and what is
-    first in each part is compared by windows across the parts."""
+    """length: bytes of a repeat at least. crowd: contexts of one anchor that a suffix array holds; of anchors with more, and of frequent ones, which are
+    dealt out in parts, what is first in each part is compared by windows across the parts."""
 
     length: int = 100
     crowd: int = 2048
@@ -86,49 +89,98 @@ def anchored(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     return h[anchor[at]].view(np.int64), starts[at], starts[np.append(at[1:], len(starts)) - 1]
 
 
-def contexts_of(docs: DataFrame, r: Repeats) -> DataFrame:
-    """(h, c1, c2, ord, at, len, again): the contexts of each document (ord, body), their place and bytes, and whether an equal one is before it in the document."""
-    rest = r.length - GRAM
+def contexts_of(docs: DataFrame, r: Repeats, often: np.ndarray) -> DataFrame:
+    """(h, c, ord, place): the contexts of each document (ord, body): hashes of anchor and context, and where it is, see placed(). Anchors in `often` have
+    as many hashes as parts; h and c together are 128 bits."""
+    if not GRAM < r.length < 1 << 15:
+        raise ValueError(f"repeats have more than {GRAM} bytes, and contexts less than 65536")
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             # pieces of some documents, or of one; pieces of a long document share what their windows reach
             pieces, size = [], 0
             for ord_, body in zip(batch["ord"], batch["body"], strict=True):
-                seen: set[int] = set()
                 for at in range(0, max(1, len(body) - r.length + 1), PIECE):
                     piece = body[at : at + PIECE + r.length - 1]
                     if size + len(piece) > PIECE + r.length and pieces:
-                        yield _context_rows(pieces, r.length)
+                        yield _context_rows(pieces, r.length, often)
                         pieces, size = [], 0
                     if len(piece) >= r.length:
-                        pieces.append((ord_, at, piece, seen))
+                        pieces.append((ord_, at, piece))
                         size += len(piece)
             if pieces:
-                yield _context_rows(pieces, r.length)
+                yield _context_rows(pieces, r.length, often)
 
-    if rest < 1:
-        raise ValueError(f"repeats have more than {GRAM} bytes")
     bounded_batches(docs.sparkSession)
-    return docs.select("ord", "body").mapInPandas(make, "h long, c1 long, c2 long, ord long, at long, len int, again boolean")
+    return docs.select("ord", "body").mapInPandas(make, "h long, c long, ord long, place long")
 
 
-def _context_rows(pieces: list[tuple[int, int, bytes, set[int]]], length: int) -> pd.DataFrame:
+def placed() -> tuple[Column, Column, Column]:
+    """at, len and split (is it of a part of a frequent anchor) of a place."""
+    own = F.col("place")
+    return F.shiftright(own, 17).alias("at"), F.shiftright(own, 1).bitwiseAND(F.lit(65535)).cast("int").alias("len"), (own.bitwiseAND(F.lit(1)) == 1).alias("split")
+
+
+def _context_rows(pieces: list[tuple[int, int, bytes]], length: int, often: np.ndarray) -> pd.DataFrame:
     whole = b"".join(p[2] for p in pieces)
-    ends = np.cumsum([len(p[2]) for p in pieces])
+    sizes = np.array([len(p[2]) for p in pieces])
+    ends = np.cumsum(sizes)
     h, first, last = anchored(np.frombuffer(whole, np.uint8), ends, length)
     of = np.searchsorted(ends, first, side="right")
-    base, ords = ends - np.array([len(p[2]) for p in pieces]), np.array([p[0] for p in pieces])
-    digests, again = [], []
-    for a, b, p in zip(first.tolist(), (last + length).tolist(), of.tolist(), strict=True):
-        d = xxhash.xxh3_128_intdigest(whole[a:b])
-        seen = pieces[p][3]
-        again.append(d in seen)
-        seen.add(d)
-        digests.append(d.to_bytes(16, "little"))
-    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-    at = first - base[of] + np.array([p[1] for p in pieces])[of]
-    return pd.DataFrame({"h": h, "c1": both[:, 0], "c2": both[:, 1], "ord": ords[of], "at": at, "len": (last - first + length).astype(np.int32), "again": again})
+    digest = xxhash.xxh3_64_intdigest
+    c = np.array([digest(whole[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64)
+    at = first - (ends - sizes)[of] + np.array([p[1] for p in pieces])[of]
+    split = np.isin(h, often)
+    if split.any():
+        with np.errstate(over="ignore"):
+            h[split] = _mixed(h[split].view(np.uint64) + (c[split] % np.uint64(PARTS) + np.uint64(1)) * _STEP).view(np.int64)
+    return pd.DataFrame({"h": h, "c": c.view(np.int64), "ord": np.array([p[0] for p in pieces])[of], "place": (at << 17) | ((last - first + length) << 1) | split})
+
+
+def frequent(docs: DataFrame, r: Repeats, rows: int) -> np.ndarray:
+    """Anchors with more places than a quarter of a task's share, as far as a bounded number of the `rows` documents shows: how work is dealt, not its result, depends on them."""
+    some = docs.where(F.pmod(F.xxhash64("ord"), F.lit(-(-rows // LOOKED_AT))) == 0) if rows else docs
+    held = table(contexts_of(some, r, np.zeros(0, np.int64)).groupBy("h").agg(F.count("*").alias("n")), "sampled")
+    most = held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    least = max(OFTEN, most // (4 * partitions_for(docs)))
+    return np.array([x["h"] for x in held.where(F.col("n") >= least).select("h").collect()], np.int64)
+
+
+def met(anchors: DataFrame) -> DataFrame:
+    """(h, ord, place, later): of contexts that meet others at their anchor, those that are equal to one before them (later), and first ones among several."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # h and c of the row before, the number of the context among those of h, and the first of h while it is alone
+        h0, c0, n, alone = 0, 0, 0, None
+        for batch in batches:
+            h, c = batch["h"].to_numpy(np.int64), batch["c"].to_numpy(np.int64)
+            if not len(h):
+                continue
+            run = np.diff(h, prepend=h[:1]) != 0
+            run[0] = not n or h[0] != h0
+            new = run | (np.diff(c, prepend=c[:1]) != 0)
+            new[0] = run[0] or c[0] != c0
+            firsts = np.flatnonzero(new)
+            before = np.cumsum(new) - new
+            # contexts of its h that stand before each first one
+            since = np.maximum.accumulate(np.where(run, before, -n))
+            number = (before - since)[firsts]
+            split = (batch["place"].to_numpy(np.int64)[firsts] & 1) == 1
+            followed = np.append(number[1:] == 1, False)
+            shown = np.zeros(len(h), bool)
+            shown[firsts] = (number > 0) | followed | split
+            out = batch[["h", "ord", "place"]][shown | ~new].assign(later=~new[shown | ~new])
+            if alone is not None and len(firsts) and number[0] == 1:
+                out = pd.concat([alone, out], ignore_index=True)
+            if len(firsts):
+                last = firsts[-1]
+                alone = batch[["h", "ord", "place"]].iloc[[last]].assign(later=False) if number[-1] == 0 and not split[-1] else None
+                n = int(number[-1]) + 1
+            h0, c0 = h[-1], c[-1]
+            yield out
+
+    dealt = anchors.repartition(partitions_for(anchors), "h").sortWithinPartitions("h", "c", "ord", "place")
+    return dealt.mapInPandas(make, "h long, ord long, place long, later boolean")
 
 
 # --- the interval tree of a batch of contexts -----------------------------------------------------------------------
@@ -219,8 +271,8 @@ def _scan(common: list[int], when: list[int], unlike: list[int], length: int) ->
 
 
 def _arrays(contexts: DataFrame, r: Repeats, *, groups: bool) -> DataFrame:
-    """What the suffix arrays of written contexts (h, part, parts, ord, at, ctx) show: rows of kind "span" (ord, at, len), of kind "window" (w1, w2, ord, at), the
-    windows that are first in their part of a split anchor; with groups, of kind "place" (w1, w2, len, c1, c2, at), places of maximal repeats in contexts."""
+    """What the suffix arrays of contexts (h, split, ord, at, ctx) show: rows of kind "span" (ord, at, len), of kind "window" (w1, w2, ord, at), the
+    windows that are first in their part of a split anchor; with groups, of kind "place" (w1, w2, len, h, c, at), places of maximal repeats in contexts."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         bodies = list(rows["ctx"])
@@ -231,44 +283,53 @@ def _arrays(contexts: DataFrame, r: Repeats, *, groups: bool) -> DataFrame:
         tree = intervals(bodies, rank, r.length)
         late = tree.cover > 0
         c, place, cover = tree.context[late], tree.place[late], tree.cover[late]
-        out = [pd.DataFrame({"kind": "span", "w1": 0, "w2": 0, "c1": 0, "c2": 0, "ord": ord_[c], "at": at[c] + place, "len": cover})]
-        split = np.flatnonzero(rows["parts"].to_numpy() > 1)
+        out = [pd.DataFrame({"kind": "span", "w1": 0, "w2": 0, "h": 0, "c": 0, "ord": ord_[c], "at": at[c] + place, "len": cover})]
+        split = np.flatnonzero(rows["split"].to_numpy(bool))
         if len(split):
             covered = {i: np.zeros(len(bodies[i]) - r.length + 1, bool) for i in split.tolist()}
             for i, p, n in zip(c.tolist(), place.tolist(), cover.tolist(), strict=True):
                 if i in covered:
                     covered[i][p : p + n - r.length + 1] = True
-            found = [(_key(bodies[i][p : p + r.length]), ord_[i], at[i] + p) for i, done in covered.items() for p in np.flatnonzero(~done).tolist()]
+            found = [(*_key(bodies[i][p : p + r.length]), ord_[i], at[i] + p) for i, done in covered.items() for p in np.flatnonzero(~done).tolist()]
             if found:
-                keys, o, a = zip(*found, strict=True)
-                both = np.array(keys, np.int64)
-                out.append(pd.DataFrame({"kind": "window", "w1": both[:, 0], "w2": both[:, 1], "c1": 0, "c2": 0, "ord": o, "at": a, "len": r.length}))
+                both = np.array(found, np.int64)
+                out.append(pd.DataFrame({"kind": "window", "w1": both[:, 0], "w2": both[:, 1], "h": 0, "c": 0, "ord": both[:, 2], "at": both[:, 3], "len": r.length}))
         if groups:
-            c1, c2 = rows["c1"].to_numpy(np.int64), rows["c2"].to_numpy(np.int64)
+            h, digest = rows["h"].to_numpy(np.int64), np.array([xxhash.xxh3_64_intdigest(b) for b in bodies], np.uint64).view(np.int64)
+            for i, b in enumerate(bodies):
+                w1, w2 = _key(b)
+                out.append(pd.DataFrame({"kind": "place", "w1": [w1], "w2": w2, "h": h[i], "c": digest[i], "ord": 0, "at": 0, "len": len(b)}))
             for n, first, last in tree.maximal:
                 own, p = tree.context[first : last + 1], tree.place[first : last + 1]
                 w1, w2 = _key(bodies[own[0]][p[0] : p[0] + n])
-                out.append(pd.DataFrame({"kind": "place", "w1": w1, "w2": w2, "c1": c1[own], "c2": c2[own], "ord": 0, "at": p, "len": n}))
+                out.append(pd.DataFrame({"kind": "place", "w1": w1, "w2": w2, "h": h[own], "c": digest[own], "ord": 0, "at": p, "len": n}))
         return pd.concat(out, ignore_index=True)
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        cut = None  # the anchor of which a part was worked on already
         for batch in batches:
             held.append(batch)
             if sum(map(len, held)) < BATCH:
                 continue
             rows = pd.concat(held, ignore_index=True)
-            # all but the last part of an anchor are complete
-            last = (rows["h"] == rows["h"].iloc[-1]) & (rows["part"] == rows["part"].iloc[-1])
-            if not last.all():
-                yield work(rows[~last].reset_index(drop=True))
-                rows = rows[last]
-            held = [rows]
-        if held:
-            yield work(pd.concat(held, ignore_index=True))
+            # all but the last anchor are complete; one with too many contexts goes on in parts
+            rest = rows["h"] == rows["h"].iloc[-1]
+            rows.loc[rows["h"] == cut, "split"] = True
+            if rest.sum() >= r.crowd:
+                cut = rows["h"].iloc[-1]
+                rows.loc[rest, "split"] = True
+                rest[:] = False
+            held = [rows[rest]]
+            if not rest.all():
+                yield work(rows[~rest].reset_index(drop=True))
+        if held and sum(map(len, held)):
+            rows = pd.concat(held, ignore_index=True)
+            rows.loc[rows["h"] == cut, "split"] = True
+            yield work(rows)
 
-    dealt = contexts.repartition(partitions_for(contexts), "h", "part").sortWithinPartitions("h", "part")
-    return dealt.mapInPandas(make, "kind string, w1 long, w2 long, c1 long, c2 long, ord long, at long, len long")
+    dealt = contexts.repartition(partitions_for(contexts), "h").sortWithinPartitions("h")
+    return dealt.mapInPandas(make, "kind string, w1 long, w2 long, h long, c long, ord long, at long, len long")
 
 
 def _key(window: bytes) -> tuple[int, int]:
@@ -281,14 +342,14 @@ def _key(window: bytes) -> tuple[int, int]:
 
 @dataclass(frozen=True)
 class Found:
-    """docs (ord, body, doc_id): all documents in their order; copies (ord): those whose whole text is that of an earlier one; anchors: all
-    contexts; first: the distinct ones; shown: what the suffix arrays show."""
+    """docs (ord, doc_id, body): all documents in their order; copies (ord): those whose whole text is that of an earlier one; met, shown: what
+    contexts that meet and their suffix arrays show; anchors: all contexts, if groups were asked for."""
 
     docs: DataFrame
     copies: DataFrame
-    anchors: DataFrame
-    first: DataFrame
+    met: DataFrame
     shown: DataFrame
+    anchors: DataFrame | None = None
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
@@ -304,51 +365,50 @@ def _in_order(docs: DataFrame) -> DataFrame:
 
 
 def find_repeats(docs: DataFrame, r: Repeats = Repeats(), *, groups: bool = False) -> Found:
-    """Contexts and repeats of docs (doc_id, text); see Found. Hashes of 128 bits stand for whole texts, contexts and windows."""
+    """Contexts and repeats of docs (doc_id, text); see Found. Hashes of 128 bits stand for whole texts, contexts (with their anchors') and windows."""
     rows = _in_order(docs)
     ids = table(rows.select("ord", "t1", "t2"), "ids")
     firsts = ids.groupBy("t1", "t2").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = table(ids.join(firsts, ["t1", "t2"]).where("ord <> first").select("ord"), "copies")
-    single = small_join(rows, copies, ["ord"], "left_anti", BROADCAST_IDS)
-    anchors = table(contexts_of(single, r), "anchors")
-    place = F.shiftleft(F.col("at"), 16).bitwiseOR(F.col("len").cast("long"))
-    first = anchors.where("not again").groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min("ord").alias("ord"), F.min_by(place, "ord").alias("place"))
-    first = table(first.select("h", "c1", "c2", "n", "ord", F.shiftright("place", 16).alias("at"), F.col("place").bitwiseAND(F.lit(65535)).cast("int").alias("len")), "first")
-    crowds = first.groupBy("h").agg(F.count("*").alias("own")).where("own > 1")
-    parts = F.ceil(F.col("own") / r.crowd).cast("int")
-    asked = first.join(crowds, "h").select("ord", F.struct("h", "c1", "c2", F.pmod("c1", parts).cast("int").alias("part"), parts.alias("parts"), "at", "len").alias("x"))
-    lists = asked.groupBy("ord").agg(F.collect_list("x").alias("xs"))
-    cut = F.transform("xs", lambda x: F.struct(*[x[c].alias(c) for c in ("h", "c1", "c2", "part", "parts", "at")], F.substring(F.col("body"), (x["at"] + 1).cast("int"), x["len"]).alias("ctx")))
-    bodies = rows.select("ord", "body").join(lists, "ord").select("ord", F.explode(cut).alias("x")).select("ord", "x.*")
-    shown = table(_arrays(bodies, r, groups=groups), "shown")
-    return Found(rows, copies, anchors, first, shown)
+    single = small_join(rows.select("ord", "body"), copies, ["ord"], "left_anti", BROADCAST_IDS)
+    anchors = contexts_of(single, r, frequent(rows, r, ids.count()))
+    if groups:
+        anchors = table(anchors, "anchors")
+    shown = table(met(anchors), "met")
+    asked = shown.where("not later").select("h", "ord", "place")
+    if groups:
+        several = anchors.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("ord", "place")).alias("x")).where("n > 1")
+        asked = asked.union(several.select("h", "x.ord", "x.place")).distinct()
+    at, size, split = placed()
+    lists = asked.select("ord", "h", at, size, split).groupBy("ord").agg(F.collect_list(F.struct("h", "split", "at", "len")).alias("xs"))
+    cut = F.transform("xs", lambda x: F.struct(x["h"].alias("h"), x["split"].alias("split"), x["at"].alias("at"), F.substring(F.col("body"), (x["at"] + 1).cast("int"), x["len"]).alias("ctx")))
+    contexts = rows.select("ord", "body").join(lists, "ord").select("ord", F.explode(cut).alias("x")).select("ord", "x.*")
+    return Found(rows, copies, shown, table(_arrays(contexts, r, groups=groups), "shown"), anchors if groups else None)
 
 
 def spans(found: Found) -> DataFrame:
     """(ord, at, len): bytes of documents, copies apart, that repeat earlier ones; spans of a document may overlap."""
-    again = found.anchors.where("again").select("ord", "at", F.col("len").cast("long").alias("len"))
-    same = found.first.where("n > 1").select("h", "c1", "c2", F.col("ord").alias("first"))
-    later = found.anchors.where("not again").join(same, ["h", "c1", "c2"]).where("ord <> first").select("ord", "at", F.col("len").cast("long").alias("len"))
+    at, size, _ = placed()
+    later = found.met.where("later").select("ord", at, size.cast("long").alias("len"))
     own = found.shown.where("kind = 'span'").select("ord", "at", "len")
     windows = found.shown.where("kind = 'window'").select("w1", "w2", "ord", "at", "len")
     least = windows.groupBy("w1", "w2").agg(F.min(F.struct("ord", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     across = windows.join(least, ["w1", "w2"]).where(F.struct("ord", "at") != F.col("first")).select("ord", "at", "len")
-    return again.union(later).union(own).union(across)
+    return later.union(own).union(across)
 
 
 def maximal_repeats(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:
     """(g1, g2, n_bytes, doc_id, start): each maximal repeat of docs (a hash of 128 bits, its bytes) with all places, within what an anchor's windows reach.
 
     A longer passage comes as overlapping repeats, one or more an anchor. Copies of whole documents take part through the first of
-    them. Where an anchor has more than `crowd` contexts, the places of one repeat are those of the parts in which it is maximal.
+    them. Of an anchor that is dealt out in parts, the places of one repeat are those of the parts in which it is maximal.
     """
     found = find_repeats(docs, r, groups=True)
-    own = found.shown.where("kind = 'place'").select("w1", "w2", F.col("len").alias("n_bytes"), "c1", "c2", F.col("at").alias("shift"))
-    whole = found.anchors.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.first("len").cast("long").alias("n_bytes")).where("n > 1")
-    whole = whole.select(F.col("c1").alias("w1"), F.col("c2").alias("w2"), "n_bytes", "c1", "c2", F.lit(0).cast("long").alias("shift"))
-    places = own.union(whole).join(found.anchors.select("c1", "c2", "ord", "at"), ["c1", "c2"])
-    placed = places.select("w1", "w2", "n_bytes", "ord", (F.col("at") + F.col("shift")).alias("start")).distinct()
-    return placed.join(found.docs.select("ord", "doc_id"), "ord").select(F.col("w1").alias("g1"), F.col("w2").alias("g2"), "n_bytes", "doc_id", "start")
+    own = found.shown.where("kind = 'place'").select("w1", "w2", F.col("len").alias("n_bytes"), "h", "c", F.col("at").alias("shift")).distinct()
+    places = own.join(found.anchors.select("h", "c", "ord", placed()[0]), ["h", "c"])
+    each = table(places.select("w1", "w2", "n_bytes", "ord", (F.col("at") + F.col("shift")).alias("start")).distinct(), "places")
+    several = each.groupBy("w1", "w2", "n_bytes").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return each.join(several, ["w1", "w2", "n_bytes"]).join(found.docs.select("ord", "doc_id"), "ord").select(F.col("w1").alias("g1"), F.col("w2").alias("g2"), "n_bytes", "doc_id", "start")
 
 
 def remove_repeats(docs: DataFrame, r: Repeats = Repeats()) -> DataFrame:

@@ -78,8 +78,9 @@ def passages(seed=5, n=60):
     return out + [base, base, out[0], "long " * 4000]
 
 
-@pytest.mark.parametrize(("length", "crowd", "piece"), [(100, 2048, 1 << 20), (60, 3, 150)])
-def test_remove_repeats(spark, monkeypatch, length, crowd, piece):
+@pytest.mark.parametrize(("length", "crowd", "piece", "often"), [(100, 2048, 1 << 20, 9999), (60, 3, 150, 9999), (80, 9, 300, 4)])
+def test_remove_repeats(spark, monkeypatch, length, crowd, piece, often):
+    monkeypatch.setattr(repeats, "OFTEN", often)
     monkeypatch.setattr(repeats, "PIECE", piece)
     monkeypatch.setattr(repeats, "BATCH", 40)
     texts = passages()
@@ -105,7 +106,8 @@ def test_repeats_of_rows_without_ids_of_their_own(spark):
     assert sorted(whole)[0] == 0 and ("None", 0, 0) in got and ("None", len(a), 0) in got
 
 
-def test_maximal_repeats(spark):
+def test_maximal_repeats(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "OFTEN", 9999)
     texts = passages(7, 40)[:40] + ["q" + "same middle part " * 9 + "r", "s" + "same middle part " * 9 + "t"]
     docs = docs_of(spark, [(i, t, None) for i, t in enumerate(texts)])
     groups = {}
