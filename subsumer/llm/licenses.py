@@ -130,12 +130,22 @@ def _grams(words: Column, n: Column, k: int) -> Column:
 
 def _template_tables(spark: SparkSession, scan: Scan) -> tuple[DataFrame, DataFrame]:
     """(gram, template, place) of all runs of all templates, and (template, phrase, label, words, runs). Fixed sizes."""
-    rows = [(i, phrase, label, words, len(words) - (scan.phrase_words if phrase else scan.notice_words) + 1) for i, phrase, label, words in scan.templates()]
-    templates = spark.createDataFrame(rows, "template int, phrase boolean, label string, words array<string>, runs int")
+    rows = [
+        F.struct(
+            F.lit(i).alias("template"),
+            F.lit(phrase).alias("phrase"),
+            F.lit(label).alias("label"),
+            F.split(F.lit(" ".join(words)), " ").alias("words"),
+            F.lit(len(words) - (scan.phrase_words if phrase else scan.notice_words) + 1).alias("runs"),
+        )
+        for i, phrase, label, words in scan.templates()
+    ]
+    # literals of one task: a local list would come through a Python worker
+    templates = spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
     k = lambda phrase: _grams(F.col("words"), F.size("words"), scan.phrase_words if phrase else scan.notice_words)
     grams = templates.select("template", F.posexplode(F.when(F.col("phrase"), k(True)).otherwise(k(False))).alias("place", "gram"))
-    every = spark.createDataFrame([(EVERY_ROW, 0, EVERY_ROW)], "template int, place int, gram long")
-    return grams.select("gram", "template", "place").union(every.select("gram", "template", "place")), templates
+    every = spark.range(0, 1, 1, 1).select(F.lit(EVERY_ROW).cast("long").alias("gram"), F.lit(EVERY_ROW).alias("template"), F.lit(0).alias("place"))
+    return grams.select("gram", "template", "place").union(every), templates
 
 
 def license_spans(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:

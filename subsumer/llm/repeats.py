@@ -89,9 +89,10 @@ def anchored(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     return h[anchor[at]].view(np.int64), starts[at], starts[np.append(at[1:], len(starts)) - 1]
 
 
-def contexts_of(docs: DataFrame, r: Repeats, often: np.ndarray) -> DataFrame:
+def contexts_of(docs: DataFrame, r: Repeats, often: np.ndarray, *, known: bool = True) -> DataFrame:
     """(h, c, ord, place): the contexts of each document (ord, body): hashes of anchor and context, and where it is, see placed(). Anchors in `often` have
-    as many hashes as parts; h and c together are 128 bits."""
+    as many hashes as parts; h and c together are 128 bits. known: contexts that equal an earlier one of the texts at hand need not
+    meet others, so they are dealt out evenly (by a hash in place of h)."""
     if not GRAM < r.length < 1 << 15:
         raise ValueError(f"repeats have more than {GRAM} bytes, and contexts less than 65536")
 
@@ -103,25 +104,25 @@ def contexts_of(docs: DataFrame, r: Repeats, often: np.ndarray) -> DataFrame:
                 for at in range(0, max(1, len(body) - r.length + 1), PIECE):
                     piece = body[at : at + PIECE + r.length - 1]
                     if size + len(piece) > PIECE + r.length and pieces:
-                        yield _context_rows(pieces, r.length, often)
+                        yield _context_rows(pieces, r.length, often, known)
                         pieces, size = [], 0
                     if len(piece) >= r.length:
                         pieces.append((ord_, at, piece))
                         size += len(piece)
             if pieces:
-                yield _context_rows(pieces, r.length, often)
+                yield _context_rows(pieces, r.length, often, known)
 
     bounded_batches(docs.sparkSession)
     return docs.select("ord", "body").mapInPandas(make, "h long, c long, ord long, place long")
 
 
 def placed() -> tuple[Column, Column, Column]:
-    """at, len and split (is it of a part of a frequent anchor) of a place."""
+    """at, len and split (is it of a part of a frequent anchor) of a place; the second of its bits says that an equal context is before it."""
     own = F.col("place")
-    return F.shiftright(own, 17).alias("at"), F.shiftright(own, 1).bitwiseAND(F.lit(65535)).cast("int").alias("len"), (own.bitwiseAND(F.lit(1)) == 1).alias("split")
+    return F.shiftright(own, 18).alias("at"), F.shiftright(own, 2).bitwiseAND(F.lit(65535)).cast("int").alias("len"), (own.bitwiseAND(F.lit(1)) == 1).alias("split")
 
 
-def _context_rows(pieces: list[tuple[int, int, bytes]], length: int, often: np.ndarray) -> pd.DataFrame:
+def _context_rows(pieces: list[tuple[int, int, bytes]], length: int, often: np.ndarray, known: bool) -> pd.DataFrame:
     whole = b"".join(p[2] for p in pieces)
     sizes = np.array([len(p[2]) for p in pieces])
     ends = np.cumsum(sizes)
@@ -134,13 +135,20 @@ def _context_rows(pieces: list[tuple[int, int, bytes]], length: int, often: np.n
     if split.any():
         with np.errstate(over="ignore"):
             h[split] = _mixed(h[split].view(np.uint64) + (c[split] % np.uint64(PARTS) + np.uint64(1)) * _STEP).view(np.int64)
-    return pd.DataFrame({"h": h, "c": c.view(np.int64), "ord": np.array([p[0] for p in pieces])[of], "place": (at << 17) | ((last - first + length) << 1) | split})
+    ord_ = np.array([p[0] for p in pieces], np.int64)[of]
+    again = np.zeros(len(h), bool)
+    if known and len(h):
+        order = np.lexsort((at, ord_, c, h))
+        again[order[1:]] = (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])
+        with np.errstate(over="ignore"):
+            h[again] = _mixed(ord_[again].view(np.uint64) * _ODD + at[again].view(np.uint64)).view(np.int64)
+    return pd.DataFrame({"h": h, "c": c.view(np.int64), "ord": ord_, "place": (at << 18) | ((last - first + length) << 2) | (again.astype(np.int64) << 1) | split})
 
 
 def frequent(docs: DataFrame, r: Repeats, rows: int) -> np.ndarray:
     """Anchors with more places than a quarter of a task's share, as far as a bounded number of the `rows` documents shows: how work is dealt, not its result, depends on them."""
     some = docs.where(F.pmod(F.xxhash64("ord"), F.lit(-(-rows // LOOKED_AT))) == 0) if rows else docs
-    held = table(contexts_of(some, r, np.zeros(0, np.int64)).groupBy("h").agg(F.count("*").alias("n")), "sampled")
+    held = table(contexts_of(some, r, np.zeros(0, np.int64), known=False).groupBy("h").agg(F.count("*").alias("n")), "sampled")
     most = held.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     least = max(OFTEN, most // (4 * partitions_for(docs)))
     return np.array([x["h"] for x in held.where(F.col("n") >= least).select("h").collect()], np.int64)
@@ -153,6 +161,10 @@ def met(anchors: DataFrame) -> DataFrame:
         # h and c of the row before, the number of the context among those of h, and the first of h while it is alone
         h0, c0, n, alone = 0, 0, 0, None
         for batch in batches:
+            known = (batch["place"].to_numpy(np.int64) & 2) > 0
+            if known.any():
+                yield batch[["h", "ord", "place"]][known].assign(later=True)
+                batch = batch[~known]
             h, c = batch["h"].to_numpy(np.int64), batch["c"].to_numpy(np.int64)
             if not len(h):
                 continue
@@ -371,7 +383,7 @@ def find_repeats(docs: DataFrame, r: Repeats = Repeats(), *, groups: bool = Fals
     firsts = ids.groupBy("t1", "t2").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = table(ids.join(firsts, ["t1", "t2"]).where("ord <> first").select("ord"), "copies")
     single = small_join(rows.select("ord", "body"), copies, ["ord"], "left_anti", BROADCAST_IDS)
-    anchors = contexts_of(single, r, frequent(rows, r, ids.count()))
+    anchors = contexts_of(single, r, frequent(rows, r, ids.count()), known=not groups)
     if groups:
         anchors = table(anchors, "anchors")
     shown = table(met(anchors), "met")

@@ -371,3 +371,11 @@ def test_marginals_are_those_of_all_labellings():
         for k in range(n - 1):
             assert same[at + k] == pytest.approx(sum(w for y, w in weights.items() if y[k] == y[k + 1]) / z)
         at += n
+
+
+def test_license_plans_have_no_python(spark):
+    found = licenses.license_labels(licenses.license_spans(docs_of(spark, odd_rows(5))))
+    grams, templates = licenses._template_tables(spark, licenses.Scan())
+    for df in (grams, templates, found.select(*[c for c in found.columns if c != "doc_id"])):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan.replace("PythonSQLMetrics", "") and "Arrow" not in plan and "applySchema" not in plan
