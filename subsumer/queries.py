@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .classify import classify
@@ -404,6 +404,70 @@ def owl_properties(spark: SparkSession, d: str) -> DataFrame:
     return owl.read_owl(spark, _suppliers_owl(spark, d)).typedefs
 
 
+def _documents(elements: DataFrame, spark: SparkSession, prolog: Column, rows: int = 200) -> str:
+    """Documents of about `rows` elements (key, xml) in order of their keys, each below a prolog of its own and in a file of its own; the folder's path. prolog: of the column doc."""
+    path = new_path(spark, "owl")
+    inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "xml"))), lambda x: x["xml"]), "\n")
+    whole = elements.withColumn("doc", F.floor(F.col("key") / rows)).groupBy("doc").agg(inner.alias("xml")).withColumn("prolog", prolog)
+    text = F.concat("prolog", "xml", F.concat(F.lit("\n</"), F.regexp_extract("prolog", "<([^\\s<>]+)[^<]*$", 1), F.lit(">")))
+    whole.select("doc", text.alias("value")).repartition("doc").write.partitionBy("doc").text(path)
+    return path
+
+
+def _prolog(owl_: str, rdf: str, rdfs: str, more: str = "") -> str:
+    """An RDF root with these prefixes; an empty one is the default namespace."""
+    declared = "".join(f' xmlns{":" + p if p else ""}="{ns}"' for p, ns in ((owl_, owl.OWL), (rdf, owl.RDF), (rdfs, owl.RDFS)))
+    return f'<?xml version="1.0"?>\n<!-- a > b -->\n<{rdf}:RDF{declared}{more}>\n'
+
+
+OBO = "http://purl.obolibrary.org/obo/"
+
+
+@query("SELECT 'CUST:' || c_custkey AS id, c_name AS name FROM customer")
+def owl_nested_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Customers, each with an axiom that holds a class; only what is right below the root is a term."""
+    c = Warehouse(spark, d).table("customer")
+    about = F.concat(F.lit(f'rdf:about="{OBO}CUST_'), F.col("c_custkey").cast("string"))
+    xml = F.concat(
+        F.lit("<owl:Axiom><owl:annotatedSource><owl:Class "), about, F.lit('_inner"><rdfs:label>a &gt; b</rdfs:label></owl:Class></owl:annotatedSource></owl:Axiom>\n<!-- <owl:Class '), about,
+        F.lit('_no"/> -->\n<owl:Class '), about, F.lit('" rdf:nodeID=\'>\'><rdfs:label>'), F.col("c_name"), F.lit("</rdfs:label></owl:Class>"),
+    )
+    path = _documents(c.select(F.col("c_custkey").alias("key"), xml.alias("xml")), spark, F.lit(_prolog("owl", "rdf", "rdfs")))
+    return owl.read_owl(spark, path).terms.select("id", "name")
+
+
+@query("""SELECT 'PART:' || p_partkey AS id, p_name AS name, 'made by ' || p_name || ' & <' || p_brand || '>' AS definition, ' ' || p_type || ' ' AS comment,
+    p_type || p_size AS note FROM part""")
+def owl_nested_text(spark: SparkSession, d: str) -> DataFrame:
+    """Parts whose texts are in nested elements, CDATA sections and entities, white space and all."""
+    p = Warehouse(spark, d).table("part")
+    size = F.col("p_size").cast("string")
+    xml = F.concat(
+        F.lit(f'<owl:Class rdf:about="{OBO}PART_'), F.col("p_partkey").cast("string"), F.lit('"><rdfs:label><x:b>'), F.col("p_name"), F.lit("</x:b></rdfs:label><x:definition>made <x:i>by</x:i> "), F.col("p_name"),
+        F.lit(" &amp; <![CDATA[<"), F.col("p_brand"), F.lit(">]]></x:definition><rdfs:comment> "), F.col("p_type"), F.lit(" </rdfs:comment><x:note>"), F.col("p_type"), F.lit("<x:n>"), size, F.lit("</x:n></x:note></owl:Class>"),
+    )
+    path = _documents(p.select(F.col("p_partkey").alias("key"), xml.alias("xml")), spark, F.lit(_prolog("owl", "rdf", "rdfs", ' xmlns:x="http://x/"')))
+    return owl.read_owl(spark, path).terms.select("id", "name", "definition", "comment", F.col("properties")["note"].alias("note"))
+
+
+@query("""SELECT 'SUPP:' || s_suppkey AS id, s_name AS name, 'NATION:' || s_nationkey AS parent, s_suppkey % 3 = 0 AS is_obsolete FROM supplier""")
+def owl_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers in documents of one folder that name their namespaces by turns by two sets of prefixes, and declare one inside an element."""
+    s = Warehouse(spark, d).table("supplier")
+    odd = F.floor(F.col("s_suppkey") / 5) % 2 == 1
+    tag = lambda even, other: F.when(odd, other).otherwise(even)
+    xml = F.concat(
+        tag(f'<owl:Class rdf:about="{OBO}SUPP_', f'<Class r:about="{OBO}SUPP_'), F.col("s_suppkey").cast("string"), tag('"><rdfs:label>', '"><s:label>'), F.col("s_name"),
+        tag("</rdfs:label><rdfs:subClassOf rdf:resource=", f'</s:label><q:subClassOf xmlns:q="{owl.RDFS}" r:resource='), F.lit(f'"{OBO}NATION_'), F.col("s_nationkey").cast("string"),
+        F.lit('"/>'), F.when(F.col("s_suppkey") % 3 == 0, tag("<owl:deprecated>true</owl:deprecated>", "<deprecated>true</deprecated>")).otherwise(""),
+        tag('<x:label xmlns:x="http://x/">other</x:label></owl:Class>', '<label xmlns="http://x/">other</label></Class>'),
+    )
+    prolog = F.when(F.col("doc") % 2 == 1, _prolog("", "r", "s")).otherwise(_prolog("owl", "rdf", "rdfs"))
+    path = _documents(s.select(F.col("s_suppkey").alias("key"), xml.alias("xml")), spark, prolog, 5)
+    terms = owl.read_owl(spark, path).terms
+    return terms.select("id", "name", F.get("relationships", 0)["target_id"].alias("parent"), "is_obsolete")
+
+
 @query("SELECT s_suppkey AS key, 'SUPP:' || s_suppkey || '_x' AS id FROM supplier")
 def iri_to_curie(spark: SparkSession, d: str) -> DataFrame:
     iri = F.concat(F.lit("http://purl.obolibrary.org/obo/SUPP_"), F.col("s_suppkey").cast("string"), F.lit("_x"))

@@ -1,20 +1,23 @@
-"""OWL in RDF/XML, through Spark's XML source with explicit schemas.
+"""OWL in RDF/XML: the elements below each document's root, as rows of their children, and these as columns of terms.
 
-Element names that a document uses are found by a pass over it; all values stay strings. Names match by literal
-prefixes, which are read from the document's root.
+Elements are cut by a scan for depth (see events), so what is nested in others is no class. Names match by namespace,
+whatever prefix a document, or an inner element, declares for it. Text is all character data of an element in order,
+nested elements' and CDATA sections' too, as it stands.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from collections.abc import Iterator
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..ontology import Ontology
+from ..plans.lineage import written
+from .events import top_elements
 
 #: The namespaces.
 OWL = "http://www.w3.org/2002/07/owl#"
@@ -25,156 +28,125 @@ SYNONYMS = {"hasExactSynonym": "EXACT", "hasBroadSynonym": "BROAD", "hasNarrowSy
 XREFS = ("hasDbXref", "hasDbXRef")
 DEFINITIONS = ("Definition", "definition")
 
+#: An element: its place, its kind (Ontology, Class or ObjectProperty), rdf:about, and its children in order. links: the existential restrictions in a child.
+ELEMENTS = (
+    "file long, owner long, seq long, kind string, about string, "
+    "children array<struct<ns:string,name:string,resource:string,text:string,links:array<struct<type:string,target:string>>>>"
+)
+KINDS = ("Ontology", "Class", "ObjectProperty")
 
-def prefixes(spark: SparkSession, path: str) -> dict[str, str]:
-    """The prefix of each namespace that the root element declares."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.col("value").contains("xmlns"))
-    declared = rows.select(F.explode(F.expr(r"""regexp_extract_all(value, 'xmlns(:[\\w.-]+)?\\s*=\\s*["\'][^"\']*["\']', 0)""")).alias("d")).distinct().limit(1000).collect()
-    found = {}
-    for row in declared:
-        m = re.match(r"xmlns(?::([\w.-]+))?\s*=\s*[\"']([^\"']*)", row["d"])
-        found[m[2]] = f"{m[1]}:" if m[1] else ""
-    return found
 
+def _split(tag: str) -> tuple[str, str]:
+    """Namespace and local name."""
+    ns, _, local = tag.rpartition("}")
+    return ns[1:], local
 
-def _elements(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """Rows of one element, every child an array of strings and structs that say what is in it, under names found by a pass."""
-    inferred = spark.read.format("xml").option("rowTag", tag).option("inferSchema", "false").option("mode", "FAILFAST").load(path).schema
-    fields = []
-    for f in inferred:
-        if f.name.startswith("_"):
-            fields.append(T.StructField(f.name, T.StringType()))
-            continue
-        inner = f.dataType.elementType if isinstance(f.dataType, T.ArrayType) else f.dataType
-        own = [T.StructField("_VALUE", T.StringType())]
-        if isinstance(inner, T.StructType):
-            own += [x for x in inner if x.name != "_VALUE"]
-        fields.append(T.StructField(f.name, T.ArrayType(T.StructType(own))))
-    if not fields:
-        return spark.createDataFrame([], "none string")
-    return spark.read.format("xml").schema(T.StructType(fields)).option("rowTag", tag).option("mode", "FAILFAST").load(path)
 
+def _child(x: ElementTree.Element) -> tuple:
+    ns, name = _split(x.tag)
+    links = []
+    for r in x.findall(f"{{{OWL}}}Restriction"):
+        ends = [[y.get(f"{{{RDF}}}resource") for y in r.findall(f"{{{OWL}}}{n}")] for n in ("onProperty", "someValuesFrom")]
+        if all(e and e[-1] for e in ends):
+            links.append((ends[0][-1], ends[1][-1]))
+    return ns, name, x.get(f"{{{RDF}}}resource") or None, "".join(x.itertext()), links
 
-def _local(name: str) -> str:
-    return name.rpartition(":")[2]
 
+def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Elements of one document are parsed together, below its own root and with all that its prolog declares."""
+    for batch in batches:
+        out = []
+        for prolog, own in batch.groupby("prolog", sort=False):
+            if "<" not in prolog:
+                continue
+            tag = prolog[prolog.rindex("<") + 1 : -1].split()[0]
+            root = ElementTree.fromstring(f"{prolog}{''.join(own['xml'])}</{tag}>")
+            if root.tag != f"{{{RDF}}}RDF":
+                continue
+            for x, at in zip(root, zip(own["file"], own["owner"], own["seq"], strict=True), strict=True):
+                ns, kind = _split(x.tag)
+                if ns == OWL and kind in KINDS:
+                    out.append((*at, kind, x.get(f"{{{RDF}}}about") or None, [_child(y) for y in x]))
+        yield pd.DataFrame(out, columns=["file", "owner", "seq", "kind", "about", "children"])
 
-class _Children:
-    """The children of an element as column expressions."""
 
-    def __init__(self, df: DataFrame, p: dict[str, str]) -> None:
-        self.df, self.p = df, p
-        self.names = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+def elements(spark: SparkSession, path: str) -> DataFrame:
+    """The Ontology, Class and ObjectProperty elements right below the root of each rdf:RDF document of a path; see ELEMENTS."""
+    return written(top_elements(spark, path).mapInPandas(_parsed, ELEMENTS), "owl")
 
-    def attribute(self, name: str) -> Column:
-        at = f"_{self.p.get(RDF, 'rdf:')}{name}"
-        return F.col(f"`{at}`") if at in self.df.columns else F.lit(None).cast("string")
 
-    def has(self, name: str, field: str) -> bool:
-        return field in self.df.schema[name].dataType.elementType.fieldNames()
+def _named(*local: str) -> Column:
+    return F.filter("children", lambda c: c["name"].isin(*local))
 
-    def texts(self, name: str) -> Column:
-        """The text of each child of that name."""
-        return F.transform(F.coalesce(F.col(f"`{name}`"), F.array()), lambda x: F.coalesce(x["_VALUE"], F.lit("")))
 
-    def resources(self, name: str) -> Column:
-        at = f"_{self.p.get(RDF, 'rdf:')}resource"
-        if not self.has(name, at):
-            return F.array().cast("array<string>")
-        return F.filter(F.transform(F.col(f"`{name}`"), lambda x: x[at]), lambda x: F.coalesce(x != "", F.lit(False)))
+def _in(ns: str, local: str) -> Column:
+    return F.filter("children", lambda c: (c["ns"] == ns) & (c["name"] == local))
 
-    def named(self, *local: str) -> list[str]:
-        return [n for n in self.names if _local(n) in local]
 
-    def joined(self, parts: list[Column], kind: str) -> Column:
-        return F.concat(*[F.coalesce(x, F.array().cast(kind)) for x in parts]) if parts else F.array().cast(kind)
+def _texts(children: Column) -> Column:
+    return F.transform(children, lambda c: c["text"])
 
 
-def _restrictions(c: _Children, name: str) -> Column | None:
-    """Existential restrictions below a child as relationships."""
-    owl, at = c.p.get(OWL, "owl:"), f"_{c.p.get(RDF, 'rdf:')}resource"
-    element = c.df.schema[name].dataType.elementType
-    if f"{owl}Restriction" not in element.fieldNames():
-        return None
-    inner = element[f"{owl}Restriction"].dataType
-    many = isinstance(inner, T.ArrayType)
-    inner = inner.elementType if many else inner
-    need = (f"{owl}onProperty", f"{owl}someValuesFrom")
-    if not isinstance(inner, T.StructType) or not all(n in inner.fieldNames() and isinstance(inner[n].dataType, T.StructType) and at in inner[n].dataType.fieldNames() for n in need):
-        return None
-    each = F.filter(F.col(f"`{name}`"), lambda x: x[f"{owl}Restriction"].isNotNull())
-    each = F.flatten(F.transform(each, lambda x: x[f"{owl}Restriction"])) if many else F.transform(each, lambda x: x[f"{owl}Restriction"])
-    rel = F.transform(each, lambda x: F.struct(t.curie(x[need[0]][at]).alias("type"), t.curie(x[need[1]][at]).alias("target_id"), F.lit(None).cast("string").alias("name")))
-    return F.filter(rel, lambda r: r["type"].isNotNull() & r["target_id"].isNotNull())
+def _resources(children: Column) -> Column:
+    return F.filter(F.transform(children, lambda c: c["resource"]), lambda r: r.isNotNull())
 
 
-def _synonym(scope: str) -> Callable[[Column], Column]:
-    none = F.lit(None)
-    return lambda x: F.struct(x.alias("text"), F.lit(scope).alias("scope"), none.cast("string").alias("type"), none.cast("array<string>").alias("xrefs"))
+def _last(values: Column) -> Column:
+    return F.try_element_at(values, F.lit(-1))
 
 
-def _pair(name: str) -> Callable[[Column], Column]:
-    return lambda x: F.struct(F.lit(name).alias("key"), x.alias("value"))
+def _relationships(restrictions: str) -> Column:
+    """Of each rdfs:subClassOf in order: is_a its resource, else its existential restrictions."""
+    none = F.lit(None).cast("string")
+    is_a = lambda c: F.array(F.struct(F.lit("is_a").alias("type"), t.curie(c["resource"]).alias("target_id"), none.alias("name")))
+    link = lambda x: F.struct(t.curie(x["type"]).alias("type"), t.curie(x["target"]).alias("target_id"), none.alias("name"))
+    told = F.array().cast("array<struct<type:string,target_id:string,name:string>>")
+    return F.flatten(F.transform(_in(RDFS, "subClassOf"), lambda c: F.when(c["resource"].isNotNull(), is_a(c)).otherwise(F.transform(c["links"], link) if restrictions == "extract" else told)))
 
 
 def read_owl(spark: SparkSession, path: str, *, restrictions: str = "extract") -> Ontology:
-    """Header, classes as terms and object properties as typedefs.
+    """Header, classes as terms and object properties as typedefs of the documents of a path.
 
     restrictions: "extract" makes existential restrictions relationships; "reference" drops them. Classes and
-    properties without rdf:about are left out. Child elements without a place of their own become properties
-    under their local names, the last of a name counts. Malformed XML raises.
+    properties without rdf:about are left out, and so is all that isn't right below an rdf:RDF root. Child elements without a
+    place of their own become properties under their local names if they have text; the last of a name counts. Malformed XML raises.
     """
     if restrictions not in ("extract", "reference"):
         raise ValueError("restrictions is 'extract' or 'reference'")
-    p = prefixes(spark, path)
-    owl, rdfs = p.get(OWL, "owl:"), p.get(RDFS, "rdfs:")
-    head = _elements(spark, path, f"{owl}Ontology")
-    h = _Children(head, p)
-    version = h.named("versionIRI")
+    found = elements(spark, path)
+    none = F.lit(None).cast("string")
+    at = F.struct("file", "owner", "seq")
+    head = found.where("kind = 'Ontology'").withColumn("version", _last(_resources(_named("versionIRI"))))
     header = head.agg(
-        F.lit(None).cast("string").alias("format_version"),
-        F.last(h.resources(version[0])[0] if version else F.lit(None).cast("string"), ignorenulls=True).alias("data_version"),
-        F.last(h.attribute("about"), ignorenulls=True).alias("ontology"),
+        none.alias("format_version"),
+        F.max_by("version", F.when(F.col("version").isNotNull(), at)).alias("data_version"),
+        F.max_by("about", F.when(F.col("about").isNotNull(), at)).alias("ontology"),
     )
-    classes = _elements(spark, path, f"{owl}Class")
-    c = _Children(classes, p)
-    label, sub = f"{rdfs}label", f"{rdfs}subClassOf"
-
-    def last(names: list[str]) -> Column:
-        return F.try_element_at(c.joined([c.texts(n) for n in names], "array<string>"), F.lit(-1))
-
-    rel = []
-    if sub in c.names:
-        rel.append(F.transform(c.resources(sub), lambda x: F.struct(F.lit("is_a").alias("type"), t.curie(x).alias("target_id"), F.lit(None).cast("string").alias("name"))))
-        if restrictions == "extract" and (found := _restrictions(c, sub)) is not None:
-            rel.append(found)
     known = {"deprecated", "hasAlternativeId", "inSubset", "comment", *DEFINITIONS, *SYNONYMS, *XREFS}
-    others = [n for n in c.names if n not in (label, sub) and _local(n) not in known]
-    synonym = [F.transform(c.texts(n), _synonym(SYNONYMS[_local(n)])) for n in c.named(*SYNONYMS)]
-    pairs = [F.transform(F.filter(c.texts(n), lambda x: x != ""), _pair(_local(n))) for n in others]
-    terms = classes.where(c.attribute("about") != "").select(
-        t.curie(c.attribute("about")).alias("id"),
-        (last([label]) if label in c.names else F.lit(None).cast("string")).alias("name"),
-        F.lit(None).cast("string").alias("namespace"),
-        last(c.named(*DEFINITIONS)).alias("definition"),
-        F.coalesce(last(c.named("deprecated")) == "true", F.lit(False)).alias("is_obsolete"),
-        last(c.named("comment")).alias("comment"),
-        t.none_if_empty(F.transform(c.joined([c.resources(n) for n in c.named("inSubset")], "array<string>"), t.curie)).alias("subsets"),
-        t.none_if_empty(c.joined(synonym, "array<struct<text:string,scope:string,type:string,xrefs:array<string>>>")).alias("synonyms"),
-        t.none_if_empty(c.joined([c.texts(n) for n in c.named(*XREFS)], "array<string>")).alias("xrefs"),
-        t.none_if_empty(c.joined([c.texts(n) for n in c.named("hasAlternativeId")], "array<string>")).alias("alt_ids"),
-        t.none_if_empty(c.joined(rel, "array<struct<type:string,target_id:string,name:string>>")).alias("relationships"),
+    placed = lambda c: ((c["ns"] == RDFS) & c["name"].isin("label", "subClassOf")) | c["name"].isin(*known)
+    scope = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
+    synonym = lambda c: F.struct(c["text"].alias("text"), scope[c["name"]].alias("scope"), none.alias("type"), F.lit(None).cast("array<string>").alias("xrefs"))
+    pairs = F.transform(F.filter("children", lambda c: ~placed(c) & (c["text"] != "")), lambda c: F.struct(c["name"].alias("key"), c["text"].alias("value")))
+    terms = found.where("kind = 'Class' and about is not null").select(
+        t.curie(F.col("about")).alias("id"),
+        _last(_texts(_in(RDFS, "label"))).alias("name"),
+        none.alias("namespace"),
+        _last(_texts(_named(*DEFINITIONS))).alias("definition"),
+        F.coalesce(_last(_texts(_named("deprecated"))) == "true", F.lit(False)).alias("is_obsolete"),
+        _last(_texts(_named("comment"))).alias("comment"),
+        t.none_if_empty(F.transform(_resources(_named("inSubset")), t.curie)).alias("subsets"),
+        t.none_if_empty(F.transform(_named(*SYNONYMS), synonym)).alias("synonyms"),
+        t.none_if_empty(_texts(_named(*XREFS))).alias("xrefs"),
+        t.none_if_empty(_texts(_named("hasAlternativeId"))).alias("alt_ids"),
+        t.none_if_empty(_relationships(restrictions)).alias("relationships"),
         F.lit(None).cast("array<struct<relationship:string,target_id:string>>").alias("intersection_of"),
-        t.last_entries(c.joined(pairs, "array<struct<key:string,value:string>>")).alias("properties"),
+        t.last_entries(pairs).alias("properties"),
     )
-    props = _elements(spark, path, f"{owl}ObjectProperty")
-    o = _Children(props, p)
-    kind = o.named("type")
-    kinds = o.resources(kind[0]) if kind else F.array().cast("array<string>")
-    typedefs = props.where(o.attribute("about") != "").select(
-        t.curie(o.attribute("about")).alias("id"),
-        (F.try_element_at(o.texts(label), F.lit(-1)) if label in o.names else F.lit(None).cast("string")).alias("name"),
-        F.coalesce(F.array_contains(kinds, OWL + "TransitiveProperty"), F.lit(False)).alias("is_transitive"),
-        F.coalesce(F.array_contains(kinds, OWL + "ReflexiveProperty"), F.lit(False)).alias("is_reflexive"),
+    kinds = _resources(_in(RDF, "type"))
+    typedefs = found.where("kind = 'ObjectProperty' and about is not null").select(
+        t.curie(F.col("about")).alias("id"),
+        _last(_texts(_in(RDFS, "label"))).alias("name"),
+        F.array_contains(kinds, OWL + "TransitiveProperty").alias("is_transitive"),
+        F.array_contains(kinds, OWL + "ReflexiveProperty").alias("is_reflexive"),
     )
     return Ontology(header, terms, typedefs)
