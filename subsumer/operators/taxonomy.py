@@ -1,11 +1,20 @@
-"""Direct parents and children: the transitive reduction of the subsumers."""
+"""Direct parents and children: the transitive reduction of the subsumers.
+
+A concept's candidates are one row: their ids, those with the most candidates of their own first. The first that is left
+is direct, since only a candidate with more could hide it; what it has itself is hidden, and taken out of the row. So a
+row meets the rows of a few of its candidates, not those of all: rounds give each row that is not done its first ones,
+twice as many each time.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import written
+from ..plans.lineage import Growing, written
+
+#: Candidates that a row meets in the first round.
+FIRST = 4
 
 
 def candidates(subsumers: DataFrame, top: object = 0, bottom: object = 1) -> DataFrame:
@@ -14,11 +23,51 @@ def candidates(subsumers: DataFrame, top: object = 0, bottom: object = 1) -> Dat
     return subsumers.where((F.col("c") != F.col("d")) & ~F.col("c").isin(reserved) & ~F.col("d").isin(reserved))
 
 
+def equivalents(sized: DataFrame) -> DataFrame:
+    """(c, n_equal): concepts with others that are each other's candidates, and how many they are. sized: (c, d, n_c, n_d) of all candidates and both's numbers of them."""
+    same = sized.where("n_c = n_d").select("c", "d")  # equivalent ones have as many
+    return same.join(same.select(F.col("d").alias("c"), F.col("c").alias("d")), ["c", "d"]).groupBy("c").agg(F.count("*").alias("n_equal"))
+
+
+def reduced(k: DataFrame) -> DataFrame:
+    """(c, d): the candidates (c, d, closed under composition) that no other candidate of c has among its own."""
+    sizes = written(k.groupBy("c").agg(F.count("*").alias("n")), "sizes")
+    sized = k.join(sizes.withColumnRenamed("n", "n_c"), "c").join(sizes.select(F.col("c").alias("d"), F.col("n").alias("n_d")), "d", "left")
+    sized = written(sized.select("c", "d", "n_c", F.coalesce("n_d", F.lit(0)).alias("n_d")), "sized")
+    order = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n_d")).alias("n"), F.col("d").alias("d")))), lambda x: x["d"])
+    left = written(sized.groupBy("c").agg(order.alias("todo")), "rows")
+    own = left.select(F.col("c").alias("d"), F.col("todo").alias("own"))
+    found = Growing(k.select("c", "d"), "found")
+    many = FIRST
+    while left.head(1):
+        asked = left.select("c", F.explode(F.slice("todo", 1, many)).alias("d"))
+        met = asked.join(own, "d", "left").groupBy("c").agg(F.collect_list(F.struct("d", "own")).alias("met"))
+        rows = left.join(met, "c")
+        # in order: what is still left is direct, and what it has goes
+        none = "filter(todo, x -> false)"
+        step = f"""aggregate(slice(todo, 1, {many}), struct(todo, {none} as direct),
+            (a, d) -> if(array_contains(a.todo, d),
+                struct(array_except(a.todo, array_append(coalesce(filter(met, m -> m.d = d)[0].own, {none}), d)) as todo, array_append(a.direct, d) as direct), a))"""
+        done = written(rows.select("c", F.expr(step).alias("a")).select("c", "a.todo", "a.direct"), "reduced")
+        found.add(done.select("c", F.explode("direct").alias("d")))
+        left = done.where(F.size("todo") > 0).select("c", "todo")
+        many *= 2
+    # a candidate with an equivalent besides c is hidden by it
+    equal = written(equivalents(sized), "equal")
+    out = found.all()
+    if not equal.head(1):
+        return out
+    both = equal.select(F.col("c").alias("d"), "n_equal")
+    mutual = sized.where("n_c = n_d").select(F.col("d").alias("c"), F.col("c").alias("d"), F.lit(1).alias("back"))
+    hid = out.join(both, "d").join(mutual, ["c", "d"], "left").where(F.col("n_equal") > F.coalesce("back", F.lit(0))).select("c", "d")
+    return out.join(hid, ["c", "d"], "left_anti")
+
+
 def direct_parents(subsumers: DataFrame, concepts: DataFrame, *, top: object = 0, bottom: object = 1, collapse_equivalents: bool = False) -> DataFrame:
     """(child, parent): d is direct for c unless another candidate of c has d among its own; without any, top.
 
-    Equivalent concepts are each other's parents and hide what is above them; collapse_equivalents=True keeps of
-    each set of equivalents the smallest id and reduces those.
+    Subsumers are closed: what is above a concept's subsumers is among its own. Equivalent concepts are each other's parents
+    and hide what is above them; collapse_equivalents=True keeps of each set of equivalents the smallest id and reduces those.
     """
     k = candidates(subsumers, top, bottom)
     if collapse_equivalents:
@@ -26,11 +75,7 @@ def direct_parents(subsumers: DataFrame, concepts: DataFrame, *, top: object = 0
         least = k.join(back, ["c", "d"]).groupBy("c").agg(F.min("d").alias("m")).where("m < c").select("c")
         k = k.join(least, "c", "left_anti").join(least.withColumnRenamed("c", "d"), "d", "left_anti").select("c", "d")
         concepts = concepts.join(least.withColumnRenamed("c", "id"), "id", "left_anti")
-    k = written(k, "candidates")
-    above = k.select(F.col("c").alias("d"), F.col("d").alias("e"))
-    shadowed = k.join(above, "d").select("c", F.col("e").alias("d"))
-    direct = k.join(shadowed, ["c", "d"], "left_anti").select(F.col("c").alias("child"), F.col("d").alias("parent"))
-    direct = written(direct, "direct")
+    direct = reduced(written(k.select("c", "d"), "candidates")).select(F.col("c").alias("child"), F.col("d").alias("parent"))
     own = concepts.where(~F.col("id").isin([top, bottom])).select(F.col("id").alias("child"))
     orphans = own.join(direct, "child", "left_anti").withColumn("parent", F.lit(top).cast(direct.schema["parent"].dataType))
     return direct.union(orphans)

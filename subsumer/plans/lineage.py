@@ -11,6 +11,7 @@ from typing import TypeVar
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
@@ -68,3 +69,35 @@ class Growing:
 
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*self.paths) if self.paths else self.spark.createDataFrame([], self.schema)
+
+
+class Buckets:
+    """A set of rows that grows by deltas, in a table bucketed by some columns: joins on these, or on more, leave it in place. Each delta is read back by its number."""
+
+    def __init__(self, like: DataFrame, name: str, by: list[str], buckets: int) -> None:
+        self.spark, self.schema, self.by, self.buckets = like.sparkSession, like.schema, by, buckets
+        self.path, self.table = new_path(self.spark, name), f"{re.sub(r'[^a-z]', '_', name)}_{uuid.uuid4().hex}"
+        self.deltas = self.rows = 0
+
+    def add(self, delta: DataFrame) -> tuple[DataFrame, int]:
+        """Adds the delta; it, as it stands in the table, and its number of rows."""
+        rows = delta.repartition(self.buckets, *self.by).withColumn("_delta", F.lit(self.deltas))
+        rows.write.mode("append").bucketBy(self.buckets, *self.by).option("path", self.path).saveAsTable(self.table)
+        own = self.spark.table(self.table).where(F.col("_delta") == self.deltas).drop("_delta")
+        self.deltas += 1
+        n = own.count()
+        self.rows += n
+        return own, n
+
+    def all(self) -> DataFrame:
+        return self.spark.table(self.table).drop("_delta") if self.deltas else self.spark.createDataFrame([], self.schema)
+
+    def plain(self, least: int = 0) -> DataFrame:
+        """The rows from delta number `least` on, read without the table."""
+        if not self.deltas:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.parquet(self.path).where(F.col("_delta") >= least).select(*self.schema.fieldNames())
+
+    def forget(self) -> None:
+        """Takes the table out of the catalog; its files stay, and plain() with them."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")

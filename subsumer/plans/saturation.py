@@ -1,21 +1,29 @@
-"""The least fixpoint of the completion rules, by semi-naive rounds of joins.
+"""The least fixpoint of the completion rules, by semi-naive rounds of joins that read what can fire and nothing else.
 
-S(c, d): d subsumes c. R(c, r, d): every c has an r-link to a d. NF1 is closed first, by paths of twice the length each
-round; every fact that other rules add brings its closure along, so CR1 needs no rounds of its own. Each round joins what
-was new in the last one with all facts and the axioms; new facts are made distinct and anti-joined with what is known.
-Rules without axioms are left out of the plan. New facts and new links of a round are found by jobs side by side. Top's facts are added at the end unless an axiom starts from top. All joins
-are plain equi-joins: sizes decide how Spark runs them, and AQE splits hot keys.
+S(c, d): d subsumes c. R(c, r, d): every c has an r-link to a d. NF1 is closed first, by paths of twice the length each round.
+What other rules add to S are the heads of NF2, NF4 and bottom, and what the closed NF1 has above these; what they ask of S are the
+premises of NF2 and NF4 and bottom. So rounds work on an index: the facts whose d is one of these. It is kept up by deltas,
+and so are two copies of R, all bucketed on what they are joined by: a round shuffles what was new in the last one,
+never what is known. A round is two jobs side by side, new facts (with what is above them, so CR1 needs no rounds of its own)
+and new links. Rules that cannot add to what is wanted are left out. Top's facts are added at the end unless an axiom
+starts from top.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .lineage import Growing, together, written
+from .lineage import Buckets, Growing, together, written
+
+#: Rows up to which a counted delta, or a counted set of ids, is broadcast or read by one task.
+SMALL = 200_000
 
 
 @dataclass(frozen=True)
@@ -32,9 +40,12 @@ class Axioms:
 
 @dataclass(frozen=True)
 class Saturated:
+    """rules: those that were run; links are empty if they were neither wanted nor needed."""
+
     subsumers: DataFrame
     links: DataFrame
     rounds: int = field(default=0)
+    rules: frozenset[str] = field(default=frozenset())
 
 
 def symmetric(nf2: DataFrame) -> DataFrame:
@@ -49,7 +60,7 @@ def _held(df: DataFrame | None, name: str) -> DataFrame | None:
     return df if df.head(1) else None
 
 
-def _union(parts: list[DataFrame]) -> DataFrame | None:
+def _union(parts: Iterable[DataFrame]) -> DataFrame | None:
     out = None
     for p in parts:
         out = p if out is None else out.union(p)
@@ -67,107 +78,224 @@ def closed(nf1: DataFrame) -> DataFrame:
     return paths.all()
 
 
-def _starts_from(value: object, *columns: DataFrame | None) -> bool:
-    """Whether the value is in one of these tables of one column."""
-    found = _union([c.toDF("id") for c in columns if c is not None])
-    return found is not None and bool(found.where(F.col("id") == F.lit(value)).head(1))
+def _column(*columns: tuple[DataFrame | None, str]) -> DataFrame | None:
+    """The distinct values (id) of some columns."""
+    found = _union([df.select(F.col(c).alias("id")) for df, c in columns if df is not None])
+    return None if found is None else found.distinct()
 
 
-def _more_facts(found: DataFrame | None, known: DataFrame, all_facts: Growing, nf1: DataFrame | None, but: object | None) -> DataFrame | None:
-    """What is new among the facts found, none with d = but, and what the closed nf1 has above it (CR1); None if nothing is."""
-    if found is None:
-        return None
-    fresh = found.distinct()
-    if but is not None:
-        fresh = fresh.where(F.col("d") != F.lit(but))
-    fresh = all_facts.add(fresh.join(known, ["c", "d"], "left_anti"))
-    if not fresh.head(1):
-        return None
-    if nf1 is None:
-        return fresh
-    above = fresh.join(nf1, fresh.d == nf1["sub"]).select("c", F.col("sup").alias("d")).distinct()
-    return fresh.union(all_facts.add(above.join(known, ["c", "d"], "left_anti").join(fresh, ["c", "d"], "left_anti")))
+def _has(values: DataFrame | None, value: object) -> bool:
+    return values is not None and bool(values.where(F.col("id") == F.lit(value)).head(1))
 
 
-def _more_links(found: DataFrame | None, known: DataFrame | None, all_links: Growing | None) -> DataFrame | None:
-    """What is new among the links found; None if nothing is."""
-    if found is None:
-        return None
-    fresh = found.distinct()
-    fresh = all_links.add(fresh.join(known, ["c", "r", "d"], "left_anti") if known is not None else fresh)
-    return fresh if fresh.head(1) else None
+@dataclass(frozen=True)
+class Rules:
+    """The rules that can add to what is wanted. links: whether links are worked out at all."""
+
+    cr2: bool
+    cr4: bool
+    cr5: bool
+    links: bool
+
+    def names(self, nf5: bool, nf6: bool) -> frozenset[str]:
+        own = {"CR1": True, "CR2": self.cr2, "CR3": self.links, "CR4": self.cr4, "CR5": self.cr5, "CR10": self.links and nf5, "CR11": self.links and nf6}
+        return frozenset(n for n, on in own.items() if on)
+
 
+def _needed(want: frozenset[str], axioms: dict[str, DataFrame | None], above: DataFrame | None, bottom: object) -> Rules:
+    """What depends on what: links come from S by NF3, facts come from links by NF4 and CR5; facts matter to links if NF3 starts from what they can add (above: heads and all above them)."""
+    nf2, nf3, nf4 = axioms["nf2"], axioms["nf3"], axioms["nf4"]
+    dies = nf3 is not None and _has(_column((axioms["nf1"], "sup"), (nf2, "sup"), (nf4, "sup"), (nf3, "fill")), bottom)
+    by_links = nf3 is not None and nf4 is not None
+    if "subsumers" in want:
+        return Rules(nf2 is not None, by_links, dies, nf3 is not None and ("links" in want or by_links or dies))
+    # links alone: new facts count only where NF3 starts from one of them
+    starts = nf3 is not None and above is not None and bool(above.join(nf3.select(F.col("sub").alias("sup")), "sup", "left_semi").head(1))
+    starts = starts or dies and _has(_column((nf3, "sub")), bottom)
+    return Rules(starts and nf2 is not None, starts and by_links, starts and dies, nf3 is not None)
 
-def saturate(concepts: DataFrame, axioms: Axioms, *, top: object = 0, bottom: object = 1, most_rounds: int = 10_000) -> Saturated:
+
+@contextmanager
+def _by_part_of_the_key(spark: SparkSession) -> Iterator[None]:
+    """Joins on more columns than a side is bucketed by may keep that side in place."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def saturate(
+    concepts: DataFrame | None, axioms: Axioms, *, top: object = 0, bottom: object = 1, want: Iterable[str] = ("subsumers", "links"), parallelism: int | None = None, most_rounds: int = 10_000
+) -> Saturated:
     """S and R for concepts (id) and their axioms.
 
-    concepts should hold every id that axioms name, top and bottom included: each starts with itself and top. Role ids and
-    concept ids are apart. CR5 is complete: bottom spreads back along links whichever comes first. Rounds are
-    those after the closure of NF1, the last, which finds nothing, included.
+    concepts should hold every id that axioms name, top and bottom included: each starts with itself and top. None: they are these ids. Role ids and
+    concept ids are apart. CR5 is complete: bottom spreads back along links whichever comes first. want: "subsumers",
+    "links" or both; what is not wanted may be incomplete. parallelism: tasks of a round's deltas at most, of which small ones
+    take one (the session's shuffle partitions if None). Rounds are those after the closure of NF1, the last, which
+    finds nothing, included.
     """
-    spark, kind = concepts.sparkSession, concepts.schema["id"].dataType
+    want = frozenset(want)
+    if not want or want - {"subsumers", "links"}:
+        raise ValueError("want is 'subsumers', 'links' or both")
+    some = concepts if concepts is not None else next((df for df in vars(axioms).values() if df is not None), None)
+    if some is None:
+        raise ValueError("there are neither concepts nor axioms")
+    with _by_part_of_the_key(some.sparkSession):
+        return _saturate(concepts, axioms, top, bottom, want, parallelism, most_rounds)
+
+
+def _saturate(concepts: DataFrame | None, axioms: Axioms, top: object, bottom: object, want: frozenset[str], parallelism: int | None, most_rounds: int) -> Saturated:
     pairs = symmetric(axioms.nf2) if axioms.nf2 is not None else None
-    held = {"nf1": axioms.nf1, "nf2": pairs, "nf3": axioms.nf3, "nf4": axioms.nf4, "nf5": axioms.nf5, "nf6": axioms.nf6}
-    ids, nf1, nf2, nf3, nf4, nf5, nf6 = together(
-        spark,
-        partial(written, concepts.select(F.col("id").alias("c")).distinct(), "ids"),
-        *(partial(_held, df, n) for n, df in held.items()),
-    )
+    given = {"nf1": axioms.nf1, "nf2": pairs, "nf3": axioms.nf3, "nf4": axioms.nf4, "nf5": axioms.nf5, "nf6": axioms.nf6}
+    spark = next(df for df in (concepts, *given.values()) if df is not None).sparkSession
+    tasks = parallelism or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    jobs = [partial(_held, df, n) for n, df in given.items()]
+    if concepts is not None:
+        jobs.append(partial(written, concepts.select(F.col("id").alias("c")).distinct(), "ids"))
+    done = together(spark, *jobs)
+    held = dict(zip(given, done, strict=False))
+    if concepts is None:
+        names = [(held[n], c) for n, columns in (("nf1", ("sub", "sup")), ("nf2", ("l", "r", "sup")), ("nf3", ("sub", "fill")), ("nf4", ("fill", "sup"))) for c in columns]
+        kind = next((df.schema[c].dataType for df, c in names if df is not None), T.StringType() if isinstance(top, str) else T.LongType())
+        reserved = spark.range(0, 1, 1, 1).select(F.explode(F.array(F.lit(top).cast(kind), F.lit(bottom).cast(kind))).alias("id"))
+        named = _column(*names)
+        ids = written((reserved if named is None else named.union(reserved)).distinct().withColumnRenamed("id", "c"), "ids")
+    else:
+        ids = done[-1]
+    kind = ids.schema["c"].dataType
+    apart = not _has(_column((held["nf1"], "sub"), (held["nf2"], "l"), (held["nf3"], "sub"), (held["nf4"], "fill")), top)
     tops = ids.select("c", F.lit(top).cast(kind).alias("d"))
-    apart = not _starts_from(top, *(df.select(c) if df is not None else None for df, c in ((nf1, "sub"), (nf2, "l"), (nf3, "sub"), (nf4, "fill"))))
-    start = ids.select("c", F.col("c").alias("d"))
-    if not apart:
-        start = start.union(tops)
+    dead = lambda c: F.lit(bottom).cast(kind).alias(c)
+
+    # S of NF1 alone: the closed NF1 holds it, but for each concept itself and top
+    own = ids.select("c", F.col("c").alias("d"))
+    nf1 = held["nf1"]
     if nf1 is not None:
         nf1 = closed(nf1.where(F.col("sup") != F.lit(top)) if apart else nf1)
-        start = start.union(start.join(nf1, start.d == nf1["sub"]).select("c", F.col("sup").alias("d")))
-    s_all = Growing(start, "subsumers")
-    ds: DataFrame | None = s_all.add(start.distinct())
-    no_links = None
+    start = own if nf1 is None else own.union(nf1.select(F.col("sub").alias("c"), F.col("sup").alias("d")))
+    if not apart:
+        start = start.union(tops)
+        if nf1 is not None:
+            start = start.union(tops.join(nf1, tops.d == nf1["sub"]).select("c", F.col("sup").alias("d")))
+        start = written(start.distinct(), "start")
+
+    # heads, and all that is above them
+    nf2, nf3, nf4, nf5, nf6 = (held[n] for n in ("nf2", "nf3", "nf4", "nf5", "nf6"))
+    heads = _column((nf2, "sup"), (nf4, "sup"))
+    lowest = spark.range(0, 1, 1, 1).select(dead("id"))
+    up = None
+    if heads is not None or nf3 is not None:
+        heads = lowest if heads is None else heads.union(lowest).distinct()
+        up = heads.select(F.col("id").alias("sub"), F.col("id").alias("sup"))
+        if nf1 is not None:
+            up = up.union(nf1.join(heads, nf1["sub"] == heads.id, "left_semi"))
+        if not apart and nf1 is not None:
+            up = up.union(heads.select(F.col("id").alias("sub"), F.lit(top).cast(kind).alias("d")).join(nf1.withColumnRenamed("sub", "d"), "d").select("sub", "sup"))
+        up = written((up.where(F.col("sup") != F.lit(top)) if apart else up).distinct(), "above")
+    rules = _needed(want, held | {"nf1": nf1}, up, bottom)
+    names = rules.names(nf5 is not None, nf6 is not None)
+    nf2, nf4 = nf2 if rules.cr2 else None, nf4 if rules.cr4 else None
+    nf3 = nf3 if rules.links else None
+    adds = rules.cr2 or rules.cr4 or rules.cr5
+
+    # the index of S: premises and heads; and the first links
+    index = Buckets(own, "index", ["c", "d"], tasks)
+    by_c = by_d = None
     if nf3 is not None:
-        no_links = nf3.select(F.col("sub").alias("c"), F.col("role").alias("r"), F.col("fill").alias("d"))
-    r_all = Growing(no_links, "links") if no_links is not None else None
-    dr: DataFrame | None = None
-    rounds = 0
-    while rounds < most_rounds:
-        rounds += 1
-        s = s_all.all()
-        r = r_all.all() if r_all is not None and r_all.paths else None
-        new_s, new_r = [], []
+        told = nf3.select(F.col("sub").alias("c"), F.col("role").alias("r"), F.col("fill").alias("d"))
+        by_c = Buckets(told, "links", ["c"], tasks)
+        by_d = Buckets(told, "links-back", ["d"], tasks) if nf4 is not None or nf6 is not None or rules.cr5 else None
+
+    def first_facts() -> tuple[DataFrame | None, int]:
+        if not adds:
+            return None, 0
+        keys = written(_column((nf2, "l"), (nf4, "fill"), (up, "sup")).union(lowest).distinct().withColumnRenamed("id", "d"), "keys")
+        few = keys.count() <= SMALL
+        return index.add(start.join(F.broadcast(keys) if few else keys, "d", "left_semi").select("c", "d"))
+
+    def first_links() -> tuple[DataFrame | None, int]:
+        if nf3 is None:
+            return None, 0
+        first, n = by_c.add(start.join(nf3, start.d == nf3["sub"]).select("c", F.col("role").alias("r"), F.col("fill").alias("d")).distinct())
+        if by_d is not None:
+            by_d.add(first)
+        return first, n
+
+    (ds, n_s), (dr, n_r) = together(spark, first_facts, first_links)
+
+    def facts(ds: DataFrame | None, dr: DataFrame | None) -> tuple[DataFrame | None, int]:
+        """What CR2, CR4 and CR5 add, with all above it."""
+        s, found = index.all(), []
+        r = by_d.all() if by_d is not None else None
         if ds is not None:
-            if nf2 is not None:  # CR2: one order is enough, both are stored
-                half = ds.join(nf2, ds.d == nf2.l).select(F.col("c"), F.col("r").alias("d"), "sup")
-                new_s.append(half.join(s, ["c", "d"]).select("c", F.col("sup").alias("d")))
-            if nf3 is not None:  # CR3
-                new_r.append(ds.join(nf3, ds.d == nf3["sub"]).select("c", F.col("role").alias("r"), F.col("fill").alias("d")))
-            if nf4 is not None and r is not None:  # CR4 backward
+            if nf2 is not None:  # one order is enough, both are stored
+                half = ds.join(nf2, ds.d == nf2.l).select("c", F.col("r").alias("d"), "sup")
+                found.append(half.join(s, ["c", "d"]).select("c", "sup"))
+            if nf4 is not None and r is not None:
                 half = ds.join(nf4, ds.d == nf4.fill).select(F.col("c").alias("d"), F.col("role").alias("r"), "sup")
-                new_s.append(half.join(r, ["r", "d"]).select("c", F.col("sup").alias("d")))
-            if r is not None:  # CR5 backward
-                dead = ds.where(F.col("d") == F.lit(bottom)).select(F.col("c").alias("d"))
-                new_s.append(r.join(dead, "d", "left_semi").select("c", F.lit(bottom).cast(kind).alias("d")))
+                found.append(half.join(r, ["d", "r"]).select("c", "sup"))
+            if rules.cr5 and r is not None:
+                gone = ds.where(F.col("d") == F.lit(bottom)).select(F.col("c").alias("d"))
+                found.append(r.join(gone, "d", "left_semi").select("c", dead("sup")))
         if dr is not None:
-            if nf4 is not None:  # CR4 forward
+            if nf4 is not None:
                 half = dr.join(nf4, dr.r == nf4.role).select("c", F.col("d").alias("t"), "fill", "sup")
-                t = s.select(F.col("c").alias("t"), F.col("d").alias("fill"))
-                new_s.append(half.join(t, ["t", "fill"]).select("c", F.col("sup").alias("d")))
-            dead = s.where(F.col("d") == F.lit(bottom)).select(F.col("c").alias("d"))  # CR5 forward
-            new_s.append(dr.join(dead, "d", "left_semi").select("c", F.lit(bottom).cast(kind).alias("d")))
-            if nf5 is not None:  # CR10
-                new_r.append(dr.join(nf5, dr.r == nf5["sub"]).select("c", F.col("sup").alias("r"), "d"))
-            if nf6 is not None and r is not None:  # CR11, with the new link behind and before
+                found.append(half.join(s.toDF("t", "fill"), ["t", "fill"]).select("c", "sup"))
+            if rules.cr5:
+                gone = s.where(F.col("d") == F.lit(bottom)).select(F.col("c").alias("d"))
+                found.append(dr.join(gone, "d", "left_semi").select("c", dead("sup")))
+        every = _union(found)
+        if every is None:
+            return None, 0
+        above = every.distinct().withColumnRenamed("sup", "sub").join(up, "sub").select("c", F.col("sup").alias("d")).distinct()
+        return index.add(above.join(s, ["c", "d"], "left_anti"))
+
+    def links(ds: DataFrame | None, dr: DataFrame | None) -> tuple[DataFrame | None, int]:
+        """What CR3, CR10 and CR11 add."""
+        found = []
+        if ds is not None:
+            found.append(ds.join(nf3, ds.d == nf3["sub"]).select("c", F.col("role").alias("r"), F.col("fill").alias("d")))
+        if dr is not None:
+            if nf5 is not None:
+                found.append(dr.join(nf5, dr.r == nf5["sub"]).select("c", F.col("sup").alias("r"), "d"))
+            if nf6 is not None:  # the new link behind, and before
                 two = dr.join(nf6, dr.r == nf6.r2).select(F.col("c").alias("m"), "r1", "sup", "d")
-                one = r.select(F.col("c"), F.col("r").alias("r1"), F.col("d").alias("m"))
-                new_r.append(two.join(one, ["m", "r1"]).select("c", F.col("sup").alias("r"), "d"))
+                found.append(two.join(by_d.all().toDF("c", "r1", "m"), ["m", "r1"]).select("c", F.col("sup").alias("r"), "d"))
                 one = dr.join(nf6, dr.r == nf6.r1).select("c", F.col("d").alias("m"), "r2", "sup")
-                two = r.select(F.col("c").alias("m"), F.col("r").alias("r2"), "d")
-                new_r.append(one.join(two, ["m", "r2"]).select("c", F.col("sup").alias("r"), "d"))
-        ds, dr = together(spark, partial(_more_facts, _union(new_s), s, s_all, nf1, top if apart else None), partial(_more_links, _union(new_r), r, r_all))
-        if ds is None and dr is None:
+                found.append(one.join(by_c.all().toDF("m", "r2", "d"), ["m", "r2"]).select("c", F.col("sup").alias("r"), "d"))
+        every = _union(found)
+        if every is None:
+            return None, 0
+        fresh, n = by_c.add(every.distinct().join(by_c.all(), ["c", "r", "d"], "left_anti"))
+        if n and by_d is not None:
+            by_d.add(fresh)
+        return fresh, n
+
+    def dealt(delta: DataFrame | None, n: int, key: str) -> DataFrame | None:
+        """A small delta in one task, a large one in as many as it has parts of SMALL rows."""
+        if not n:
+            return None
+        return delta.coalesce(1) if n <= SMALL else delta.repartition(min(tasks, -(-n // SMALL)), key)
+
+    rounds, fresh = 0, None  # the first facts' links are there
+    while rounds < most_rounds:
+        rounds += 1
+        s, r = dealt(ds, n_s, "d"), dealt(dr, n_r, "d")
+        jobs = [partial(facts, s, r) if adds else lambda: (None, 0), partial(links, fresh, r) if nf3 is not None else lambda: (None, 0)]
+        (ds, n_s), (dr, n_r) = together(spark, *jobs)
+        fresh = dealt(ds, n_s, "d")
+        if not n_s and not n_r:
             break
     name = kind.simpleString()
-    links = r_all.all() if r_all is not None else spark.createDataFrame([], f"c {name}, r string, d {name}")
-    subsumers = s_all.all()
+    found = by_c.plain() if by_c is not None else spark.createDataFrame([], f"c {name}, r string, d {name}")
+    out = start.union(index.plain(1)) if adds else start
     if apart:
-        subsumers = subsumers.union(tops.where(F.col("c") != F.col("d")))
-    return Saturated(subsumers, links, rounds)
+        out = out.union(tops.where(F.col("c") != F.col("d")))
+    for x in (index, by_c, by_d):
+        if x is not None:
+            x.forget()
+    return Saturated(out, found, rounds, names)

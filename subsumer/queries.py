@@ -96,11 +96,12 @@ parents AS (
     WHERE id NOT IN ('owl:Thing', 'owl:Nothing') AND id NOT IN (SELECT child FROM direct))"""
 
 
-def _saturated(spark: SparkSession, d: str, *only: str):
+def _saturated(spark: SparkSession, d: str, *only: str, want_links: bool = False):
     """S and R of the warehouse's ontology, with the axioms of some forms only if any are named."""
     w = Warehouse(spark, d)
     axioms = w.axioms() if not only else Axioms(**{n: getattr(w, n)() for n in only})
-    return w, saturate(w.concepts(), axioms, top=TOP, bottom=BOTTOM)
+    want = ("links",) if want_links else ("subsumers",)
+    return w, saturate(w.concepts() if only else None, axioms, top=TOP, bottom=BOTTOM, want=want)
 
 
 @query(f"WITH {NF1_SQL} SELECT sub, sup FROM nf1")
@@ -150,7 +151,7 @@ def cr2_conjunction(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH_LINKS} SELECT c, r, d FROM base")
 def cr3_links(spark: SparkSession, d: str) -> DataFrame:
-    return _saturated(spark, d, "nf1", "nf3")[1].links
+    return _saturated(spark, d, "nf1", "nf3", want_links=True)[1].links
 
 
 @query(f"{WITH_ALL} SELECT c, d FROM by_link")
@@ -165,12 +166,12 @@ def cr5_bottom(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH_LINKS} SELECT c, r, d FROM base UNION SELECT c, 'related_to', d FROM base WHERE r = 'located_in'")
 def cr10_role_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return _saturated(spark, d, "nf1", "nf3", "nf5")[1].links
+    return _saturated(spark, d, "nf1", "nf3", "nf5", want_links=True)[1].links
 
 
 @query(f"{WITH_LINKS} SELECT c, r, d FROM links WHERE r <> 'related_to'")
 def cr11_role_chain(spark: SparkSession, d: str) -> DataFrame:
-    return _saturated(spark, d, "nf1", "nf3", "nf6")[1].links
+    return _saturated(spark, d, "nf1", "nf3", "nf6", want_links=True)[1].links
 
 
 @query(f"{WITH_ALL} SELECT c, d FROM facts")
@@ -225,7 +226,7 @@ def told_supplies(spark: SparkSession, d: str) -> DataFrame:
 
 def _whole(spark: SparkSession, d: str):
     w = WholeWarehouse(spark, d)
-    return saturate(w.concepts(), w.axioms(), top=TOP, bottom=BOTTOM)
+    return saturate(None, w.axioms(), top=TOP, bottom=BOTTOM)
 
 
 @query(f"{WITH_ALL}, {WHOLE_SQL} SELECT c, d FROM whole")

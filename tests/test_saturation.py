@@ -96,3 +96,110 @@ def test_deep_ladder_closes_in_few_rounds(spark):
     edges = [(i, i + 1) for i in range(40)] + [(40, 38), (7, 7)]
     found = {tuple(x) for x in closed(spark.createDataFrame(edges, "sub long, sup long")).collect()}
     assert found == {(a, b) for a in range(41) for b in range(41) if a != b and (b > a or min(a, b) >= 38)}
+
+
+def frames(spark, ax):
+    return {n: spark.createDataFrame(ax[n], ", ".join(f"{c} long" for c in COLUMNS[n].split())) for n in COLUMNS if ax.get(n)}
+
+
+@pytest.mark.parametrize("seed", range(2, 5))
+def test_what_is_wanted_is_whole(spark, seed):
+    rng = random.Random(seed)
+    c = range(1 if seed == 4 else 2, 9)
+    pick = lambda *sizes: [tuple(rng.choice(c) if s == "c" else rng.randrange(2) for s in sizes) for _ in range(4)]
+    ax = {"nf1": pick("c", "c"), "nf2": pick("c", "c", "c")[: seed - 2], "nf3": pick("c", "r", "c"), "nf4": pick("r", "c", "c")[:3], "nf5": pick("r", "r")[:1], "nf6": pick("r", "r", "r")[:1]}
+    s, r = plain(range(9), {n: ax.get(n, []) for n in COLUMNS})
+    # concepts come from the axioms
+    named = {0, 1} | {x for n, at in (("nf1", (0, 1)), ("nf2", (0, 1, 2)), ("nf3", (0, 2)), ("nf4", (1, 2))) for row in ax[n] for i in at for x in (row[i],)}
+    one = saturate(None, Axioms(**frames(spark, ax)), want=("subsumers",))
+    assert {tuple(x) for x in one.subsumers.collect()} == {x for x in s if x[0] in named}
+    two = saturate(None, Axioms(**frames(spark, ax)), want=("links",), parallelism=2)
+    assert {tuple(x) for x in two.links.select("c", "r", "d").collect()} == r
+
+
+def test_rules_that_add_nothing_are_left_out(spark):
+    ax = {"nf1": [(2, 3)], "nf2": [(3, 4, 5)], "nf3": [(2, 0, 4)], "nf4": [(0, 4, 6)], "nf5": [(0, 1)]}
+    every = saturate(None, Axioms(**frames(spark, ax)))
+    assert every.rules == {"CR1", "CR2", "CR3", "CR4", "CR10"}
+    # no link starts from 5 or 6, so facts add none
+    links = saturate(None, Axioms(**frames(spark, ax)), want=("links",))
+    assert links.rules == {"CR1", "CR3", "CR10"} and links.links.count() == 2
+    # without NF4 and bottom links add no facts
+    facts = saturate(None, Axioms(**frames(spark, {**ax, "nf4": []})), want=("subsumers",))
+    assert facts.rules == {"CR1", "CR2"} and facts.links.count() == 0
+    with pytest.raises(ValueError):
+        saturate(None, Axioms(**frames(spark, ax)), want=("all",))
+
+
+def test_what_is_known_stays_in_place(spark):
+    from subsumer.plans.lineage import Buckets
+    from subsumer.plans.saturation import _by_part_of_the_key
+
+    rows = spark.range(1000).selectExpr("id as c", "id % 3 as r", "id % 7 as d")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    held = Buckets(rows, "x", ["c"], 8)
+    try:
+        with _by_part_of_the_key(spark):
+            held.add(rows)
+            new, n = held.add(rows.selectExpr("c + 990 as c", "r", "d").join(held.all(), ["c", "r", "d"], "left_anti"))
+            for on, how in ((["c", "r", "d"], "left_anti"), (["c", "r"], "inner")):
+                plan = new.select(*on).join(held.all(), on, how)._jdf.queryExecution().executedPlan().toString()
+                # only the delta may move
+                known = plan[plan.rindex("FileScan") :]
+                assert plan.count("Exchange") <= 1 and "Exchange" not in known and plan.count("Bucketed: true") == 2
+        assert n == 1000 - len({(i, i % 3, i % 7) for i in range(1000)} & {(i + 990, i % 3, i % 7) for i in range(1000)}) and held.all().count() == 1000 + n
+        assert held.plain(1).count() == n
+    finally:
+        held.forget()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert held.plain().count() == 1000 + n
+
+
+def test_small_deltas_take_one_task(spark, monkeypatch):
+    from subsumer.plans import saturation
+
+    edges = [(i, 0, i + 1) for i in range(2, 400)]
+    ax = frames(spark, {"nf3": edges, "nf6": [(0, 0, 0)]})
+    seen = []
+    plain_join = saturation.Buckets.add
+
+    def add(self, delta):
+        seen.append(self.buckets)
+        return plain_join(self, delta)
+
+    monkeypatch.setattr(saturation.Buckets, "add", add)
+    out = saturate(None, Axioms(**ax), want=("links",), parallelism=3, most_rounds=2)
+    assert set(seen) == {3} and out.links.rdd.getNumPartitions() <= 8
+    monkeypatch.setattr(saturation, "SMALL", 100)
+    deltas = []
+    monkeypatch.setattr(saturation, "together", lambda spark, *jobs: deltas.append(jobs) or [j() for j in jobs])
+    saturate(None, Axioms(**ax), want=("links",), parallelism=3, most_rounds=2)
+    tasks = [x.rdd.getNumPartitions() for jobs in deltas for j in jobs for x in getattr(j, "args", ()) if hasattr(x, "rdd") and x.columns == ["c", "r", "d"]]
+    assert tasks and max(tasks) == 3
+
+
+def plain_direct(pairs, concepts):
+    k = {(c, d) for c, d in pairs if c != d and min(c, d) > 1}
+    hidden = {(c, e) for c, d in k for d2, e in k if d == d2}
+    out = k - hidden
+    return out | {(c, TOP) for c in concepts if c > 1 and c not in {x for x, _ in out}}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reduction(spark, seed, monkeypatch):
+    from subsumer.operators import taxonomy
+
+    monkeypatch.setattr(taxonomy, "FIRST", 1 + seed)
+    rng = random.Random(seed)
+    n = 40
+    # layers, with many parents and some cycles
+    edges = {(rng.randrange(2, n), rng.randrange(2, n)) for _ in range(60)}
+    edges = {(a, b) for a, b in edges if a > b or rng.random() < (0, 0.05, 0.3)[seed]} | {(39, x) for x in range(2, 20)}
+    pairs = set(edges)
+    while more := {(a, d) for a, b in pairs for c, d in edges if b == c} - pairs:
+        pairs |= more
+    pairs |= {(c, c) for c in range(n)} | {(c, TOP) for c in range(n)} | {(5, BOTTOM)}
+    concepts = spark.createDataFrame([(c,) for c in range(n)], "id long")
+    got = direct_parents(spark.createDataFrame(sorted(pairs), "c long, d long"), concepts)
+    assert sorted(map(tuple, got.collect())) == sorted(plain_direct(pairs, range(n)))
