@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import Growing, written
+from ..plans.lineage import written
 
 #: Candidates that a row meets in the first round.
 FIRST = 4
@@ -23,43 +23,38 @@ def candidates(subsumers: DataFrame, top: object = 0, bottom: object = 1) -> Dat
     return subsumers.where((F.col("c") != F.col("d")) & ~F.col("c").isin(reserved) & ~F.col("d").isin(reserved))
 
 
-def equivalents(sized: DataFrame) -> DataFrame:
-    """(c, n_equal): concepts with others that are each other's candidates, and how many they are. sized: (c, d, n_c, n_d) of all candidates and both's numbers of them."""
-    same = sized.where("n_c = n_d").select("c", "d")  # equivalent ones have as many
-    return same.join(same.select(F.col("d").alias("c"), F.col("c").alias("d")), ["c", "d"]).groupBy("c").agg(F.count("*").alias("n_equal"))
-
-
 def reduced(k: DataFrame) -> DataFrame:
     """(c, d): the candidates (c, d, closed under composition) that no other candidate of c has among its own."""
-    sizes = written(k.groupBy("c").agg(F.count("*").alias("n")), "sizes")
-    sized = k.join(sizes.withColumnRenamed("n", "n_c"), "c").join(sizes.select(F.col("c").alias("d"), F.col("n").alias("n_d")), "d", "left")
-    sized = written(sized.select("c", "d", "n_c", F.coalesce("n_d", F.lit(0)).alias("n_d")), "sized")
-    order = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n_d")).alias("n"), F.col("d").alias("d")))), lambda x: x["d"])
-    left = written(sized.groupBy("c").agg(order.alias("todo")), "rows")
-    own = left.select(F.col("c").alias("d"), F.col("todo").alias("own"))
-    found = Growing(k.select("c", "d"), "found")
-    many = FIRST
-    while left.head(1):
-        asked = left.select("c", F.explode(F.slice("todo", 1, many)).alias("d"))
+    sizes = k.groupBy(F.col("c").alias("d")).agg(F.count("*").alias("n"))
+    sized = k.join(sizes, "d", "left").groupBy("c").agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("n", F.lit(0))).alias("n"), "d"))).alias("x"))
+    ids = lambda x: F.transform(x, lambda y: y["d"])
+    # equivalent concepts have as many candidates
+    same = F.filter("x", lambda y: y["n"] == -F.size("x"))
+    held = written(sized.select("c", ids(F.col("x")).alias("todo"), ids(same).alias("same")), "rows")
+    own = held.select(F.col("c").alias("d"), F.col("todo").alias("own"))
+    todo, rounds, many = held.select("c", "todo"), [], FIRST
+    while todo.head(1):
+        asked = todo.select("c", F.explode(F.slice("todo", 1, many)).alias("d"))
         met = asked.join(own, "d", "left").groupBy("c").agg(F.collect_list(F.struct("d", "own")).alias("met"))
-        rows = left.join(met, "c")
-        # in order: what is still left is direct, and what it has goes
+        # in order: what is still there is direct, and what it has goes
         none = "filter(todo, x -> false)"
         step = f"""aggregate(slice(todo, 1, {many}), struct(todo, {none} as direct),
             (a, d) -> if(array_contains(a.todo, d),
                 struct(array_except(a.todo, array_append(coalesce(filter(met, m -> m.d = d)[0].own, {none}), d)) as todo, array_append(a.direct, d) as direct), a))"""
-        done = written(rows.select("c", F.expr(step).alias("a")).select("c", "a.todo", "a.direct"), "reduced")
-        found.add(done.select("c", F.explode("direct").alias("d")))
-        left = done.where(F.size("todo") > 0).select("c", "todo")
+        done = written(todo.join(met, "c").select("c", F.expr(step).alias("a")).select("c", "a.todo", "a.direct"), "reduced")
+        rounds.append(done.select("c", F.explode("direct").alias("d")))
+        todo = done.where(F.size("todo") > 0).select("c", "todo")
         many *= 2
-    # a candidate with an equivalent besides c is hidden by it
-    equal = written(equivalents(sized), "equal")
-    out = found.all()
-    if not equal.head(1):
+    out = k.select("c", "d").limit(0) if not rounds else rounds[0]
+    for r in rounds[1:]:
+        out = out.union(r)
+    # of each pair of equivalents both are the other's candidates; one that has another besides c is hidden by it
+    same = held.where(F.size("same") > 0).select("c", F.explode("same").alias("d"))
+    if not same.head(1):
         return out
-    both = equal.select(F.col("c").alias("d"), "n_equal")
-    mutual = sized.where("n_c = n_d").select(F.col("d").alias("c"), F.col("c").alias("d"), F.lit(1).alias("back"))
-    hid = out.join(both, "d").join(mutual, ["c", "d"], "left").where(F.col("n_equal") > F.coalesce("back", F.lit(0))).select("c", "d")
+    mutual = written(same.join(same.select(F.col("d").alias("c"), F.col("c").alias("d")), ["c", "d"]), "equivalents")
+    others = mutual.groupBy(F.col("c").alias("d")).agg(F.count("*").alias("n"))
+    hid = out.join(others, "d").join(mutual.withColumn("back", F.lit(1)), ["c", "d"], "left").where(F.col("n") > F.coalesce("back", F.lit(0))).select("c", "d")
     return out.join(hid, ["c", "d"], "left_anti")
 
 

@@ -7,7 +7,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import SparkSession
 
 from ..ontology import Ontology
-from .obo import line_end, read_obo
+from .obo import read_obo
 from .owl import read_owl
 
 
@@ -25,5 +25,5 @@ def detect_format(path: str, explicit: str = "auto") -> str:
 
 def read_ontology(spark: SparkSession, path: str, explicit: str = "auto") -> Ontology:
     if detect_format(path, explicit) == "obo":
-        return read_obo(spark, path, newline=line_end(spark, path))
+        return read_obo(spark, path)
     return read_owl(spark, path)

@@ -2,42 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..ontology import Ontology
+from ..plans.lineage import written
 
 TERM, TYPEDEF = "[Term]", "[Typedef]"
 
 
-def line_end(spark: SparkSession, path: str) -> str | None:
-    """The ends of lines of a file, or of all files of a path, as read_blocks() wants them; None if they are mixed so that it must read whole files.
-
-    Files without a blank line that holds a "\\r" split at "\\n\\n", whatever the ends of their other lines.
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The blocks of each split's lines. The lines before its first blank one and those behind its last may be parts of blocks."""
+    key, held, n, blank = None, [], 0, False
+
+    def cut(whole: bool) -> list[tuple]:
+        nonlocal held, n
+        text, held = "\n".join(held), []
+        n += 1
+        return [(*key, n, whole, blank, text)]
+
+    for batch in batches:
+        out: list[tuple] = []
+        for (file, start), own in batch.groupby(["file", "start"], sort=False):
+            if key != (file, start):
+                if key:
+                    out += cut(False)
+                key, held, n, blank = (file, start), [], 0, False
+            lines = own["value"].tolist()
+            at = 0
+            for stop in [i for i, x in enumerate(lines) if not x or x == "\r"]:
+                held += lines[at:stop]
+                at = stop + 1
+                if held or not blank:
+                    # a file's first block has nothing before it
+                    out += cut(blank or not start)
+                blank = True
+            held += lines[at:]
+        yield pd.DataFrame(out, columns=["file", "start", "row", "whole", "blank", "value"])
+    if key:
+        yield pd.DataFrame(cut(False), columns=["file", "start", "row", "whole", "blank", "value"])
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(at, value): the blocks between blank lines of the files of a path, and their order, whatever ends their lines.
+
+    Files may be larger than a split. What a split holds of a block that goes on beyond its borders is put together with the rest: it
+    belongs to the last split before it that has a blank line.
     """
     rows = spark.read.option("lineSep", "\n").text(path)
-    at = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    lines = rows.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), (F.col("value") == "\r").alias("blank"), (~F.col("value").endswith("\r")).alias("plain"))
-    # nothing stands behind the last line of a file: its end doesn't count
-    files = lines.groupBy("file").agg(F.max("blank").alias("blank"), (F.count_if("plain") - F.max_by("plain", "at").cast("long")).alias("plain"))
-    found = files.agg(F.max("blank").alias("blank"), F.max("plain").alias("plain"), F.min("blank").alias("all_blank")).first()
-    if not found["blank"]:
-        return "\n"
-    return "\r\n" if found["plain"] == 0 and found["all_blank"] else None
-
-
-def read_blocks(spark: SparkSession, path: str, *, newline: str | None = "\n") -> DataFrame:
-    """(at, value): the blocks of a file and their order. Files split at blank lines, so blocks are read in parallel.
-
-    newline: "\\r\\n" for files with such line ends; None for files with both, of which each is read as one row.
-    """
-    if newline is None:
-        whole = spark.read.text(path, wholetext=True)
-        return blocks_of(whole.select(F.col("_metadata.file_path").alias("file"), "value"), "value", "file")
-    rows = spark.read.option("lineSep", 2 * newline).text(path)
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
-    return rows.select(at.alias("at"), "value")
+    lines = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    cut = written(lines.mapInPandas(_blocks, "file string, start long, row long, whole boolean, blank boolean, value string"), "blocks")
+    parts = cut.where(~F.col("whole"))
+    splits = cut.groupBy("file", "start").agg(F.max("blank").alias("blank"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    owners = splits.select("file", "start", F.coalesce(F.max(F.when(F.col("blank"), F.col("start"))).over(before), F.lit(0)).alias("owner"))
+    # a split's own last lines follow a blank one of its own
+    placed = parts.join(owners, ["file", "start"]).withColumn("owner", F.when(F.col("blank"), F.col("start")).otherwise(F.col("owner")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "row", "value"))), lambda x: x["value"]), "\n")
+    joined = placed.groupBy("file", "owner").agg(whole.alias("value")).select("file", F.col("owner").alias("start"), F.lit(1 << 62).alias("row"), "value")
+    blocks = cut.where("whole").select("file", "start", "row", "value").union(joined).where("value <> ''")
+    return blocks.select(F.struct("file", "start", "row").alias("at"), "value")
 
 
 def blocks_of(documents: DataFrame, column: str, key: str) -> DataFrame:
@@ -114,5 +142,5 @@ def parse(blocks: DataFrame) -> Ontology:
     return Ontology(top, terms, typedefs)
 
 
-def read_obo(spark: SparkSession, path: str, *, newline: str | None = "\n") -> Ontology:
-    return parse(read_blocks(spark, path, newline=newline))
+def read_obo(spark: SparkSession, path: str) -> Ontology:
+    return parse(read_blocks(spark, path))

@@ -82,7 +82,7 @@ def test_obo_odd_stanzas(spark, tmp_path):
     lost = obo.read_obo(spark, write(tmp_path, "a: b\n\n[Typedef]\nid: r\n\n[Term]\nid: A\n[Term]\nname: n\nid: B\n\n[Typedef]\nid: s\n"))
     assert [r["id"] for r in lost.terms.collect()] == ["B"]  # markers inside a stanza are swallowed
     assert [r["id"] for r in lost.typedefs.collect()] == ["s"]  # a first stanza that isn't a term's is lost
-    crlf = obo.read_obo(spark, write(tmp_path, "ontology: x\r\n\r\n[Term]\r\nid: A\r\nname: n\r\n", "c.obo"), newline="\r\n")
+    crlf = obo.read_obo(spark, write(tmp_path, "ontology: x\r\n\r\n[Term]\r\nid: A\r\nname: n\r\n", "c.obo"))
     assert crlf.header.first()["ontology"] == "x" and crlf.terms.first()["name"] == "n"
     empty = obo.read_obo(spark, write(tmp_path, "ontology: y\n", "e.obo"))
     assert empty.terms.count() == 0 and empty.header.first()["ontology"] == "y"
@@ -163,19 +163,28 @@ def test_owl(spark, tmp_path):
 
 
 def test_line_ends(spark, tmp_path):
-    wanted = terms(read_ontology(spark, write(tmp_path, SAMPLE, "lf.obo")))
     crlf, half = SAMPLE.replace("\n", "\r\n"), SAMPLE.index("[Term]\nid: T:4")
-    for name, text, end in (
-        ("crlf.obo", crlf, "\r\n"),
-        ("cut.obo", crlf[:-2], "\r\n"),
-        ("mixed.obo", SAMPLE[:half] + SAMPLE[half:].replace("\n", "\r\n"), None),
-        ("blanks.obo", SAMPLE.replace("\n\n", "\n\r\n"), None),
-        ("lines.obo", crlf.replace("\r\n\r\n", "\r\n\n"), "\n"),
-    ):
-        path = write(tmp_path, text, name)
-        assert obo.line_end(spark, path) == end, name
-        found = read_ontology(spark, path)
-        assert terms(found) == wanted and found.typedefs.count() == 1 and found.header.first()["ontology"] == "things", name
+    texts = {
+        "crlf": crlf,
+        "cut": crlf[:-2],
+        "mixed": SAMPLE[:half] + SAMPLE[half:].replace("\n", "\r\n"),
+        "blanks": SAMPLE.replace("\n\n", "\n\r\n\n\n"),
+        "lines": crlf.replace("\r\n\r\n", "\r\n\n"),
+    }
+    wanted = [b for b in SAMPLE.rstrip("\n").split("\n\n") if b]
+    plain = lambda rows: [r["value"].replace("\r", "").strip("\n") for r in sorted(rows, key=lambda r: r["at"])]
+    for size in (33, 150, 1 << 20):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            for name, text in texts.items() if size > 33 else [("mixed", texts["mixed"])]:
+                assert plain(obo.read_blocks(spark, write(tmp_path, text, f"{name}.obo")).collect()) == wanted, name
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    found = read_ontology(spark, write(tmp_path, texts["mixed"], "mixed.obo"))
+    assert terms(found) == terms(read_ontology(spark, write(tmp_path, SAMPLE, "whole.obo")))
+    assert found.typedefs.count() == 1 and found.header.first()["ontology"] == "things"
     assert terms(read_ontology(spark, write(tmp_path, "", "empty.obo"))) == {}
 
 
