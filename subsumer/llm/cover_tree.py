@@ -9,7 +9,6 @@ pairs of nodes are pruned in the same way, and what is left of two leaves is one
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,10 +21,6 @@ from pyspark.sql import functions as F
 from . import vectors
 from .common import table
 
-#: Points of a child at least, and of a node that has children; the share of a node's radius that a child covers.
-CHILD, SPLIT, SHRINK = 16, 256, 0.7
-#: Points that are tried as centres of children.
-TRIED = 48
 #: Sums of products up to here are exact in doubles.
 EXACT = float(vectors.EXACT)
 #: Room for rounding in bounds and products, as a share of the largest that norms allow.
@@ -48,7 +43,7 @@ class Search:
 
 @dataclass
 class Node:
-    """Points start to end - 1 of the tree's order, none farther from the center than radius, none longer than largest."""
+    """Points start to end - 1 of the tree's order, none farther from the center than radius, none longer than largest; leaves first to last - 1 are below it or it."""
 
     center: np.ndarray
     norm: float
@@ -57,57 +52,100 @@ class Node:
     start: int
     end: int
     children: list[Node]
+    first: int = 0
+    last: int = 0
 
 
-def cover_tree(x: np.ndarray, keep_whole: int = SPLIT) -> tuple[Node, np.ndarray]:
+def nets(x: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(order, levels): the points in an order in which each is the farthest from those before it, and for each level (number of centres, the nearest centre of every point).
+
+    The centres of a level are the first points of the order, so each level's are among the next one's (nesting); they are farther than its
+    radius from each other (separation), and every point is within it of one (covering). Radii halve; levels that add no centre are left out.
+    The last level has all distinct points.
+    """
+    n = len(x)
+    squares = (x * x).sum(axis=1)
+    away, nearest = np.full(n, np.inf), np.zeros(n, np.intp)
+    order, levels, radius, at = [], [], np.inf, 0
+    while True:
+        if order and away[at] <= radius**2:
+            levels.append((len(order), nearest.copy()))
+            if not away[at] > 0:
+                return np.array(order), levels
+            radius = float(np.sqrt(away[at])) if radius == np.inf else radius
+            while radius**2 >= away[at]:
+                radius /= 2
+        order.append(at)
+        d = np.maximum(squares + squares[at] - 2 * (x @ x[at]), 0)
+        d[d <= SLACK * (squares + squares[at])] = 0  # rounding only: the same place
+        d[at] = 0
+        near = d < away
+        away[near], nearest[near] = d[near], at
+        at = int(away.argmax())
+
+
+def cover_tree(x: np.ndarray) -> tuple[Node, np.ndarray]:
     """The root and an order of the rows of x in which each node's points are those from start to end - 1.
 
-    A node of keep_whole points or more has children centred on points of its own, each of whose CHILD points at least is
-    covered with SHRINK * radius. Points that no child covers are a last child that is a leaf: far points in many
-    dimensions have nobody near, and a node for each would prune nothing.
+    A node is a centre of a level with the points whose chain of nearest centres leads to it; its children are those of the next level.
+    Children of a single point each are one leaf together: far points have nobody near, and a node for each would prune nothing.
     """
-    order: list[np.ndarray] = []
     norms = np.sqrt((x * x).sum(axis=1))
-    placed = 0
-
-    def node(rows: np.ndarray, split: bool) -> Node:
-        nonlocal placed
-        center = x[rows].mean(axis=0)
-        away = np.sqrt(((x[rows] - center) ** 2).sum(axis=1))
-        out = Node(center, float(np.sqrt(center @ center)), float(away.max()), float(norms[rows].max()), placed, 0, [])
-        left = rows
-        if split and len(rows) >= keep_whole and out.radius:
-            tried = rows[np.linspace(0, len(rows) - 1, min(TRIED, len(rows))).astype(int)]
-            squares = (norms[rows] ** 2)[:, None] + (norms[tried] ** 2)[None] - 2 * x[rows] @ x[tried].T
-            near = squares <= (SHRINK * out.radius) ** 2
-            free = np.ones(len(rows), bool)
-            while True:
-                counts = (near & free[:, None]).sum(axis=0)
-                best = int(counts.argmax())
-                if counts[best] < CHILD or counts[best] == len(rows):
-                    break
-                own = near[:, best] & free
-                free &= ~own
-                out.children.append(node(rows[own], True))
-            left = rows[free]
-            if out.children and len(left):
-                out.children.append(node(left, False))
-                left = left[:0]
+    _, levels = nets(x)
+    # the centre of every point on each level, from the finest: a centre's own centre one level up
+    chain = [levels[-1][1]]
+    for _, nearest in reversed(levels[:-1]):
+        chain.append(nearest[chain[-1]])
+    chain.reverse()
+    order: list[np.ndarray] = []
+    placed = leaves = 0
+
+    def node(rows: np.ndarray, center: np.ndarray, level: int) -> Node:
+        nonlocal placed, leaves
+        radius = float(np.sqrt(((x[rows] - center) ** 2).sum(axis=1)).max())
+        out = Node(center, float(np.sqrt(center @ center)), radius, float(norms[rows].max()), placed, 0, [], leaves)
+        while level < len(chain) and (chain[level][rows] == chain[level][rows[0]]).all():
+            level += 1
+        if radius and level < len(chain):
+            own = chain[level][rows]
+            by = np.argsort(own, kind="stable")
+            groups = np.split(rows[by], np.flatnonzero(np.diff(own[by])) + 1)
+            single = [g for g in groups if len(g) == 1]
+            for g in groups:
+                if len(g) > 1:
+                    out.children.append(node(g, x[chain[level][g[0]]], level + 1))
+            if out.children and single:
+                rest = np.concatenate(single)
+                out.children.append(node(rest, x[rest].mean(axis=0), len(chain)))
         if not out.children:
-            order.append(left)
-            placed += len(left)
-        out.end = placed
+            order.append(rows)
+            placed += len(rows)
+            leaves += 1
+        out.end, out.last = placed, leaves
         return out
 
-    return node(np.arange(len(x)), True), np.concatenate(order)
+    return node(np.arange(len(x)), x[0], 0), np.concatenate(order)
+
 
+class Many:
+    """Nodes as columns."""
 
-def upper_bound(a: Node, b: Node) -> float:
-    """No inner product of a point of a with a point of b is larger."""
-    by_radii = float(a.center @ b.center) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius
-    apart = float(np.sqrt(((a.center - b.center) ** 2).sum())) - a.radius - b.radius
-    by_distance = (a.largest**2 + b.largest**2 - max(apart, 0.0) ** 2) / 2
-    return min(by_radii, by_distance, a.largest * b.largest) + room(a, b)
+    def __init__(self, nodes: list[Node]) -> None:
+        self.nodes = nodes
+        self.center = np.stack([b.center for b in nodes])
+        self.norm, self.radius, self.largest = (np.array([getattr(b, c) for b in nodes], np.float64) for c in ("norm", "radius", "largest"))
+        self.size = np.array([b.end - b.start for b in nodes])
+
+    def bounds(self, center: np.ndarray, norm: np.ndarray, radius: np.ndarray, largest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(upper, lower): for each of several balls of points (rows) and each node (columns), what no product is above and none below."""
+        norm, radius, largest = (np.asarray(v, np.float64)[:, None] for v in (norm, radius, largest))
+        dot = center @ self.center.T
+        spread = radius * self.norm + self.radius * norm + radius * self.radius
+        room = SLACK * 2 * (norm + radius + largest) * (self.norm + self.radius + self.largest) + SLACK * (largest**2 + self.largest**2)
+        # rounding of the squared distance is a share of the norms
+        apart = np.sqrt(np.maximum(norm**2 + self.norm**2 - 2 * dot - 8 * SLACK * (norm**2 + self.norm**2), 0)) - radius - self.radius
+        by_distance = (largest**2 + self.largest**2 - np.maximum(apart, 0) ** 2) / 2
+        return np.minimum(np.minimum(dot + spread, by_distance), largest * self.largest) + room, np.maximum(dot - spread, -largest * self.largest) - room
 
 
 def room(a: Node, b: Node) -> float:
@@ -125,11 +163,21 @@ class Tree:
     first_id: np.ndarray
 
     @classmethod
-    def of(cls, x: np.ndarray, first_id: np.ndarray, keep_whole: int = SPLIT) -> Tree:
-        root, order = cover_tree(x, keep_whole)
+    def of(cls, x: np.ndarray, first_id: np.ndarray) -> Tree:
+        root, order = cover_tree(x)
         return cls(root, x[order], order, first_id[order])
 
 
+    def leaves(self) -> list[Node]:
+        """The leaves in order."""
+        out, todo = [], [self.root]
+        while todo:
+            n = todo.pop()
+            todo += reversed(n.children)
+            out += [] if n.children else [n]
+        return out
+
+
 @dataclass
 class Counts:
     """Products made, of all there are."""
@@ -149,26 +197,66 @@ def dual_tree(q: Tree, v: Tree, keep: int, least: np.ndarray | None = None, coun
     worst = np.full(n, -np.inf) if least is None else least.astype(np.float64)
     found: list[list[np.ndarray]] = [[np.zeros(0, np.intp)] * 2 + [np.zeros(0)]]
     top = np.full((n, keep), -np.inf)
-    agenda, serial, made = [(-upper_bound(q.root, v.root), 0, q.root, v.root)], 0, 0
-    while agenda:
-        bound, _, a, b = heapq.heappop(agenda)
-        if -bound < worst[a.start : a.end].min():
-            continue
-        if not a.children and not b.children:
-            s = q.x[a.start : a.end] @ v.x[b.start : b.end].T
-            made += s.size
-            err = 0.0 if small else room(a, b) * q.x.shape[1]
-            both = np.concatenate((top[a.start : a.end], s if s.shape[1] <= keep else -np.partition(-s, keep - 1, axis=1)[:, :keep]), axis=1)
-            top[a.start : a.end] = -np.partition(-both, keep - 1, axis=1)[:, :keep]
-            worst[a.start : a.end] = np.maximum(worst[a.start : a.end], top[a.start : a.end].min(axis=1) - err)
-            i, j = np.nonzero(s >= (worst[a.start : a.end] - err)[:, None])
-            found.append([a.start + i, b.start + j, s[i, j]])
-            continue
-        for x in a.children if a.children and (not b.children or a.radius >= b.radius) else [a]:
-            for y in b.children if x is a else [b]:
-                serial += 1
-                if (up := upper_bound(x, y)) >= worst[x.start : x.end].min():
-                    heapq.heappush(agenda, (-up, serial, x, y))
+    leaves, made, norms = Many(v.leaves()), 0, np.sqrt((q.x * q.x).sum(axis=1))
+
+    def product(rows: np.ndarray, cols: np.ndarray, err: float) -> None:
+        nonlocal made
+        s = q.x[rows] @ v.x[cols].T
+        made += s.size
+        both = np.concatenate((top[rows], s if s.shape[1] <= keep else -np.partition(-s, keep - 1, axis=1)[:, :keep]), axis=1)
+        top[rows] = -np.partition(-both, keep - 1, axis=1)[:, :keep]
+        worst[rows] = np.maximum(worst[rows], top[rows].min(axis=1) - err)
+        i, j = np.nonzero(s >= (worst[rows] - err)[:, None])
+        found.append([rows[i], cols[j], s[i, j]])
+
+    def search(a: Node, chosen: np.ndarray) -> None:
+        """The queries of a leaf in the chosen leaves of v: of each query those whose bound reaches its worst score, the largest bounds first."""
+        rows = np.arange(a.start, a.end)
+        err = 0.0 if small else room(q.root, v.root) * q.x.shape[1]
+        cols = lambda leaf: np.arange(leaves.nodes[leaf].start, leaves.nodes[leaf].end)
+        if len(chosen) == 1:
+            product(rows, cols(chosen[0]), err)
+            return
+        upper = leaves.bounds(q.x[rows], norms[rows], np.zeros(len(rows)), norms[rows])[0][:, chosen]
+        sizes = leaves.size[chosen]
+        for i, row in enumerate(rows.tolist()):
+            order = np.argsort(-upper[i], kind="stable")
+            # as many leaves as hold enough, then all that still reach the worst score, in one product
+            enough = int(np.searchsorted(np.cumsum(sizes[order]), keep)) + 1
+            one = np.array([row])
+            begin = order[:enough]
+            begin = begin[upper[i, begin] >= worst[row]]
+            if not len(begin):
+                continue
+            product(one, np.concatenate([cols(c) for c in chosen[begin]]), err)
+            rest = order[enough:]
+            rest = rest[upper[i, rest] >= worst[row]]
+            if len(rest):
+                product(one, np.concatenate([cols(c) for c in chosen[rest]]), err)
+
+    def visit(a: Node, nodes: list[Node]) -> None:
+        """Pairs of a and the nodes: pruned against the worst score of the queries of a, the nodes opened while they are wider than a."""
+        while True:
+            many = Many(nodes)
+            upper, lower = (z[0] for z in many.bounds(a.center[None], [a.norm], [a.radius], [a.largest]))
+            # nodes that hold `keep` points have no product below the lowest of their bounds
+            by = np.argsort(-lower, kind="stable")
+            enough = int(np.searchsorted(np.cumsum(many.size[by]), keep))
+            least_ = max(worst[a.start : a.end].min(), lower[by[enough]] if enough < len(by) else -np.inf)
+            nodes = [b for b, up in zip(nodes, upper, strict=True) if up >= least_]
+            wide = [b for b in nodes if b.children and (b.radius > a.radius or not a.children)]
+            if not wide or not a.children:
+                break
+            nodes = [c for b in nodes for c in (b.children if b.children and b.radius > a.radius else [b])]
+        if not nodes:
+            return
+        if a.children:
+            for c in a.children:
+                visit(c, nodes)
+        else:
+            search(a, np.concatenate([np.arange(b.first, b.last) for b in nodes]))
+
+    visit(q.root, [v.root])
     if counts is not None:
         counts.made, counts.all = counts.made + made, counts.all + n * len(v.x)
     i, j, s = (np.concatenate(z) for z in zip(*found, strict=True))
@@ -251,7 +339,8 @@ def largest_products(rows: DataFrame, queries: DataFrame, settings: Search = Sea
 
     data, lists, list_nodes = placed(classes, n, settings.cell_rows)
     groups, cells, cell_nodes = placed(one, n_asked, settings.cell_queries)
-    bounds = np.array([[upper_bound(a, b) for b in list_nodes] for a in cell_nodes])
+    own = Many(cell_nodes)
+    bounds = Many(list_nodes).bounds(own.center, own.norm, own.radius, own.largest)[0]
     begin = np.zeros(bounds.shape, bool)
     np.put_along_axis(begin, np.argsort(-bounds, axis=1, kind="stable")[:, : settings.first], True, axis=1)
 

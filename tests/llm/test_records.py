@@ -135,7 +135,7 @@ def test_dual_tree_is_brute_force(scale):
     rng = np.random.default_rng(6)
     a, b = rng.integers(-9, 9, (70, 5)).astype(float) * scale, rng.integers(-9, 9, (400, 5)).astype(float) * scale
     ids = rng.permutation(400)
-    q, v = cover_tree.Tree.of(a, np.arange(70), 20), cover_tree.Tree.of(b, ids, 20)
+    q, v = cover_tree.Tree.of(a, np.arange(70)), cover_tree.Tree.of(b, ids)
     assert v.root.children
     products = a.astype(np.int64).astype(object) @ b.astype(np.int64).astype(object).T
     wanted = [sorted(zip((-x for x in row), ids))[:6] for row in products.tolist()]
@@ -149,30 +149,45 @@ def test_dual_tree_is_brute_force(scale):
 
 
 def test_cover_tree_covers():
-    x = np.random.default_rng(7).normal(size=(500, 4))
-    root, order = cover_tree.cover_tree(x, 40)
+    rng = np.random.default_rng(7)
+    x = np.concatenate((rng.normal(size=(300, 4)), rng.normal(size=(20, 4)).repeat(10, axis=0) + 0.01 * rng.normal(size=(200, 4)), np.ones((5, 4))))
+    order, levels = cover_tree.nets(x)
+    radius = np.inf
+    for n, nearest in levels:
+        centers = x[order[:n]]
+        away = np.linalg.norm(x - x[nearest], axis=1)
+        apart = np.linalg.norm(centers[:, None] - centers[None], axis=2) + np.diag(np.full(n, np.inf))
+        assert set(nearest.tolist()) <= set(order[:n].tolist())
+        # covering, separation and halving: all are nearer to a centre than centres are to each other
+        assert away.max() <= apart.min() + 1e-9 and (radius == np.inf or away.max() <= radius + 1e-9)
+        radius = away.max()
+    assert levels[-1][0] == len(np.unique(x, axis=0)) and radius == 0
+    root, order = cover_tree.cover_tree(x)
     todo, leaves = [root], 0
     while todo:
         n = todo.pop()
         own = x[order[n.start : n.end]]
         assert (np.linalg.norm(own - n.center, axis=1) <= n.radius + 1e-9).all() and (np.linalg.norm(own, axis=1) <= n.largest + 1e-9).all()
         if n.children:
-            assert sum(c.end - c.start for c in n.children) == n.end - n.start
+            assert sum(c.end - c.start for c in n.children) == n.end - n.start and n.children[-1].last == n.last
         leaves += not n.children
         todo += n.children
-    assert sorted(order.tolist()) == list(range(500)) and 5 < leaves <= 500 / cover_tree.CHILD + 20
+    assert sorted(order.tolist()) == list(range(len(x))) and leaves > 20
 
 
-def test_pairs_of_far_nodes_are_pruned():
+@pytest.mark.parametrize(("clusters", "each", "asked", "most"), [(512, 8, 4096, 0.05), (512, 8, 80, 0.05), (64, 64, 4096, 0.05), (64, 64, 80, 0.05), (2000, 1, 400, 1.0)])
+def test_pairs_of_far_nodes_are_pruned(clusters, each, asked, most):
     rng = np.random.default_rng(8)
-    middles = rng.normal(size=(20, 64)) * 32
-    near = np.floor(middles[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 64)))
-    far = np.floor(rng.normal(size=(2000, 64)) * 32)
-    for x, most in ((near, 0.3), (far, 1.0)):
-        counts = cover_tree.Counts()
-        tree = cover_tree.Tree.of(x, np.arange(len(x)))
-        cover_tree.dual_tree(cover_tree.Tree.of(x[:400], np.arange(400)), tree, 6, counts=counts)
-        assert counts.made <= most * counts.all
+    middles = rng.normal(size=(clusters, 64))
+    middles /= np.linalg.norm(middles, axis=1, keepdims=True)
+    x = np.floor(256 * (middles.repeat(each, axis=0) + 0.01 * rng.normal(size=(clusters * each, 64))))
+    x = x[rng.permutation(len(x))]
+    counts = cover_tree.Counts()
+    q, v = cover_tree.Tree.of(x[:asked], np.arange(asked)), cover_tree.Tree.of(x, np.arange(len(x)))
+    i, j, s = cover_tree.dual_tree(q, v, 6, counts=counts)
+    assert counts.made <= most * counts.all
+    wanted = np.sort(x[:asked] @ x.T, axis=1)[:, :-7:-1]
+    assert (s.reshape(asked, 6) == wanted[q.order]).all() and (i == np.arange(asked).repeat(6)).all()
 
 
 def test_balanced_clusters():
