@@ -381,7 +381,8 @@ def find_repeats(docs: DataFrame, r: Repeats = Repeats(), *, groups: bool = Fals
     rows = _in_order(docs)
     ids = table(rows.select("ord", "t1", "t2"), "ids")
     firsts = ids.groupBy("t1", "t2").agg(F.min("ord").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = table(ids.join(firsts, ["t1", "t2"]).where("ord <> first").select("ord"), "copies")
+    # counted and broadcast, or a join of its own: a text that many documents have is not one task's
+    copies = table(small_join(ids, firsts, ["t1", "t2"], rows=BROADCAST_IDS).where("ord <> first").select("ord"), "copies")
     single = small_join(rows.select("ord", "body"), copies, ["ord"], "left_anti", BROADCAST_IDS)
     anchors = contexts_of(single, r, frequent(rows, r, ids.count()), known=not groups)
     if groups:
