@@ -15,7 +15,7 @@ from .operators.taxonomy import direct_children, direct_parents
 from .plans.lineage import new_path
 from .plans.saturation import Axioms, saturate, symmetric
 from .schema import BOTTOM, TOP
-from .sources import obo, owl
+from .sources import obo, owl, read_ontology
 from .sources.warehouse import Warehouse, WholeWarehouse, name
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -322,6 +322,36 @@ def json_terms(spark: SparkSession, d: str) -> DataFrame:
     return lines.select(field("$.id").alias("id"), field("$.name").alias("name"), field("$.definition").alias("definition"), field("$.relationships[0].target_id").alias("parent"), field("$.properties.size").alias("size"))
 
 
+@query("""SELECT 'CUST:' || c_custkey AS id, c_name AS name, 'NATION:' || c_nationkey AS parent, 'c' || c_custkey % 7 AS subset, 'OLD:' || c_custkey AS alt_id FROM customer""")
+def obo_files(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in OBO files whose lines end in LF, CRLF and both by turns, written by Spark and read back."""
+    c = Warehouse(spark, d).table("customer")
+    key = F.col("c_custkey").cast("string")
+    block = F.concat(
+        F.lit("[Term]\nid: CUST:"), key, F.lit("\nname: "), F.col("c_name"), F.lit("\nsubset: c"), (F.col("c_custkey") % 7).cast("string"),
+        F.lit("\nalt_id: OLD:"), key, F.lit("\nis_a: NATION:"), F.col("c_nationkey").cast("string"), F.lit(" ! nation"),
+    )
+    inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "block"))), lambda x: x["block"]), "\n\n")
+    doc = c.select("c_custkey", F.floor(F.col("c_custkey") / 100).alias("doc"), block.alias("block")).groupBy("doc").agg(inner.alias("text"))
+    text = F.concat(F.lit("format-version: 1.2\n\n"), F.col("text"))
+    kind = F.col("doc") % 3
+    ends = F.when(kind == 1, F.replace(text, F.lit("\n"), F.lit("\r\n"))).when(kind == 2, F.replace(text, F.lit("\n\n"), F.lit("\r\n\n"))).otherwise(text)
+    path = new_path(spark, "obo")
+    doc.select("doc", ends.alias("value")).repartition("doc").write.partitionBy("doc").text(path)
+    terms = read_ontology(spark, path, "obo").terms
+    return terms.select("id", "name", F.get("relationships", 0)["target_id"].alias("parent"), F.get("subsets", 0).alias("subset"), F.get("alt_ids", 0).alias("alt_id"))
+
+
+@query("""WITH own AS (SELECT 'PART:' || p_partkey AS c, 'BRAND:' || p_brand AS brand, 'PART:' || (p_partkey // 3) AS before FROM part WHERE p_partkey % 10 <> 0)
+    SELECT c, 'follows' AS r, before AS d FROM own""")
+def links_of_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The links that normalize() makes of the relationships of active parts, by name."""
+    n = normalize(obo.parse(_parts_obo(spark, d)))
+    name_of = lambda table, c, out: table.select(F.col("id").alias(c), F.col("name").alias(out))
+    out = n.axioms.nf3.join(name_of(n.concepts, "sub", "c"), "sub").join(name_of(n.roles, "role", "r"), "role").join(name_of(n.concepts, "fill", "d"), "fill")
+    return out.select("c", "r", "d")
+
+
 #: The parts' hierarchy: active parts below their brands; all other names stand alone.
 PARTS_SQL = """
 own AS (SELECT 'PART:' || p_partkey AS id, 'BRAND:' || p_brand AS brand, 'SIZE:' || p_size AS size, 'PART:' || (p_partkey // 3) AS before FROM part WHERE p_partkey % 10 <> 0),
