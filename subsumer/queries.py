@@ -265,9 +265,34 @@ def _parts_obo(spark: SparkSession, d: str) -> DataFrame:
     return first.union(blocks)
 
 
-@query("SELECT '1.2' AS format_version, NULL::VARCHAR AS data_version, 'parts' AS ontology")
+def _block(place: int, key: Column, *lines: Column) -> list[Column]:
+    """(at, value) of a block: blocks come in order of their place, then of their key."""
+    return [F.struct(F.lit(place).alias("place"), key.cast("long").alias("key")).alias("at"), F.concat_ws("\n", *lines).alias("value")]
+
+
+def _roles_obo(spark: SparkSession, d: str) -> DataFrame:
+    """An OBO document, as blocks: each part adds lines to the header, of which the last count; each supplier is a role, and a term that stands in it."""
+    w = Warehouse(spark, d)
+    key = F.col("p_partkey")
+    text = key.cast("string")
+    head = w.table("part").select(*_block(
+        0, key, F.concat(F.lit("format-version: 1."), F.col("p_size").cast("string")), F.when(key % 3 == 0, F.concat(F.lit("data-version: "), F.col("p_name"), F.lit(": "), text)),
+        F.concat(F.lit("remark: ontology: no"), text), F.when(key % 7 == 0, F.concat(F.lit("ontology: parts-"), text)),
+    ))
+    key = F.col("s_suppkey")
+    text = key.cast("string")
+    terms = w.table("supplier").select(*_block(1, key, F.lit("[Term]"), F.concat(F.lit("id: SUPP:"), text), F.concat(F.lit("relationship: role_"), text, F.lit(" SUPP:"), text)))
+    roles = w.table("supplier").select(*_block(
+        2, key, F.lit("[Typedef]"), F.concat(F.lit("id: role_"), text), F.concat(F.lit("name: "), F.col("s_name")),
+        F.concat(F.lit("is_transitive: "), F.when(key % 2 == 0, "true").otherwise("false")), F.when(key % 3 == 0, "is_reflexive: true"),
+    ))
+    return head.union(terms).union(roles)
+
+
+@query("""SELECT '1.' || arg_max(p_size, p_partkey) AS format_version, arg_max(p_name || ': ' || p_partkey, p_partkey) FILTER (p_partkey % 3 = 0) AS data_version,
+    'parts-' || max(p_partkey) FILTER (p_partkey % 7 = 0) AS ontology FROM part""")
 def obo_header(spark: SparkSession, d: str) -> DataFrame:
-    return obo.parse(_parts_obo(spark, d)).header
+    return obo.parse(_roles_obo(spark, d)).header
 
 
 @query("""SELECT 'PART:' || p_partkey AS id, p_name AS name, p_type AS definition, p_partkey % 10 = 0 AS is_obsolete, 'SIZE:' || p_size AS xref FROM part
@@ -304,9 +329,9 @@ def obo_properties(spark: SparkSession, d: str) -> DataFrame:
     return obo.parse(_parts_obo(spark, d)).terms.select("id", F.explode("properties").alias("key", "value"))
 
 
-@query("SELECT 'follows' AS id, 'follows' AS name, true AS is_transitive, false AS is_reflexive")
+@query("SELECT 'role_' || s_suppkey AS id, s_name AS name, s_suppkey % 2 = 0 AS is_transitive, s_suppkey % 3 = 0 AS is_reflexive FROM supplier")
 def obo_typedefs(spark: SparkSession, d: str) -> DataFrame:
-    return obo.parse(_parts_obo(spark, d)).typedefs
+    return obo.parse(_roles_obo(spark, d)).typedefs
 
 
 @query("SELECT 'PART:' || p_partkey AS id FROM part WHERE p_partkey % 10 <> 0 UNION ALL SELECT 'ROOT'")
@@ -358,15 +383,47 @@ own AS (SELECT 'PART:' || p_partkey AS id, 'BRAND:' || p_brand AS brand, 'SIZE:'
 names AS (SELECT id FROM own UNION SELECT brand FROM own UNION SELECT size FROM own UNION SELECT before FROM own UNION SELECT 'ROOT')"""
 
 
-@query("SELECT 'follows' AS r1, 'follows' AS r2, 'follows' AS sup")
+@query("SELECT 'role_' || s_suppkey AS r1, 'role_' || s_suppkey AS r2, 'role_' || s_suppkey AS sup FROM supplier WHERE s_suppkey % 2 = 0")
 def nf6_transitive(spark: SparkSession, d: str) -> DataFrame:
-    n = normalize(obo.parse(_parts_obo(spark, d)))
+    n = normalize(obo.parse(_roles_obo(spark, d)))
     out = n.axioms.nf6
     for c in ("r1", "r2", "sup"):
         out = out.join(n.roles.select(F.col("id").alias(c), F.col("name").alias(f"_{c}")), c)
     return out.select(F.col("_r1").alias("r1"), F.col("_r2").alias("r2"), F.col("_sup").alias("sup"))
 
 
+def _defined_obo(spark: SparkSession, d: str) -> DataFrame:
+    """An OBO document, as blocks, of customers with links, and of classes defined by one conjunct (a genus, a differentia) and by three."""
+    w = Warehouse(spark, d)
+    key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    customer = w.table("customer")
+    own = customer.select(*_block(
+        0, F.col("c_custkey"), F.lit("[Term]"), F.concat(F.lit("id: CUST:"), key), F.lit("is_a: KIND:CUSTOMER ! customer"),
+        F.concat(F.lit("relationship: located_in NATION:"), nation), F.concat(F.lit("relationship: deals_in "), F.col("c_mktsegment"), F.lit(" ! segment")),
+    ))
+    local = customer.select("c_nationkey", "c_mktsegment").distinct().select(*_block(
+        1, F.col("c_nationkey"), F.lit("[Term]"), F.concat(F.lit("id: LOCAL:"), nation, F.lit("_"), F.col("c_mktsegment")), F.lit("intersection_of: KIND:CUSTOMER"),
+        F.concat(F.lit("intersection_of: located_in NATION:"), nation), F.concat(F.lit("intersection_of: deals_in "), F.col("c_mktsegment")),
+    ))
+    text = F.col("n_nationkey").cast("string")
+    other = [
+        w.table("nation").select(*_block(2, F.col("n_nationkey"), F.lit("[Term]"), F.concat(F.lit("id: FROM:"), text), F.concat(F.lit("intersection_of: located_in NATION:"), text))),
+        w.table("nation").select(*_block(3, F.col("n_nationkey"), F.lit("[Term]"), F.concat(F.lit("id: PLACE:"), text), F.concat(F.lit("intersection_of: NATION:"), text))),
+    ]
+    return own.union(local).union(other[0]).union(other[1])
+
+
+@query("""SELECT 'CUST:' || c_custkey AS c, 'KIND:CUSTOMER' AS d FROM customer UNION ALL SELECT 'CUST:' || c_custkey, 'LOCAL:' || c_nationkey || '_' || c_mktsegment FROM customer
+    UNION ALL SELECT 'CUST:' || c_custkey, 'FROM:' || n_nationkey FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 'NATION:' || n_nationkey, 'PLACE:' || n_nationkey FROM nation""")
+def defined_classes(spark: SparkSession, d: str) -> DataFrame:
+    """What is below what, by name, where links and conjunctions of one and three parts define classes: NF4 and chains of NF2 that normalize() makes."""
+    n = normalize(obo.parse(_defined_obo(spark, d)))
+    s = saturate(n.concepts.select("id"), n.axioms).subsumers
+    name_of = lambda c: n.concepts.where("is_named").select(F.col("id").alias(f"{c}_id"), F.col("name").alias(c))
+    told = s.where("c <> d").toDF("c_id", "d_id").join(name_of("c"), "c_id").join(name_of("d"), "d_id")
+    return told.where(~F.col("d").isin(TOP, BOTTOM) & ~F.col("c").isin(TOP, BOTTOM)).select("c", "d")
+
+
 @query(f"""WITH {PARTS_SQL}
     SELECT n.id, coalesce(any_value(o.brand), 'owl:Thing') AS parents, coalesce(string_agg(k.id, ',' ORDER BY k.id), '') AS children
     FROM names n LEFT JOIN own o ON o.id = n.id LEFT JOIN own k ON k.brand = n.id GROUP BY n.id""")
@@ -414,11 +471,6 @@ def _suppliers_owl(spark: SparkSession, d: str) -> str:
     return path
 
 
-@query("SELECT NULL::VARCHAR AS format_version, 'http://purl.obolibrary.org/obo/1/suppliers.owl' AS data_version, 'http://purl.obolibrary.org/obo/suppliers.owl' AS ontology")
-def owl_header(spark: SparkSession, d: str) -> DataFrame:
-    return owl.read_owl(spark, _suppliers_owl(spark, d)).header
-
-
 @query("SELECT 'SUPP:' || s_suppkey AS id, s_name AS name, 'N:' || s_nationkey AS xref, false AS is_obsolete FROM supplier")
 def owl_classes(spark: SparkSession, d: str) -> DataFrame:
     return owl.read_owl(spark, _suppliers_owl(spark, d)).terms.select("id", "name", F.get("xrefs", 0).alias("xref"), "is_obsolete")
@@ -430,11 +482,6 @@ def owl_restrictions(spark: SparkSession, d: str) -> DataFrame:
     return edges(owl.read_owl(spark, _suppliers_owl(spark, d)).terms)
 
 
-@query("SELECT 'located:in' AS id, 'located in' AS name, true AS is_transitive, false AS is_reflexive")
-def owl_properties(spark: SparkSession, d: str) -> DataFrame:
-    return owl.read_owl(spark, _suppliers_owl(spark, d)).typedefs
-
-
 def _documents(elements: DataFrame, spark: SparkSession, prolog: Column, rows: int = 200) -> str:
     """Documents of about `rows` elements (key, xml) in order of their keys, each below a prolog of its own and in a file of its own; the folder's path. prolog: of the column doc."""
     path = new_path(spark, "owl")
@@ -454,6 +501,32 @@ def _prolog(owl_: str, rdf: str, rdfs: str, more: str = "") -> str:
 OBO = "http://purl.obolibrary.org/obo/"
 
 
+@query("""SELECT NULL::VARCHAR AS format_version, 'http://purl.obolibrary.org/obo/' || (max(s_suppkey) FILTER (s_suppkey % 3 = 0)) || '/suppliers.owl' AS data_version,
+    'http://purl.obolibrary.org/obo/suppliers_' || max(s_suppkey) || '.owl' AS ontology FROM supplier""")
+def owl_header(spark: SparkSession, d: str) -> DataFrame:
+    """Each supplier is an owl:Ontology, every third with a version; the last of each counts, over all files."""
+    key = F.col("s_suppkey")
+    text = key.cast("string")
+    version = F.when(key % 3 == 0, F.concat(F.lit(f'<owl:versionIRI rdf:resource="{OBO}'), text, F.lit('/suppliers.owl"/>'))).otherwise("")
+    xml = F.concat(F.lit(f'<owl:Ontology rdf:about="{OBO}suppliers_'), text, F.lit('.owl">'), version, F.lit("</owl:Ontology>"))
+    # keys of one length, so that the files' names are in their order
+    held = Warehouse(spark, d).table("supplier").select((key + 10**15).alias("key"), xml.alias("xml"))
+    return owl.read_owl(spark, _documents(held, spark, F.lit(_prolog("owl", "rdf", "rdfs")))).header
+
+
+@query("SELECT 'role:' || s_suppkey AS id, s_name AS name, s_suppkey % 2 = 0 AS is_transitive, s_suppkey % 3 = 0 AS is_reflexive FROM supplier")
+def owl_properties(spark: SparkSession, d: str) -> DataFrame:
+    """Each supplier is an object property, with up to two types."""
+    key = F.col("s_suppkey")
+    kind = lambda every, name: F.when(key % every == 0, f'<rdf:type rdf:resource="{owl.OWL}{name}"/>').otherwise("")
+    xml = F.concat(
+        F.lit(f'<owl:ObjectProperty rdf:about="{OBO}role_'), key.cast("string"), F.lit('"><rdfs:label>'), F.col("s_name"), F.lit("</rdfs:label>"),
+        kind(2, "TransitiveProperty"), kind(3, "ReflexiveProperty"), F.lit("</owl:ObjectProperty>"),
+    )
+    held = Warehouse(spark, d).table("supplier").select(key.alias("key"), xml.alias("xml"))
+    return owl.read_owl(spark, _documents(held, spark, F.lit(_prolog("owl", "rdf", "rdfs")))).typedefs
+
+
 @query("SELECT 'CUST:' || c_custkey AS id, c_name AS name FROM customer")
 def owl_nested_classes(spark: SparkSession, d: str) -> DataFrame:
     """Customers, each with an axiom that holds a class; only what is right below the root is a term."""
