@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ontology import Ontology
-from ..plans.lineage import written
+from ..plans.lineage import together, written
 from ..plans.saturation import Axioms
 from ..schema import BOTTOM, BOTTOM_ID, FIRST_ID, TOP, TOP_ID
 
@@ -71,19 +71,34 @@ def normalize(ontology: Ontology, *, nf5: DataFrame | None = None, nf6: DataFram
     an NF4 axiom, several conjuncts a chain of NF2 axioms through fresh concepts. Fresh concepts have no name; their
     ids follow (term, place), so runs agree.
     """
-    terms, typedefs = active(ontology.terms), ontology.typedefs
-    rel, part = written(edges(terms), "edges"), written(parts(terms), "parts")
+    spark = ontology.terms.sparkSession
+    # documents are parsed once for terms and once for typedefs
+    terms, typedefs = together(
+        spark,
+        lambda: written(active(ontology.terms).select("id", "relationships", "intersection_of"), "terms"),
+        lambda: written(ontology.typedefs.select("id", "is_transitive", "is_reflexive"), "typedefs"),
+    )
+    rel, part = edges(terms), parts(terms)
     is_a = rel.where("type = 'is_a'")
     other = rel.where("type <> 'is_a'")
     names = [terms.select("id"), rel.select("target_id"), part.select("target_id")]
-    named = written(intern_concepts(names[0].union(names[1]).union(names[2]).toDF("name")), "concepts")
     role_names = other.select("type").union(part.where("relationship <> ''").select("relationship")).union(typedefs.select("id"))
     for extra, columns in ((nf5, ("sub", "sup")), (nf6, ("r1", "r2", "sup"))):
         for c in columns if extra is not None else ():
             role_names = role_names.union(extra.select(c))
     flags = typedefs.groupBy("id").agg(F.max(F.coalesce("is_transitive", F.lit(False))).alias("is_transitive"), F.max(F.coalesce("is_reflexive", F.lit(False))).alias("is_reflexive"))
-    roles = intern_roles(role_names.toDF("name")).join(flags.withColumnRenamed("id", "name"), "name", "left")
-    roles = written(roles.select("id", "name", F.coalesce("is_transitive", F.lit(False)).alias("is_transitive"), F.coalesce("is_reflexive", F.lit(False)).alias("is_reflexive")), "roles")
+
+    def named_roles() -> DataFrame:
+        roles = intern_roles(role_names.toDF("name")).join(flags.withColumnRenamed("id", "name"), "name", "left")
+        shown = [F.coalesce(c, F.lit(False)).alias(c) for c in ("is_transitive", "is_reflexive")]
+        return written(roles.select("id", "name", *shown), "roles")
+
+    named, roles, part = together(
+        spark,
+        lambda: written(intern_concepts(names[0].union(names[1]).union(names[2]).toDF("name")), "concepts"),
+        named_roles,
+        lambda: written(part, "parts"),
+    )
 
     def concept(df: DataFrame, name: str, out: str) -> DataFrame:
         return df.join(named.select(F.col("name").alias(name), F.col("id").alias(out)), name)
