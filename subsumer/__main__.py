@@ -36,16 +36,12 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     took = time.monotonic() - start
     print(f"Parsed {n} terms in {took:.2f} s", file=sys.stderr)
-    out = open(a.output, "w", encoding="utf-8") if a.output else sys.stdout
-    try:
-        if a.classify:
-            found = classify(ontology, parse_ms=round(1000 * took))
-            write_classified(found.hierarchy, found.stats, out)
-        else:
-            write_json(ontology, out, pretty=a.pretty)
-    finally:
-        if a.output:
-            out.close()
+    out = a.output or sys.stdout
+    if a.classify:
+        found = classify(ontology, parse_ms=round(1000 * took))
+        write_classified(found.hierarchy, found.stats, out)
+    else:
+        write_json(ontology, out, pretty=a.pretty)
     return 0
 
 

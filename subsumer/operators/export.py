@@ -1,18 +1,24 @@
 """JSON of parsed ontologies and of classified hierarchies.
 
-Rows become JSON where they are; the single-document writers stream them to one file a row at a time.
+Rows become JSON where they are. A single document is made in parts: range-partitioned tasks write the rows in order, separators and
+indents with them, and the file system's client joins the parts' bytes; no row passes through Python in the driver.
 """
 
 from __future__ import annotations
 
+import codecs
 import json
-from collections.abc import Iterator
+import uuid
+from dataclasses import dataclass
 from typing import TextIO
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..ontology import Ontology
+from ..plans.lineage import new_path, written
 from ..schema import BOTTOM_ID, TOP
 
 _NONE_IF_EMPTY = ("name", "namespace", "definition", "comment")
@@ -52,41 +58,136 @@ def write_term_lines(terms: DataFrame, path: str) -> None:
     term_json(terms).select("json").write.text(path)
 
 
-def _document(head: dict, name: str, rows: Iterator[str], tail: dict, pretty: bool) -> Iterator[str]:
-    if pretty:
-        yield from _indented(head, name, rows, tail, "[]")
+@F.pandas_udf(StringType())
+def _indented(rows: pd.Series) -> pd.Series:
+    """JSON objects with an indent of 2, as they stand in a list that is a document's own field."""
+    return rows.map(lambda r: json.dumps(json.loads(r), indent=2, ensure_ascii=False).replace("\n", "\n    "))
+
+
+@dataclass(frozen=True)
+class _Parts:
+    """A folder of text files that hold a list's rows in order of their numbers; a separator stands before each row, so `skip` bytes are too many at the start."""
+
+    folder: str
+    skip: int
+
+
+def _parts(rows: DataFrame, pretty: bool) -> _Parts:
+    """rows (id, json) in order of both. A row's own closing brace ends its record."""
+    separator = ",\n    " if pretty else ","
+    # written once, since the sort reads its input twice
+    held = written(rows.select("id", "json"), "json").orderBy("id", "json")
+    shown = _indented("json") if pretty else F.col("json")
+    path = new_path(rows.sparkSession, "document-parts")
+    held.select(F.concat(F.lit(separator), F.regexp_replace(shown, r"\}\z", "")).alias("value")).write.option("lineSep", "}").text(path)
+    return _Parts(path, len(separator))
+
+
+class _Files:
+    """The Hadoop file system of a path, through the client of this application's JVM."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.gateway, self.jvm, self.conf = spark.sparkContext._gateway, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(name)
+
+    def of(self, path):
+        return path.getFileSystem(self.conf)
+
+    def files(self, folder: str) -> list:
+        """The paths of a folder's part files that hold anything, by number."""
+        path = self.path(folder)
+        found = [s for s in self.of(path).listStatus(path) if s.getPath().getName().startswith("part-") and s.getLen()]
+        return sorted((s.getPath() for s in found), key=lambda p: int(p.getName().split("-")[1]))
+
+    def join(self, pieces: list[str | _Parts], target: str) -> None:
+        """The pieces' bytes as one file. It is written beside the target and renamed over it when whole: readers see the old file or the new one."""
+        whole = self.path(target)
+        # an instance of our own, since it is told to leave no checksum files beside the target
+        fs = self.jvm.org.apache.hadoop.fs.FileSystem.newInstance(self.of(whole).makeQualified(whole).toUri(), self.conf)
+        try:
+            fs.setWriteChecksum(False)
+            whole = fs.makeQualified(whole)
+            held = self.path(f"{whole.toString()}.{uuid.uuid4().hex}")
+            try:
+                out = fs.create(held)
+                try:
+                    for piece in pieces:
+                        self._copy(piece, out)
+                finally:
+                    out.close()
+                over = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                over[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(whole.toUri(), self.conf).rename(held, whole, over)
+            except BaseException:
+                fs.delete(held, False)
+                raise
+        finally:
+            fs.close()
+
+    def _copy(self, piece: str | _Parts, out) -> None:
+        if isinstance(piece, str):
+            out.write(bytearray(piece.encode()))
+            return
+        for i, path in enumerate(self.files(piece.folder)):
+            stream = self.of(path).open(path)
+            try:
+                stream.seek(0 if i else piece.skip)
+                self.jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            finally:
+                stream.close()
+
+    def show(self, name: str, out: TextIO) -> None:
+        path, decoder = self.path(name), codecs.getincrementaldecoder("utf-8")()
+        stream = self.of(path).open(path)
+        try:
+            while chunk := stream.readNBytes(1 << 20):
+                out.write(decoder.decode(chunk))
+        finally:
+            stream.close()
+
+
+def write_document(spark: SparkSession, out: str | TextIO, head: dict, lists: list[tuple[str, DataFrame, str | None]], *, pretty: bool = False) -> None:
+    """One JSON document: the fields of head, then lists of rows (id, json) in order of both, each a JSON object.
+
+    lists: a name, rows, and the value if there are no rows (None: the field is left out). out: a path of any Hadoop file system,
+    replaced at once and only when the document is whole, or an open text file. With pretty, the bytes are those of json.dumps() with an
+    indent of 2 and a line end. Rows whose json is null are left out; rows that repeat are repeated.
+    """
+    files = _Files(spark)
+    start = json.dumps(head, indent=2, ensure_ascii=False)[: -2 if head else -1] if pretty else json.dumps(head, ensure_ascii=False, separators=(",", ":"))[:-1]
+    pieces: list[str | _Parts] = [start]
+    some = bool(head)
+    for name, rows, empty in lists:
+        parts = _parts(rows.where("json is not null"), pretty)
+        has_rows = bool(files.files(parts.folder))
+        if not has_rows and empty is None:
+            continue
+        pieces.append(("," if some else "") + (f'\n  "{name}": ' if pretty else f'"{name}":'))
+        pieces += (["[\n    ", parts, "\n  ]"] if pretty else ["[", parts, "]"]) if has_rows else [empty]
+        some = True
+    pieces.append("\n}\n" if pretty and some else "}\n")
+    if isinstance(out, str):
+        files.join(pieces, out)
         return
-    start = json.dumps(head, ensure_ascii=False, separators=(",", ":"))
-    yield start[:-1] + ("," if head else "") + f'"{name}":['
-    for i, r in enumerate(rows):
-        yield ("," if i else "") + r
-    rest = json.dumps(tail, ensure_ascii=False, separators=(",", ":"))
-    yield "]" + ("," + rest[1:] if tail else "}") + "\n"
-
+    path = new_path(spark, "document")
+    files.join(pieces, path)
+    files.show(path, out)
 
-def _indented(head: dict, name: str, rows: Iterator[str], tail: dict, empty: str) -> Iterator[str]:
-    """What json.dumps() with an indent of 2 gives, a row at a time; empty: the value if there are no rows."""
 
-    def inner(value: dict) -> str:
-        return json.dumps(value, indent=2, ensure_ascii=False)[1:-2]
-
-    yield "{" + (inner(head) + "," if head else "") + f'\n  "{name}": '
-    some = False
-    for r in rows:
-        yield (",\n    " if some else "[\n    ") + json.dumps(json.loads(r), indent=2, ensure_ascii=False).replace("\n", "\n    ")
-        some = True
-    yield ("\n  ]" if some else empty) + ("," + inner(tail) if tail else "") + "\n}\n"
+def typedef_json(typedefs: DataFrame) -> DataFrame:
+    """(id, json): a line for each typedef. Null, empty and false values are left out."""
+    flags = [F.when(F.col(c), True).alias(c) for c in ("is_transitive", "is_reflexive")]
+    return typedefs.select("id", F.to_json(F.struct(F.nullif("id", F.lit("")).alias("id"), F.nullif("name", F.lit("")).alias("name"), *flags)).alias("json"))
 
 
-def write_json(ontology: Ontology, out: TextIO, *, pretty: bool = False) -> None:
-    """The parsed ontology as one document; `terms` is there even if empty. Terms stream through in order of id."""
+def write_json(ontology: Ontology, out: str | TextIO, *, pretty: bool = False) -> None:
+    """The parsed ontology as one document; `terms` is there even if empty. Terms and typedefs are in order of id."""
     row = ontology.header.first()
     head = {k: v for k, v in (row.asDict() if row else {}).items() if v}
-    rows = (r["json"] for r in term_json(ontology.terms).orderBy("id", "json").toLocalIterator())
-    shown = ("id", "name", "is_transitive", "is_reflexive")
-    typedefs = [{k: r[k] for k in shown if r[k]} for r in ontology.typedefs.orderBy("id").toLocalIterator()]
-    for part in _document(head, "terms", rows, {"typedefs": typedefs} if typedefs else {}, pretty):
-        out.write(part)
+    lists = [("terms", term_json(ontology.terms), "[]"), ("typedefs", typedef_json(ontology.typedefs), None)]
+    write_document(ontology.terms.sparkSession, out, head, lists, pretty=pretty)
 
 
 def classified(direct: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -101,8 +202,7 @@ def classified(direct: DataFrame, concepts: DataFrame) -> DataFrame:
     return own.join(parents, "id", "left").join(children, "id", "left").select(F.col("name").alias("id"), F.coalesce("direct_parents", F.array().cast("array<string>")).alias("direct_parents"), "direct_children")
 
 
-def write_classified(hierarchy: DataFrame, stats: dict, out: TextIO) -> None:
+def write_classified(hierarchy: DataFrame, stats: dict, out: str | TextIO) -> None:
     """The hierarchy and its statistics as one pretty document; `concepts` is null if there are none."""
-    rows = (r[0] for r in hierarchy.orderBy("id").select(F.to_json(F.struct("*"))).toLocalIterator())
-    for part in _indented({"stats": stats}, "concepts", rows, {}, "null"):
-        out.write(part)
+    rows = hierarchy.select("id", F.to_json(F.struct("*")).alias("json"))
+    write_document(hierarchy.sparkSession, out, {"stats": stats}, [("concepts", rows, "null")], pretty=True)
