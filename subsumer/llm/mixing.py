@@ -45,9 +45,10 @@ def _keyed(docs: DataFrame, quality: Column, mix: Mix) -> DataFrame:
 def _placed(rows: DataFrame, quality: Column, mix: Mix) -> DataFrame:
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(mix.seed + 1), "_row"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     weight = F.coalesce(F.nanvl(quality.cast("double"), F.lit(1.0)), F.lit(1.0))
-    key = F.when(weight > 0, -F.log(uniform) / weight).otherwise(F.lit(float("inf")))
-    place = F.least(F.floor((1 - F.exp(-F.col("_key"))) * (1 << 2 * DIGIT_BITS)), F.lit((1 << 2 * DIGIT_BITS) - 1)).cast("long")
-    return rows.withColumn("_key", key).withColumn("_place", place)
+    key = -F.log(uniform) / F.when(weight > 0, weight).otherwise(1.0)
+    half = 1 << 2 * DIGIT_BITS - 1  # documents of no weight are in the upper half of the places
+    place = F.least(F.floor((1 - F.exp(-F.col("_key"))) * half), F.lit(half - 1)) + F.when(weight > 0, 0).otherwise(half)
+    return rows.withColumn("_key", key).withColumn("_place", place.cast("long"))
 
 
 def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
@@ -115,8 +116,8 @@ def mix_sources(docs: DataFrame, *, quality: Column | None = None, mix: Mix = Mi
     Each source's target is met by complete epochs first; what is left goes to the documents with the smallest
     keys -ln(u) / quality, u by a hash of seed, doc_id and text (so reruns agree), as far as their summed sizes
     reach; the document at the end is taken in part. quality: an expression on docs; null or NaN is 1, and documents
-    of 0 or less come last. Null sources are a source; null texts have size 0. Rows repeated in doc_id, source and
-    text share what they get evenly, rounded down. Columns of docs that are named like the results are replaced; an
+    of 0 or less come last, by the key that quality 1 would give them. Null sources are a source; null texts have size 0. Rows repeated in doc_id, source and
+    text share what they get evenly, rounded down. Texts of any length are counted whole; equal keys go by doc_id. Columns of docs that are named like the results are replaced; an
     empty table stays empty.
 
     Texts are never shuffled, only keys and sums: the prefix sums descend over two digits of the key's place, then
@@ -129,7 +130,8 @@ def mix_sources(docs: DataFrame, *, quality: Column | None = None, mix: Mix = Mi
 def mix_rows(docs: DataFrame, quality: DataFrame, *, mix: Mix = Mix()) -> DataFrame:
     """(doc_id, size, source_size, target, taken) as mix_sources() gives them, with quality from a table (doc_id, quality).
 
-    Documents without a row there have quality 1; of several rows for a document the largest counts.
+    Documents without a row there have quality 1; of several rows for a document the largest counts (NaN, so 1, if there is one).
+    Nulls, ties, repeated rows, long texts, other columns and empty tables are as in mix_sources().
     """
     sized = _keyed(docs, F.lit(1.0), mix).select("doc_id", "_source", "_row", "size")
     known = quality.groupBy("doc_id").agg(F.max("quality").alias("_quality"))

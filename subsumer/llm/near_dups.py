@@ -20,6 +20,8 @@ from .common import bounded_batches, small_join, table, text_of
 
 #: Ids up to which a counted table of ids alone may be broadcast (16 bytes a row).
 BROADCAST_IDS = 500_000
+#: Prefix entries of one shingle that a task joins with all others of it.
+DEALT_ROWS = 2000
 
 
 @dataclass(frozen=True)
@@ -175,6 +177,7 @@ def prefix_pairs(docs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     of the first n - ceil(percent * n / 100) + 1, where what is left behind it on either side is long enough
     (prefix and position filters, exact). Documents with a fifth of shingles of their own, such as heavily
     edited copies, meet nobody; no pairs within a band are listed. Each text of a document is a set of its own.
+    A shingle that stands in more than DEALT_ROWS prefixes is dealt out: one side over parts by document, the other to all parts.
     """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,12 +196,13 @@ def prefix_pairs(docs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     order = Window.partitionBy("rep", "own").orderBy("df", "shingle")
     placed = entries.join(common, "shingle").withColumn("at", F.row_number().over(order)).join(owners, ["rep", "own"])
     prefix = table(placed.where((F.col("df") > 1) & (F.col("at") <= F.col("n") - F.ceil(near.percent * F.col("n") / 100) + 1)), "prefixes")
-    x = prefix.select("shingle", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("component").alias("ca"))
-    y = prefix.select("shingle", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("component").alias("cb"))
+    parts = F.ceil(F.col("df") / DEALT_ROWS)
+    x = prefix.select("shingle", F.pmod(F.xxhash64("rep"), parts).alias("part"), F.col("rep").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("component").alias("ca"))
+    y = prefix.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("component").alias("cb"))
     # holds at the first shingle that two similar sets share: nothing before it is common
     enough = (1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))) * (100 + near.percent) >= near.percent * (F.col("na") + F.col("nb"))
     sizes = 100 * F.least("na", "nb") >= near.percent * F.greatest("na", "nb")
-    return x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes & enough).select("a", "b").distinct()
+    return x.join(y, ["shingle", "part"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes & enough).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -233,14 +237,16 @@ def components(edges: DataFrame) -> DataFrame:
     return members.union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
+def near_duplicates(docs: DataFrame, near: Near = Near(), *, exact: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
     Texts with equal sets are one class, found by a fingerprint of 128 bits; the smallest doc_id stands for it.
     Class representatives that share a band are compared on their whole sets with the smallest id of the band and a
     second one; then, over all bands that still hold several components, an exact join of prefixes finds what links
-    different components. What is lost are pairs that share no band at all (see Near for how likely that is). Null texts are empty; texts without words are
-    linked with nothing. Rows with equal doc_id are one document that is linked as each of them. Rows with a
+    different components. What is lost are pairs that share no band at all (see Near for how likely that is), unless `exact`:
+    then the join of prefixes covers all classes in different components, whatever bands they are in, and no link is lost;
+    every distinct shingle of every class is shuffled for it. Texts of any length are read whole; an empty table stays empty.
+    Null texts are empty; texts without words are linked with nothing. Rows with equal doc_id are one document that is linked as each of them. Rows with a
     null doc_id are linked with nothing: component_id is null and kept false. Other columns are ignored.
     """
     rows = table(sketched(docs, near), "sketches")
@@ -249,7 +255,8 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     shared = classes.select("rep", "n", F.explode("keys").alias("key"))
     leaders = shared.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("one"), F.min_by(F.struct("rep", "n"), F.xxhash64("rep")).alias("two"), F.count("*").alias("members")).where("members > 1").drop("members")
     multi = table(shared.join(leaders, "key"), "bands")
-    sets = table(shingles_of(docs, multi.select(F.col("rep").alias("doc_id")).distinct(), near), "sets")
+    compared = classes.select("rep", "n") if exact else multi.select("rep", "n").distinct()
+    sets = table(shingles_of(docs, compared.select(F.col("rep").alias("doc_id")).distinct(), near), "sets")
 
     def fits(n: str, m: str):
         return 100 * F.least(n, m) >= near.percent * F.greatest(n, m)
@@ -262,11 +269,15 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     links = table(verified(tried, sets, near), "links")
     found = table(components(links), "components")
 
-    # documents of bands that still hold several components
-    labelled = multi.select("key", "rep", "n").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = table(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    several = table(labelled.join(mixed, "key", "left_semi").select("rep", "n", "component").distinct(), "several")
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    if exact:
+        several = table(labelled(compared), "several")
+    else:  # documents of bands that still hold several components
+        bands = table(labelled(multi.select("key", "rep", "n")), "labelled")
+        mixed = bands.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        several = table(bands.join(mixed, "key", "left_semi").select("rep", "n", "component").distinct(), "several")
     rest = prefix_pairs(several, sets, near).join(tried, ["a", "b"], "left_anti")
     rest = table(rest, "rest")
     more = table(verified(rest, sets, near), "more-links")
