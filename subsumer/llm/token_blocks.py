@@ -26,10 +26,10 @@ from itertools import product
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions_for, table, text_of
+from .common import bounded_batches, partitions_for, running_sum, small_join, table, text_of
 
 MAGIC, BLOCK, PERCENTILE = b"PFB1", 128, 0.9
 #: The widths in bits; 4 offsets fill whole bytes up to 16 bits, 2 above.
@@ -279,7 +279,7 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     """docs (doc_id long, ...) in partitions by ascending ranges of doc_id, null first, each sorted by all columns.
 
     The bounds are quantiles of doc_id alone, so that texts are read once; repartitionByRange would read them for its sample.
-    Equal ids share a partition.
+    Equal ids share a partition, rows with a null id too.
     """
     n = partitions_for(docs)
     least = docs.select(F.percentile_approx(F.col("doc_id").cast("double"), [i / n for i in range(1, n)], 100 * n)).head()[0]
@@ -320,7 +320,8 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int) -> Non
 def read_ids(spark: SparkSession, path: str, *, digest_only: bool = False) -> DataFrame:
     """A row (file, doc_id, start_in_file, n_tokens, ids_crc32, ids) for each document in the files under path.
 
-    digest_only leaves ids null.
+    digest_only leaves ids null. Documents come back as often as they were written; a null id stays null; a folder
+    without frames gives no rows.
     """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -341,12 +342,16 @@ def read_ids(spark: SparkSession, path: str, *, digest_only: bool = False) -> Da
 
 
 def with_starts(read: DataFrame) -> DataFrame:
-    """read_ids() with `start`: the ids of all documents before, over all files in the order of their names."""
+    """read_ids() with `start`: the ids of all documents before, over all files in the order in which they were written.
+
+    That order is by the numbers of the task and of its file in the file's name. Files grow with the data: their bases are
+    a distributed prefix sum, joined back by broadcast only if they were counted to be few.
+    """
     read = table(read, "read-ids")
-    sizes = read.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    base, acc = [], 0
-    for file, n in sorted((r["file"], r["n"]) for r in sizes.collect()):  # a row for each file: no more than write partitions
-        base.append((file, acc))
-        acc += n
-    bases = read.sparkSession.createDataFrame(base, "file string, base long")
-    return read.join(F.broadcast(bases), "file").withColumn("start", F.col("base") + F.col("start_in_file"))
+
+    def number(pattern: str) -> Column:
+        return F.regexp_extract("file", pattern, 1).try_cast("long")
+
+    sizes = read.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumn("task", number("part-(\\d+)-[^/]*$")).withColumn("nth", number("-c(\\d+)[^/]*$"))
+    bases = running_sum(sizes, ["task", "nth", "file"], "n", "base").select("file", "base")
+    return small_join(read, bases, ["file"]).withColumn("start", F.col("base") + F.col("start_in_file"))

@@ -18,6 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, small_join, table
+
+#: Bytes of the blocks in a file before compression, at most: a file's records are counted by the largest segment.
+FILE_BYTES = 128 << 20
 CRLF = "\r\n"
 #: The digits of base 32 as Spark's conv() writes them, and as RFC 4648 does.
 CONV_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -59,8 +63,10 @@ def write_archives(rows: DataFrame, path: str, *, chunk_bytes: int = 4096, segme
 
     payload: binary; null is empty. Rows with equal payloads: the row with the smallest page_id (null last; then
     by url) becomes the response, the others revisit it. Repeated rows with the same page_id, url and payload are
-    the same record written again. Other columns are ignored. The text source writes the files: its
-    line separator is the end of a WARC record, and its commits keep failed attempts out.
+    the same record written again. Other columns are ignored; an empty table gives no records. Payloads of any length
+    that one row can hold are cut into segments; a file holds FILE_BYTES of blocks at most, or one record. Which record
+    comes first is found on ids and digests alone, so payloads that many rows share do not meet in one task. The text
+    source writes the files: its line separator is the end of a WARC record, and its commits keep failed attempts out.
     """
     payload = F.coalesce(F.col("payload"), F.lit(b""))
     page, url = F.col("page_id").cast("string"), F.coalesce(F.col("url").cast("string"), F.lit(""))
@@ -68,9 +74,10 @@ def write_archives(rows: DataFrame, path: str, *, chunk_bytes: int = 4096, segme
     identity = F.md5(F.concat_ws("|", F.coalesce(page, F.lit("-")), F.col("url"), F.col("digest")).cast("binary"))
     uid = F.regexp_replace(identity, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
     source = source.withColumn("record_id", uid)
+    ids = table(source.select("record_id", "digest", "page_id", "url").distinct(), "warc-ids")
     # one small row for each distinct payload, summed up before the shuffle
-    first = source.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "record_id")).alias("first"))
-    both = source.join(first, "digest")
+    first = ids.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url", "record_id")).alias("first"))
+    both = source.join(small_join(ids.select("record_id", "digest"), first, ["digest"]).select("record_id", "first"), "record_id")
     is_first = F.col("record_id") == F.col("first.record_id")
 
     http = F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF)
@@ -107,7 +114,7 @@ def write_archives(rows: DataFrame, path: str, *, chunk_bytes: int = 4096, segme
         return F.concat(*head)
 
     records = both.select(F.explode(F.transform(F.sequence(F.lit(1), n), record)).alias("value"))
-    records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
+    records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES // segment_bytes)).text(path)
 
 
 def records_in(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -200,6 +207,7 @@ def read_archives(spark: SparkSession, path: str, *, payloads: bool = True) -> D
                         rows, held = [], 0
                 yield pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "total_bytes": "Int64", "payload_bytes": "Int64"})
 
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
     parsed = files.mapInPandas(parse, PARSED)
     head = F.col("record_type") != "continuation"

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from subsumer.llm import fit, line_quality, mixing, near_dups
+from subsumer.llm import common, fit, line_quality, mixing, near_dups, token_blocks, warc
 from test_text import docs_of, labelled, odd_rows
 
 
@@ -235,3 +235,27 @@ def test_prefixes_of_a_hot_shingle_are_dealt_out(spark, monkeypatch):
     for dealt in (10_000, 7, 1):
         monkeypatch.setattr(near_dups, "DEALT_ROWS", dealt)
         assert sorted(map(tuple, near_dups.prefix_pairs(classes, sets, near).collect())) == wanted
+
+
+def test_starts_go_by_the_numbers_of_files(spark, monkeypatch):
+    names = [f"file:/x/part-{task:05d}-ab-c{nth:03d}.txt" for task in (0, 7, 99999, 100000) for nth in (0, 2, 999, 1000, 1001)]
+    rows = [(f, 10 * k + i, 3 * i, 3) for k, f in enumerate(names) for i in range(k % 3 + 1)]
+    wanted = {r[1]: 3 * n for n, r in enumerate(rows)}
+    df = spark.createDataFrame(rows[::-1], "file string, doc_id long, start_in_file long, n_tokens long")
+    for few in (common.BROADCAST_ROWS, 0):  # by broadcast, and by a shuffle
+        monkeypatch.setattr(common.small_join, "__defaults__", ("inner", few))
+        assert {r["doc_id"]: r["start"] for r in token_blocks.with_starts(df).collect()} == wanted
+    assert token_blocks.with_starts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_archives_of_one_common_payload(spark, monkeypatch, few):
+    monkeypatch.setattr(common.small_join, "__defaults__", ("inner", few))
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    rows = [(i, f"u{i}", b"common" * 300 if i % 3 else b"page %d" % i) for i in range(90)]
+    path = common.scratch_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, payload binary").repartition(2), path, segment_bytes=700)
+    files = spark.read.format("binaryFile").load(path).count()
+    assert files >= (60 + 30 + 3) // (3000 // 700)
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.resolve_revisits(warc.read_archives(spark, path)).collect()}
+    assert got == {i: (len(p), "revisit" if i % 3 and i > 1 else "response", 1 if i % 3 and i > 1 else None) for i, _, p in rows}
