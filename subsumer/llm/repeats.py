@@ -24,8 +24,10 @@ from .common import bounded_batches, partitions_for, running_sum, small_join, ta
 
 #: Bytes of an anchor's gram. Window starts that are hashed at a time. Contexts of a batch of suffix arrays.
 GRAM, PIECE, BATCH = 32, 1 << 20, 8192
-#: Documents whose anchors are looked at for frequent ones, on average at most; places of a frequent one in them at least; parts of it.
+#: Documents whose anchors are looked at for frequent ones, on average at most; places of a frequent one in them at least; parts of it, a power of 2.
 LOOKED_AT, OFTEN, PARTS = 4096, 16, 64
+#: Window starts beside each other that a crowded anchor deals out together.
+STRIDE = 8
 #: Copies' ids up to which a counted table of them is broadcast.
 BROADCAST_IDS = 500_000
 _EVEN = np.uint64(0xBF58476D1CE4E5B9)
@@ -35,8 +37,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Repeats:
-    """length: bytes of a repeat at least. crowd: contexts of one anchor that a suffix array holds; of anchors with more, and of frequent ones, which are
-    dealt out in parts, what is first in each part is compared by windows across the parts."""
+    """length: bytes of a repeat at least. crowd: distinct contexts of one anchor that a suffix array holds; the starts of anchors with more are dealt out
+    again, see finer(). If there still are more, they are dealt out in parts, and what is first in each part is compared by windows across the parts."""
 
     length: int = 100
     crowd: int = 2048
@@ -91,7 +93,7 @@ def anchored(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
 
 def contexts_of(docs: DataFrame, r: Repeats, often: np.ndarray, *, known: bool = True) -> DataFrame:
     """(h, c, ord, place): the contexts of each document (ord, body): hashes of anchor and context, and where it is, see placed(). Anchors in `often` have
-    as many hashes as parts; h and c together are 128 bits. known: contexts that equal an earlier one of the texts at hand need not
+    as many hashes as parts, equal but for their last bits (see whole()); h and c together are 128 bits, 122 of those anchors. known: contexts that equal an earlier one of the texts at hand need not
     meet others, so they are dealt out evenly (by a hash in place of h)."""
     if not GRAM < r.length < 1 << 15:
         raise ValueError(f"repeats have more than {GRAM} bytes, and contexts less than 65536")
@@ -122,6 +124,11 @@ def placed() -> tuple[Column, Column, Column]:
     return F.shiftright(own, 18).alias("at"), F.shiftright(own, 2).bitwiseAND(F.lit(65535)).cast("int").alias("len"), (own.bitwiseAND(F.lit(1)) == 1).alias("split")
 
 
+def whole() -> Column:
+    """What the hashes of all parts of a frequent anchor have in common."""
+    return F.col("h").bitwiseAND(F.lit(-PARTS))
+
+
 def _context_rows(pieces: list[tuple[int, int, bytes]], length: int, often: np.ndarray, known: bool) -> pd.DataFrame:
     whole = b"".join(p[2] for p in pieces)
     sizes = np.array([len(p[2]) for p in pieces])
@@ -133,16 +140,19 @@ def _context_rows(pieces: list[tuple[int, int, bytes]], length: int, often: np.n
     at = first - (ends - sizes)[of] + np.array([p[1] for p in pieces])[of]
     split = np.isin(h, often)
     if split.any():
-        with np.errstate(over="ignore"):
-            h[split] = _mixed(h[split].view(np.uint64) + (c[split] % np.uint64(PARTS) + np.uint64(1)) * _STEP).view(np.int64)
+        h[split] = (h[split] & -PARTS) | (c[split] % np.uint64(PARTS)).astype(np.int64)
     ord_ = np.array([p[0] for p in pieces], np.int64)[of]
+    return _placed_rows(h, c.view(np.int64), ord_, at, last - first + length, split, known)
+
+
+def _placed_rows(h: np.ndarray, c: np.ndarray, ord_: np.ndarray, at: np.ndarray, size: np.ndarray, split: np.ndarray, known: bool) -> pd.DataFrame:
     again = np.zeros(len(h), bool)
     if known and len(h):
         order = np.lexsort((at, ord_, c, h))
         again[order[1:]] = (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])
         with np.errstate(over="ignore"):
             h[again] = _mixed(ord_[again].view(np.uint64) * _ODD + at[again].view(np.uint64)).view(np.int64)
-    return pd.DataFrame({"h": h, "c": c.view(np.int64), "ord": ord_, "place": (at << 18) | ((last - first + length) << 2) | (again.astype(np.int64) << 1) | split})
+    return pd.DataFrame({"h": h, "c": c, "ord": ord_, "place": (at << 18) | (size << 2) | (again.astype(np.int64) << 1) | split})
 
 
 def frequent(docs: DataFrame, r: Repeats, rows: int) -> np.ndarray:
@@ -282,9 +292,21 @@ def _scan(common: list[int], when: list[int], unlike: list[int], length: int) ->
     return cover, maximal
 
 
+def _joined(context: np.ndarray, place: np.ndarray, cover: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, place, bytes) of the runs of bytes that the covers at these places make, as long as they go on."""
+    order = np.lexsort((place, context))
+    context, place, cover = context[order], place[order], cover[order]
+    reached = np.maximum.accumulate((context << 20) + place + cover)
+    new = np.ones(len(order), bool)
+    new[1:] = (context[1:] << 20) + place[1:] > reached[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first, len(order))[1:] - 1
+    return context[first], place[first], reached[last] - (context[first] << 20) - place[first]
+
+
 def _arrays(contexts: DataFrame, r: Repeats, *, groups: bool) -> DataFrame:
-    """What the suffix arrays of contexts (h, split, ord, at, ctx) show: rows of kind "span" (ord, at, len), of kind "window" (w1, w2, ord, at), the
-    windows that are first in their part of a split anchor; with groups, of kind "place" (w1, w2, len, h, c, at), places of maximal repeats in contexts."""
+    """What the suffix arrays of contexts (g, h, split, ord, at, ctx), those of one g together, show: rows of kind "span" (ord, at, len), the runs of covered bytes of
+    each context; of kind "window" (w1, w2, ord, at), the windows that are first in their part of a split anchor; with groups, of kind "place" (w1, w2, len, h, c, at), places of maximal repeats in contexts."""
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         bodies = list(rows["ctx"])
@@ -295,7 +317,8 @@ def _arrays(contexts: DataFrame, r: Repeats, *, groups: bool) -> DataFrame:
         tree = intervals(bodies, rank, r.length)
         late = tree.cover > 0
         c, place, cover = tree.context[late], tree.place[late], tree.cover[late]
-        out = [pd.DataFrame({"kind": "span", "w1": 0, "w2": 0, "h": 0, "c": 0, "ord": ord_[c], "at": at[c] + place, "len": cover})]
+        own, first, size = _joined(c, place, cover)
+        out = [pd.DataFrame({"kind": "span", "w1": 0, "w2": 0, "h": 0, "c": 0, "ord": ord_[own], "at": at[own] + first, "len": size})]
         split = np.flatnonzero(rows["split"].to_numpy(bool))
         if len(split):
             covered = {i: np.zeros(len(bodies[i]) - r.length + 1, bool) for i in split.tolist()}
@@ -326,10 +349,10 @@ def _arrays(contexts: DataFrame, r: Repeats, *, groups: bool) -> DataFrame:
                 continue
             rows = pd.concat(held, ignore_index=True)
             # all but the last anchor are complete; one with too many contexts goes on in parts
-            rest = rows["h"] == rows["h"].iloc[-1]
-            rows.loc[rows["h"] == cut, "split"] = True
+            rest = rows["g"] == rows["g"].iloc[-1]
+            rows.loc[rows["g"] == cut, "split"] = True
             if rest.sum() >= r.crowd:
-                cut = rows["h"].iloc[-1]
+                cut = rows["g"].iloc[-1]
                 rows.loc[rest, "split"] = True
                 rest[:] = False
             held = [rows[rest]]
@@ -337,10 +360,10 @@ def _arrays(contexts: DataFrame, r: Repeats, *, groups: bool) -> DataFrame:
                 yield work(rows[~rest].reset_index(drop=True))
         if held and sum(map(len, held)):
             rows = pd.concat(held, ignore_index=True)
-            rows.loc[rows["h"] == cut, "split"] = True
+            rows.loc[rows["g"] == cut, "split"] = True
             yield work(rows)
 
-    dealt = contexts.repartition(partitions_for(contexts), "h").sortWithinPartitions("h")
+    dealt = contexts.repartition(partitions_for(contexts), "g").sortWithinPartitions("g")
     return dealt.mapInPandas(make, "kind string, w1 long, w2 long, h long, c long, ord long, at long, len long")
 
 
@@ -376,6 +399,58 @@ def _in_order(docs: DataFrame) -> DataFrame:
     return running_sum(numbered, ["_null", "doc_id", "t1", "t2", "_at"], "_one", "ord").select("ord", "doc_id", "body", "t1", "t2")
 
 
+def regrouped(asked: DataFrame, r: Repeats, *, alone: bool) -> DataFrame:
+    """asked (h, ord, place) with g, what meets in one suffix array, at, len and split. Once equal contexts are out, the parts of a frequent anchor
+    meet again: in one array, or in as few as hold `crowd` each, and only the latter stay split. alone: keep the context of an anchor that has no other."""
+    at, size, split = placed()
+    own = asked.select("h", "ord", at, size, split)
+    held = own.where("split").groupBy(whole().alias("w")).agg(F.count("*").alias("n"))
+    sized = small_join(own.where("split").withColumn("w", whole()), held, ["w"]).where(F.lit(alone) | (F.col("n") > 1))
+    arrays = F.least(F.ceil(F.col("n") / r.crowd), F.lit(PARTS)).cast("long")
+    part = F.floor(F.col("h").bitwiseAND(F.lit(PARTS - 1)) * arrays / PARTS).cast("long")
+    again = sized.select(F.col("w").bitwiseOR(part).alias("g"), "h", "ord", "at", "len", (arrays > 1).alias("split"))
+    return own.where("not split").select(F.col("h").alias("g"), "h", "ord", "at", "len", "split").union(again)
+
+
+def _asked(shown: DataFrame) -> DataFrame:
+    return shown.where("not later").select("h", "ord", "place")
+
+
+def _fetched(rows: DataFrame, meets: DataFrame, *, few: bool = False) -> DataFrame:
+    """meets with ctx, the bytes of each context. few: its documents are counted first."""
+    lists = meets.groupBy("ord").agg(F.collect_list(F.struct("g", "h", "split", "at", "len")).alias("xs"))
+    cut = F.transform("xs", lambda x: F.struct(x["g"].alias("g"), x["h"].alias("h"), x["split"].alias("split"), x["at"].alias("at"), F.substring(F.col("body"), (x["at"] + 1).cast("int"), x["len"]).alias("ctx")))
+    bodies = rows.select("ord", "body")
+    joined = small_join(bodies, lists, ["ord"]) if few else bodies.join(lists, "ord")
+    return joined.select("ord", F.explode(cut).alias("x")).select("ord", "x.*")
+
+
+def finer(contexts: DataFrame, r: Repeats) -> DataFrame:
+    """contexts (ord, at, ctx) of crowded anchors as contexts (h, c, ord, place) of at most STRIDE starts each. Equal windows have their anchor at the same
+    place, so those that start as far before it, in strides, meet by the bytes that all windows of a stride hold: where these bytes differ, nothing meets."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest, most = xxhash.xxh3_64_intdigest, r.length - GRAM
+        for batch in batches:
+            hashes, places = [], []
+            for ord_, at, body in zip(batch["ord"].tolist(), batch["at"].tolist(), batch["ctx"], strict=True):
+                anchor = int((grams(np.frombuffer(body, np.uint8, r.length), GRAM) & np.uint64(0xFFFFFFFF00000000)).argmin())
+                for near in range(0, most + 1, STRIDE):
+                    far = min(near + STRIDE - 1, most)
+                    first, last = max(anchor - far, 0), min(anchor - near, len(body) - r.length)
+                    if first > last:
+                        continue
+                    own = digest(body[first : last + r.length])
+                    both = digest(body[anchor - near : anchor - far + r.length], near)
+                    hashes.append((both & ~(PARTS - 1) | own % PARTS, own))
+                    places.append((ord_, at + first, last - first + r.length))
+            h, c = np.array(hashes, np.uint64).reshape(-1, 2).T.copy().view(np.int64)
+            ord_, at, size = np.array(places, np.int64).reshape(-1, 3).T.copy()
+            yield _placed_rows(h, c, ord_, at, size, np.ones(len(h), bool), True)
+
+    return contexts.select("ord", "at", "ctx").mapInPandas(make, "h long, c long, ord long, place long")
+
+
 def find_repeats(docs: DataFrame, r: Repeats = Repeats(), *, groups: bool = False) -> Found:
     """Contexts and repeats of docs (doc_id, text); see Found. Hashes of 128 bits stand for whole texts, contexts (with their anchors') and windows."""
     rows = _in_order(docs)
@@ -388,14 +463,16 @@ def find_repeats(docs: DataFrame, r: Repeats = Repeats(), *, groups: bool = Fals
     if groups:
         anchors = table(anchors, "anchors")
     shown = table(met(anchors), "met")
-    asked = shown.where("not later").select("h", "ord", "place")
+    asked = _asked(shown)
     if groups:
         several = anchors.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("ord", "place")).alias("x")).where("n > 1")
         asked = asked.union(several.select("h", "x.ord", "x.place")).distinct()
-    at, size, split = placed()
-    lists = asked.select("ord", "h", at, size, split).groupBy("ord").agg(F.collect_list(F.struct("h", "split", "at", "len")).alias("xs"))
-    cut = F.transform("xs", lambda x: F.struct(x["h"].alias("h"), x["split"].alias("split"), x["at"].alias("at"), F.substring(F.col("body"), (x["at"] + 1).cast("int"), x["len"]).alias("ctx")))
-    contexts = rows.select("ord", "body").join(lists, "ord").select("ord", F.explode(cut).alias("x")).select("ord", "x.*")
+    meets = regrouped(asked, r, alone=groups)
+    crowded = meets.where("split")
+    if not groups and crowded.head(1):
+        again = table(met(finer(_fetched(rows, crowded, few=True), r)), "met")
+        meets, shown = meets.where("not split").union(regrouped(_asked(again), r, alone=False)), shown.union(again)
+    contexts = _fetched(rows, meets)
     return Found(rows, copies, shown, table(_arrays(contexts, r, groups=groups), "shown"), anchors if groups else None)
 
 

@@ -96,6 +96,26 @@ def test_remove_repeats(spark, monkeypatch, length, crowd, piece, often):
     assert repeats.remove_repeats(docs_of(spark, []), repeats.Repeats(length, crowd)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "crowd"), [(120, 2048), (240, 2048), (240, 48), (240, 3)])
+def test_near_copies_make_few_rows(spark, monkeypatch, n, crowd):
+    """A group of near copies, one edit in each: a few rows a copy, however large the group is, and no window apart unless even strides are crowded."""
+    monkeypatch.setattr(repeats, "OFTEN", 4)
+    rng = random.Random(11)
+    base = " ".join(rng.choice(("alpha", "beta", "ñandú", "gamma")) + str(rng.randrange(400)) for _ in range(40))
+    rows = []
+    for i in range(n):
+        p = rng.randrange(len(base) - 3)
+        rows.append((i, base[:p] + f"{i:03d}" + base[p + 3 :], None))
+    docs, r = docs_of(spark, rows), repeats.Repeats(100, crowd)
+    got = {x["doc_id"]: (x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in repeats.remove_repeats(docs, r).collect()}
+    assert [got[i] for i in range(n)] == plain_removed([t.encode() for _, t, _ in rows], 100)
+    made = {x["kind"]: x["count"] for x in repeats.find_repeats(docs, r).shown.groupBy("kind").count().collect()}
+    if crowd > 3:
+        assert sum(made.values()) <= 12 * n and "window" not in made
+    else:
+        assert made["window"] > 0
+
+
 def test_repeats_of_rows_without_ids_of_their_own(spark):
     a, b = "one passage " * 20, "another one " * 20
     rows = [(5, a, None), (5, a, None), (5, b, None), (None, a, None), (None, None, None), (9, b + a, None)]
