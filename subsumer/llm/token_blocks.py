@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import product
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -192,7 +193,7 @@ SPLIT_ONLY = "\x1c\x1d\x1e\x1f"
 #: marks never compose with letters, these letters stay letters in every normal form and in lower case, and neither the
 #: apostrophe of the first alternatives nor the first character of an added token is among the marks.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-LETTERS_AND_MARKS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)")
+LETTERS_AND_MARKS = re.compile(r"^(?:([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]++)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*+)$|.+$)", re.MULTILINE)
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
@@ -201,7 +202,7 @@ class WordTokenizer:
 
     Texts are cut at white space and nowhere else: no normal form joins a space with what stands beside it, so the library
     gives the words of a text the ids that it gives the text. A file for which that doesn't hold is refused. Words are
-    encoded once and kept until there are too many. If the file's pre-tokenizer has the PATTERN, lower-cases
+    encoded once and kept until there are too many; then those of the latest texts stay. If the file's pre-tokenizer has the PATTERN, lower-cases
     and marks the ends of tokens, words of LETTERS_AND_MARKS are put together from those two.
     """
 
@@ -214,6 +215,7 @@ class WordTokenizer:
             if self._ids(a + space + b) != self._ids(a) + self._ids(b):
                 raise ValueError(f"{file}: tokens go on behind white space")
         self.known: dict[str, bytes] = {}
+        self.latest: dict[str, bytes] = {}
         config = json.loads(self.library.to_str())
         steps, suffix = config["pre_tokenizer"].get("pretokenizers") or [config["pre_tokenizer"]], config["model"].get("end_of_word_suffix")
         normal = (config["normalizer"] or {}).get("normalizers", [])
@@ -232,15 +234,21 @@ class WordTokenizer:
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _learn(self, missing: list[str]) -> None:
-        found = list(map(LETTERS_AND_MARKS.fullmatch, missing)) if self.cuts else [None] * len(missing)
-        joint = [(w, m[1].lower(), m[2]) for w, m in zip(missing, found, strict=True) if m]
-        parts = {letters for _, letters, _ in joint}
-        parts.update(marks for _, _, marks in joint if marks)
         known = self.known
-        self._encode([w for w in parts if w not in known], True)
-        self._encode([w for w, m in zip(missing, found, strict=True) if not m], False)
-        for w, letters, marks in joint:
-            known[w] = known[letters] + known[marks] if marks else known[letters]
+        if not self.cuts:
+            self._encode(missing, False)
+            return
+        # a row for each word, empty if it isn't letters and marks; the letters are as many in lower case
+        rows = LETTERS_AND_MARKS.findall("\n".join(missing))
+        if len(rows) != len(missing):
+            raise ValueError(f"{len(rows)} rows of {len(missing)} words")
+        letters, marks = zip(*rows, strict=True) if rows else ((), ())
+        lower = "\n".join(letters).lower().split("\n") if rows else []
+        known[""] = b""
+        self._encode(list({*lower, *marks}.difference(known)), True)
+        joint = list(map(add, map(known.__getitem__, lower), map(known.__getitem__, marks)))
+        known.update(zip(missing, joint, strict=True))
+        self._encode([w for w, own in zip(missing, letters, strict=True) if not own], False)
 
     def _encode(self, words: list[str], one_end: bool) -> None:
         """Words that aren't known, many in one text. one_end: each has one token's end, which is the last of its ids; else the ids' places in the text tell their words."""
@@ -264,9 +272,13 @@ class WordTokenizer:
             split = [t.split() for t in some]
             words = set().union(*split)
             if len(self.known) > CACHE:
-                self.known = {}
-            self._learn(list(words.difference(self.known)))
-            get = {w: self.known[w] for w in words}.__getitem__
+                self.known = self.latest
+            own_ids = dict(zip(words, map(self.known.get, words), strict=True))
+            missing = [w for w, ids in own_ids.items() if ids is None]
+            self._learn(missing)
+            own_ids.update(zip(missing, map(self.known.__getitem__, missing), strict=True))
+            self.latest = own_ids
+            get = own_ids.__getitem__
             odd = [any(c in t for c in SPLIT_ONLY) for t in some]
             out += [np.array(self._ids(t), np.uint32).tobytes() if o else b"".join(map(get, own)) for t, own, o in zip(some, split, odd, strict=True)]
         return out

@@ -1,6 +1,7 @@
 """The text operators on small tables with odd rows, against plain versions."""
 
 import re
+import sys
 import unicodedata
 import zlib
 
@@ -96,6 +97,22 @@ def test_words_have_the_ids_that_the_library_gives_texts():
     assert encoder.encode(texts[-9:]) == [np.array(encoder.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[-9:]]
 
 
+def test_words_are_learned_together(monkeypatch):
+    encoder = token_blocks.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    words, calls, learned = [f"{a}{b}{c}{m}" for a in ("Éa", "ba", "ThE") for b in ("in", "ou") for c in map(chr, range(97, 123)) for m in ("", ",", "###", ").")], [], []
+    sys.setprofile(lambda frame, event, what: calls.append(what) if event == "c_call" else None)
+    try:
+        ids = encoder.encode([" ".join(words)])
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < len(words) / 4  # not one or more a word
+    assert np.frombuffer(ids[0], "<u4").tolist() == encoder.library.encode(" ".join(words), add_special_tokens=False).ids
+    # words of the latest texts stay when there are too many
+    monkeypatch.setattr(token_blocks, "CACHE", 10)
+    monkeypatch.setattr(encoder, "_learn", lambda missing: learned.extend(missing))
+    assert encoder.encode([" ".join(words)]) == ids and not learned
+
+
 def test_tokens_that_go_on_behind_spaces_are_refused():
     with pytest.raises(ValueError):
         token_blocks.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
