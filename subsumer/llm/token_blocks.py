@@ -16,16 +16,16 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import product
-from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +40,7 @@ HEAD = struct.Struct("<4sIIQQ")
 FRAME_IDS = 1 << 20
 #: Frames of a file at most.
 FILE_FRAMES = 16
-#: Words whose ids a Python worker keeps; texts that are cut, and words that the library gets, at once.
+#: Words and parts of words whose ids a Python worker keeps; texts that are cut, and words that the library gets, at once.
 CACHE, TEXTS, TOGETHER = 600_000, 1000, 64
 
 
@@ -187,23 +187,23 @@ def frames_in(content: bytes) -> Iterator[Frame]:
 
 # --- tokens ---------------------------------------------------------------------------------------------------
 
-#: Characters that str.split() takes for white space and vocabularies don't.
-SPLIT_ONLY = "\x1c\x1d\x1e\x1f"
-#: A pre-tokenizer's pattern, and words that it cuts between Latin letters and ASCII marks behind them. The
-#: marks never compose with letters, these letters stay letters in every normal form and in lower case, and neither the
-#: apostrophe of the first alternatives nor the first character of an added token is among the marks.
+#: A file's normal forms and its pre-tokenizer's pattern, and words that the pattern cuts between Latin letters and
+#: ASCII marks behind them. The marks never compose with letters, these letters stay letters in every normal form and in lower
+#: case, and neither the apostrophe of the first alternatives nor the first character of an added token is among the marks.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-LETTERS_AND_MARKS = re.compile(r"^(?:([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]++)([!\"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*+)$|.+$)", re.MULTILINE)
+LETTERS_AND_MARKS = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<marks>[!\"#$%&()*+,\\-./:;=>?@\\[\\\\\\]^_`{|}~]*)$"
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """The ids of whole texts from a tokenizers file for which white space ends all tokens and is none itself.
+    """The ids of whole texts from a tokenizers file for which ASCII white space ends all tokens and is none itself.
 
-    Texts are cut at white space and nowhere else: no normal form joins a space with what stands beside it, so the library
-    gives the words of a text the ids that it gives the text. A file for which that doesn't hold is refused. Words are
-    encoded once and kept until there are too many; then those of the latest texts stay. If the file's pre-tokenizer has the PATTERN, lower-cases
-    and marks the ends of tokens, words of LETTERS_AND_MARKS are put together from those two.
+    Texts are cut at ASCII white space and nowhere else: no normal form joins it with what stands beside it, so the library
+    gives the words of a text the ids that it gives the text. A file for which that doesn't hold is refused. What is encoded
+    is kept until there is too much; then what the latest texts hold stays. If the file has the NORMAL forms and the PATTERN
+    and marks the ends of tokens, words of LETTERS_AND_MARKS are put together from those two, of which the letters are in lower
+    case: what the normal forms and the pattern would leave as it is goes to the library without those steps.
     """
 
     def __init__(self, file: str) -> None:
@@ -218,11 +218,13 @@ class WordTokenizer:
         self.latest: dict[str, bytes] = {}
         config = json.loads(self.library.to_str())
         steps, suffix = config["pre_tokenizer"].get("pretokenizers") or [config["pre_tokenizer"]], config["model"].get("end_of_word_suffix")
-        normal = (config["normalizer"] or {}).get("normalizers", [])
-        self.cuts = bool(suffix) and steps[0].get("pattern") == {"Regex": PATTERN} and {"type": "Lowercase"} in normal and all("<" in t["content"] for t in config["added_tokens"])
+        normal = (config["normalizer"] or {}).get("normalizers")
+        self.cuts = bool(suffix) and steps[0].get("pattern") == {"Regex": PATTERN} and normal == NORMAL and all("<" in t["content"] for t in config["added_tokens"])
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
-        if suffix:
+        if self.cuts:
             self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(suffix)]] = True
+            steps = [{"type": "WhitespaceSplit"}, *steps[1:]]
+            self.of_pieces = Tokenizer.from_str(json.dumps(config | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}))
 
     @classmethod
     def at(cls, file: str) -> WordTokenizer:
@@ -233,54 +235,62 @@ class WordTokenizer:
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, missing: list[str]) -> None:
-        known = self.known
-        if not self.cuts:
-            self._encode(missing, False)
-            return
-        # a row for each word, empty if it isn't letters and marks; the letters are as many in lower case
-        rows = LETTERS_AND_MARKS.findall("\n".join(missing))
-        if len(rows) != len(missing):
-            raise ValueError(f"{len(rows)} rows of {len(missing)} words")
-        letters, marks = zip(*rows, strict=True) if rows else ((), ())
-        lower = "\n".join(letters).lower().split("\n") if rows else []
-        known[""] = b""
-        self._encode(list({*lower, *marks}.difference(known)), True)
-        joint = list(map(add, map(known.__getitem__, lower), map(known.__getitem__, marks)))
-        known.update(zip(missing, joint, strict=True))
-        self._encode([w for w, own in zip(missing, letters, strict=True) if not own], False)
-
-    def _encode(self, words: list[str], one_end: bool) -> None:
-        """Words that aren't known, many in one text. one_end: each has one token's end, which is the last of its ids; else the ids' places in the text tell their words."""
-        groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
-        encode = self.library.encode_batch_fast if one_end else self.library.encode_batch
+    def _learn(self, missing: list[str], pieces: bool) -> None:
+        """Encodes many in one text. pieces: each has one token's end, which is the last of its ids; else the ids' places in the text tell their words."""
+        groups = [missing[at : at + TOGETHER] for at in range(0, len(missing), TOGETHER)]
+        encode = self.of_pieces.encode_batch_fast if pieces else self.library.encode_batch
+        all_ids, all_ends, n = [], [], 0
         for group, e in zip(groups, encode([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1 if one_end else np.searchsorted([x for x, _ in e.offsets], np.cumsum([len(w) + 1 for w in group]))
-            if len(ends) != len(group):
+            ends = np.flatnonzero(self.ends[ids]) + 1 if pieces else np.searchsorted([x for x, _ in e.offsets], np.cumsum([len(w) + 1 for w in group]))
+            if len(ends) != len(group) or ends[-1] != len(ids):
                 raise ValueError(f"{len(ends)} ends of tokens in {len(group)} words")
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(group, (4 * ends).tolist(), strict=True):
-                self.known[w] = raw[at:end]
-                at = end
+            all_ids.append(ids)
+            all_ends.append(ends + n)
+            n += len(ids)
+        raw, ends = np.concatenate(all_ids).tobytes(), (4 * np.concatenate(all_ends)).tolist()
+        self.known.update(zip(missing, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def _kept(self, words: pa.Array, pieces: bool) -> pa.Array:
+        """The ids of different words, from what is kept if they are there."""
+        keys = words.to_numpy(zero_copy_only=False).tolist()
+        self.known[""] = b""
+        ids = list(map(self.known.get, keys))
+        if missing := [w for w, own in zip(keys, ids, strict=True) if own is None]:
+            self._learn(missing, pieces)
+            ids = list(map(self.known.__getitem__, keys))
+        self.latest.update(zip(keys, ids, strict=True))
+        return pa.array(ids, pa.large_binary())
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """The ids of different words, four bytes each, little-endian."""
+        if not self.cuts:
+            return self._kept(words, False)
+        cut = pc.extract_regex(words, LETTERS_AND_MARKS)
+        letters, marks = pc.utf8_lower(pc.struct_field(cut, "letters")).dictionary_encode(), pc.struct_field(cut, "marks").dictionary_encode()
+        both = [self._kept(x.dictionary, True).take(x.indices) for x in (letters, marks)]
+        joint = pc.binary_join_element_wise(*both, pa.scalar(b"", pa.large_binary()))
+        return pc.replace_with_mask(joint, cut.is_null(), self._kept(words.filter(cut.is_null()), False))
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text behind the other, and how many each has; no text is null."""
+        if len(self.known) > CACHE:
+            self.known = self.latest
+        self.latest = {}
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids = self._words(words.dictionary).take(words.indices)
+        _, places, raw = ids.buffers()
+        places = np.frombuffer(places, np.int64, len(ids) + 1, 8 * ids.offset) if len(ids) else np.zeros(1, np.int64)
+        bounds = places[np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy())))] // 4
+        return np.frombuffer(raw or b"", "<u4", bounds[-1] - bounds[0], 4 * bounds[0]), np.diff(bounds)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each, little-endian."""
         out: list[bytes] = []
         for at in range(0, len(texts), TEXTS):
-            some = texts[at : at + TEXTS]
-            split = [t.split() for t in some]
-            words = set().union(*split)
-            if len(self.known) > CACHE:
-                self.known = self.latest
-            own_ids = dict(zip(words, map(self.known.get, words), strict=True))
-            missing = [w for w, ids in own_ids.items() if ids is None]
-            self._learn(missing)
-            own_ids.update(zip(missing, map(self.known.__getitem__, missing), strict=True))
-            self.latest = own_ids
-            get = own_ids.__getitem__
-            odd = [any(c in t for c in SPLIT_ONLY) for t in some]
-            out += [np.array(self._ids(t), np.uint32).tobytes() if o else b"".join(map(get, own)) for t, own, o in zip(some, split, odd, strict=True)]
+            ids, lengths = self.encode_column(pa.array(texts[at : at + TEXTS], pa.string()))
+            out += [x.tobytes() for x in np.split(ids, np.cumsum(lengths)[:-1])]
         return out
 
 
@@ -309,24 +319,26 @@ def write_ids(docs: DataFrame, path: str, *, tokenizer: str, end_id: int) -> Non
     the document that fills it, so a text of any length is in one. Other columns are ignored. The text source writes each frame as a line, so its commits keep failed attempts out.
     """
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = WordTokenizer.at(tokenizer), np.uint32(end_id).tobytes()
-        doc_ids, parts, held = [], [], 0
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordTokenizer.at(tokenizer)
+        doc_ids, lengths, parts, held = [], [], [], 0
         for batch in batches:
-            texts = batch["text"].tolist()
-            for at in range(0, len(texts), TEXTS):
-                doc_ids += [None if pd.isna(x) else int(x) for x in batch["doc_id"].iloc[at : at + TEXTS].tolist()]
-                parts += [x + end for x in encoder.encode(texts[at : at + TEXTS])]
-                held = sum(map(len, parts)) // 4
+            for at in range(0, batch.num_rows, TEXTS):
+                some = batch.slice(at, TEXTS)
+                ids, n = encoder.encode_column(some["text"])
+                doc_ids += some["doc_id"].to_pylist()
+                lengths += (n + 1).tolist()
+                parts.append(np.insert(ids, np.cumsum(n), end_id))
+                held += len(parts[-1])
                 if held >= FRAME_IDS:
-                    yield pd.DataFrame({"value": [frame(doc_ids, [len(x) // 4 for x in parts], np.frombuffer(b"".join(parts), np.uint32))]})
-                    doc_ids, parts = [], []
+                    yield pa.record_batch({"value": pa.array([frame(doc_ids, lengths, np.concatenate(parts))], pa.binary())})
+                    doc_ids, lengths, parts, held = [], [], [], 0
         if doc_ids:
-            yield pd.DataFrame({"value": [frame(doc_ids, [len(x) // 4 for x in parts], np.frombuffer(b"".join(parts), np.uint32))]})
+            yield pa.record_batch({"value": pa.array([frame(doc_ids, lengths, np.concatenate(parts))], pa.binary())})
 
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
-    in_ranges(source).mapInPandas(pack, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_FRAMES).text(path)
+    in_ranges(source).mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_FRAMES).text(path)
 
 
 def read_ids(spark: SparkSession, path: str, *, digest_only: bool = False) -> DataFrame:

@@ -113,6 +113,21 @@ def test_words_are_learned_together(monkeypatch):
     assert encoder.encode([" ".join(words)]) == ids and not learned
 
 
+def test_words_of_known_parts_are_not_learned(monkeypatch):
+    encoder = token_blocks.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    learned, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda missing, *more: (learned.extend(missing), learn(missing, *more)))
+    encoder.encode(["Éabc, def.) ghi"])
+    assert len(learned) == len({*learned})
+    del learned[:]
+    text = "éABC.) DEF,\x0cGhi def \n\n gHi, ÉABC ghi.)"
+    assert encoder.encode([text, "", " "]) == [np.array(encoder.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), b"", b""]
+    assert not learned
+    # white space that is not ASCII is left to the library
+    odd = ["a\x1cb \x1f", "\u2003", "x\x85Y\u3000'll \x00"]
+    assert encoder.encode(odd) == [np.array(encoder.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+
+
 def test_tokens_that_go_on_behind_spaces_are_refused():
     with pytest.raises(ValueError):
         token_blocks.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
