@@ -97,7 +97,7 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """(file, start, whole, value): pieces in order within a split, the split's start, and whether it is the whole file."""
     rows = spark.read.option("lineSep", ">").text(path)
     m = "_metadata."
-    return rows.select(F.xxhash64(m + "file_path").alias("file"), F.col(m + "file_block_start").alias("start"), (F.col(m + "file_block_length") >= F.col(m + "file_size")).alias("whole"), "value")
+    return rows.select(F.col(m + "file_path").alias("file"), F.col(m + "file_block_start").alias("start"), (F.col(m + "file_block_length") >= F.col(m + "file_size")).alias("whole"), "value")
 
 
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,7 +137,7 @@ def _composed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["file", "start", "state", "depth", "owner"])
 
 
-CUT = "file long, owner long, start long, seq long, part boolean, xml string"
+CUT = "file string, owner long, start long, seq long, part boolean, xml string"
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,14 +183,15 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def top_elements(spark: SparkSession, path: str) -> DataFrame:
     """(file, owner, seq, xml, prolog) of each element right below a document's root: its place, its text, and all that is before the first one, up to the root's tag.
+    file is the path, so places are in the order of the files' names.
 
     Files may be larger than a split, with any line ends or none; a ">" may stand wherever XML lets it. Elements of any size: what a
     task holds is an element at most. A document that ends within its root raises an error.
     """
     pieces = _pieces(spark, path)
-    ways = written(pieces.where(~F.col("whole")).mapInPandas(_ends, "file long, start long, s int, e int, net int, least int, most int"), "ways")
+    ways = written(pieces.where(~F.col("whole")).mapInPandas(_ends, "file string, start long, s int, e int, net int, least int, most int"), "ways")
     if ways.head(1):
-        starts = written(ways.groupBy("file").applyInPandas(_composed, "file long, start long, state int, depth int, owner long"), "starts")
+        starts = written(ways.groupBy("file").applyInPandas(_composed, "file string, start long, state int, depth int, owner long"), "starts")
         few = starts.count() <= BROADCAST_SPLITS
         placed = pieces.withColumn("_at", F.monotonically_increasing_id()).join(F.broadcast(starts) if few else starts, ["file", "start"], "left")
         if not few:

@@ -30,7 +30,7 @@ DEFINITIONS = ("Definition", "definition")
 
 #: An element: its place, its kind (Ontology, Class or ObjectProperty), rdf:about, and its children in order. links: the existential restrictions in a child.
 ELEMENTS = (
-    "file long, owner long, seq long, kind string, about string, "
+    "file string, owner long, seq long, kind string, about string, "
     "children array<struct<ns:string,name:string,resource:string,text:string,links:array<struct<type:string,target:string>>>>"
 )
 KINDS = ("Ontology", "Class", "ObjectProperty")
@@ -109,7 +109,8 @@ def read_owl(spark: SparkSession, path: str, *, restrictions: str = "extract") -
 
     restrictions: "extract" makes existential restrictions relationships; "reference" drops them. Classes and
     properties without rdf:about are left out, and so is all that isn't right below an rdf:RDF root. Child elements without a
-    place of their own become properties under their local names if they have text; the last of a name counts. Malformed XML raises.
+    place of their own become properties under their local names if they have text; the last of a name counts. Of several
+    documents' headers the last counts, by path. Malformed XML raises.
     """
     if restrictions not in ("extract", "reference"):
         raise ValueError("restrictions is 'extract' or 'reference'")

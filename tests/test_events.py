@@ -75,3 +75,12 @@ def test_documents_without_elements(spark, tmp_path):
         (tmp_path / f"{name}.owl").write_text(text)
         o = owl.read_owl(spark, str(tmp_path / f"{name}.owl"))
         assert o.terms.count() == o.typedefs.count() == 0 and o.header.first()["ontology"] is None
+
+
+def test_the_last_header_by_path_counts(spark, tmp_path):
+    """The last ontology and the last version of many files, in the order of their names."""
+    for i in range(24):
+        version = f'<owl:versionIRI rdf:resource="v{i}"/>' if i % 5 == 0 else ""
+        inner = "".join(f'<owl:Ontology rdf:about="o{i}_{j}">{version}</owl:Ontology>' for j in range(3))
+        (tmp_path / f"{i:03}.owl").write_text(f'<rdf:RDF xmlns:rdf="{owl.RDF}" xmlns:owl="{owl.OWL}">{inner}</rdf:RDF>')
+    assert owl.read_owl(spark, str(tmp_path)).header.first().asDict() == {"format_version": None, "data_version": "v20", "ontology": "o23_2"}
