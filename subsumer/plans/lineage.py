@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
@@ -35,9 +37,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+class _Writers:
+    """Writes that are running, and the session's setting before the first of them."""
+
+    lock, running, before = threading.Lock(), 0, "false"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files behind: a plan of many writes needs the disk of the largest one, not of all. Threads may do so side by side."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with _Writers.lock:
+        if not _Writers.running:
+            _Writers.before = spark.conf.get(key, "false")
+            spark.conf.set(key, "true")
+        _Writers.running += 1
+    try:
+        yield
+    finally:
+        with _Writers.lock:
+            _Writers.running -= 1
+            if not _Writers.running:
+                spark.conf.set(key, _Writers.before)
+
+
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -64,7 +91,8 @@ class Growing:
 
     def _write(self, df: DataFrame) -> str:
         path = new_path(self.spark, self.name)
-        df.write.parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.parquet(path)
         return path
 
     def all(self) -> DataFrame:
@@ -81,8 +109,17 @@ class Buckets:
 
     def add(self, delta: DataFrame) -> tuple[DataFrame, int]:
         """Adds the delta; it, as it stands in the table, and its number of rows."""
-        rows = delta.repartition(self.buckets, *self.by).withColumn("_delta", F.lit(self.deltas))
-        rows.write.mode("append").bucketBy(self.buckets, *self.by).option("path", self.path).saveAsTable(self.table)
+        return self._put(delta.repartition(self.buckets, *self.by))
+
+    def merge(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        """Adds the rows, which may repeat, that are not there yet; these, and their number. Rows are dealt once: what is known stays in place."""
+        new = rows.repartition(self.buckets, *self.by).distinct()
+        return self._put(new.join(self.all(), self.schema.fieldNames(), "left_anti") if self.deltas else new)
+
+    def _put(self, dealt: DataFrame) -> tuple[DataFrame, int]:
+        rows = dealt.select(*self.schema.fieldNames(), F.lit(self.deltas).alias("_delta"))
+        with shuffles_removed(self.spark):
+            rows.write.mode("append").bucketBy(self.buckets, *self.by).option("path", self.path).saveAsTable(self.table)
         own = self.spark.table(self.table).where(F.col("_delta") == self.deltas).drop("_delta")
         self.deltas += 1
         n = own.count()

@@ -203,3 +203,60 @@ def test_reduction(spark, seed, monkeypatch):
     concepts = spark.createDataFrame([(c,) for c in range(n)], "id long")
     got = direct_parents(spark.createDataFrame(sorted(pairs), "c long, d long"), concepts)
     assert sorted(map(tuple, got.collect())) == sorted(plain_direct(pairs, range(n)))
+
+
+def shuffled(spark, job):
+    """Rows that all shuffles of a job write."""
+    sc = spark.sparkContext
+    bus, store, stages = sc._jsc.sc().listenerBus(), sc._jsc.sc().statusStore(), set(range(100_000))
+
+    def written_by(first):
+        total, i, missing = 0, first, 0
+        while missing < 50:
+            try:
+                total, missing = total + store.lastStageAttempt(i).shuffleWriteRecords(), 0
+            except Exception:
+                missing += 1
+            i += 1
+        return total, i - missing
+
+    bus.waitUntilEmpty()
+    first = sc._jsc.sc().dagScheduler().nextStageId()
+    job()
+    bus.waitUntilEmpty()
+    return written_by(first)[0]
+
+
+@pytest.mark.parametrize("kind", ("conjunctions", "fillers"))
+def test_facts_do_not_meet_every_axiom_of_a_hub(spark, kind):
+    n = 300
+    low, new, end = range(10, 10 + n), range(1000, 1000 + n), range(2000, 2000 + n)
+    if kind == "conjunctions":  # all are below 2, each has an axiom of 2 and a premise of its own, which every third has
+        ax = {"nf1": [(c, 2) for c in low] + [(c, x) for c, x in zip(low, new) if c % 3 == 0], "nf2": [(2, x, y) for x, y in zip(new, end)]}
+    else:  # one role has many axioms, and many links
+        ax = {"nf3": [(c, 0, x) for c, x in zip(low, new)], "nf4": [(0, x, y) for x, y in zip(new, end)]}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    out = []
+    try:
+        rows = shuffled(spark, lambda: out.append(saturate(None, Axioms(**frames(spark, ax)), want=("subsumers",))))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    wanted = {(c, y) for c, y in zip(low, end) if kind == "fillers" or c % 3 == 0}
+    assert {tuple(r) for r in out[0].subsumers.where("d >= 2000 and c < 1000").collect()} == wanted
+    assert rows < n * n / 2
+
+
+def test_writes_leave_no_shuffle_files(spark):
+    from subsumer.plans.lineage import Buckets, written
+
+    held = lambda: sum("shuffle_" in str(f) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    before, key = held(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    rows = spark.range(1000).selectExpr("id % 10 as c", "id as d")
+    assert written(rows.groupBy("c").count()).count() == 10
+    table = Buckets(rows, "x", ["c"], 4)
+    assert table.add(rows)[1] == 1000 and table.merge(rows.union(rows.selectExpr("c", "d + 1")))[1] == 1000
+    table.forget()
+    # only count() and the like may leave some
+    assert held() - before <= 8 and spark.conf.get(key) == was
