@@ -23,6 +23,8 @@ from .common import table
 
 #: Sums of products up to here are exact in doubles.
 EXACT = float(vectors.EXACT)
+#: Cells of queries, and of data, in a tile.
+CELL_TILE, LIST_TILE = 32, 4
 #: Room for rounding in bounds and products, as a share of the largest that norms allow.
 SLACK = 1e-12
 
@@ -345,27 +347,50 @@ def largest_products(rows: DataFrame, queries: DataFrame, settings: Search = Sea
     np.put_along_axis(begin, np.argsort(-bounds, axis=1, kind="stable")[:, : settings.first], True, axis=1)
 
     def searched(chosen: np.ndarray, name: str, least: DataFrame | None = None) -> DataFrame:
+        """The best of each query in the chosen cells. Trees meet by tiles of neighbouring cells, so each is sent once for a tile, not once for each pair."""
         i, j = np.nonzero(chosen)
-        pairs = F.broadcast(spark.createDataFrame(pd.DataFrame({"cell": cells[i], "list": lists[j]}), "cell int, list int"))
+        pairs = pd.DataFrame({"cell": cells[i], "list": lists[j], "ct": (i // CELL_TILE).astype(np.int32), "lt": (j // LIST_TILE).astype(np.int32)})
+        wanted = pairs.groupby(["cell", "ct", "lt"])["list"].agg(lambda x: [int(v) for v in x]).reset_index()
+        wanted = F.broadcast(spark.createDataFrame(wanted, "cell int, ct int, lt int, lists array<int>"))
+        met = F.broadcast(spark.createDataFrame(pairs[["list", "lt", "ct"]].drop_duplicates(), "list int, lt int, ct int"))
         q = groups.select("cell", F.col("block").alias("qb"), F.col("tree").alias("q"), "k1", "k2")
-        q = q.withColumn("least", F.lit(None).cast("array<struct<k1:bigint,k2:bigint,score:double>>")) if least is None else q.join(least, ["cell", "qb"], "left")
+        q = q.withColumn("least", F.lit(None).cast("array<struct<k1:bigint,k2:bigint,score:double>>")) if least is None else q.join(F.broadcast(least), ["cell", "qb"], "left")
         v = data.select(F.col("cell").alias("list"), F.col("block").alias("vb"), F.col("tree").alias("v"), "ids")
-        q_blocks, v_blocks = (x.select(*c).groupBy(c[0]).agg(F.collect_list(c[1]).alias(c[1])) for x, c in ((groups.withColumnRenamed("block", "qb"), ("cell", "qb")), (v, ("list", "vb"))))
-        left = q.join(pairs, "cell").join(v_blocks, "list").withColumn("vb", F.explode("vb"))
-        right = v.join(pairs, "list").join(q_blocks, "cell").withColumn("qb", F.explode("qb"))
-        on = ["cell", "list", "qb", "vb"]
+        # blocks of a tile's cells by number: at most as many as the largest of its cells has
+        q_blocks = groups.select("cell", F.col("block").alias("qb")).join(wanted, "cell").groupBy("ct").agg(F.collect_set("qb").alias("qb"))
+        v_blocks = data.select(F.col("cell").alias("list"), F.col("block").alias("vb")).join(met, "list").groupBy("lt").agg(F.collect_set("vb").alias("vb"))
+        left = q.join(wanted, "cell").join(F.broadcast(v_blocks), "lt").withColumn("vb", F.explode("vb"))
+        right = v.join(met, "list").join(F.broadcast(q_blocks), "ct").withColumn("qb", F.explode("qb"))
+        on = ["ct", "lt", "qb", "vb"]
 
         def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return vectors.EMPTY.copy()
-            q, v, k1, k2 = pickle.loads(a["q"].iloc[0]), pickle.loads(b["v"].iloc[0]), a["k1"].iloc[0], a["k2"].iloc[0]
-            known = {(x["k1"], x["k2"]): x["score"] for x in a["least"].iloc[0]} if a["least"].iloc[0] is not None else {}
-            least = np.array([known.get(k, -np.inf) for k in zip(k1, k2, strict=True)])
-            i, j, s = dual_tree(q, v, keep, least)
-            ids = np.empty(len(v.x), object)
-            ids[:] = [list(x) for x in b["ids"].iloc[0]]
-            return vectors.best_of(np.asarray(k1), np.asarray(k2), ids, i, j, s)
-
+            out = []
+            trees = {}
+            for number, tree, ids in zip(b["list"], b["v"], b["ids"], strict=True):
+                own = np.empty(len(ids), object)
+                own[:] = [list(x) for x in ids]
+                trees[number] = pickle.loads(tree), own
+            for tree, k1, k2, known, numbers in zip(a["q"], a["k1"], a["k2"], a["least"], a["lists"], strict=True):
+                q = pickle.loads(tree)
+                known = {(x["k1"], x["k2"]): x["score"] for x in known} if known is not None else {}
+                worst = np.array([known.get(k, -np.inf) for k in zip(k1, k2, strict=True)])
+                top = np.full((len(q.x), keep), -np.inf)
+                for number in numbers:
+                    if number not in trees:  # this block number has none of its rows
+                        continue
+                    v, ids = trees[number]
+                    i, j, s = dual_tree(q, v, keep, worst)
+                    out.append(vectors.best_of(np.asarray(k1), np.asarray(k2), ids, i, j, s))
+                    # what the query has in this tile is a bound for the next tree
+                    score = s.astype(np.float64)
+                    score = score - np.abs(score) * SLACK if s.dtype == object else score
+                    here = np.full((len(q.x), keep), -np.inf)
+                    here[i, np.arange(len(i)) - np.searchsorted(i, i)] = score
+                    top = -np.partition(-np.concatenate((top, here), axis=1), keep - 1, axis=1)[:, :keep]
+                    worst = np.maximum(worst, top.min(axis=1))
+            return pd.concat(out, ignore_index=True) if out else vectors.EMPTY.copy()
+
+        # each group is a tile of bounded size; plans may put several in a task
         return table(left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(score, FOUND), name)
 
     found = searched(begin, "first-cells")

@@ -71,8 +71,16 @@ def matrix(column: pd.Series) -> np.ndarray:
 
 
 def sample_of(classes: DataFrame, rows: int = SAMPLE) -> np.ndarray:
-    """The distinct vectors with the smallest keys, `rows` at most."""
-    return matrix(classes.orderBy("k1", "k2").limit(rows).select("vec").toPandas()["vec"])
+    """The distinct vectors with the smallest keys, `rows` at most. Only keys below a bound that about so many reach are put in order: else every task sends its own smallest ones."""
+    share = 1.2 * rows / max(classes.count(), 1)
+    while share < 1:
+        some = classes.where(F.col("k1") < int(share * 2.0**64) - (1 << 63))
+        if some.count() >= rows:
+            break
+        share *= 2
+    else:
+        some = classes
+    return matrix(some.orderBy("k1", "k2").limit(rows).select("vec").toPandas()["vec"])
 
 
 def balanced_clusters(x: np.ndarray, leaves: int) -> list[np.ndarray]:
@@ -114,7 +122,8 @@ def search_blocks(postings: DataFrame, probes: DataFrame, score: Callable[[pd.Da
     return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(lambda q, v: score(q, v) if len(q) and len(v) else EMPTY.copy(), "k1 long, k2 long, ids array<long>, score double, whole binary")
 
 
-EMPTY = pd.DataFrame({"k1": np.zeros(0, np.int64), "k2": np.zeros(0, np.int64), "ids": [], "score": np.zeros(0), "whole": []})
+#: No result. Columns of lists and bytes are objects even if empty: Arrow takes no lists from the doubles that pandas makes of nothing.
+EMPTY = pd.DataFrame({"k1": np.zeros(0, np.int64), "k2": np.zeros(0, np.int64), "ids": pd.Series([], dtype=object), "score": np.zeros(0), "whole": pd.Series([], dtype=object)})
 #: Whole numbers of smaller size are exact in doubles.
 EXACT = 1 << 53
 
@@ -135,7 +144,7 @@ def long_of(score: Column, whole: Column) -> Column:
 def best_of(k1: np.ndarray, k2: np.ndarray, ids: np.ndarray, rows: np.ndarray, cols: np.ndarray, score: np.ndarray) -> pd.DataFrame:
     """The result of a block: query rows[i] (of keys k1, k2) and the vector cols[i] (of ids) have score[i]. whole: the whole_key() of scores that are Python's whole numbers of EXACT or more, else null."""
     whole = [whole_key(s) if abs(s) >= EXACT else None for s in score] if score.dtype == object else [None] * len(score)
-    return pd.DataFrame({"k1": k1[rows], "k2": k2[rows], "ids": list(ids[cols]), "score": score.astype(np.float64), "whole": whole})
+    return pd.DataFrame({"k1": k1[rows], "k2": k2[rows], "ids": pd.Series(list(ids[cols]), dtype=object), "score": score.astype(np.float64), "whole": pd.Series(whole, dtype=object)})
 
 
 def ranked(found: DataFrame, queries: DataFrame, k: int, *, whole: bool = False) -> DataFrame:

@@ -207,3 +207,55 @@ def test_ranges_of_ids(spark):
     assert len({r["at"] for r in rows}) > 2
     assert in_ranges(df.where("false")).count() == 0
     assert in_ranges(df.where("doc_id is null")).count() == 2
+
+
+def moved(spark, job, field):
+    """The sum of a figure of the stages that a job runs, and what it returns."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    at, total, missing = sc.dagScheduler().nextStageId(), 0, 0
+    out = job()
+    sc.listenerBus().waitUntilEmpty()
+    while missing < 50:
+        try:
+            total, missing = total + getattr(sc.statusStore().lastStageAttempt(at), field)(), 0
+        except Exception:
+            missing += 1
+        at += 1
+    return total, out
+
+
+def test_samples_of_many_vectors_are_all_that_is_sent(spark):
+    from subsumer.llm.common import table
+
+    held = spark.range(0, 20_000, 1, 20).selectExpr("xxhash64(id) as k1", "id as k2", "unhex(repeat(lpad(hex(id), 16, '0'), 8)) as vec")
+    held = table(held, "some")
+    sent, sample = moved(spark, lambda: vectors.sample_of(held, 500), "resultSize")
+    wanted = held.orderBy("k1", "k2").limit(500).toPandas()["vec"]
+    assert np.array_equal(sample, vectors.matrix(wanted), equal_nan=True)
+    assert sent < 400_000  # the smallest 500 of each task are over a million bytes
+    assert len(vectors.sample_of(held, 30_000)) == 20_000
+
+
+def test_trees_are_sent_once_for_a_tile(spark):
+    from subsumer.llm.cover_tree import Search, largest_products
+
+    x = np.random.default_rng(3).normal(size=(1000, 32))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id % 4 = 0").selectExpr("vec_id as query_id")
+    sent, found = moved(spark, lambda: largest_products(rows, asked, Search(k=3, cell_rows=50, cell_queries=10)).collect(), "shuffleWriteBytes")
+    whole = np.floor(256 * x).astype(np.int64)
+    for r in found:
+        scores = whole @ whole[r["query_id"]]
+        order = [i for i in np.lexsort((np.arange(1000), -scores)).tolist() if i != r["query_id"]]
+        assert (r["vec_id"], r["score"]) == (order[r["rank"] - 1], scores[order[r["rank"] - 1]])
+    assert len(found) == 750 and sent < 4_000_000
+
+
+def test_blocks_without_a_result_are_lists_to_arrow():
+    import pyarrow as pa
+
+    none = np.zeros(0, np.intp)
+    for found in (vectors.best_of(np.zeros(3, np.int64), np.zeros(3, np.int64), np.array([[1], [2, 3], [4]], object), none, none, np.zeros(0)), vectors.EMPTY):
+        assert pa.Array.from_pandas(found["ids"], type=pa.list_(pa.int64())).to_pylist() == []
+        assert pa.Array.from_pandas(found["whole"], type=pa.binary()).to_pylist() == []
