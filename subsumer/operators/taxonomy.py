@@ -76,8 +76,13 @@ def direct_parents(subsumers: DataFrame, concepts: DataFrame, *, top: object = 0
     return direct.union(orphans)
 
 
+def child_counts(direct: DataFrame) -> DataFrame:
+    """(parent, n_children, first_child, last_child) of distinct pairs (child, parent): sums of partitions meet, so a parent may have any number of children."""
+    return direct.groupBy("parent").agg(F.count("*").alias("n_children"), F.min("child").alias("first_child"), F.max("child").alias("last_child"))
+
+
 def direct_children(direct: DataFrame) -> DataFrame:
-    """(parent, children), children in order."""
+    """(parent, children), children in order. A parent's children are one row; child_counts() does without."""
     return direct.groupBy("parent").agg(F.sort_array(F.collect_set("child")).alias("children"))
 
 

@@ -179,6 +179,16 @@ def test_small_deltas_take_one_task(spark, monkeypatch):
     assert tasks and max(tasks) == 3
 
 
+def test_children_are_counted_without_a_row_of_all(spark):
+    from subsumer.operators.taxonomy import child_counts
+
+    direct = spark.createDataFrame([(f"c{i}", f"p{i % 3}") for i in range(50)], "child string, parent string")
+    wanted = {(r["parent"], len(r["children"]), r["children"][0], r["children"][-1]) for r in direct_children(direct).collect()}
+    counts = child_counts(direct)
+    assert {tuple(r) for r in counts.collect()} == wanted
+    assert "collect" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
 def plain_direct(pairs, concepts):
     k = {(c, d) for c, d in pairs if c != d and min(c, d) > 1}
     hidden = {(c, e) for c, d in k for d2, e in k if d == d2}
